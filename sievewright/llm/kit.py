@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
-def session(df: DataFrame) -> SparkSession:
+def session(df: DataFrame, size: int = BATCH_BYTES) -> SparkSession:
     """The frame's session, with Arrow batches bounded by bytes and not only by rows."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
 
 
@@ -273,3 +273,19 @@ def components(links: DataFrame, log: Callable[[int], None] | None = None) -> Da
         edges = stored(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")
         if edges.isEmpty():
             return labels
+
+
+# --------------------------------------------------------------------------------------------
+# Files that are not tables: opened where the shared folder is, local disk or object store.
+
+
+def filesystem(path: str):
+    """A pyarrow file system and the path in it, for a URI or a local path."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = path.removeprefix("file:")
+        return fs.LocalFileSystem(), "/" + path.lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
