@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kit
+from .bpe import encode_documents
 from .embedding_dedup import embedding_near_duplicates
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .separator_scan import count_tokens, write_flat_files
+from .token_files import read_token_index, write_token_files
 from .topk_search import exact_topk
 from .url_filter import filter_urls
 
@@ -43,6 +47,39 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def bpe_digest(coded: DataFrame) -> DataFrame:
+    """Digest columns of encoded documents."""
+    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+#: <|endoftext|> of the vocabulary, which ends documents in flat files.
+END_OF_TEXT = 49407
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = kit.fresh_path(spark, "flat")
+    places = write_flat_files(_table(spark, sf_dir, "documents"), folder, tokenizer=tokenizer_file(), separator=END_OF_TEXT)
+    counts = count_tokens(places, folder, separator=END_OF_TEXT)
+    return places.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = kit.fresh_path(spark, "planes")
+    manifest = write_token_files(_table(spark, sf_dir, "documents"), folder, tokenizer=tokenizer_file(), end=2)
+    return read_token_index(manifest, folder)
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -100,8 +137,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_mixing": op3_mixing,
+        "op4_bpe": op4_bpe,
+        "op5_token_counts": op5_token_counts,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op8_exact_topk": op8_exact_topk,
+        "op9_token_files": op9_token_files,
         "op10_url_filter": op10_url_filter,
     }
 
