@@ -15,6 +15,7 @@ from .ngram_join import ngram_jaccard_join
 from .separator_scan import count_tokens, write_flat_files
 from .token_files import read_token_index, write_token_files
 from .topk_search import exact_topk
+from .toxicity import score_toxicity, train_toxicity
 from .url_filter import filter_urls
 
 
@@ -100,6 +101,11 @@ FROM embeddings LEFT JOIN m ON m.a = vec_id LEFT JOIN d ON d.a = vec_id
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -140,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op5_token_counts": op5_token_counts,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_exact_topk": op8_exact_topk,
         "op9_token_files": op9_token_files,
         "op10_url_filter": op10_url_filter,
