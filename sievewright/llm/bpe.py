@@ -32,8 +32,10 @@ from . import kit
 _BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: Kinds of the characters that Latin runs have once lowered: 0 separator, 1 letter, 2 number, 3 other.
 _KIND = np.array([0 if c == 10 else 1 if regex.match(r"\p{L}", chr(c)) else 2 if regex.match(r"\p{N}", chr(c)) else 3 for c in range(0x400)], dtype=np.int8)
-#: Runs that a worker remembers; when there are more, it starts afresh.
-REMEMBERED = 300_000
+#: Runs that a worker remembers beyond a batch; when there are more, it starts afresh.
+REMEMBERED = 250_000
+#: Bytes of text that are encoded at a time.
+BATCH_BYTES = 16 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -64,29 +66,34 @@ class PairIndexBpe:
             self.names[i] = name
         letters = _byte_letters()
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.plain = np.array([vocab[c] for c in letters], dtype=np.int64)
-        self.final = np.array([vocab[c + end] for c in letters], dtype=np.int64)
+        self.plain = np.array([vocab[c] for c in letters], dtype=np.int32)
+        self.final = np.array([vocab[c + end] for c in letters], dtype=np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], dtype=np.int64)
+        if len(self.names) > 1 << 16:
+            raise ValueError("ids beyond 16 bits")
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], dtype=np.uint32)
         order = np.argsort(keys)
-        self.keys, self.rank_of_key = keys[order], order
-        self.left, self.right = keys >> 32, keys & 0xFFFFFFFF
-        self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
+        self.keys, self.rank_of_key = keys[order], order.astype(np.int32)
+        self.left, self.right = (keys >> 16).astype(np.int32), (keys & 0xFFFF).astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
         self.digits = [str(i) for i in range(len(self.names))]
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where it never merges."""
-        key = a << 32 | b
+        key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of_key[at], -1)
 
     def merge(self, symbols: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge words laid end to end (``last`` marks final symbols): the symbols left and where they start."""
         n = len(symbols)
-        sym = np.append(symbols, -1)
-        after = np.append(np.where(last, n, np.arange(1, n + 1)), n)
-        before = np.full(n + 1, -1)
-        before[after[:n][~last]] = np.flatnonzero(~last)
+        sym = np.append(symbols.astype(np.int32), np.int32(0))
+        after = np.arange(1, n + 2, dtype=np.int32)
+        after[:n][last] = n
+        after[n] = n
+        before = np.full(n + 1, -1, dtype=np.int32)
+        inner = np.flatnonzero(~last).astype(np.int32)
+        before[inner + 1] = inner
         alive = np.ones(n, dtype=bool)
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -96,7 +103,7 @@ class PairIndexBpe:
             at, rank = at[rank >= 0], rank[rank >= 0]
             if not len(at):
                 return
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank.astype(np.uint16), kind="stable")  # two bytes: sorted by radix
             at, rank = at[order], rank[order]
             heads = np.flatnonzero(np.diff(rank, prepend=-1))
             for r, part in zip(rank[heads].tolist(), np.split(at, heads[1:]), strict=True):
@@ -106,13 +113,14 @@ class PairIndexBpe:
                     index[r] = [part]
                     heapq.heappush(active, r)
 
-        enter(np.flatnonzero(~last))
+        enter(inner)
+        del inner
         while active:
             r = heapq.heappop(active)
             parts = index.pop(r)
             at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
             a, b = self.left[r], self.right[r]
-            at = at[alive[at] & (sym[at] == a) & (sym[after[at]] == b)]
+            at = at[alive[at] & (sym[at] == a) & (after[at] < n) & (sym[after[at]] == b)]
             if not len(at):
                 continue
             if a == b and len(at) > 1:  # of overlapping occurrences every other one, from the left
@@ -210,7 +218,10 @@ def split_runs(text: str) -> list[str]:
 
 
 class Remembering:
-    """An encoder with what it has met, for a worker's lifetime; ``render`` makes what is kept of a run."""
+    """An encoder with what it has met; ``render`` makes what is kept of a run.
+
+    Runs of more than one text of a batch are remembered for the worker's lifetime, others for the batch.
+    """
 
     _made: dict = {}
 
@@ -218,6 +229,7 @@ class Remembering:
         self.coder = PairIndexBpe(path, specials)
         self.render = {"ids": self._ids, "text": self._text}[render]
         self.known: dict = {}
+        self.once: list[str] = []
 
     @classmethod
     def of(cls, path: str, specials: bool, render: str) -> Remembering:
@@ -239,22 +251,29 @@ class Remembering:
 
     def learn(self, texts: list[str | None]) -> None:
         """Encode the runs of these texts that are new."""
+        known = self.known
+        for r in self.once:
+            del known[r]
+        if len(known) > REMEMBERED:
+            known.clear()
         new: set[str] = set()
+        common: set[str] = set()
         for t in texts:
             if t:
-                new.update(split_runs(t))
-        missing = [r for r in new if r not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list(new)
+                runs = set(split_runs(t)).difference(known)
+                common.update(new.intersection(runs))
+                new.update(runs)
+        missing = list(new)
+        del new
         plain = [r for r in missing if "<|" not in r or not self.coder.has_special(r)]
         if plain:
             ids, bounds, order = self.coder.encode_flat(plain)
-            self.known.update(zip([plain[k] for k in order.tolist()], self.render(self.coder, ids, bounds.tolist()), strict=True))
+            known.update(zip([plain[k] for k in order.tolist()], self.render(self.coder, ids, bounds.tolist()), strict=True))
         if len(plain) < len(missing):
             for r in set(missing).difference(plain):
                 ids = np.array(self.coder.encode(r), dtype=np.int64)
-                self.known[r] = self.render(self.coder, ids, [0, len(ids)])[0]
+                known[r] = self.render(self.coder, ids, [0, len(ids)])[0]
+        self.once = [r for r in missing if r not in common]
 
     def parts(self, text: str | None) -> list:
         return list(map(self.known.__getitem__, split_runs(text))) if text else []
@@ -298,6 +317,6 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     ids holds the decimal ids joined by one space, decoded the text that they decode to.  One pass
     without a shuffle.
     """
-    kit.session(docs, 32 << 20)
+    kit.session(docs, BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_coder(tokenizer), "doc_id long, n_tokens long, ids string, decoded string")

@@ -212,13 +212,13 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end: int,
     Returns the manifest (bucket, path, n_docs, n_ids), a stored table; files in bucket order hold
     ascending doc_ids.
     """
-    kit.session(docs, 32 << 20)
+    kit.session(docs, bpe.BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = docs.count()
     files = max(1, math.ceil(n / docs_per_file))
     bounds = np.zeros(0, np.int64)
     if files > 1:
-        at = docs.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(10_000, 20 * files)).alias("b")).first().b
+        at = docs.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(1000, 20 * files)).alias("b")).first().b
         bounds = np.unique(np.array(at or [], dtype=np.int64))
     coded = docs.mapInArrow(_encoder(tokenizer, end, bounds), "doc_id long, bucket int, tie long, ids binary")
     coded = coded.repartition(files, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
@@ -229,7 +229,7 @@ def _scanner(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = kit.filesystem(folder)
         for batch in batches:
-            for bucket, name in zip(batch.column("bucket").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for base, name in zip(batch.column("base").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 path = f"{root}/{name}"
                 with fs.open_input_file(path) as source:
                     reader = PlaneReader(source, source.size())
@@ -240,8 +240,8 @@ def _scanner(folder: str):
                 for s in range(0, len(sums), 1 << 16):
                     cut = slice(s, s + (1 << 16))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(sums[cut]), bucket, np.int32)), ids[cut], pa.array(starts[cut]), pa.array(lengths[cut]), pa.array(sums[cut])],
-                        names=["bucket", "doc_id", "at", "n_tokens", "ids_crc32"],
+                        [ids[cut], pa.array(starts[cut] + base), pa.array(lengths[cut]), pa.array(sums[cut])],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
     return run
@@ -250,6 +250,6 @@ def _scanner(folder: str):
 def read_token_index(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that the manifest names."""
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("bucket", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))  # a row a file
-    rows = manifest.select("bucket", "path").repartition("path").mapInArrow(_scanner(folder), "bucket int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(offsets, "bucket").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))  # a row a file
+    files = max(1, manifest.count())
+    return placed.repartition(files, "path").mapInArrow(_scanner(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
