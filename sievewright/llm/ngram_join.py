@@ -316,3 +316,16 @@ def ngram_jaccard_join(
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
         .withColumn("kept", F.col("doc_id") == F.col("class_id"))
     )
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs of the smallest doc_id of each linked group, one row of an id that repeats.
+
+    Rows without a doc_id stay.
+    """
+    groups = ngram_jaccard_join(docs, **options)
+    keep = kit.stored(groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "ngram-keep")
+    joined = docs.join(keep, F.col("doc_id") == F.col("_id"))
+    single = joined.where("_rows = 1").select(*docs.columns)
+    repeated = joined.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))

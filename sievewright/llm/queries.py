@@ -13,6 +13,7 @@ from .embedding_dedup import embedding_near_duplicates
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .separator_scan import count_tokens, write_flat_files
+from .substring_dedup import duplicate_spans
 from .token_files import read_token_index, write_token_files
 from .topk_search import exact_topk
 from .toxicity import score_toxicity, train_toxicity
@@ -44,6 +45,10 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id LEFT JOI
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_spans(_table(spark, sf_dir, "documents")).drop("h")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -139,9 +144,16 @@ FROM h LEFT JOIN f ON f.page_id = h.page_id AND n = 1
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_mixing": op3_mixing,
         "op4_bpe": op4_bpe,
         "op5_token_counts": op5_token_counts,
@@ -150,6 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8_exact_topk,
         "op9_token_files": op9_token_files,
         "op10_url_filter": op10_url_filter,
+        "pipeline": pipeline,
     }
 
 
