@@ -1,10 +1,10 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-Texts are cut at white space into runs, and only runs not met before are encoded.  All new runs of a
-batch are laid out as one array of symbols; an index maps each mergeable pair to all its positions,
-and active ranks are applied in ascending order: one step merges every occurrence of a pair at once,
-and enters the pairs that the merges created into the lists of their own ranks.  A run's ids are then
-remembered by the worker, up to a fixed number of runs.
+Texts are cut at white space into runs, equal runs are found by 64-bit hashes, and only runs not met
+before are encoded.  All new runs of a batch are laid out as one array of symbols; an index maps each
+mergeable pair to all its positions, and active ranks are applied in ascending order: one step merges
+every occurrence of a pair at once, and enters the pairs that the merges created into the lists of
+their own ranks.  Ids of runs that repeat are remembered by the worker, up to a fixed number of runs.
 
 The result is that of the tokenizer's own library for its vocabulary file (lower-casing word BPE with
 an end-of-word suffix), special tokens in a text included.  Runs beyond the Latin blocks are normalised
@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ _BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: Kinds of the characters that Latin runs have once lowered: 0 separator, 1 letter, 2 number, 3 other.
 _KIND = np.array([0 if c == 10 else 1 if regex.match(r"\p{L}", chr(c)) else 2 if regex.match(r"\p{N}", chr(c)) else 3 for c in range(0x400)], dtype=np.int8)
 #: Runs that a worker remembers beyond a batch; when there are more, it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Bytes of text that are encoded at a time.
 BATCH_BYTES = 16 << 20
 
@@ -49,6 +50,12 @@ def _byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All positions of ranges, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class PairIndexBpe:
     """Encoder and decoder for one vocabulary file."""
 
@@ -77,6 +84,8 @@ class PairIndexBpe:
         self.left, self.right = (keys >> 16).astype(np.int32), (keys & 0xFFFF).astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
         self.digits = [str(i) for i in range(len(self.names))]
+        self.known, self.known_ids = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        self.known_head, self.known_count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where it never merges."""
@@ -142,20 +151,20 @@ class PairIndexBpe:
         left = np.flatnonzero(alive)
         return sym[left], left
 
-    def _latin_pieces(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """UTF-8 bytes of Latin runs without apostrophes, which bytes end a piece, and bytes of each run."""
-        text = "\n".join(runs).lower() + "\n"
+    def _latin_pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 bytes, which of them end a piece, and bytes of each run, of Latin runs that newlines end."""
+        text = text.lower()
         code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         kind = _KIND[np.minimum(code, 0x3FF)]
         solid = kind > 0
         cut = np.ones(len(code), dtype=bool)  # a piece ends where the kind changes; numbers stand alone
         cut[:-1] = (kind[1:] != kind[:-1]) | (kind[:-1] == 2)
-        width = 1 + (code >= 0x80) + (code >= 0x800)
+        width = 1 + (code >= 0x80).astype(np.int8) + (code >= 0x800)
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        ends = np.cumsum(width[solid])
+        ends = np.cumsum(width[solid], dtype=np.int64)
         last = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=bool)
         last[ends[cut[solid]] - 1] = True
-        sizes = np.diff(np.concatenate([[0], np.cumsum(np.where(solid, width, 0))[~solid]]))
+        sizes = np.diff(np.concatenate([[0], np.cumsum(np.where(solid, width, 0), dtype=np.int64)[~solid]]))
         return raw[raw != 10], last, sizes
 
     def _library_pieces(self, run: str) -> list[bytes]:
@@ -163,48 +172,82 @@ class PairIndexBpe:
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(run))
         return [bytes(self.byte_of[c] for c in p) for p, _ in split]
 
-    def encode_flat(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of texts without white space or special tokens: all ids, bounds, and the order of the runs."""
-        simple = np.array(["'" not in r and (r.isascii() or max(r) < "ɐ") for r in runs], dtype=bool)
-        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
-        raws, lasts, sizes = [], [], []
-        if simple.any():
-            raw, last, size = self._latin_pieces([runs[k] for k in np.flatnonzero(simple)])
-            raws.append(raw)
-            lasts.append(last)
-            sizes.append(size)
-        rest = [self._library_pieces(runs[k]) for k in np.flatnonzero(~simple)]
-        if rest:
-            raw = np.frombuffer(b"".join(b"".join(x) for x in rest), dtype=np.uint8)
-            last = np.zeros(len(raw), dtype=bool)
-            last[np.cumsum([len(p) for x in rest for p in x], dtype=np.int64) - 1] = True
-            raws.append(raw)
-            lasts.append(last)
-            sizes.append(np.array([sum(map(len, x)) for x in rest], dtype=np.int64))
-        if not raws:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64), order
-        raw, last = np.concatenate(raws), np.concatenate(lasts)
+    def _merged(self, raw: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs given by bytes, ends of pieces and sizes, and the bounds of each run's."""
         sym, at = self.merge(np.where(last, self.final[raw], self.plain[raw]), last)
-        return sym, np.searchsorted(at, np.concatenate([[0], np.cumsum(np.concatenate(sizes))])), order
+        return sym, np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))
+
+    def _by_library(self, run: str) -> list[int]:
+        pieces = self._library_pieces(run)
+        if not pieces:
+            return []
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        last = np.zeros(len(raw), dtype=bool)
+        last[np.cumsum([len(p) for p in pieces]) - 1] = True
+        return self._merged(raw, last, np.array([len(raw)]))[0].tolist()
+
+    def encode_runs(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs laid end to end in UTF-8, and the bounds of each run's ids."""
+        ends = np.cumsum(sizes)
+        after = np.append(raw[1:], 0)
+        odd = (raw == 0x27) | (raw >= 0xC9) | ((raw == 0xC2) & ((after == 0x85) | (after == 0xA0))) | ((raw == 0x3C) & (after == 0x7C))
+        hard = np.zeros(len(sizes), dtype=bool)
+        hard[np.searchsorted(ends, np.flatnonzero(odd), side="right")] = True
+        # Quick ones at once; each ended by a newline, which no run holds.
+        soft = np.repeat(~hard, sizes)
+        quick = np.insert(raw[soft], np.cumsum(sizes[~hard]), 10)
+        sym, bounds = self._merged(*self._latin_pieces(quick.tobytes().decode()))
+        counts = np.zeros(len(sizes), dtype=np.int64)
+        counts[~hard] = np.diff(bounds)
+        if not hard.any():
+            return sym, bounds
+        rest = {k: self.encode(raw[ends[k] - sizes[k] : ends[k]].tobytes().decode()) for k in np.flatnonzero(hard).tolist()}
+        for k, ids in rest.items():
+            counts[k] = len(ids)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(bounds[-1], dtype=np.int32)
+        out[np.repeat(~hard, counts)] = sym
+        for k, ids in rest.items():
+            out[bounds[k] : bounds[k + 1]] = ids
+        return out, bounds
 
     def encode(self, text: str) -> list[int]:
-        """Ids of one text."""
-        ids: list[int] = []
-        for run in split_runs(text):
-            ids.extend(self._with_specials(run))
-        return ids
-
-    def has_special(self, run: str) -> bool:
-        return bool(self.cut and "<|" in run and self.cut.search(run))
-
-    def _with_specials(self, run: str) -> list[int]:
+        """Ids of one text, by the library's splitter."""
         ids, at = [], 0
-        for m in self.cut.finditer(run) if self.cut else ():
-            if m.start() > at:
-                ids.extend(self.encode_flat([run[at : m.start()]])[0].tolist())
+        for m in self.cut.finditer(text) if self.cut else ():
+            ids += [i for run in split_runs(text[at : m.start()]) for i in self._by_library(run)]
             ids.append(self.special[m[0]])
             at = m.end()
-        return ids + (self.encode_flat([run[at:]])[0].tolist() if at < len(run) else [])
+        return ids + [i for run in split_runs(text[at:]) for i in self._by_library(run)]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column, as u16, and each text's bounds in them."""
+        raw, offsets = kit.text_bytes(column)
+        starts, ends, words = kit.word_bounds(raw, offsets)
+        key, first, which, counts = np.unique(kit.word_hashes(raw, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.known, key)
+        at[at == len(self.known)] = 0
+        old = self.known[at] == key if len(self.known) else np.zeros(len(key), dtype=bool)
+        new = np.flatnonzero(~old)
+        sizes = (ends - starts)[first[new]]
+        ids, bounds = self.encode_runs(raw[ranges(starts[first[new]], sizes)], sizes)
+        flat = np.concatenate([self.known_ids, ids.astype(np.uint16)])
+        head, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        head[old], count[old] = self.known_head[at[old]], self.known_count[at[old]]
+        head[new], count[new] = bounds[:-1] + len(self.known_ids), np.diff(bounds)
+        # Remember what repeats.
+        again = new[counts[new] > 1]
+        if len(self.known) + len(again) > REMEMBERED:
+            kept, keys = again, key[again]
+            heads, many = head[kept], count[kept]
+        else:
+            keys = np.concatenate([self.known, key[again]])
+            heads, many = np.concatenate([self.known_head, head[again]]), np.concatenate([self.known_count, count[again]])
+        order = np.argsort(keys)
+        self.known, self.known_count = keys[order], many[order]
+        self.known_ids = flat[ranges(heads[order], many[order])]
+        self.known_head = np.cumsum(self.known_count) - self.known_count
+        return flat[ranges(head[which], count[which])], np.concatenate([[0], np.cumsum(count[which])])[words]
 
     def decode(self, ids) -> str:
         """The tokens' names joined by spaces: the vocabulary file names no decoder."""
@@ -217,96 +260,32 @@ def split_runs(text: str) -> list[str]:
     return text.split()
 
 
-class Remembering:
-    """An encoder with what it has met; ``render`` makes what is kept of a run.
-
-    Runs of more than one text of a batch are remembered for the worker's lifetime, others for the batch.
-    """
-
-    _made: dict = {}
-
-    def __init__(self, path: str, specials: bool, render: str):
-        self.coder = PairIndexBpe(path, specials)
-        self.render = {"ids": self._ids, "text": self._text}[render]
-        self.known: dict = {}
-        self.once: list[str] = []
-
-    @classmethod
-    def of(cls, path: str, specials: bool, render: str) -> Remembering:
-        key = (path, specials, render)
-        if key not in cls._made:
-            cls._made[key] = cls(path, specials, render)
-        return cls._made[key]
-
-    @staticmethod
-    def _ids(coder: PairIndexBpe, ids: np.ndarray, bounds: list[int]) -> list[bytes]:
-        raw = ids.astype("<u2").tobytes()
-        return [raw[2 * s : 2 * e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    @staticmethod
-    def _text(coder: PairIndexBpe, ids: np.ndarray, bounds: list[int]) -> list[tuple[str, str]]:
-        ids = ids.tolist()
-        digits, names = [coder.digits[i] for i in ids], [coder.names[i] for i in ids]
-        return [(" ".join(digits[s:e]), " ".join(names[s:e])) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def learn(self, texts: list[str | None]) -> None:
-        """Encode the runs of these texts that are new."""
-        known = self.known
-        for r in self.once:
-            del known[r]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new: set[str] = set()
-        common: set[str] = set()
-        for t in texts:
-            if t:
-                runs = set(split_runs(t)).difference(known)
-                common.update(new.intersection(runs))
-                new.update(runs)
-        missing = list(new)
-        del new
-        plain = [r for r in missing if "<|" not in r or not self.coder.has_special(r)]
-        if plain:
-            ids, bounds, order = self.coder.encode_flat(plain)
-            known.update(zip([plain[k] for k in order.tolist()], self.render(self.coder, ids, bounds.tolist()), strict=True))
-        if len(plain) < len(missing):
-            for r in set(missing).difference(plain):
-                ids = np.array(self.coder.encode(r), dtype=np.int64)
-                known[r] = self.render(self.coder, ids, [0, len(ids)])[0]
-        self.once = [r for r in missing if r not in common]
-
-    def parts(self, text: str | None) -> list:
-        return list(map(self.known.__getitem__, split_runs(text))) if text else []
-
-
-def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in row slices of about ``size`` bytes of text."""
-    _, offsets = kit.text_bytes(batch.column("text"))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
+@cache
+def encoder(path: str, specials: bool = True) -> PairIndexBpe:
+    """The worker's encoder for a vocabulary file, with the runs that it has met."""
+    return PairIndexBpe(path, specials)
 
 
 def _coder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembering.of(path, True, "text")
+        coder = encoder(path)
+        digits, names = coder.digits.__getitem__, coder.names.__getitem__
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            memory.learn(batch.column("text").to_pylist())
-            for part in slices(batch):
-                counts, ids, decoded = [], [], []
-                for text in part.column("text").to_pylist():
-                    got = memory.parts(text)
-                    ids.append(" ".join([g[0] for g in got]))
-                    decoded.append(" ".join([g[1] for g in got]))
-                    counts.append(ids[-1].count(" ") + 1 if got else 0)
+            ids, at = coder.encode_column(batch.column("text"))
+            low = 0
+            while low < batch.num_rows:  # output by about a million ids
+                high = min(batch.num_rows, max(low + 1, int(np.searchsorted(at, at[low] + (1 << 20)))))
+                lists = [ids[s:e].tolist() for s, e in zip(at[low:high].tolist(), at[low + 1 : high + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    [
+                        batch.column("doc_id").slice(low, high - low),
+                        pa.array(np.diff(at[low : high + 1])),
+                        pa.array([" ".join(map(digits, x)) for x in lists], pa.string()),
+                        pa.array([" ".join(map(names, x)) for x in lists], pa.string()),
+                    ],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
+                low = high
 
     return run
 

@@ -26,19 +26,16 @@ from . import bpe, kit
 
 def _flat_writer(folder: str, tokenizer: str, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = bpe.Remembering.of(tokenizer, False, "ids")
+        coder = bpe.encoder(tokenizer, specials=False)
         fs, root = kit.filesystem(folder)
         fs.create_dir(root, recursive=True)
-        tail = separator.to_bytes(2, "little")
         name, sink, n = f"{uuid.uuid4().hex}.bin", None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             sink = sink or fs.open_output_stream(f"{root}/{name}")
-            memory.learn(batch.column("text").to_pylist())
-            for part in bpe.slices(batch):
-                for text in part.column("text").to_pylist():
-                    sink.write(b"".join(memory.parts(text)) + tail)
+            ids, at = coder.encode_column(batch.column("text"))
+            sink.write(np.insert(ids, at[1:], np.uint16(separator)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), pa.array(np.arange(n, n + batch.num_rows)), batch.column("doc_id")], names=["path", "ordinal", "doc_id"])
             n += batch.num_rows
         if sink:

@@ -151,20 +151,17 @@ class PlaneReader:
 
 def _encoder(tokenizer: str, end: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = bpe.Remembering.of(tokenizer, True, "ids")
-        tail = end.to_bytes(2, "little")
+        coder = bpe.encoder(tokenizer)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            memory.learn(batch.column("text").to_pylist())
-            for part in bpe.slices(batch):
-                ids = [b"".join(memory.parts(t)) + tail for t in part.column("text").to_pylist()]
-                doc_id = part.column("doc_id")
-                bucket = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [doc_id, pa.array(bucket.astype(np.int32)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "bucket", "tie", "ids"],
-                )
+            ids, at = coder.encode_column(batch.column("text"))
+            ids, at = np.insert(ids, at[1:], np.uint16(end)), at + np.arange(len(at))
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
+            doc_id = batch.column("doc_id")
+            bucket = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy())
+            tie = pa.array([zlib.crc32(x) for x in binary.to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(bucket.astype(np.int32)), tie, binary], names=["doc_id", "bucket", "tie", "ids"])
 
     return run
 
