@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import kit
 
 #: Unicode white space; str.split() also cuts at the separators \x1c to \x1f, which are not.
-_BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
+_BLANK = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Kinds of the characters that Latin runs have once lowered: 0 separator, 1 letter, 2 number, 3 other.
 _KIND = np.array([0 if c == 10 else 1 if regex.match(r"\p{L}", chr(c)) else 2 if regex.match(r"\p{N}", chr(c)) else 3 for c in range(0x400)], dtype=np.int8)
 #: Runs that a worker remembers beyond a batch; when there are more, it starts afresh.

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of Arrow data handed to Python at once; bounds a worker's memory whatever the text lengths.
@@ -49,8 +49,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salt_bits(*cols: Column | str) -> Column:
-    return F.xxhash64(*cols)
+#: A side of a join is sent to every task up to this size, counted first; beyond it the join shuffles.
+SMALL_BYTES = 8 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored frame marked for broadcast if its counted rows stay within the bound, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
 
 
 # --------------------------------------------------------------------------------------------
