@@ -1,15 +1,997 @@
-"""Every query of the engine by name, and the DuckDB SQL that checks it."""
+"""Every query of the engine by name, and the DuckDB SQL that checks it.
+
+A query takes (spark, sf_dir) and runs over whole tables.  Its SQL starts from the same views
+(sources.views) and is written without a look at how the query does it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievewright.functions import html, scores, text
+from sievewright.functions.text import CleaningPolicy
+from sievewright.operators import evaluate, fusion, ingest, retrieval, rules, samples, state, vectors
+from sievewright.sources.views import ACTIVE, cte, view
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --------------------------------------------------------------------------------------------
+# SQL parts
+
+NL, NBSP = "chr(10)", "chr(160)"
+r6 = lambda c: F.round(F.col(c), 6).alias(c)
+
+
+def s_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def s_fold(x: str) -> str:
+    return rf"trim(regexp_replace(replace({x}, {NBSP}, ' '), '\s+', ' ', 'g'))"
+
+
+def s_subject(x: str) -> str:
+    return s_fold(f"regexp_replace(replace({x}, {NBSP}, ' '), '{text.SUBJECT_PREFIXES}', '')")
+
+
+def s_lines(x: str) -> str:
+    return f"string_split({x}, {NL})"
+
+
+def s_collapse(x: str) -> str:
+    line = s_strip("regexp_replace(line, '[ \\t]+', ' ', 'g')")
+    return f"array_to_string(list_filter(list_transform({s_lines(x)}, lambda line: {line}), lambda line: line <> ''), {NL})"
+
+
+def s_normal(x: str) -> str:
+    bare = rf"regexp_replace({x}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{{200B}}]', '', 'g')"
+    return f"replace(replace(replace({bare}, {NBSP}, ' '), concat(chr(13), chr(10)), {NL}), chr(13), {NL})"
+
+
+_DELIMITERS = CleaningPolicy().signature_delimiters
+_DISCLAIMER = CleaningPolicy().disclaimer_patterns[0]
+
+
+def s_signature(x: str) -> str:
+    """Position (from 1) of the first signature line; 0 or null without one."""
+    test = " OR ".join(f"starts_with(lower({s_strip('line')}), '{d.lower()}')" for d in _DELIMITERS)
+    return f"list_position(list_transform({s_lines(x)}, lambda line: {test}), true)"
+
+
+def s_before(x: str) -> str:
+    return f"CASE WHEN {s_signature(x)} > 0 THEN array_to_string({s_lines(x)}[1:{s_signature(x)} - 1], {NL}) ELSE {x} END"
+
+
+def s_redact(x: str) -> str:
+    return f"regexp_replace({x}, '{text.CREDENTIAL}', '[credential redacted]', 'g')"
+
+
+def s_disclaim(x: str) -> str:
+    removed = f"regexp_replace({x}, '(?is){_DISCLAIMER}', '', 'g')"
+    return f"CASE WHEN {removed} <> {x} THEN {s_collapse(removed)} ELSE {x} END"
+
+
+_DOMAIN = "CASE WHEN contains(addr, '@') THEN lower(trim(split_part(addr, '@', -1))) ELSE '' END"
+_ADDRESS = "CASE WHEN regexp_matches(sender, '<[^>]*>') THEN regexp_extract(sender, '<([^>]*)>', 1) ELSE sender END"
+
+_SEGMENTS = f"""
+lined AS (SELECT doc_id, unnest({s_lines('body')}) AS line, generate_subscripts({s_lines('body')}, 1) AS i FROM mails),
+quoted AS (SELECT *, regexp_matches(line, '{text.QUOTE_LINE}') AS q FROM lined),
+started AS (SELECT *, CASE WHEN q AND NOT coalesce(lag(q) OVER (PARTITION BY doc_id ORDER BY i), false) THEN 1 ELSE 0 END AS st FROM quoted),
+grouped AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM started),
+joined AS (SELECT doc_id, grp, {s_strip(f"string_agg(CASE WHEN grp = 0 THEN line ELSE regexp_replace(regexp_replace(line, '^>+\\s*', ''), '^\\|+\\s*', '') END, {NL} ORDER BY i)")} AS t
+  FROM grouped GROUP BY doc_id, grp),
+parsed AS (SELECT doc_id, max(grp) > 0 AS parsed FROM joined GROUP BY doc_id),
+segments AS (SELECT j.doc_id, p.parsed, row_number() OVER (PARTITION BY j.doc_id ORDER BY grp) - 1 AS position, t
+  FROM joined j JOIN parsed p ON p.doc_id = j.doc_id WHERE NOT p.parsed OR t <> '')"""
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails with recipients and attachments as arrays."""
+    base = view(spark, sf_dir, "mails")
+    return base.withColumn("attachments", F.split("attachments", ";")).withColumn("has_attachments", F.exists("attachments", lambda a: F.trim(a) != ""))
+
+
+# --------------------------------------------------------------------------------------------
+# Text
+
+
+@query(f"WITH {cte('mails')} SELECT doc_id, {s_subject('subject')} AS subject_clean, {s_subject('subject')} <> subject AS changed FROM mails")
+def subject_normalize(spark, sf_dir):
+    clean = text.clean_subject(F.col("subject"))
+    return mails(spark, sf_dir).select("doc_id", clean.alias("subject_clean"), (clean != F.col("subject")).alias("changed"))
+
+
+@query(f"WITH {cte('mails')} SELECT doc_id, md5({s_fold('body')}) AS folded FROM mails")
+def whitespace_fold(spark, sf_dir):
+    return mails(spark, sf_dir).select("doc_id", F.md5(text.fold_whitespace(F.col("body")).cast("binary")).alias("folded"))
+
+
+@query(
+    f"WITH {cte('mails')}, a AS (SELECT doc_id, sender, {_ADDRESS} AS addr FROM mails) SELECT doc_id, {_DOMAIN} AS domain, "
+    "split_part(addr, '@', 1) AS local_part, lower(split_part(sender, '@', -1)) AS gateway_domain FROM a"
+)
+def sender_domain_parse(spark, sf_dir):
+    s = F.col("sender")
+    return mails(spark, sf_dir).select("doc_id", text.sender_domain(s).alias("domain"), text.local_part(s).alias("local_part"), text.gateway_domain(s).alias("gateway_domain"))
+
+
+@query(
+    f"WITH {cte('mails')}, e AS (SELECT doc_id, unnest(string_split(recipients, ',')) AS r, generate_subscripts(string_split(recipients, ','), 1) AS i FROM mails) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS position, trim(r) AS recipient FROM e WHERE trim(r) <> ''"
+)
+def recipient_split(spark, sf_dir):
+    return mails(spark, sf_dir).select("doc_id", F.posexplode(text.split_trimmed(F.col("recipients"), ",")).alias("position", "recipient"))
+
+
+@query(f"WITH {cte('mails')}, {_SEGMENTS} SELECT doc_id, CAST(i - 1 AS INT) AS line_no FROM started WHERE st = 1")
+def quote_runs(spark, sf_dir):
+    return mails(spark, sf_dir).select("doc_id", F.explode(text.quote_starts(text.lines_of(F.col("body")))).alias("line_no"))
+
+
+@query(f"WITH {cte('mails')}, {_SEGMENTS} SELECT doc_id, CAST(position AS INT) AS position, parsed, position = 0 AS is_latest, md5(t) AS segment FROM segments")
+def thread_segments(spark, sf_dir):
+    each = mails(spark, sf_dir).select("doc_id", text.thread_segments(F.col("body")).alias("t"))
+    rows = each.select("doc_id", F.col("t.parsed").alias("parsed"), F.posexplode("t.segments").alias("position", "s"))
+    return rows.select("doc_id", "position", "parsed", (F.col("position") == 0).alias("is_latest"), F.md5(F.col("s").cast("binary")).alias("segment"))
+
+
+@query(
+    f"WITH {cte('mails')}, {_SEGMENTS} SELECT doc_id, md5(coalesce(max(CASE WHEN position = 0 THEN t END), '')) AS latest, "
+    "md5(coalesce(max(CASE WHEN position = 1 AND parsed THEN t END), '')) AS context FROM segments GROUP BY doc_id"
+)
+def latest_and_context(spark, sf_dir):
+    each = mails(spark, sf_dir).select("doc_id", text.thread_segments(F.col("body")).alias("t"))
+    part = lambda n, ok: F.md5(F.coalesce(F.when(ok, F.get("t.segments", F.lit(n))), F.lit("")).cast("binary"))
+    return each.select("doc_id", part(0, F.lit(True)).alias("latest"), part(1, F.col("t.parsed")).alias("context"))
+
+
+@query(f"WITH {cte('html_mails')} SELECT page_id, regexp_matches(body, '{text.HTML_START}') AS is_html FROM html_mails")
+def html_detect(spark, sf_dir):
+    return view(spark, sf_dir, "html_mails").select("page_id", text.is_html(F.col("body")).alias("is_html"))
+
+
+def _s_html() -> str:
+    x = r"regexp_replace(body, '(?s)<!--.*?-->', '', 'g')"
+    x = rf"regexp_replace({x}, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g')"
+    x = rf"regexp_replace({x}, '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g')"
+    x = rf"regexp_replace({x}, '(?i)<(?:p|div|br|li|tr)(?:\s[^>]*)?/?>', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '(?i)</(?:p|div|li|tr)\s*>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for _ in range(2):
+        for name, char in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+            x = f"replace({x}, '{name}', {char})"
+    return x
+
+
+@query(f"WITH {cte('html_mails')} SELECT page_id, md5({_s_html()}) AS plain FROM html_mails")
+def html_to_text_native(spark, sf_dir):
+    return view(spark, sf_dir, "html_mails").select("page_id", F.md5(html.html_to_text(F.col("body")).cast("binary")).alias("plain"))
+
+
+@query()
+def html_to_text_exact(spark, sf_dir):
+    return view(spark, sf_dir, "html_mails").select("page_id", html.html_to_text_exact("body").alias("plain"))
+
+
+@query(f"WITH {cte('mails')}, n AS (SELECT doc_id, {s_normal('body')} AS x FROM mails) SELECT doc_id, md5(x) AS normal, md5({s_collapse('x')}) AS collapsed FROM n")
+def text_hygiene(spark, sf_dir):
+    x = text.normalize_text(F.col("body"))
+    return mails(spark, sf_dir).select("doc_id", F.md5(x.cast("binary")).alias("normal"), F.md5(text.collapse_lines(x).cast("binary")).alias("collapsed"))
+
+
+@query(f"WITH {cte('mails')} SELECT doc_id, md5({s_redact('body')}) AS redacted FROM mails WHERE {s_redact('body')} <> body")
+def credential_redact(spark, sf_dir):
+    clean = text.redact_credentials(F.col("body"))
+    return mails(spark, sf_dir).where(clean != F.col("body")).select("doc_id", F.md5(clean.cast("binary")).alias("redacted"))
+
+
+@query(f"WITH {cte('mails')} SELECT doc_id, md5({s_before('body')}) AS kept, coalesce({s_signature('body')}, 0) > 0 AS cut FROM mails")
+def signature_strip(spark, sf_dir):
+    kept = text.before_signature(F.col("body"), _DELIMITERS)
+    return mails(spark, sf_dir).select("doc_id", F.md5(kept.cast("binary")).alias("kept"), (kept != F.col("body")).alias("cut"))
+
+
+@query(f"WITH {cte('mails')}, c AS (SELECT doc_id, {s_collapse('body')} AS x FROM mails) SELECT doc_id, md5({s_disclaim('x')}) AS kept, {s_disclaim('x')} <> x AS removed FROM c")
+def disclaimer_strip(spark, sf_dir):
+    x = text.collapse_lines(F.col("body"))
+    kept = text.without_disclaimers(x, CleaningPolicy().disclaimer_patterns)
+    return mails(spark, sf_dir).select("doc_id", F.md5(kept.cast("binary")).alias("kept"), (kept != x).alias("removed"))
+
+
+_DOCUMENT = f"""
+{_SEGMENTS},
+two AS (SELECT m.doc_id, m.subject AS raw, {s_subject('m.subject')} AS subj, any_value(s.parsed) AS parsed, m.attachments,
+    coalesce(max(CASE WHEN position = 0 THEN t END), '') AS l0, coalesce(max(CASE WHEN position = 1 AND s.parsed THEN t END), '') AS c0
+  FROM mails m LEFT JOIN segments s ON s.doc_id = m.doc_id GROUP BY m.doc_id, m.subject, m.attachments),
+n AS (SELECT *, {s_normal('l0')} AS l1, {s_normal('c0')} AS c1 FROM two),
+k AS (SELECT *, {s_before('l1')} AS l2, {s_before('c1')} AS c2 FROM n),
+o AS (SELECT *, {s_collapse('l2')} AS l3, {s_collapse('c2')} AS c3 FROM k),
+d AS (SELECT *, {s_redact('l3')} AS l4, {s_redact('c3')} AS c4 FROM o),
+e AS (SELECT *, {s_disclaim('l4')} AS l5, {s_disclaim('c4')} AS c5 FROM d),
+names AS (SELECT doc_id, string_agg(nm, ', ' ORDER BY i) AS names FROM (
+    SELECT doc_id, nm, min(i) AS i FROM (SELECT doc_id, trim(unnest(string_split(attachments, ';'))) AS nm, generate_subscripts(string_split(attachments, ';'), 1) AS i FROM mails)
+    WHERE nm <> '' GROUP BY doc_id, nm) GROUP BY doc_id),
+f AS (SELECT e.*, coalesce(names, '') AS names, CASE WHEN length(l5) > 1800 THEN {s_strip('l5[1:1800]')} ELSE l5 END AS latest,
+    CASE WHEN length(c5) > 1200 THEN {s_strip('c5[1:1200]')} ELSE c5 END AS context FROM e LEFT JOIN names ON names.doc_id = e.doc_id),
+g AS (SELECT *, regexp_matches(latest, '{text.ATTACHED}') AS att_only,
+    length(regexp_replace(concat(subj, ' ', latest), '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS meaningful FROM f),
+h AS (SELECT *, att_only AND names <> '' AS by_name, {s_strip(f"concat('Subject: ', subj, {NL}, 'Latest message:', CASE WHEN latest <> '' THEN concat({NL}, latest) ELSE '' END, CASE WHEN context <> '' THEN concat({NL}, 'Context:', {NL}, context) ELSE '' END, CASE WHEN names <> '' THEN concat({NL}, 'Attachments: ', names) ELSE '' END)")} AS whole,
+    concat('Subject: ', subj, {NL}, 'Attachments: ', names) AS named FROM g)"""
+
+
+@query(
+    f"WITH {cte('mails')}, {_DOCUMENT} SELECT doc_id, md5(CASE WHEN by_name THEN named ELSE whole END) AS retrieval_text, "
+    "CAST(length(latest) AS INT) AS latest_char_count, CAST(CASE WHEN by_name THEN 0 ELSE length(context) END AS INT) AS context_char_count, "
+    "concat_ws(',', CASE WHEN subj <> raw THEN 'reply_prefix_removed' END, CASE WHEN parsed THEN 'quoted_history_removed' END, "
+    "CASE WHEN length(l2) <> length(l1) THEN 'signature_removed' END, CASE WHEN l4 <> l3 THEN 'credential_redacted' END, CASE WHEN l5 <> l4 THEN 'disclaimer_removed' END, "
+    "CASE WHEN length(c2) <> length(c1) AND length(l2) = length(l1) THEN 'signature_removed' END, CASE WHEN c4 <> c3 AND l4 = l3 THEN 'credential_redacted' END, "
+    "CASE WHEN c5 <> c4 AND l5 = l4 THEN 'disclaimer_removed' END, "
+    "CASE WHEN length(l5) > 1800 THEN 'latest_truncated' END, CASE WHEN length(c5) > 1200 THEN 'context_truncated' END, CASE WHEN names <> '' THEN 'attachments_listed' END, "
+    "CASE WHEN by_name THEN 'attachment_name_embedded' END) AS flags FROM h"
+)
+def retrieval_document(spark, sf_dir):
+    docs = retrieval.retrieval_documents(mails(spark, sf_dir))
+    return docs.select("doc_id", F.md5(F.col("retrieval_text").cast("binary")).alias("retrieval_text"), "latest_char_count", "context_char_count", F.array_join("flags", ",").alias("flags"))
+
+
+@query(
+    f"WITH {cte('mails')}, {_DOCUMENT} SELECT doc_id, CASE WHEN by_name THEN NULL WHEN att_only THEN 'attachment_dependent' "
+    "WHEN latest = '' OR meaningful < 10 THEN 'insufficient_meaningful_content' END AS ineligible_reason, "
+    "by_name OR (NOT att_only AND latest <> '' AND meaningful >= 10) AS eligible FROM h"
+)
+def eligibility_reasons(spark, sf_dir):
+    return retrieval.retrieval_documents(mails(spark, sf_dir)).select("doc_id", "ineligible_reason", "eligible")
+
+
+@query(f"WITH {cte('mails')} SELECT doc_id, sha256(concat_ws('|', subject, sender, strftime(make_timestamp(received_s * 1000000), '%Y-%m-%dT%H:%M:%S+00:00'))) AS mail_hash FROM mails")
+def mail_hash(spark, sf_dir):
+    stamp = F.timestamp_seconds("received_s")
+    return mails(spark, sf_dir).select("doc_id", text.mail_hash(F.col("subject"), F.col("sender"), stamp).alias("mail_hash"))
+
+
+_FINGER = rf"sha256(array_to_string(list_transform({s_lines(s_strip('text'))}, lambda line: regexp_replace(line, '\s+$', '')), {NL}))"
+
+
+@query(f"SELECT {_FINGER} AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def fingerprint_duplicates(spark, sf_dir):
+    keyed = mails(spark, sf_dir).select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
+    return keyed.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query(f"WITH {cte('mails')} SELECT doc_id FROM mails WHERE " + " OR ".join(f"contains(lower(body), '{p}')" for p in text.INJECTIONS))
+def prompt_injection_flag(spark, sf_dir):
+    return mails(spark, sf_dir).where(text.has_injection(F.col("body"))).select("doc_id")
+
+
+@query(
+    f"WITH {cte('mails')} SELECT doc_id, md5(CASE WHEN length(body) > 900 THEN concat(body[1:500], {NL}, '[truncated]', {NL}, body[-400:]) ELSE body END) AS cut FROM mails"
+)
+def body_truncate(spark, sf_dir):
+    return mails(spark, sf_dir).select("doc_id", F.md5(text.truncate_body(F.col("body"), 900, 400).cast("binary")).alias("cut"))
+
+
+@query(
+    "WITH c AS (SELECT doc_id, [concat('a', doc_id % 3), concat('a', doc_id % 3, '.b', doc_id % 4), CASE doc_id % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '-' ELSE concat('c', doc_id % 4, '. ') END] AS l FROM documents), "
+    "e AS (SELECT doc_id, unnest(string_split(array_to_string(l, '.'), '.')) AS p, generate_subscripts(string_split(array_to_string(l, '.'), '.'), 1) AS i FROM c), "
+    "f AS (SELECT doc_id, trim(p) AS p, min(i) AS i FROM e WHERE trim(p) <> '' AND lower(trim(p)) NOT IN ('-', '*', 'none', 'n/a', 'null') GROUP BY 1, 2) "
+    "SELECT doc_id, string_agg(p, '/' ORDER BY i) AS codes FROM f GROUP BY doc_id"
+)
+def llm_code_normalize(spark, sf_dir):
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
+        "doc_id",
+        "concat('a', doc_id % 3) AS l1",
+        "concat('a', doc_id % 3, '.b', doc_id % 4) AS l2",
+        "CASE doc_id % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '-' ELSE concat('c', doc_id % 4, '. ') END AS l3",
+    )
+    return base.select("doc_id", F.array_join(text.normal_codes(F.col("l1"), F.col("l2"), F.col("l3")), "/").alias("codes"))
+
+
+@query(
+    "WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a.b' WHEN 2 THEN 'a.b.c' ELSE '' END AS label FROM documents), "
+    "p AS (SELECT doc_id, label, list_filter(string_split(label, '.'), lambda x: x <> '') AS l FROM c) "
+    "SELECT doc_id, coalesce(l[1], 'unknown') AS l1, coalesce(l[2], l[1], 'unknown') AS l2, coalesce(l[3], l[2], l[1], 'unknown') AS l3, label = 'a.b' OR split_part(label, '.', -1) = 'b' AS same FROM p"
+)
+def label_path_split(spark, sf_dir):
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a.b' WHEN 2 THEN 'a.b.c' ELSE '' END AS label")
+    return base.select("doc_id", text.split_label_path(F.col("label")).alias("p"), text.labels_match(F.col("label"), F.lit("a.b")).alias("same")).select("doc_id", "p.*", "same")
+
+
+# --------------------------------------------------------------------------------------------
+# Rules
+
+_RULE_BASE = f"""
+addressed AS (SELECT *, {_ADDRESS} AS addr, length(body) AS n_body, length(subject) AS n_subject,
+    len(list_filter(string_split(attachments, ';'), lambda a: trim(a) <> '')) > 0 AS has_att, {s_subject('subject')} AS subj FROM mails),
+m AS (SELECT *, {_DOMAIN} AS domain, split_part(addr, '@', 1) AS local FROM addressed)"""
+
+
+def _sql_matches(kind: str) -> str:
+    r, out = rules.SAMPLE_RULES, []
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    row = lambda label, conf, pattern, n, test: (
+        f"SELECT doc_id, '{kind}' AS rule_type, '{label}' AS label, CAST({conf} AS DOUBLE) AS confidence, {quote(pattern)} AS matched_pattern, {rules.PRIORITY[kind]} AS pri, "
+        f"{1000 * rules.ORDER.index(kind) + n} AS ord FROM m WHERE {test}"
+    )
+    if kind == "sender_domain":
+        for n, s in enumerate(r.senders):
+            out.append(row(s.label, s.confidence, s.domain, n, f"domain = '{s.domain}'" + (f" AND regexp_matches(local, '^(?:{s.local_part})')" if s.local_part else "")))
+    if kind == "subject_pattern":
+        for n, s in enumerate(r.subjects):
+            out.append(row(s.label, s.confidence, s.pattern, n, f"subj <> '' AND regexp_matches(subj, '(?i){s.pattern}')"))
+    if kind == "body_keyword":
+        for n, s in enumerate(r.keywords):
+            test = (" AND " if s.match_all else " OR ").join(f"contains(upper(body), '{k.upper()}')" for k in s.keywords)
+            out.append(row(s.label, s.confidence, ", ".join(s.keywords), n, f"body <> '' AND ({test})"))
+    if kind == "structural":
+        tests = ("n_body < 50", "n_body > 2000 AND has_att", "n_body > 9000")
+        for n, (s, test) in enumerate(zip(r.structures, tests, strict=True)):
+            out.append(row(s.label, s.confidence, s.condition, n, test))
+    return " UNION ALL ".join(out)
+
+
+_ALL_MATCHES = " UNION ALL ".join(_sql_matches(k) for k in rules.ORDER)
+_RANKED = f"WITH {cte('mails')}, {_RULE_BASE}, x AS ({_ALL_MATCHES}), w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, pri, ord) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM x) "
+
+
+def _matches(spark, sf_dir, kind: str) -> DataFrame:
+    each = rules.match_rules(mails(spark, sf_dir)).select("doc_id", F.explode("matches").alias("m"))
+    return each.where(F.col("m.rule_type") == kind).select("doc_id", "m.rule_type", "m.label", "m.confidence", "m.matched_pattern")
+
+
+def _kind_sql(kind: str) -> str:
+    return f"WITH {cte('mails')}, {_RULE_BASE}, x AS ({_sql_matches(kind)}) SELECT doc_id, rule_type, label, confidence, matched_pattern FROM x"
+
+
+@query(_kind_sql("sender_domain"))
+def rule_matches_domain(spark, sf_dir):
+    return _matches(spark, sf_dir, "sender_domain")
+
+
+@query(_kind_sql("subject_pattern"))
+def rule_matches_subject(spark, sf_dir):
+    return _matches(spark, sf_dir, "subject_pattern")
+
+
+@query(_kind_sql("body_keyword"))
+def rule_matches_keyword(spark, sf_dir):
+    return _matches(spark, sf_dir, "body_keyword")
+
+
+@query(_kind_sql("structural"))
+def rule_matches_structural(spark, sf_dir):
+    return _matches(spark, sf_dir, "structural")
+
+
+@query(_RANKED + "SELECT doc_id, rule_type, label, confidence, c > 1 AS conflict_logged FROM w WHERE n = 1")
+def rule_selected(spark, sf_dir):
+    won = rules.match_rules(mails(spark, sf_dir)).where("selected is not null")
+    return won.select("doc_id", "selected.rule_type", "selected.label", "selected.confidence", "conflict_logged")
+
+
+@query(_RANKED + "SELECT m.doc_id, CASE WHEN w.doc_id IS NULL THEN 'no_match' ELSE 'success' END AS rule_status, label AS rule_label, coalesce(confidence, 0) AS rule_conf FROM m LEFT JOIN w ON w.doc_id = m.doc_id AND n = 1")
+def rule_attempts(spark, sf_dir):
+    return rules.rule_attempts(rules.match_rules(mails(spark, sf_dir))).select("doc_id", "rule_status", "rule_label", "rule_conf")
+
+
+# --------------------------------------------------------------------------------------------
+# Scores and vectors
+
+_RAW = "(doc_id * 37 % 1300 - 100) / 1000e0"
+
+
+@query(
+    f"WITH c AS (SELECT doc_id, {_RAW} AS raw, least(greatest({_RAW}, 0), 1) AS x FROM documents) SELECT doc_id, raw, "
+    "CASE WHEN x >= 0.95 THEN 0.975 WHEN x >= 0.8 THEN 0.87 WHEN x >= 0.6 THEN 0.7 ELSE 0.3 END::DOUBLE AS calibrated, "
+    "CASE WHEN x >= 0.95 THEN 'very certain' WHEN x >= 0.8 THEN 'fairly certain' WHEN x >= 0.6 THEN 'directional' ELSE 'uncertain' END AS anchor FROM c"
+)
+def calibrate(spark, sf_dir):
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{_RAW} AS raw")
+    return base.select("doc_id", "raw", scores.calibrated(F.col("raw")).alias("calibrated"), scores.anchor(F.col("raw")).alias("anchor"))
+
+
+def _sims(threshold: float, scope: str = "", name: str = "near") -> str:
+    return (
+        f"{name} AS (SELECT q.id AS query_id, s.id, s.label_l1, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS similarity, "
+        f"row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) DESC, s.id) AS n "
+        f"FROM samples q JOIN samples s ON q.id < 20 AND q.id <> s.id WHERE {' AND '.join('s.' + p.strip() for p in ACTIVE.split(' AND '))}{scope} "
+        f"AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) >= {threshold})"
+    )
+
+
+def _cands(near: str, name: str) -> str:
+    return (
+        f"{name}0 AS (SELECT query_id, label_l1 AS label, least(greatest(max(similarity), 0), 1) AS max_similarity, least(greatest(avg(similarity), 0), 1) AS mean_similarity, count(*) AS support "
+        f"FROM {near} WHERE n <= 25 GROUP BY 1, 2), {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY max_similarity DESC, label) AS rank FROM {name}0)"
+    )
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """The stated query set: vectors below id 20."""
+    return view(spark, sf_dir, "samples").where("id < 20").select(F.col("id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {cte('samples')}, {_sims(0.2)} SELECT query_id, id, label_l1, round(similarity, 6) AS similarity FROM near WHERE n <= 25")
+def knn_topk(spark, sf_dir):
+    near = vectors.neighbours(_asked(spark, sf_dir), view(spark, sf_dir, "samples"), limit=25, threshold=0.2, exclude_self=True)
+    return near.select("query_id", "id", "label_l1", r6("similarity"))
+
+
+@query(
+    f"WITH {cte('samples')}, {_sims(0.2)}, {_cands('near', 'c')} SELECT query_id, label, round(max_similarity, 6) AS max_similarity, round(mean_similarity, 6) AS mean_similarity, support, CAST(rank AS INT) AS rank FROM c WHERE rank <= 5"
+)
+def knn_label_candidates(spark, sf_dir):
+    found = vectors.knn_search(_asked(spark, sf_dir), view(spark, sf_dir, "samples"), threshold=0.2, exclude_self=True)
+    return found.select("query_id", "label", r6("max_similarity"), r6("mean_similarity"), "support", "rank")
+
+
+_SCOPE = ("L1", "L2")
+
+
+@query(
+    f"WITH {cte('samples')}, {_sims(0.3, ' AND s.label_l1 IN ' + str(_SCOPE), 'inside')}, {_sims(0.3, '', 'everywhere')}, {_cands('inside', 'a')}, {_cands('everywhere', 'b')} "
+    "SELECT query_id, label, round(max_similarity, 6) AS max_similarity, false AS scoped_fallback FROM a WHERE rank <= 5 UNION ALL "
+    "SELECT query_id, label, round(max_similarity, 6), true FROM b WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM a)"
+)
+def knn_scoped_fallback(spark, sf_dir):
+    found = vectors.scoped_search(_asked(spark, sf_dir), view(spark, sf_dir, "samples"), scope=_SCOPE, threshold=0.3, exclude_self=True)
+    return found.select("query_id", "label", r6("max_similarity"), "scoped_fallback")
+
+
+_KNOWN = ("L0", "L2", "L4", "L5", "L6", "L8", "L9")
+
+
+@query(
+    f"WITH {cte('samples')}, {_sims(0.25)}, {_cands('near', 'c')}, q AS (SELECT id AS query_id, id % 7 <> 3 AS eligible FROM samples WHERE id < 20), "
+    f"u AS (SELECT query_id, string_agg(label, ',' ORDER BY rank) AS labels FROM c WHERE rank <= 5 AND support >= 1 AND label IN {_KNOWN} GROUP BY 1), "
+    "t AS (SELECT query_id, label, max_similarity, support FROM c WHERE rank = 1), t2 AS (SELECT query_id, max_similarity AS second FROM c WHERE rank = 2) "
+    "SELECT q.query_id, CASE WHEN eligible AND labels IS NOT NULL THEN 'success' ELSE 'no_match' END AS status, "
+    "CASE WHEN NOT eligible THEN 'ineligible_document' WHEN label IS NULL THEN 'below_threshold' WHEN labels IS NOT NULL THEN 'ok' ELSE 'stale_category' END AS reason, "
+    "CASE WHEN eligible THEN coalesce(labels, '') ELSE '' END AS labels, CASE WHEN eligible AND labels IS NOT NULL THEN round(max_similarity, 6) ELSE 0 END AS confidence, "
+    "CASE WHEN eligible THEN label END AS top1_label, CASE WHEN eligible THEN round(greatest(max_similarity - second, 0), 6) END AS margin "
+    "FROM q LEFT JOIN u USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN t2 USING (query_id)"
+)
+def vector_attempts(spark, sf_dir):
+    asked = _asked(spark, sf_dir).withColumn("eligible", F.col("query_id") % 7 != 3)
+    found = vectors.knn_search(asked, view(spark, sf_dir, "samples"), threshold=0.25, exclude_self=True)
+    return vectors.vector_attempts(asked, found, _KNOWN).select("query_id", "status", "reason", "labels", r6("confidence"), "top1_label", r6("margin"))
+
+
+@query(
+    f"WITH {cte('samples')}, {_sims(0.2)}, {_cands('near', 'c')} SELECT query_id, max(CASE WHEN rank = 1 THEN label END) AS top1_label, "
+    "round(greatest(max(CASE WHEN rank = 1 THEN max_similarity END) - max(CASE WHEN rank = 2 THEN max_similarity END), 0), 6) AS margin FROM c GROUP BY query_id"
+)
+def vector_margin(spark, sf_dir):
+    asked = _asked(spark, sf_dir)
+    found = vectors.knn_search(asked, view(spark, sf_dir, "samples"), threshold=0.2, exclude_self=True)
+    return vectors.vector_attempts(asked, found, [f"L{k}" for k in range(10)]).where("top1_label is not null").select("query_id", "top1_label", r6("margin"))
+
+
+@query(
+    f"WITH {cte('samples')} SELECT a.id, round(list_sum(list_transform(range(1, 65), lambda i: 0.6 * CAST(a.embedding[i] AS DOUBLE) + CASE WHEN b.id IS NULL THEN 0.4 * CAST(a.embedding[i] AS DOUBLE) ELSE 0.4 * CAST(b.embedding[i] AS DOUBLE) END)), 6) AS total "
+    "FROM samples a LEFT JOIN samples b ON b.id = a.id + 1"
+)
+def embedding_fusion(spark, sf_dir):
+    base = view(spark, sf_dir, "samples").select("id", F.col("embedding").cast("array<double>").alias("e"))
+    both = base.join(base.select((F.col("id") - 1).alias("id"), F.col("e").alias("c")), "id", "left")
+    return both.select("id", F.round(F.aggregate(scores.fuse(F.col("e"), F.col("c")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+_CENTROID = f"each AS (SELECT label_l1 AS label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM samples WHERE {ACTIVE}), means AS (SELECT label, pos, avg(x) AS x FROM each GROUP BY 1, 2)"
+
+
+@query(f"WITH {cte('samples')}, {_CENTROID} SELECT label, CAST(pos - 1 AS INT) AS pos, round(x, 6) AS x FROM means")
+def centroids(spark, sf_dir):
+    found = vectors.centroids(view(spark, sf_dir, "samples").where(vectors.active_sample()))
+    return found.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", r6("x"))
+
+
+_CENTROIDS = f"{_CENTROID}, cent AS (SELECT label, list(x ORDER BY pos) AS v FROM means GROUP BY label)"
+_CLOSE = "close AS (SELECT a.label, max(list_cosine_similarity(a.v, b.v)) AS s FROM cent a JOIN cent b ON a.label <> b.label GROUP BY 1)"
+
+
+def _label_similarity(spark, sf_dir) -> DataFrame:
+    cent = vectors.centroids(view(spark, sf_dir, "samples").where(vectors.active_sample()))
+    other = cent.select(F.col("label").alias("other"), F.col("centroid").alias("v"))
+    # Both sides have one row a label: a small dimension against itself.
+    pairs = cent.join(other, F.col("label") != F.col("other"))
+    return pairs.groupBy("label").agg(F.max(scores.cosine(F.col("centroid"), F.col("v"))).alias("similarity"))
+
+
+@query(f"WITH {cte('samples')}, {_CENTROIDS}, {_CLOSE} SELECT label, round(s, 6) AS similarity FROM close")
+def centroid_similarity(spark, sf_dir):
+    return _label_similarity(spark, sf_dir).select("label", r6("similarity"))
+
+
+@query(f"WITH {cte('samples')}, {_CENTROIDS}, {_CLOSE} SELECT label, CASE WHEN greatest(s, 0) >= 0.85 THEN 'known' WHEN greatest(s, 0) >= 0.6 THEN 'drift' ELSE 'new_intent' END AS drift FROM close")
+def cluster_drift_class(spark, sf_dir):
+    return _label_similarity(spark, sf_dir).select("label", vectors.drift_class(F.col("similarity")).alias("drift"))
+
+
+@query(
+    f"WITH {cte('samples')}, {_CENTROIDS}, r AS (SELECT s.label_l1 AS label, s.id, list_cosine_similarity(CAST(s.embedding AS DOUBLE[]), c.v) AS similarity FROM samples s JOIN cent c ON c.label = s.label_l1 WHERE {ACTIVE}), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(similarity, 9) DESC, id) AS rank FROM r) SELECT label, CAST(rank AS INT) AS rank, id, round(similarity, 6) AS similarity FROM n WHERE rank <= 5"
+)
+def representatives(spark, sf_dir):
+    return vectors.representatives(view(spark, sf_dir, "samples").where(vectors.active_sample())).select("label", "rank", "id", r6("similarity"))
+
+
+# --------------------------------------------------------------------------------------------
+# Samples
+
+
+@query(f"WITH {cte('samples')} SELECT id, label_l1, sender_domain FROM samples WHERE {ACTIVE}")
+def active_samples(spark, sf_dir):
+    return view(spark, sf_dir, "samples").where(vectors.active_sample()).select("id", "label_l1", "sender_domain")
+
+
+@query(f"WITH {cte('samples')}, n AS (SELECT label_l1, id, row_number() OVER (PARTITION BY label_l1 ORDER BY created_s DESC, id) AS rank FROM samples WHERE {ACTIVE}) SELECT label_l1, id, CAST(rank AS INT) AS rank FROM n WHERE rank <= 3")
+def stratified_sample(spark, sf_dir):
+    return vectors.stratified_sample(view(spark, sf_dir, "samples").where(vectors.active_sample()), 3).select("label_l1", "id", "rank")
+
+
+@query(f"WITH {cte('samples')} SELECT id, policy_version FROM samples WHERE schema_version = 'flat-v1' AND disposition = 'accepted' AND reviewed AND policy_version <> 'generic-v1' ORDER BY created_s, id LIMIT 100")
+def reembed_candidates(spark, sf_dir):
+    return samples.reembed_candidates(view(spark, sf_dir, "samples"), "generic-v1").select("id", "policy_version")
+
+
+@query(f"WITH {cte('samples')} SELECT id, label_l1, source FROM samples WHERE source = 'llm' ORDER BY created_s DESC, id LIMIT 50 OFFSET 50")
+def sample_page(spark, sf_dir):
+    return samples.page(view(spark, sf_dir, "samples"), 2, source="llm").select("id", "label_l1", "source")
+
+
+@query(
+    f"WITH {cte('samples')} SELECT source, label_l1, count(*) AS n, count(*) FILTER (WHERE reviewed) AS reviewed, min(created_s) AS oldest_s FROM samples GROUP BY source, label_l1"
+)
+def sample_stats(spark, sf_dir):
+    s = view(spark, sf_dir, "samples")
+    return s.groupBy("source", "label_l1").agg(F.count("*").alias("n"), F.count(F.when(F.col("reviewed"), 1)).alias("reviewed"), F.min("created_s").alias("oldest_s"))
+
+
+@query(
+    f"WITH {cte('samples')} SELECT 'disposition' AS dimension, coalesce(disposition, 'unassessed') AS value, count(*) AS n FROM samples GROUP BY 2 UNION ALL "
+    "SELECT 'schema', schema_version, count(*) FROM samples GROUP BY 2 UNION ALL SELECT 'policy', policy_version, count(*) FROM samples WHERE policy_version IS NOT NULL GROUP BY 2 UNION ALL "
+    "SELECT 'label', label_l1, count(*) FROM samples GROUP BY 2"
+)
+def quality_stats(spark, sf_dir):
+    return samples.quality_stats(view(spark, sf_dir, "samples"))
+
+
+@query(f"WITH {cte('samples')} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM samples GROUP BY fingerprint HAVING count(*) > 1)")
+def dup_fingerprint_rows(spark, sf_dir):
+    return samples.duplicate_rows(view(spark, sf_dir, "samples"))
+
+
+_VALID = tuple(f"L{k}" for k in range(8))
+
+
+@query(
+    f"WITH {cte('samples')}, q AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'attachment_dependent' END AS a, CASE WHEN label_l1 NOT IN {_VALID} THEN 'unknown_taxonomy_category' END AS b FROM samples) "
+    "SELECT id, concat_ws(',', a, b) AS reasons, CASE WHEN a IS NULL AND b IS NULL THEN 'accepted' ELSE 'rejected' END AS assessed FROM q"
+)
+def sample_quality(spark, sf_dir):
+    base = view(spark, sf_dir, "samples").withColumn("ineligible_reason", F.when(F.col("id") % 9 == 0, "attachment_dependent"))
+    return samples.quality(base, _VALID).select("id", "reasons", "assessed")
+
+
+@query(
+    f"WITH {cte('samples')}, old AS (SELECT * FROM samples WHERE id % 10 < 3), new AS (SELECT * FROM samples WHERE id % 10 >= 3), "
+    "a AS (SELECT *, CASE WHEN schema_version = 'flat-v1' AND NOT (coalesce(disposition = 'accepted', false) AND label_l2 IS NULL) THEN 'not_accepted_flat' "
+    "WHEN mail_hash IN (SELECT mail_hash FROM old) THEN 'duplicate_mail_hash' WHEN fingerprint IN (SELECT fingerprint FROM old) THEN 'duplicate_fingerprint' END AS r FROM new), "
+    "b AS (SELECT *, CASE WHEN r IS NULL AND id > min(CASE WHEN r IS NULL THEN id END) OVER (PARTITION BY mail_hash) THEN 'duplicate_mail_hash' ELSE r END AS r2 FROM a), "
+    "c AS (SELECT *, CASE WHEN r2 IS NULL AND id > min(CASE WHEN r2 IS NULL THEN id END) OVER (PARTITION BY fingerprint) THEN 'duplicate_fingerprint' ELSE r2 END AS r3 FROM b) "
+    "SELECT id, r3 AS admission_reason FROM c"
+)
+def admission_reason(spark, sf_dir):
+    s = view(spark, sf_dir, "samples")
+    return samples.admission(s.where("id % 10 >= 3"), s.where("id % 10 < 3")).select("id", "admission_reason")
+
+
+@query(
+    f"WITH {cte('samples')} SELECT id, CASE WHEN id % 13 = 0 THEN 'L0' ELSE label_l1 END AS label_l1, CASE WHEN id % 13 <> 0 THEN label_l2 END AS label_l2, "
+    "id % 13 = 0 OR reviewed AS reviewed, CASE WHEN id % 13 = 0 THEN 'human_fix' ELSE source END AS source, CASE WHEN id % 13 = 0 THEN 'flat-v1' ELSE schema_version END AS schema_version FROM samples"
+)
+def relabel(spark, sf_dir):
+    return samples.relabel(view(spark, sf_dir, "samples"), F.col("id") % 13 == 0, "L0").select("id", "label_l1", "label_l2", "reviewed", "source", "schema_version")
+
+
+@query(f"WITH {cte('samples')} SELECT id, CASE WHEN schema_version = 'flat-v1' AND label_l2 IS NOT NULL THEN 'legacy-v3' ELSE schema_version END AS schema_version FROM samples")
+def legacy_mark(spark, sf_dir):
+    return samples.mark_legacy(view(spark, sf_dir, "samples")).select("id", "schema_version")
+
+
+_AS_OF = 1704067200 + 365 * 86400 + 100 * 3600
+
+
+@query(f"WITH {cte('samples')} SELECT id, created_s < {_AS_OF} - 360 * 86400 AS archived FROM samples")
+def archive_split(spark, sf_dir):
+    return samples.archive_split(view(spark, sf_dir, "samples"), _AS_OF).select("id", "archived")
+
+
+@query(f"WITH {cte('samples')} SELECT created_s < {_AS_OF} - 360 * 86400 AS archived, count(*) AS n FROM samples GROUP BY 1")
+def archive_counts(spark, sf_dir):
+    return samples.archive_split(view(spark, sf_dir, "samples"), _AS_OF).groupBy("archived").agg(F.count("*").alias("n"))
+
+
+_DIST = "dist AS (SELECT sender_domain, label_l1 AS label, count(*) AS n, sum(count(*)) OVER (PARTITION BY sender_domain) AS total FROM samples GROUP BY 1, 2)"
+_CROSS = f"{_DIST}, crossed AS (SELECT *, n / total AS ratio, count(*) OVER (PARTITION BY label) - 1 >= 2 AS cross_domain FROM dist)"
+_PROPOSED = "CASE WHEN cross_domain THEN ratio ELSE ratio * 0.9 END"
+_GOOD = "n >= 5 AND ratio >= 0.8 AND (cross_domain OR ratio >= 0.9)"
+
+
+@query(f"WITH {cte('samples')}, {_CROSS} SELECT sender_domain, label, n, CAST(total AS BIGINT) AS total, round(ratio, 6) AS ratio FROM crossed")
+def domain_label_distribution(spark, sf_dir):
+    return samples.distribution(view(spark, sf_dir, "samples")).select("sender_domain", "label", "n", "total", r6("ratio"))
+
+
+@query(f"WITH {cte('samples')}, {_CROSS} SELECT sender_domain, label, cross_domain FROM crossed")
+def cross_domain_check(spark, sf_dir):
+    return samples.cross_domain(samples.distribution(view(spark, sf_dir, "samples"))).select("sender_domain", "label", "cross_domain")
+
+
+@query(f"WITH {cte('samples')}, {_CROSS} SELECT sender_domain, label, round({_PROPOSED}, 6) AS confidence FROM crossed WHERE {_GOOD}")
+def rule_proposals(spark, sf_dir):
+    return samples.proposals(samples.distribution(view(spark, sf_dir, "samples"))).select("sender_domain", "label", r6("confidence"))
+
+
+@query(f"WITH {cte('samples')}, {_CROSS} SELECT sender_domain, label FROM crossed WHERE {_GOOD} AND NOT (sender_domain = 'd1.com' AND label = 'L1') AND NOT (sender_domain = 'd2.com' AND label = 'L2')")
+def new_rules_antijoin(spark, sf_dir):
+    have = spark.createDataFrame([("D1.com ", "L1"), ("d2.com", "L2"), ("d3.com", "L9")], "domain string, label string")
+    return samples.new_rules(samples.proposals(samples.distribution(view(spark, sf_dir, "samples"))), have).select("sender_domain", "label")
+
+
+# --------------------------------------------------------------------------------------------
+# Decisions
+
+_CODES = tuple((f"c{k}", k == 4) for k in range(6))
+_PROCESSED = (
+    f"WITH {cte('attempts')}, tax(code, ex) AS (VALUES {', '.join(f'({c!r}, {str(e).lower()})' for c, e in _CODES)}), "
+    "e AS (SELECT doc_id, llm_review, unnest(string_split(llm_output, '|')) AS p, generate_subscripts(string_split(llm_output, '|'), 1) AS i FROM attempts), "
+    "s AS (SELECT doc_id, llm_review, i, split_part(split_part(p, ',', 1), '.', 1) AS code, CAST(split_part(p, ',', 2) AS DOUBLE) AS conf FROM e), "
+    "f AS (SELECT s.*, ex, row_number() OVER (PARTITION BY doc_id, s.code ORDER BY i) AS n FROM s JOIN tax ON tax.code = s.code), "
+    "g AS (SELECT *, bool_or(ex) OVER (PARTITION BY doc_id) AS any_ex FROM f WHERE n = 1), k AS (SELECT * FROM g WHERE ex OR NOT any_ex), "
+    "a AS (SELECT doc_id, string_agg(code, ',' ORDER BY i) AS labels, max(conf) AS conf FROM k GROUP BY doc_id) "
+    "SELECT t.doc_id, coalesce(labels, '') AS labels, coalesce(conf, 0) AS confidence, llm_review OR coalesce(conf, 0) < 0.5 AS needs_review, "
+    "CAST(CASE WHEN conf >= 0.95 THEN 0.975 WHEN conf >= 0.8 THEN 0.87 WHEN conf >= 0.6 THEN 0.7 WHEN conf IS NOT NULL THEN 0.3 END AS DOUBLE) AS calibrated, "
+    "CASE WHEN conf >= 0.95 THEN 'very certain' WHEN conf >= 0.8 THEN 'fairly certain' WHEN conf >= 0.6 THEN 'directional' WHEN conf IS NOT NULL THEN 'uncertain' END AS anchor "
+    "FROM attempts t LEFT JOIN a ON a.doc_id = t.doc_id"
+)
+
+
+@query(_PROCESSED)
+def llm_postprocess(spark, sf_dir):
+    taxonomy = spark.createDataFrame(list(_CODES), "code string, exclusive boolean")
+    return fusion.post_process(view(spark, sf_dir, "attempts").withColumnRenamed("llm_review", "review"), taxonomy)
+
+
+_FUSED = (
+    f"{cte('attempts')}, b AS (SELECT *, rule_status = 'success' AS r, vec_status = 'success' AS v, llm_status = 'success' AS l, "
+    "coalesce(rule_status = 'success' AND vec_status = 'success' AND rule_label <> vec_label, false) AS differ FROM attempts), "
+    "best AS (SELECT doc_id, source, label, conf, row_number() OVER (PARTITION BY doc_id ORDER BY conf DESC, k) AS n FROM ("
+    "SELECT doc_id, 'rule' AS source, rule_label AS label, rule_conf AS conf, 0 AS k FROM b WHERE r UNION ALL SELECT doc_id, 'vector', vec_label, vec_conf, 1 FROM b WHERE v UNION ALL "
+    "SELECT doc_id, 'llm', llm_label, llm_conf, 2 FROM b WHERE l)), "
+    "step AS (SELECT b.*, best.source AS bs, best.label AS bl, best.conf AS bc, CASE WHEN r AND rule_conf >= 0.9 THEN 1 "
+    "WHEN r AND rule_conf >= 0.7 AND v AND vec_conf >= 0.85 AND coalesce(rule_label = vec_label, false) THEN 2 WHEN v AND vec_conf >= 0.85 AND NOT differ THEN 3 WHEN l THEN 4 ELSE 5 END AS step "
+    "FROM b LEFT JOIN best ON best.doc_id = b.doc_id AND best.n = 1), "
+    "fused AS (SELECT doc_id, CASE step WHEN 1 THEN 'rule_only' WHEN 2 THEN 'rule_vector_confirmed' WHEN 3 THEN 'vector_only' WHEN 4 THEN "
+    "CASE WHEN differ OR llm_review OR llm_conf < 0.7 THEN 'all_low_review' ELSE 'llm_fallback' END ELSE 'all_low_review' END AS strategy, "
+    "CASE step WHEN 1 THEN 'rule' WHEN 2 THEN 'rule' WHEN 3 THEN 'vector' WHEN 4 THEN 'llm' ELSE coalesce(bs, 'llm') END AS fused_source, "
+    "CASE step WHEN 1 THEN rule_label WHEN 2 THEN rule_label WHEN 3 THEN vec_label WHEN 4 THEN llm_label ELSE bl END AS fused_label, "
+    "CASE step WHEN 1 THEN rule_conf WHEN 2 THEN rule_conf WHEN 3 THEN vec_conf WHEN 4 THEN llm_conf ELSE coalesce(bc, 0) END AS fused_conf, "
+    "CASE WHEN step < 4 THEN false WHEN step = 4 THEN differ OR llm_review OR llm_conf < 0.7 ELSE true END AS needs_review, step = 2 AS vector_confirmed, step >= 4 AND differ AS conflict FROM step)"
+)
+
+
+@query(f"WITH {_FUSED} SELECT * FROM fused")
+def fusion_strategy(spark, sf_dir):
+    return fusion.fuse(view(spark, sf_dir, "attempts")).select("doc_id", "strategy", "fused_source", "fused_label", "fused_conf", "needs_review", "vector_confirmed", "conflict")
+
+
+@query(f"WITH {_FUSED} SELECT strategy, fused_source, count(*) AS n, count(*) FILTER (WHERE conflict) AS conflicts, round(avg(fused_conf), 6) AS mean_conf FROM fused GROUP BY 1, 2")
+def fusion_summary(spark, sf_dir):
+    return (
+        fusion.fuse(view(spark, sf_dir, "attempts"))
+        .groupBy("strategy", "fused_source")
+        .agg(F.count("*").alias("n"), F.count(F.when(F.col("conflict"), 1)).alias("conflicts"), F.round(F.avg("fused_conf"), 6).alias("mean_conf"))
+    )
+
+
+@query(
+    f"WITH {_FUSED}, c AS (SELECT s.*, CASE WHEN r AND rule_label IS NOT NULL AND rule_conf >= 0.9 THEN 'rule' WHEN v AND vec_label IS NOT NULL AND vec_conf >= 0.85 THEN 'vec' "
+    "WHEN l AND llm_label IS NOT NULL AND NOT llm_review AND llm_conf >= 0.8 THEN 'llm' END AS chosen FROM step s) "
+    "SELECT doc_id, coalesce(chosen, CASE WHEN bs = 'vector' THEN 'vec' ELSE bs END) AS selected_source, "
+    "CASE chosen WHEN 'rule' THEN rule_label WHEN 'vec' THEN vec_label WHEN 'llm' THEN llm_label ELSE bl END AS selected_label, "
+    "CASE chosen WHEN 'rule' THEN false WHEN 'vec' THEN r WHEN 'llm' THEN r OR v ELSE true END AS fallback, chosen IS NULL AS needs_human_review FROM c"
+)
+def cascade_select(spark, sf_dir):
+    return fusion.cascade(view(spark, sf_dir, "attempts"), {"rule": 0.9, "vec": 0.85, "llm": 0.8})
+
+
+@query(f"WITH {_FUSED} SELECT doc_id, CASE WHEN source = 'vector' THEN 'vec' ELSE source END AS source, label, conf FROM best WHERE n = 1")
+def best_attempt(spark, sf_dir):
+    found = view(spark, sf_dir, "attempts").withColumn("b", fusion.best_attempt()).where("b is not null")
+    return found.select("doc_id", "b.source", "b.label", (-F.col("b.c")).alias("conf"))
+
+
+_TIERS = (
+    f"{cte('attempts')}, t AS (SELECT *, CASE WHEN rule_status = 'success' AND rule_conf >= 0.9 THEN 'tier1' WHEN rule_status = 'success' AND rule_conf >= 0.7 THEN 'tier2' ELSE 'tier3' END AS tier, "
+    "llm_status = 'success' AND llm_label IS NOT NULL AS usable FROM attempts), u AS (SELECT doc_id, tier, "
+    "CASE WHEN tier = 'tier2' THEN CASE WHEN NOT usable THEN 'unavailable' WHEN rule_label = llm_label THEN 'confirmed' ELSE 'disagreed' END END AS verification, "
+    "CASE tier WHEN 'tier1' THEN 'rule_tier1' WHEN 'tier2' THEN 'rule_tier2' ELSE 'llm' END AS sample_source, "
+    "CASE WHEN tier <> 'tier3' THEN rule_label WHEN usable THEN llm_label ELSE '' END AS proposed_category FROM t)"
+)
+
+
+@query(f"WITH {_TIERS} SELECT * FROM u")
+def tier_classify(spark, sf_dir):
+    return fusion.tiers(view(spark, sf_dir, "attempts"))
+
+
+@query(f"WITH {_TIERS} SELECT tier, verification, count(*) AS n FROM u GROUP BY 1, 2")
+def tier_summary(spark, sf_dir):
+    return fusion.tiers(view(spark, sf_dir, "attempts")).groupBy("tier", "verification").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {cte('mails')}, {cte('attempts')} SELECT m.doc_id, CASE WHEN llm_review OR llm_label IS NULL OR "
+    + " OR ".join(f"contains(lower(body), '{p}')" for p in text.INJECTIONS)
+    + " THEN 'waiting_approval' ELSE 'completed' END AS next_status FROM mails m JOIN attempts a ON a.doc_id = m.doc_id"
+)
+def review_routing(spark, sf_dir):
+    decided = view(spark, sf_dir, "attempts").select("doc_id", F.col("llm_review").alias("needs_review"), F.col("llm_label").isNull().alias("fallback"))
+    return fusion.route(view(spark, sf_dir, "mails").join(decided, "doc_id")).select("doc_id", "next_status")
+
+
+# --------------------------------------------------------------------------------------------
+# Evaluation
+
+_PAIRS = (
+    f"{cte('gold', 'preds')}, pr AS (SELECT g.sample_id, list_sort(list_distinct(string_split(g.labels, ','))) AS gold, list_sort(list_distinct(string_split(p.labels, ','))) AS said, "
+    "p.sample_id IS NOT NULL AS present, coalesce(needs_human_review, false) AS review, strategy, v_taxonomy FROM gold g LEFT JOIN preds p ON p.sample_id = g.sample_id WHERE split = 'test'), "
+    "pairs AS (SELECT *, coalesce(said, []) AS suggested, CASE WHEN present AND NOT review THEN said ELSE [] END AS decided FROM pr)"
+)
+
+
+def _s_metrics(prefix: str = "") -> str:
+    z = "1.959963984540054e0"
+    n, p = "CAST(tp + fp AS DOUBLE)", "(tp / CAST(tp + fp AS DOUBLE))"
+    middle = f"({p} + {z} * {z} / (2 * {n})) / (1 + {z} * {z} / {n})"
+    spread = f"{z} * sqrt({p} * (1 - {p}) / {n} + {z} * {z} / (4 * {n} * {n})) / (1 + {z} * {z} / {n})"
+    low, high = (f"CASE WHEN tp + fp > 0 THEN round(least(greatest({middle} {sign} {spread}, 0), 1), 6) END" for sign in "-+")
+    return f"CASE WHEN tp + fp > 0 THEN round({p}, 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / CAST(tp + fn AS DOUBLE), 6) END AS recall, {low} AS wilson_low, {high} AS wilson_high"
+
+
+_MICRO = "mic AS (SELECT CAST(coalesce(sum(len(list_intersect(gold, decided))), 0) AS BIGINT) AS tp, CAST(coalesce(sum(len(list_filter(decided, lambda x: NOT list_contains(gold, x)))), 0) AS BIGINT) AS fp, CAST(coalesce(sum(len(list_filter(gold, lambda x: NOT list_contains(decided, x)))), 0) AS BIGINT) AS fn FROM pairs)"
+_LABELS = (
+    "lab AS (SELECT DISTINCT sample_id, unnest(list_concat(gold, suggested)) AS label, gold, decided FROM pairs), "
+    "per AS (SELECT label, count(*) FILTER (WHERE list_contains(gold, label) AND list_contains(decided, label)) AS tp, count(*) FILTER (WHERE NOT list_contains(gold, label) AND list_contains(decided, label)) AS fp, "
+    "count(*) FILTER (WHERE list_contains(gold, label) AND NOT list_contains(decided, label)) AS fn FROM lab GROUP BY label)"
+)
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    return evaluate.test_pairs(view(spark, sf_dir, "gold"), view(spark, sf_dir, "preds"))
+
+
+def _rounded(df: DataFrame, *first: str) -> DataFrame:
+    return df.select(*first, "tp", "fp", "fn", r6("precision"), r6("recall"), r6("wilson_low"), r6("wilson_high"))
+
+
+@query(f"WITH {_PAIRS}, {_MICRO} SELECT tp, fp, fn, {_s_metrics()} FROM mic")
+def eval_micro(spark, sf_dir):
+    return _rounded(evaluate.micro(_evaluated(spark, sf_dir)))
+
+
+@query(f"WITH {_PAIRS}, {_LABELS} SELECT label, tp, fp, fn, {_s_metrics()} FROM per")
+def eval_per_label(spark, sf_dir):
+    return _rounded(evaluate.per_label(_evaluated(spark, sf_dir)), "label")
+
+
+@query(f"WITH {_PAIRS} SELECT sample_id, array_to_string(gold, ',') AS gold_labels, array_to_string(decided, ',') AS predicted_labels, strategy FROM pairs WHERE present AND NOT review AND gold <> said")
+def eval_mismatches(spark, sf_dir):
+    return evaluate.mismatches(_evaluated(spark, sf_dir))
+
+
+@query(
+    f"WITH {_PAIRS}, c AS (SELECT count(*) AS total_examples, count(*) FILTER (WHERE present AND NOT review) AS auto_accepted, count(*) FILTER (WHERE review) AS reviewed, "
+    "count(*) FILTER (WHERE NOT present) AS missing, sum(len(list_intersect(gold, suggested))) AS hit, sum(len(gold)) AS g FROM pairs) "
+    "SELECT total_examples, auto_accepted, reviewed, missing, round(reviewed / total_examples, 6) AS review_rate, round(auto_accepted / total_examples, 6) AS coverage, round(hit / g, 6) AS suggestion_recall FROM c"
+)
+def eval_summary(spark, sf_dir):
+    s = evaluate.summary(_evaluated(spark, sf_dir))
+    return s.select("total_examples", "auto_accepted", "reviewed", "missing", r6("review_rate"), r6("coverage"), r6("suggestion_recall"))
+
+
+@query(
+    f"WITH {cte('gold', 'preds')}, t AS (SELECT p.* FROM preds p WHERE sample_id IN (SELECT sample_id FROM gold WHERE split = 'test')) "
+    + " UNION ALL ".join(f"SELECT '{c[2:]}' AS field, coalesce({c}, '<none>') AS value, count(*) AS n FROM t GROUP BY 2" for c in ("v_taxonomy", "v_model", "v_rules"))
+)
+def eval_versions(spark, sf_dir):
+    tested = view(spark, sf_dir, "preds").join(view(spark, sf_dir, "gold").where("split = 'test'").select("sample_id"), "sample_id", "left_semi")
+    return evaluate.version_distribution(tested, ["v_taxonomy", "v_model", "v_rules"])
+
+
+@query(f"WITH {cte('gold', 'preds')} SELECT p.sample_id, v_taxonomy AS prediction_version FROM preds p JOIN gold g ON g.sample_id = p.sample_id AND split = 'test' WHERE v_taxonomy IS DISTINCT FROM 'tax-v1'")
+def taxonomy_mismatches(spark, sf_dir):
+    return evaluate.taxonomy_mismatches(view(spark, sf_dir, "gold"), view(spark, sf_dir, "preds"), "tax-v1")
+
+
+@query(
+    f"WITH {_PAIRS}, {_MICRO}, {_LABELS}, m AS (SELECT tp, fp, {_s_metrics()} FROM (SELECT * FROM mic)), l AS (SELECT label, tp, fp, CASE label WHEN 'bad' THEN 0.5 WHEN 'odd' THEN NULL ELSE 0.9 END AS t, {_s_metrics()} FROM per), "
+    "j AS (SELECT label, CASE WHEN tp + fp < 20 THEN 'insufficient_label_support' WHEN wilson_low IS NULL OR wilson_low < t THEN 'label_precision_below_threshold' END AS reason FROM l WHERE t IS NOT NULL), "
+    "o AS (SELECT 0 AS k, '' AS label, 'taxonomy_version_mismatch' AS reason FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM pairs WHERE present AND v_taxonomy <> 'tax-v1') UNION ALL "
+    "SELECT 1, '', CASE WHEN tp + fp < 20 THEN 'insufficient_volume' WHEN wilson_low IS NULL OR wilson_low < 0.9 THEN 'overall_precision_below_threshold' END FROM m UNION ALL SELECT 2, label, reason FROM j), "
+    "d AS (SELECT reason, min((k, label)) AS p FROM o WHERE reason IS NOT NULL GROUP BY reason), "
+    "s AS (SELECT m.tp + m.fp AS eligible_decisions, m.tp + m.fp >= 20 AND NOT EXISTS (SELECT 1 FROM j WHERE reason = 'insufficient_label_support') AS eligible, (SELECT coalesce(string_agg(reason, ',' ORDER BY p), '') FROM d) AS reasons FROM m) "
+    "SELECT CASE WHEN NOT eligible THEN 'ineligible' WHEN reasons = '' THEN 'passed' ELSE 'failed' END AS status, eligible, eligible AND reasons = '' AS passed, reasons, eligible_decisions FROM s"
+)
+def release_gate(spark, sf_dir):
+    gold, preds = view(spark, sf_dir, "gold"), view(spark, sf_dir, "preds")
+    gate = evaluate.Gate(overall_precision=0.9, label_precision=0.9, overrides={"bad": 0.5, "odd": None}, minimum_eligible=20)
+    return evaluate.release_gate(evaluate.test_pairs(gold, preds), gate, evaluate.taxonomy_mismatches(gold, preds, "tax-v1"))
+
+
+@query(
+    f"WITH {cte('gold')}, t AS (SELECT thread_id FROM gold GROUP BY 1 HAVING count(DISTINCT split) > 1) "
+    "SELECT sample_id, 'unknown_label' AS violation FROM gold WHERE len(list_filter(string_split(labels, ','), lambda x: x NOT IN ('good', 'bad', 'toxic'))) > 0 UNION ALL "
+    "SELECT sample_id, 'exclusive_label' FROM gold WHERE list_contains(string_split(labels, ','), 'bad') AND len(string_split(labels, ',')) > 1 UNION ALL "
+    "SELECT sample_id, 'annotation_refs' FROM gold WHERE len(list_distinct(string_split(refs, ','))) < 2 UNION ALL SELECT sample_id, 'not_adjudicated' FROM gold WHERE NOT adjudicated UNION ALL "
+    "SELECT sample_id, 'split_leakage' FROM gold WHERE thread_id IN (SELECT thread_id FROM t)"
+)
+def corpus_violations(spark, sf_dir):
+    return evaluate.corpus_violations(view(spark, sf_dir, "gold"), ["good", "bad", "toxic"], ["bad"])
+
+
+@query(f"WITH {cte('gold', 'preds')} SELECT sample_id FROM preds WHERE sample_id NOT IN (SELECT sample_id FROM gold WHERE split = 'test')")
+def predictions_outside_gold(spark, sf_dir):
+    return evaluate.unknown_predictions(view(spark, sf_dir, "gold").where("split = 'test'"), view(spark, sf_dir, "preds")).select("sample_id")
+
+
+# --------------------------------------------------------------------------------------------
+# State
+
+_REQUEST = "CASE run_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'processing' ELSE 'pending' END"
+
+
+@query(
+    f"WITH {cte('runs')}, q AS (SELECT run_id, status AS before, {_REQUEST} AS target FROM runs), "
+    f"w AS (SELECT *, (before, target) IN ({', '.join(str(t) for t in state.TRANSITIONS)}) AS won FROM q) SELECT run_id, before, target, won, CASE WHEN won THEN target ELSE before END AS status FROM w"
+)
+def run_transitions(spark, sf_dir):
+    runs = view(spark, sf_dir, "runs")
+    return state.transition(runs.select("run_id", "status"), runs.selectExpr("run_id", f"{_REQUEST} AS target"))
+
+
+@query(f"WITH {cte('feedback')} SELECT run_id, feedback_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY reviewed_at, feedback_id) AS INT) AS revision FROM feedback")
+def feedback_revision(spark, sf_dir):
+    return state.next_revisions(view(spark, sf_dir, "feedback")).select("run_id", "feedback_id", "revision")
+
+
+@query(f"WITH {cte('runs', 'feedback')} SELECT run_id FROM runs WHERE created_at < TIMESTAMP '1997-01-01' AND run_id NOT IN (SELECT run_id FROM feedback)")
+def retention_runs_antijoin(spark, sf_dir):
+    return state.expired_runs(view(spark, sf_dir, "runs"), view(spark, sf_dir, "feedback"), F.lit("1997-01-01").cast("timestamp_ntz")).select("run_id")
+
+
+@query(
+    f"WITH {cte('runs', 'feedback', 'ledger')}, kept AS (SELECT * FROM feedback WHERE reviewed_at >= TIMESTAMP '1998-01-01' - INTERVAL 365 DAY) "
+    "SELECT 'feedback' AS entity, count(*) AS deleted FROM feedback WHERE reviewed_at < TIMESTAMP '1998-01-01' - INTERVAL 365 DAY UNION ALL "
+    "SELECT 'runs', count(*) FROM runs WHERE created_at < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY AND run_id NOT IN (SELECT run_id FROM kept) UNION ALL "
+    "SELECT 'ledger', count(*) FROM ledger WHERE ts < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY AND status <> 'claimed'"
+)
+def retention_counts(spark, sf_dir):
+    return state.retention_counts(view(spark, sf_dir, "runs"), view(spark, sf_dir, "feedback"), view(spark, sf_dir, "ledger"), F.lit("1998-01-01").cast("timestamp_ntz"))
+
+
+@query(
+    f"WITH {cte('runs')} SELECT run_id, CASE WHEN action_type IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'low' END AS risk, action_type IN ('1-URGENT', '2-HIGH') AS requires_approval, "
+    "CASE WHEN action_type = '1-URGENT' THEN 'rejected' ELSE 'rejected' END AS rejected_status, CASE WHEN action_type = '1-URGENT' THEN 'blocked' ELSE 'approved' END AS approved_status FROM runs"
+)
+def policy_actions(spark, sf_dir):
+    actions = state.apply_policy(view(spark, sf_dir, "runs"), ["1-URGENT"], ["2-HIGH"])
+    yes = state.decide_actions(actions, True).select("run_id", "risk", "requires_approval", F.col("action_status").alias("approved_status"))
+    return yes.join(state.decide_actions(actions, False).select("run_id", F.col("action_status").alias("rejected_status")), "run_id")
+
+
+@query(f"WITH {cte('runs')} SELECT run_id, created_at FROM runs WHERE status = 'pending' ORDER BY created_at, run_id LIMIT 100")
+def outbox_pending(spark, sf_dir):
+    outbox = view(spark, sf_dir, "runs").withColumn("dispatched_at", F.when(F.col("status") != "pending", F.col("created_at")))
+    return state.pending_outbox(outbox).select("run_id", "created_at")
+
+
+@query(f"WITH {cte('runs')}, n AS (SELECT skill_id, run_id, row_number() OVER (PARTITION BY skill_id ORDER BY created_at DESC, run_id DESC) AS n FROM runs WHERE published) SELECT skill_id, run_id AS latest_version FROM n WHERE n = 1")
+def latest_skill(spark, sf_dir):
+    published = view(spark, sf_dir, "runs").where("published")
+    return state.latest(published, ["skill_id"], F.col("created_at").desc(), F.col("run_id").desc()).select("skill_id", F.col("run_id").alias("latest_version"))
+
+
+@query(
+    f"WITH {cte('runs')}, c AS (SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'completed' ELSE status END AS status FROM runs WHERE run_id % 7 <> 1 UNION ALL SELECT -run_id, 'pending' FROM runs WHERE run_id % 5 = 0 AND run_id % 7 <> 1 AND run_id % 11 = 0) "
+    "SELECT status, count(*) AS n, min(run_id) AS low FROM c GROUP BY status"
+)
+def run_upsert(spark, sf_dir):
+    runs = view(spark, sf_dir, "runs").where("run_id % 7 <> 1").select("run_id", "status")
+    changed = runs.where("run_id % 5 = 0").select("run_id", F.lit("completed").alias("status"))
+    added = runs.where("run_id % 5 = 0 AND run_id % 11 = 0").select((-F.col("run_id")).alias("run_id"), F.lit("pending").alias("status"))
+    return state.upsert(runs, changed.unionByName(added), ["run_id"]).groupBy("status").agg(F.count("*").alias("n"), F.min("run_id").alias("low"))
+
+
+# --------------------------------------------------------------------------------------------
+# Ingest
+
+_CLAIMED = "cl AS (SELECT *, row_number() OVER (PARTITION BY mailbox_id, dedup_key ORDER BY uid) = 1 AS claimed FROM ledger)"
+
+
+@query(
+    f"WITH {cte('ledger')}, {_CLAIMED}, pr AS (SELECT *, CASE WHEN uid % 4 = 0 THEN status END AS prior FROM cl) SELECT uid, CASE WHEN n_bytes > 26214400 THEN 'skipped_oversize' "
+    "WHEN (prior IS NOT NULL OR NOT claimed) AND coalesce(prior, 'accepted') <> 'claimed' THEN 'duplicate' WHEN value < 10 THEN 'skipped_filtered' WHEN prior IS NOT NULL OR NOT claimed THEN 'resumed' ELSE 'accepted' END AS outcome FROM pr"
+)
+def ingest_outcomes(spark, sf_dir):
+    claimed = ingest.claims(view(spark, sf_dir, "ledger")).withColumn("prior_status", F.when(F.col("uid") % 4 == 0, F.col("status")))
+    return ingest.outcomes(claimed, most_bytes=26_214_400, passes=F.col("value") >= 10).select("uid", "outcome")
+
+
+@query(f"WITH {cte('ledger')} SELECT mailbox_id, dedup_key, min(uid) AS uid FROM ledger WHERE uid % 2 = 0 AND (mailbox_id, dedup_key) NOT IN (SELECT mailbox_id, dedup_key FROM ledger WHERE uid % 2 = 1) GROUP BY 1, 2")
+def ledger_dedup(spark, sf_dir):
+    base = view(spark, sf_dir, "ledger")
+    return ingest.new_claims(base.where("uid % 2 = 0"), base.where("uid % 2 = 1"))
+
+
+@query(
+    f"WITH {cte('ledger')}, n AS (SELECT mailbox_id, uid, server_id, row_number() OVER (PARTITION BY mailbox_id ORDER BY uid) AS n FROM ledger l WHERE server_id IS NOT NULL AND uid % 2 = 0 "
+    "AND NOT EXISTS (SELECT 1 FROM ledger k WHERE k.uid % 2 = 1 AND k.mailbox_id = l.mailbox_id AND k.server_id = l.server_id)) SELECT mailbox_id, uid, server_id FROM n WHERE n <= 50"
+)
+def pop3_unseen(spark, sf_dir):
+    base = view(spark, sf_dir, "ledger")
+    return ingest.unseen(base.where("uid % 2 = 0"), base.where("uid % 2 = 1"), 50).select("mailbox_id", "uid", "server_id")
+
+
+@query(f"WITH {cte('ledger')}, n AS (SELECT mailbox_id, uid, row_number() OVER (PARTITION BY mailbox_id ORDER BY uid DESC) AS n FROM ledger) SELECT mailbox_id, uid FROM n WHERE n <= 20")
+def pop3_first_sync(spark, sf_dir):
+    return ingest.first_sync(view(spark, sf_dir, "ledger"), 20).select("mailbox_id", "uid")
+
+
+@query(f"WITH {cte('ledger')} SELECT mailbox_id, arg_max(uid, (ts, uid)) AS cursor_uid, max(uid) AS high_uid FROM ledger GROUP BY mailbox_id")
+def cursor_high_water(spark, sf_dir):
+    return ingest.cursors(view(spark, sf_dir, "ledger"))
+
+
+@query(
+    f"WITH {cte('mails')}, r AS (SELECT *, list_filter(list_transform(string_split(recipients, ','), lambda x: trim(x)), lambda x: x <> '') AS rs FROM mails) "
+    "SELECT doc_id, lower(split_part(sender, '@', -1)) IN ('src1.example.com>', 'src2.example.com>', 'src3.example.com>') "
+    "AND len(list_filter(rs, lambda x: lower(split_part(x, '@', -1)) IN ('x.example.com', 'fr.example.com'))) > 0 AND (contains(subject, 'e') OR contains(subject, 'Re')) AS eligible FROM r"
+)
+def gateway_eligibility(spark, sf_dir):
+    ok = ingest.eligible(
+        F.col("sender"),
+        text.split_trimmed(F.col("recipients"), ","),
+        F.col("subject"),
+        senders=["SRC1.example.com>", "src2.example.com>", "src3.example.com>"],
+        recipient_domains=["x.example.com", "fr.example.com"],
+        subjects=["e", "Re"],
+    )
+    return mails(spark, sf_dir).select("doc_id", ok.alias("eligible"))
