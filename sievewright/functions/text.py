@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -34,6 +34,11 @@ class CleaningPolicy:
     disclaimer_patterns: tuple[str, ...] = (r"This email (?:and any attachments )?may contain confidential information.*",)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: inside lambdas and branches Spark would repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -96,26 +101,31 @@ def lines_of(x: Column) -> Column:
 def quote_starts(lines: Column) -> Column:
     """Positions (from 0) of lines that begin a run of quoted lines."""
     quoted = F.transform(lines, lambda line: line.rlike(QUOTE_LINE))
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(quoted, i) & ~F.coalesce(F.get(quoted, i - 1), F.lit(False)))
+    before = lambda q: F.concat(F.array(F.lit(False)), F.slice(q, 1, F.size(q) - 1))
+    starts = let(quoted, lambda q: F.zip_with(q, before(q), lambda now, prior: now & ~prior))
+    return F.filter(F.transform(starts, lambda s, i: F.when(s, i)), lambda i: i.isNotNull())
 
 
 def _unquoted(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r"^>+\s*", ""), r"^\|+\s*", "")
 
 
+def _quoted_parts(lines: Column, starts: Column) -> Column:
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
+    return F.zip_with(starts, ends, lambda s, e: strip(F.array_join(F.transform(F.slice(lines, s + 1, e - s), _unquoted), "\n")))
+
+
 def thread_segments(body: Column) -> Column:
     """struct(parsed, segments): the latest text, then each quoted run up to the next, newest first."""
-    lines = lines_of(body)
-    starts = quote_starts(lines)
-    latest = strip(F.array_join(F.slice(lines, 1, F.get(starts, F.lit(0))), "\n"))
-    quoted = F.transform(
-        starts,
-        lambda s, i: strip(F.array_join(F.transform(F.slice(lines, s + 1, F.coalesce(F.get(starts, i + 1), F.size(lines)) - s), _unquoted), "\n")),
-    )
-    plain = is_html(body) | (F.size(starts) == 0)
-    whole = F.array(F.when(is_html(body), body).otherwise(strip(body)))
-    segments = F.when(plain, whole).otherwise(F.filter(F.concat(F.array(latest), quoted), lambda t: t != ""))
-    return F.struct((~plain).alias("parsed"), segments.alias("segments"))
+
+    def split(lines: Column, starts: Column) -> Column:
+        latest = strip(F.array_join(F.slice(lines, 1, F.get(starts, F.lit(0))), "\n"))
+        plain = is_html(body) | (F.size(starts) == 0)
+        whole = F.array(F.when(is_html(body), body).otherwise(strip(body)))
+        parts = F.filter(F.concat(F.array(latest), _quoted_parts(lines, starts)), lambda t: t != "")
+        return F.struct((~plain).alias("parsed"), F.when(plain, whole).otherwise(parts).alias("segments"))
+
+    return let(lines_of(body), lambda lines: let(quote_starts(lines), lambda starts: split(lines, starts)))
 
 
 # --- sections ---
@@ -148,31 +158,42 @@ def before_signature(x: Column, delimiters: Sequence[str]) -> Column:
         return hit
 
     at = F.array_position(F.transform(lines, signs), True)
-    return F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), (at - 1).cast("int")), "\n")).otherwise(x)
+    return let(at, lambda n: F.when(n > 0, F.array_join(F.slice(lines, F.lit(1), (n - 1).cast("int")), "\n")).otherwise(x))
 
 
 def without_disclaimers(x: Column, patterns: Sequence[str]) -> Column:
-    for p in patterns:
-        removed = F.regexp_replace(x, "(?is)" + p, "")
-        x = F.when(removed != x, collapse_lines(removed)).otherwise(x)
+    def without(v: Column, pattern: str) -> Column:
+        return let(F.regexp_replace(v, "(?is)" + pattern, ""), lambda removed: F.when(removed != v, collapse_lines(removed)).otherwise(v))
+
+    def step(pattern: str) -> Callable[[Column], Column]:
+        return lambda v: without(v, pattern)
+
+    for pattern in patterns:
+        x = let(x, step(pattern))
     return x
 
 
 def clean_section(x: Column, policy: CleaningPolicy) -> Column:
     """struct(text, flags) of a message section without signature, disclaimers and credentials."""
-    normal = normalize_text(x)
-    cut = before_signature(normal, policy.signature_delimiters)
-    collapsed = collapse_lines(cut)
-    redacted = redact_credentials(collapsed)
-    text = without_disclaimers(redacted, policy.disclaimer_patterns)
-    flags = F.array_compact(
-        F.array(
+
+    def result(normal: Column, cut: Column, collapsed: Column, redacted: Column, text: Column) -> Column:
+        flags = F.array(
             F.when(F.length(cut) != F.length(normal), "signature_removed"),
             F.when(redacted != collapsed, "credential_redacted"),
             F.when(text != redacted, "disclaimer_removed"),
         )
-    )
-    return F.struct(text.alias("text"), flags.alias("flags"))
+        return F.struct(text.alias("text"), F.array_compact(flags).alias("flags"))
+
+    def after_cut(normal: Column, cut: Column) -> Column:
+        return let(
+            collapse_lines(cut),
+            lambda collapsed: let(
+                redact_credentials(collapsed),
+                lambda redacted: let(without_disclaimers(redacted, policy.disclaimer_patterns), lambda text: result(normal, cut, collapsed, redacted, text)),
+            ),
+        )
+
+    return let(normalize_text(x), lambda normal: let(before_signature(normal, policy.signature_delimiters), lambda cut: after_cut(normal, cut)))
 
 
 def capped(x: Column, most: int) -> Column:
