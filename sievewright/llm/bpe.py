@@ -298,4 +298,4 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     kit.session(docs, BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_coder(tokenizer), "doc_id long, n_tokens long, ids string, decoded string")
+    return docs.mapInArrow(kit.tidy(_coder(tokenizer)), "doc_id long, n_tokens long, ids string, decoded string")

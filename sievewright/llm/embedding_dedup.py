@@ -130,7 +130,7 @@ def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, ce
         pivots[label, dim] = _unit(np.array([r.embedding for r in picked]).ravel(), dim)
 
     eps = math.sqrt(2 - 2 * threshold)
-    placed = classes.select("label", "dim", "rep", "cnt", "embedding").mapInArrow(_assigner(pivots, eps), "label long, dim int, rep long, cnt long, embedding array<double>, cell int, home boolean")
+    placed = classes.select("label", "dim", "rep", "cnt", "embedding").mapInArrow(kit.tidy(_assigner(pivots, eps)), "label long, dim int, rep long, cnt long, embedding array<double>, cell int, home boolean")
     placed = kit.stored(placed, "embedding-cells")
     counts = placed.groupBy("label", "dim", "cell").agg(F.count(F.when(F.col("home"), 1)).alias("n_home"), F.count("*").alias("n_all"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(float(block)))).cast("int")
@@ -141,7 +141,7 @@ def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, ce
     asking = placed.where("home").select("label", "dim", "cell", deal("nh").alias("hb"), upto("na").alias("ob"), F.lit(True).alias("asks"), *tail)
     asked = placed.select("label", "dim", "cell", upto("nh").alias("hb"), deal("na").alias("ob"), F.lit(False).alias("asks"), *tail)
     dealt = asking.unionByName(asked).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    found = kit.stored(dealt.mapInArrow(_joiner(threshold), "rep long, links long, root long"), "embedding-links")
+    found = kit.stored(dealt.mapInArrow(kit.tidy(_joiner(threshold)), "rep long, links long, root long"), "embedding-links")
 
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = kit.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")

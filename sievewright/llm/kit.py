@@ -7,6 +7,9 @@ temporary folder.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of Arrow data handed to Python at once; bounds a worker's memory whatever the text lengths.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def session(df: DataFrame, size: int = BATCH_BYTES) -> SparkSession:
@@ -49,6 +52,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, after which the worker gives memory back: workers live on and serve other operators."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Return free memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: A side of a join is sent to every task up to this size, counted first; beyond it the join shuffles.
 SMALL_BYTES = 8 << 20
 

@@ -165,5 +165,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     picks = mix_sources(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
     # Rows of one id share that id's copies as evenly as whole numbers go.
     many = picks.withColumn("_n", F.greatest(F.lit(1), F.round(F.col("_n") / F.col("_rows"))).cast("int")).withColumnRenamed("doc_id", "_id")
-    kept = docs.join(many, F.col("doc_id").eqNullSafe(F.col("_id")))
+    kept = docs.join(kit.small(kit.stored(many, "mix-picks"), 24), F.col("doc_id").eqNullSafe(F.col("_id")))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

@@ -261,7 +261,7 @@ def ngram_jaccard_join(
     """
     kit.session(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = kit.stored(docs.mapInArrow(_sketcher(words), "doc_id long, n_shingles int, s1 long, s2 long, sketch array<int>"), "ngram-base")
+    base = kit.stored(docs.mapInArrow(kit.tidy(_sketcher(words)), "doc_id long, n_shingles int, s1 long, s2 long, sketch array<int>"), "ngram-base")
     same = F.xxhash64("s1", "s2", "n_shingles").alias("rep")
     classes = base.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("doc"), F.count("*").alias("cnt"), F.first("sketch").alias("sketch"))
     classes = kit.stored(classes, "ngram-classes")
@@ -296,13 +296,14 @@ def ngram_jaccard_join(
     member = member.select("rep", "cnt", "sketch", "x.leaf", "x.size", "leaves")
     dealt = kit.block_pairs(member, ["leaf"], "size", "rep", block).drop("size")
     dealt = dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    need = dealt.mapInArrow(_promising(SLACK * threshold), "leaf long, bi int, bj int, own int, rep long, cnt long, leaves array<long>")
+    need = dealt.mapInArrow(kit.tidy(_promising(SLACK * threshold)), "leaf long, bi int, bj int, own int, rep long, cnt long, leaves array<long>")
     need = kit.stored(need, "ngram-need")
     wanted = classes.join(need.select("rep").distinct(), "rep", "left_semi").select(F.col("doc").alias("doc_id"))
-    texts = docs.join(wanted.distinct(), "doc_id", "left_semi").select("text")
-    tokens = texts.mapInArrow(_setter(words), "n_shingles int, s1 long, s2 long, tokens binary").select(same, "tokens").dropDuplicates(["rep"])
+    wanted = kit.stored(wanted.distinct(), "ngram-wanted")
+    texts = docs.join(kit.small(wanted, 16), "doc_id", "left_semi").select("text")
+    tokens = texts.mapInArrow(kit.tidy(_setter(words)), "n_shingles int, s1 long, s2 long, tokens binary").select(same, "tokens").dropDuplicates(["rep"])
     full = need.join(tokens, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    found = kit.stored(full.mapInArrow(_verify(threshold), "rep long, links long, root long"), "ngram-links")
+    found = kit.stored(full.mapInArrow(kit.tidy(_verify(threshold)), "rep long, links long, root long"), "ngram-links")
 
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = kit.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
@@ -325,7 +326,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     groups = ngram_jaccard_join(docs, **options)
     keep = kit.stored(groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "ngram-keep")
-    joined = docs.join(keep, F.col("doc_id") == F.col("_id"))
+    joined = docs.join(kit.small(keep, 24), F.col("doc_id") == F.col("_id"))
     single = joined.where("_rows = 1").select(*docs.columns)
     repeated = joined.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))

@@ -52,7 +52,7 @@ def write_flat_files(docs: DataFrame, folder: str, *, tokenizer: str, separator:
     """
     kit.session(docs, bpe.BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return kit.stored(docs.mapInArrow(_flat_writer(folder, tokenizer, separator), "path string, ordinal long, doc_id long"), "flat-manifest")
+    return kit.stored(docs.mapInArrow(kit.tidy(_flat_writer(folder, tokenizer, separator)), "path string, ordinal long, doc_id long"), "flat-manifest")
 
 
 def _measurer(folder: str, width: int):
@@ -88,10 +88,10 @@ def count_tokens(files: DataFrame, folder: str, *, separator: int, dtype: str =
 
     n_tokens leaves the separator out.
     """
-    sized = kit.stored(files.select("path").distinct().mapInArrow(_measurer(folder, np.dtype(dtype).itemsize), "path string, n_ids long"), "flat-sizes")
+    sized = kit.stored(files.select("path").distinct().mapInArrow(kit.tidy(_measurer(folder, np.dtype(dtype).itemsize)), "path string, n_ids long"), "flat-sizes")
     blocks = sized.where("n_ids > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_ids") - 1) / block))).alias("block"))
     parts = max(1, min(10_000, blocks.count() // 4))  # a number of its own: rows this few would be read by one task
-    ends = kit.stored(blocks.repartition(parts, "path", "block").mapInArrow(_searcher(folder, separator, dtype, block), "path string, block long, ends array<long>"), "flat-ends")
+    ends = kit.stored(blocks.repartition(parts, "path", "block").mapInArrow(kit.tidy(_searcher(folder, separator, dtype, block)), "path string, block long, ends array<long>"), "flat-ends")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scan = ends.select("path", "block", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     scan = scan.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"))

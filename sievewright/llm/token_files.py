@@ -217,9 +217,9 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end: int,
     if files > 1:
         at = docs.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(1000, 20 * files)).alias("b")).first().b
         bounds = np.unique(np.array(at or [], dtype=np.int64))
-    coded = docs.mapInArrow(_encoder(tokenizer, end, bounds), "doc_id long, bucket int, tie long, ids binary")
+    coded = docs.mapInArrow(kit.tidy(_encoder(tokenizer, end, bounds)), "doc_id long, bucket int, tie long, ids binary")
     coded = coded.repartition(files, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
-    return kit.stored(coded.mapInArrow(_writer(folder, kind), "bucket int, path string, n_docs long, n_ids long"), "token-manifest")
+    return kit.stored(coded.mapInArrow(kit.tidy(_writer(folder, kind)), "bucket int, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 def _scanner(folder: str):
@@ -249,4 +249,4 @@ def read_token_index(manifest: DataFrame, folder: str) -> DataFrame:
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))  # a row a file
     files = max(1, manifest.count())
-    return placed.repartition(files, "path").mapInArrow(_scanner(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(files, "path").mapInArrow(kit.tidy(_scanner(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -107,6 +107,6 @@ def exact_topk(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float
     spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     others = base.select("dim", spread.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("qb"), F.lit(0).alias("is_query"), "vec_id", F.lit(0).cast("long").alias("qn"), "embedding")
     dealt = others.unionByName(asked).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    best = dealt.mapInArrow(_searcher(k, scale), "query_id long, qn long, vec_id long, score long")
+    best = dealt.mapInArrow(kit.tidy(_searcher(k, scale)), "query_id long, qn long, vec_id long, score long")
     order = Window.partitionBy("query_id", "qn").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -215,10 +215,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000,
     given = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(sample)  # at most ``sample`` rows: small enough to broadcast
     texts = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = texts.mapInArrow(_featurer(groups), "toxic int, own binary, gone binary, come binary").limit(2 * sample).collect()
+    rows = texts.mapInArrow(kit.tidy(_featurer(groups)), "toxic int, own binary, gone binary, come binary").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r.toxic, bytes(r.own)))
     lists = [[np.frombuffer(r[c], dtype=np.int32) for r in rows] for c in ("own", "gone", "come")]
-    return fit(*lists, np.array([r.toxic for r in rows], dtype=np.float64), **options)
+    model = fit(*lists, np.array([r.toxic for r in rows], dtype=np.float64), **options)
+    del rows, lists
+    kit.give_back()
+    return model
 
 
 def held_out(doc_id):
@@ -248,7 +251,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score in 0 to 1 and predicted (score >= 0.5) for every row of docs (doc_id, text)."""
     kit.session(docs)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("lowered"))
-    scored = base.mapInArrow(_scorer(model), "doc_id long, score double")
+    scored = base.mapInArrow(kit.tidy(_scorer(model)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -257,4 +260,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     kit.session(docs)
     base = docs.select("*", F.lower("text").alias("lowered"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
-    return base.mapInArrow(_scorer(model), schema).where("score < 0.5").select(*docs.columns)
+    return base.mapInArrow(kit.tidy(_scorer(model)), schema).where("score < 0.5").select(*docs.columns)
