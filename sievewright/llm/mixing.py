@@ -110,6 +110,7 @@ def mix_sources(
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = kit.stored(sized, "mix-sizes")  # texts are read once
     rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n")).collect()
     rows.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     given = [float(weights[i % len(weights)]) for i in range(len(rows))]
