@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import html, scores, text
 from sievewright.functions.text import CleaningPolicy
-from sievewright.operators import evaluate, fusion, ingest, retrieval, rules, samples, state, vectors
+from sievewright.operators import clustering, evaluate, fusion, ingest, retrieval, rules, samples, state, vectors
+from sievewright.plans import jobs
+from sievewright.sources import eml
 from sievewright.sources.views import ACTIVE, cte, view
+from sievewright.storage import fresh_path, stored
+from sievewright.streaming import ledger as streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -419,7 +423,7 @@ def _sims(threshold: float, scope: str = "", name: str = "near") -> str:
     return (
         f"{name} AS (SELECT q.id AS query_id, s.id, s.label_l1, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS similarity, "
         f"row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) DESC, s.id) AS n "
-        f"FROM samples q JOIN samples s ON q.id < 20 AND q.id <> s.id WHERE {' AND '.join('s.' + p.strip() for p in ACTIVE.split(' AND '))}{scope} "
+        f"FROM samples q JOIN samples s ON q.id <> s.id WHERE {' AND '.join('s.' + p.strip() for p in ACTIVE.split(' AND '))}{scope} "
         f"AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) >= {threshold})"
     )
 
@@ -432,8 +436,8 @@ def _cands(near: str, name: str) -> str:
 
 
 def _asked(spark, sf_dir) -> DataFrame:
-    """The stated query set: vectors below id 20."""
-    return view(spark, sf_dir, "samples").where("id < 20").select(F.col("id").alias("query_id"), "embedding")
+    """Every vector is a query."""
+    return view(spark, sf_dir, "samples").select(F.col("id").alias("query_id"), "embedding")
 
 
 @query(f"WITH {cte('samples')}, {_sims(0.2)} SELECT query_id, id, label_l1, round(similarity, 6) AS similarity FROM near WHERE n <= 25")
@@ -467,7 +471,7 @@ _KNOWN = ("L0", "L2", "L4", "L5", "L6", "L8", "L9")
 
 
 @query(
-    f"WITH {cte('samples')}, {_sims(0.25)}, {_cands('near', 'c')}, q AS (SELECT id AS query_id, id % 7 <> 3 AS eligible FROM samples WHERE id < 20), "
+    f"WITH {cte('samples')}, {_sims(0.25)}, {_cands('near', 'c')}, q AS (SELECT id AS query_id, id % 7 <> 3 AS eligible FROM samples), "
     f"u AS (SELECT query_id, string_agg(label, ',' ORDER BY rank) AS labels FROM c WHERE rank <= 5 AND support >= 1 AND label IN {_KNOWN} GROUP BY 1), "
     "t AS (SELECT query_id, label, max_similarity, support FROM c WHERE rank = 1), t2 AS (SELECT query_id, max_similarity AS second FROM c WHERE rank = 2) "
     "SELECT q.query_id, CASE WHEN eligible AND labels IS NOT NULL THEN 'success' ELSE 'no_match' END AS status, "
@@ -930,11 +934,11 @@ def latest_skill(spark, sf_dir):
 
 
 @query(
-    f"WITH {cte('runs')}, c AS (SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'completed' ELSE status END AS status FROM runs WHERE run_id % 7 <> 1 UNION ALL SELECT -run_id, 'pending' FROM runs WHERE run_id % 5 = 0 AND run_id % 7 <> 1 AND run_id % 11 = 0) "
+    f"WITH {cte('runs')}, c AS (SELECT run_id, CASE WHEN run_id % 5 = 0 THEN 'completed' ELSE status END AS status FROM runs UNION ALL SELECT -run_id, 'pending' FROM runs WHERE run_id % 5 = 0 AND run_id % 11 = 0) "
     "SELECT status, count(*) AS n, min(run_id) AS low FROM c GROUP BY status"
 )
 def run_upsert(spark, sf_dir):
-    runs = view(spark, sf_dir, "runs").where("run_id % 7 <> 1").select("run_id", "status")
+    runs = view(spark, sf_dir, "runs").select("run_id", "status")
     changed = runs.where("run_id % 5 = 0").select("run_id", F.lit("completed").alias("status"))
     added = runs.where("run_id % 5 = 0 AND run_id % 11 = 0").select((-F.col("run_id")).alias("run_id"), F.lit("pending").alias("status"))
     return state.upsert(runs, changed.unionByName(added), ["run_id"]).groupBy("status").agg(F.count("*").alias("n"), F.min("run_id").alias("low"))
@@ -995,3 +999,87 @@ def gateway_eligibility(spark, sf_dir):
         subjects=["e", "Re"],
     )
     return mails(spark, sf_dir).select("doc_id", ok.alias("eligible"))
+
+
+_RAW_MAIL = (
+    "concat('From: User ', doc_id, ' <u', doc_id % 7, '@', source, '.example.com>', chr(10), 'To: a', doc_id % 3, '@x.example.com, b@', lang, '.example.com', chr(10), "
+    "'Subject: note ', doc_id, chr(10), CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat('Message-ID: <M', doc_id, '@Example>', chr(10)) END, "
+    "CASE WHEN doc_id % 9 = 0 THEN concat('Date: soon', chr(10)) ELSE concat('Date: Mon, 01 Jan 2024 ', lpad(cast(doc_id % 24 AS STRING), 2, '0'), ':00:00 +0200', chr(10)) END, "
+    "'MIME-Version: 1.0', chr(10), 'Content-Type: text/plain; charset=utf-8', chr(10), 'Content-Transfer-Encoding: 8bit', chr(10), chr(10), text)"
+)
+
+
+@query(
+    "SELECT doc_id, concat('User ', doc_id, ' <u', doc_id % 7, '@', source, '.example.com>') AS sender, concat('a', doc_id % 3, '@x.example.com|b@', lang, '.example.com') AS recipients, "
+    "concat('note ', doc_id) AS subject, md5(text) AS body, doc_id % 9 = 0 AS date_missing, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE epoch(TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 24 AS INT)) - INTERVAL 2 HOUR) END::BIGINT AS received_s, "
+    "CASE WHEN doc_id % 10 <> 0 THEN concat('<m', doc_id, '@example>') END AS dedup_key FROM documents"
+)
+def eml_parse(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.expr(_RAW_MAIL).cast("binary").alias("content"))
+    m = eml.parse_eml(files)
+    return m.select(
+        F.col("path").cast("long").alias("doc_id"),
+        "sender",
+        F.array_join("recipients", "|").alias("recipients"),
+        "subject",
+        F.md5(F.col("body").cast("binary")).alias("body"),
+        "date_missing",
+        F.unix_timestamp("received_at").alias("received_s"),
+        F.when(F.col("path").cast("long") % 10 != 0, F.col("dedup_key")).alias("dedup_key"),
+    )
+
+
+# --------------------------------------------------------------------------------------------
+# Jobs and streams
+
+
+@query()
+def hdbscan_clusters(spark, sf_dir):
+    """Clusters of the active samples, which a stated mixture pulls towards their labels."""
+    base = view(spark, sf_dir, "samples")
+    pulled = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x * 0.2 + F.when(i == F.substring("label_l1", 2, 2).cast("int"), 1.0).otherwise(0.0))
+    return clustering.cluster_samples(base.withColumn("embedding", pulled))
+
+
+@query()
+def cluster_drift(spark, sf_dir):
+    base = view(spark, sf_dir, "samples")
+    pulled = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x * 0.2 + F.when(i == F.substring("label_l1", 2, 2).cast("int"), 1.0).otherwise(0.0))
+    moved = base.withColumn("embedding", pulled)
+    return clustering.classify_clusters(clustering.cluster_samples(moved), moved)
+
+
+@query()
+def classify_mails(spark, sf_dir):
+    """Rules, label search over the embedded mails, recorded model answers, and fusion."""
+    m = mails(spark, sf_dir)
+    embed = jobs.hashing_embedder()
+    labelled = m.withColumn("label_l1", F.concat(F.lit("c"), F.col("doc_id") % 5))
+    library = labelled.select(
+        F.col("doc_id").alias("id"), "label_l1", F.lit(None).cast("string").alias("label_l2"), embed(F.col("body")).alias("embedding"), F.lit("flat-v1").alias("schema_version"), F.lit("accepted").alias("disposition"), F.lit(True).alias("reviewed")
+    )
+    answers = view(spark, sf_dir, "attempts").select("doc_id", "llm_status", "llm_label", "llm_conf", "llm_review")
+    decided = jobs.classify(m, stored(library, "library"), [f"c{k}" for k in range(5)], model=lambda rest: rest.select("doc_id").join(answers, "doc_id"))
+    return decided.select("doc_id", "strategy", "fused_source", "fused_label", "fused_conf", "needs_review")
+
+
+@query(f"WITH {cte('ledger')} SELECT mailbox_id, count(DISTINCT dedup_key) AS claims FROM ledger GROUP BY mailbox_id")
+def ledger_stream_dedup(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = streams.event_stream(spark, sf_dir, schema, "events.parquet")
+    keyed = stream.selectExpr("event_type AS mailbox_id", "concat('k', user_id) AS dedup_key", "event_id AS uid")
+    where = fresh_path(spark, "ledger")
+    streams.run_available(keyed, where, fresh_path(spark, "ledger-offsets"))
+    return streams.read_ledger(spark, where).groupBy("mailbox_id").agg(F.count("*").alias("claims"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_hours(spark, sf_dir):
+    """Tumbling windows of event time, streamed to a table."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    windows = streams.event_windows(streams.event_stream(spark, sf_dir, schema, "events.parquet"))
+    where = fresh_path(spark, "hours")
+    q = windows.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(where)).option("checkpointLocation", fresh_path(spark, "hours-offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(where).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
