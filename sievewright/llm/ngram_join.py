@@ -189,21 +189,24 @@ def _setter(n: int):
     return run
 
 
-def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the given pairs of sets."""
-    if len(i) <= 4 * len(sets):
-        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
+def _overlap_matrix(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, from their incidence, a slab of tokens at a time."""
     tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     total = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    for at in range(0, len(tokens), 4096):  # incidence, a slab of tokens at a time
-        low, high = np.searchsorted(column, [at, at + 4096])
-        slab = np.zeros((len(sets), min(4096, len(tokens) - at)), dtype=np.float32)
+    for at in range(0, len(tokens), 2048):
+        low, high = np.searchsorted(column, [at, at + 2048])
+        slab = np.zeros((len(sets), min(2048, len(tokens) - at)), dtype=np.float32)
         slab[row[low:high], column[low:high] - at] = 1
         total += slab @ slab.T
-    return total[i, j].astype(np.int64)
+    return total
+
+
+def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the given pairs of sets."""
+    return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
 
 
 def _verify(threshold: float):
@@ -219,22 +222,23 @@ def _verify(threshold: float):
             for s, e in zip(*map(np.ndarray.tolist, kit.group_slices(table, _KEYS)), strict=True):
                 if e - s < 2:
                     continue
-                found_i, found_j = [], []
-                for i, j in _pairs_of(np.array([s]), np.array([e]), own, bi, bj, most=1 << 20):
-                    near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
-                    i, j = i[near], j[near]
-                    if not len(i):
-                        continue
-                    both = _overlaps(sets[s:e], i - s, j - s)
-                    hit = both >= threshold * (size[i] + size[j] - both) - 1e-9
-                    i, j = i[hit], j[hit]
-                    first = _shared_first(leaves[i], leaves[j], leaf[i])
-                    np.add.at(links, i[first], cnt[j[first]])
-                    np.add.at(links, j[first], cnt[i[first]])
-                    found_i.append(i - s)
-                    found_j.append(j - s)
-                if found_i:
-                    root[s:e] = s + kit.local_roots(e - s, np.concatenate(found_i), np.concatenate(found_j))
+                group, found = sets[s:e], []
+                matrix = _overlap_matrix(group) if e - s > 9 else None  # more pairs than four times the members
+                for i, j in _pairs_of(np.array([s]), np.array([e]), own, bi, bj):
+                    for at in range(0, len(i), 1 << 14):
+                        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                        near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+                        a, b = a[near], b[near]
+                        both = _overlaps(group, a - s, b - s) if matrix is None else matrix[a - s, b - s].astype(np.int64)
+                        hit = both >= threshold * (size[a] + size[b] - both) - 1e-9
+                        a, b = a[hit], b[hit]
+                        first = _shared_first(leaves[a], leaves[b], leaf[a])
+                        np.add.at(links, a[first], cnt[b[first]])
+                        np.add.at(links, b[first], cnt[a[first]])
+                        found.append(np.stack([a - s, b - s]).astype(np.int32))
+                both_ends = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int32)
+                if both_ends.shape[1]:
+                    root[s:e] = s + kit.local_roots(e - s, both_ends[0], both_ends[1])
             any_link = (links > 0) | (root != np.arange(table.num_rows))
             yield pa.RecordBatch.from_arrays([pa.array(rep[any_link]), pa.array(links[any_link]), pa.array(rep[root][any_link])], names=["rep", "links", "root"])
 
