@@ -36,7 +36,7 @@ _KIND = np.array([0 if c == 10 else 1 if regex.match(r"\p{L}", chr(c)) else 2 if
 #: Runs that a worker remembers beyond a batch; when there are more, it starts afresh.
 REMEMBERED = 400_000
 #: Bytes of text that are encoded at a time.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 5 << 19
 
 
 def _byte_letters() -> list[str]:
@@ -273,8 +273,8 @@ def _coder(path: str):
         for batch in batches:
             ids, at = coder.encode_column(batch.column("text"))
             low = 0
-            while low < batch.num_rows:  # output by half a million ids
-                high = min(batch.num_rows, max(low + 1, int(np.searchsorted(at, at[low] + (1 << 19)))))
+            while low < batch.num_rows:  # output by slices of ids
+                high = min(batch.num_rows, max(low + 1, int(np.searchsorted(at, at[low] + (1 << 17)))))
                 lists = [ids[s:e].tolist() for s, e in zip(at[low:high].tolist(), at[low + 1 : high + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -286,6 +286,8 @@ def _coder(path: str):
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
                 low = high
+            del ids, at
+            kit.give_back()
 
     return run
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +45,6 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 
 def give_back() -> None:
     """Return free memory to the system, where the C library can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
