@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import html, scores, text
 from sievewright.functions.text import CleaningPolicy
-from sievewright.operators import clustering, evaluate, fusion, ingest, retrieval, rules, samples, state, vectors
+from sievewright.operators import clustering, evaluate, fusion, ingest, model_output, retrieval, rules, samples, state, vectors
 from sievewright.plans import jobs
 from sievewright.sources import eml
 from sievewright.sources.views import ACTIVE, cte, view
@@ -642,6 +642,22 @@ def archive_counts(spark, sf_dir):
     return samples.archive_split(view(spark, sf_dir, "samples"), _AS_OF).groupBy("archived").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"WITH {cte('samples')} SELECT id, CASE WHEN id % 4 = 1 THEN 'generic-v2' ELSE policy_version END AS policy_version, round(CASE WHEN id % 4 = 1 THEN -CAST(embedding[1] AS DOUBLE) ELSE CAST(embedding[1] AS DOUBLE) END, 6) AS first FROM samples WHERE id % 6 <> 0"
+)
+def reembed_and_delete(spark, sf_dir):
+    s = view(spark, sf_dir, "samples")
+    done = s.where("id % 4 = 1").select("id", F.transform("embedding", lambda x: -x).alias("embedding"), F.lit("generic-v2").alias("policy_version"))
+    kept = samples.delete(samples.mark_reembedded(s, done), s.where("id % 6 = 0"))
+    return kept.select("id", "policy_version", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query(f"WITH {cte('samples')} SELECT id, CASE WHEN id % 8 = 3 THEN 'L3' ELSE label_l1 END AS label_l1, CASE WHEN id % 8 = 3 THEN 'human_fix' ELSE source END AS source FROM samples")
+def bulk_relabel(spark, sf_dir):
+    s = view(spark, sf_dir, "samples")
+    return samples.relabel_many(s, s.where("id % 8 = 3"), "L3").select("id", "label_l1", "source")
+
+
 _DIST = "dist AS (SELECT sender_domain, label_l1 AS label, count(*) AS n, sum(count(*)) OVER (PARTITION BY sender_domain) AS total FROM samples GROUP BY 1, 2)"
 _CROSS = f"{_DIST}, crossed AS (SELECT *, n / total AS ratio, count(*) OVER (PARTITION BY label) - 1 >= 2 AS cross_domain FROM dist)"
 _PROPOSED = "CASE WHEN cross_domain THEN ratio ELSE ratio * 0.9 END"
@@ -944,6 +960,87 @@ def run_upsert(spark, sf_dir):
     return state.upsert(runs, changed.unionByName(added), ["run_id"]).groupBy("status").agg(F.count("*").alias("n"), F.min("run_id").alias("low"))
 
 
+@query(
+    f"WITH {cte('runs')}, s AS (SELECT skill_id, count(*) AS last FROM runs WHERE published GROUP BY 1) "
+    "SELECT r.skill_id, r.run_id, CAST(row_number() OVER (PARTITION BY r.skill_id ORDER BY r.run_id) + coalesce(last, 0) AS BIGINT) AS version FROM runs r LEFT JOIN s ON s.skill_id = r.skill_id WHERE NOT published"
+)
+def skill_versions(spark, sf_dir):
+    runs = view(spark, sf_dir, "runs")
+    skills = runs.where("published").groupBy("skill_id").agg(F.count("*").alias("version"))
+    return state.next_versions(skills, runs.where("NOT published").select("skill_id", "run_id")).select("skill_id", "run_id", F.col("version").cast("long").alias("version"))
+
+
+@query(
+    f"WITH {cte('feedback')}, l AS (SELECT feedback_id, CASE line % 4 WHEN 0 THEN [] WHEN 1 THEN [label] WHEN 2 THEN [label, label] ELSE [label, 'A', 'N'] END AS labels FROM feedback) "
+    "SELECT feedback_id, 'no_labels' AS violation FROM l WHERE len(labels) = 0 UNION ALL SELECT feedback_id, 'unknown_label' FROM l WHERE list_contains(labels, 'R') UNION ALL "
+    "SELECT feedback_id, 'repeated_label' FROM l WHERE len(list_distinct(labels)) < len(labels) UNION ALL SELECT feedback_id, 'exclusive_label' FROM l WHERE list_contains(labels, 'N') AND len(list_distinct(labels)) > 1"
+)
+def feedback_validation(spark, sf_dir):
+    label, none = F.col("label"), F.array().cast("array<string>")
+    kind = F.col("line") % 4
+    labels = F.when(kind == 0, none).when(kind == 1, F.array(label)).when(kind == 2, F.array(label, label)).otherwise(F.array(label, F.lit("A"), F.lit("N")))
+    return state.feedback_violations(view(spark, sf_dir, "feedback").withColumn("labels", labels), ["A", "N"], ["N"])
+
+
+@query(
+    f"WITH {cte('ledger')}, c AS (SELECT mailbox_id, dedup_key, min(uid) AS uid FROM ledger GROUP BY 1, 2), "
+    "e AS (SELECT l.*, CASE uid % 3 WHEN 0 THEN 'attached' WHEN 1 THEN 'accepted' ELSE 'skipped_filtered' END AS st FROM ledger l), "
+    "d AS (SELECT mailbox_id, dedup_key, arg_max(st, uid) AS st, min(uid) AS first FROM e WHERE st <> 'attached' GROUP BY 1, 2), "
+    "r AS (SELECT e.mailbox_id, e.dedup_key, max(e.uid) AS run_id FROM e LEFT JOIN d ON d.mailbox_id = e.mailbox_id AND d.dedup_key = e.dedup_key WHERE e.st = 'attached' AND (first IS NULL OR e.uid < first) GROUP BY 1, 2) "
+    "SELECT c.mailbox_id, c.dedup_key, coalesce(st, 'claimed') AS status, run_id FROM c LEFT JOIN d ON d.mailbox_id = c.mailbox_id AND d.dedup_key = c.dedup_key LEFT JOIN r ON r.mailbox_id = c.mailbox_id AND r.dedup_key = c.dedup_key"
+)
+def ledger_fold(spark, sf_dir):
+    base = view(spark, sf_dir, "ledger")
+    claims = base.select("mailbox_id", "dedup_key").distinct().withColumn("status", F.lit("claimed"))
+    kind = F.col("uid") % 3
+    events = base.select("mailbox_id", "dedup_key", F.col("uid").alias("seq"), F.col("uid").alias("run_id"), F.when(kind == 0, "attached").when(kind == 1, "accepted").otherwise("skipped_filtered").alias("status"))
+    return state.fold_ledger(claims, events)
+
+
+@query()
+def reviewer_identities(spark, sf_dir):
+    base = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    given = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit(" \uff21"), "c_name")).when(F.col("c_custkey") % 7 == 0, F.concat("c_name", F.lit("\u0007"))).otherwise(F.col("c_name"))
+    return base.select("c_custkey", state.reviewer_identity(given).alias("reviewer"))
+
+
+# --------------------------------------------------------------------------------------------
+# Model answers
+
+_ARGUMENTS = (
+    "concat('{\"labels\":[{\"l1_code\":\"c', doc_id % 5, '\",\"confidence\":', CASE WHEN doc_id % 11 = 0 THEN '1.5' ELSE '0.75' END, '}],\"meta\":{\"urgency\":\"', CASE WHEN doc_id % 13 = 0 THEN 'dire' ELSE 'low' END, "
+    "'\",\"sentiment\":\"neutral\",\"needs_human_review\":', CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END, CASE WHEN doc_id % 17 = 0 THEN '' ELSE '}}' END)"
+)
+_ANSWER = f"CASE WHEN doc_id % 19 = 0 THEN 'oops' WHEN doc_id % 23 = 0 THEN '{{\"choices\":[]}}' ELSE concat('{{\"choices\":[{{\"message\":{{\"tool_calls\":[{{\"function\":{{\"arguments\":\"', replace({_ARGUMENTS}, '\"', concat(chr(92), '\"')), '\"}}}}]}}}}]}}') END"
+
+
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 19 = 0 OR doc_id % 23 = 0 THEN 'envelope' WHEN doc_id % 17 = 0 THEN 'arguments' WHEN doc_id % 11 = 0 THEN 'label' WHEN doc_id % 13 = 0 THEN 'meta' END AS error, "
+    "CASE WHEN NOT (doc_id % 19 = 0 OR doc_id % 23 = 0 OR doc_id % 17 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0) THEN concat('c', doc_id % 5) END AS code, "
+    "CASE WHEN NOT (doc_id % 19 = 0 OR doc_id % 23 = 0 OR doc_id % 17 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0) THEN doc_id % 3 = 0 END AS review FROM documents"
+)
+def model_answers(spark, sf_dir):
+    answers = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_ANSWER).alias("response"))
+    parsed = model_output.parse_answers(answers)
+    return parsed.select("doc_id", "error", F.get("output.labels", F.lit(0))["l1_code"].alias("code"), F.col("output.meta.needs_human_review").alias("review"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 5 < 3 THEN round(CAST(embedding[1] AS DOUBLE), 6) END AS first, CASE WHEN vec_id % 5 < 3 THEN 64 END AS dim FROM embeddings")
+def embedding_answers(spark, sf_dir):
+    base = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    listed = F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("]"))
+    kind = F.col("vec_id") % 5
+    answer = (
+        F.when(kind == 0, F.concat(F.lit("[["), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("]]")))
+        .when(kind == 1, listed)
+        .when(kind == 2, F.concat(F.lit('{"data": [{"embedding": '), listed, F.lit("}]}")))
+        .when(kind == 3, F.lit('{"error": "busy"}'))
+        .otherwise(F.lit("[1.0, null]"))
+    )
+    v = base.select("vec_id", model_output.parse_embedding(answer).alias("v"))
+    return v.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.when(F.col("v").isNotNull(), F.size("v")).alias("dim"))
+
+
 # --------------------------------------------------------------------------------------------
 # Ingest
 

@@ -108,3 +108,29 @@ def audit_sample(samples: DataFrame, share: float = 0.1) -> DataFrame:
     open_ = samples.where("NOT reviewed")
     n = open_.count()
     return open_.orderBy(F.xxhash64("id"), "id").limit(max(1, int(n * share)) if n else 0)
+
+
+def insert(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The library with the admissible rows of new, and the others with their reasons."""
+    judged = admission(new, existing)
+    admitted = judged.where("admission_reason is null").drop("admission_reason")
+    return existing.unionByName(admitted, allowMissingColumns=True), judged.where("admission_reason is not null")
+
+
+def delete(samples: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """samples without those of the given ids or hashes."""
+    return samples.join(keys.select(key).distinct(), key, "left_anti")
+
+
+def relabel_many(samples: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """relabel for the rows whose ids are given."""
+    marked = samples.join(ids.select("id").distinct().withColumn("_chosen", F.lit(True)), "id", "left")
+    return relabel(marked, F.coalesce("_chosen", F.lit(False)), label).drop("_chosen")
+
+
+def mark_reembedded(samples: DataFrame, done: DataFrame) -> DataFrame:
+    """samples with the new vectors and policy of done (id, embedding, policy_version)."""
+    new = done.select("id", F.col("embedding").alias("_e"), F.col("policy_version").alias("_p"))
+    joined = samples.join(new, "id", "left")
+    hit = F.col("_p").isNotNull()
+    return joined.withColumns({"embedding": F.when(hit, F.col("_e")).otherwise(F.col("embedding")), "policy_version": F.coalesce("_p", "policy_version")}).drop("_e", "_p")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Allowed transitions of a run, and action types that need a person.
 TRANSITIONS = (
@@ -106,3 +109,52 @@ def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """current with the rows of changes instead of those of equal keys."""
     return current.join(changes.select(*keys), list(keys), "left_anti").unionByName(changes, allowMissingColumns=True)
+
+
+def next_versions(skills: DataFrame, new: DataFrame) -> DataFrame:
+    """new (skill_id, run_id) with version: one more than the skill's last, in order of run_id."""
+    last = skills.groupBy("skill_id").agg(F.max("version").alias("_last"))
+    order = Window.partitionBy("skill_id").orderBy("run_id")
+    numbered = new.withColumn("_n", F.row_number().over(order)).join(last, "skill_id", "left")
+    return numbered.withColumn("version", F.col("_n") + F.coalesce("_last", F.lit(0))).withColumn("published", F.lit(False)).drop("_n", "_last")
+
+
+def fold_ledger(claims: DataFrame, events: DataFrame) -> DataFrame:
+    """claims (mailbox_id, dedup_key, status) after events (same key, seq, status, run_id).
+
+    A run is attached only to a claim that is still claimed; otherwise the last event decides.
+    """
+    key = ["mailbox_id", "dedup_key"]
+    done = events.groupBy(*key).agg(F.max_by("status", F.when(F.col("status") != "attached", F.col("seq"))).alias("_status"), F.min(F.when(F.col("status") != "attached", F.col("seq"))).alias("_first"))
+    attached = events.where("status = 'attached'").join(done.select(*key, "_first"), key, "left").where(F.col("_first").isNull() | (F.col("seq") < F.col("_first")))
+    runs = attached.groupBy(*key).agg(F.max_by("run_id", "seq").alias("run_id"))
+    final = F.when(F.col("_first").isNotNull(), F.col("_status")).otherwise(F.col("status"))
+    return claims.join(done, key, "left").join(runs, key, "left").select(*key, final.alias("status"), F.when(claims["status"] == "claimed", F.col("run_id")).alias("run_id"))
+
+
+def feedback_violations(feedback: DataFrame, valid: Sequence[str], exclusive: Sequence[str]) -> DataFrame:
+    """(feedback_id, violation) of feedback whose labels (array) are not acceptable."""
+    labels = F.col("labels")
+    tests = {
+        "no_labels": F.size(labels) == 0,
+        "unknown_label": F.size(F.array_except(labels, F.array(*map(F.lit, valid)))) > 0,
+        "repeated_label": F.size(F.array_distinct(labels)) < F.size(labels),
+        "exclusive_label": F.arrays_overlap(labels, F.array(*map(F.lit, exclusive))) & (F.size(F.array_distinct(labels)) > 1),
+    }
+    return feedback.select("feedback_id", F.explode(F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()]))).alias("violation"))
+
+
+@F.pandas_udf(T.StringType())
+def reviewer_identity(names: pd.Series) -> pd.Series:
+    """A reviewer's name in compatibility form, trimmed; null if empty, over 255 long or with control characters."""
+
+    def one(name: str | None) -> str | None:
+        if name is None:
+            return None
+        plain = unicodedata.normalize("NFKC", name)
+        if any(unicodedata.category(c).startswith("C") for c in plain):
+            return None
+        plain = plain.strip()
+        return plain if 1 <= len(plain) <= 255 else None
+
+    return names.map(one)

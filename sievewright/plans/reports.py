@@ -142,3 +142,12 @@ def prompt(mails: DataFrame, taxonomy: str, most: int = 24_000) -> DataFrame:
 
     body = truncate_body(F.col("body"), most)
     return mails.withColumn("prompt", F.concat(F.lit(f"Taxonomy:\n{taxonomy}\n\n- subject: "), F.col("subject"), F.lit("\n- body:\n"), body))
+
+
+def latest_report(folder: str | Path, pattern: str = "*.json") -> Path | None:
+    """The last report by file name."""
+    return max(Path(folder).glob(pattern), key=lambda p: p.name, default=None)
+
+
+def read_report(path: str | Path) -> dict:
+    return json.loads(Path(path).read_text(encoding="utf-8"))
