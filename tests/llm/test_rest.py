@@ -170,15 +170,50 @@ def test_cascade_is_exact(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against brute force over what the stage before it kept."""
     import corpus_pipeline
+    from test_dedup import brute, exact_runs, similar
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    at = df
+    kept, at = [df], df
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         at = corpus_pipeline.kit.stored(stage(spark, at, sf), "test-stage")
+        kept.append(at)
         if k < 4:
             assert at.columns == df.columns and at.schema.simpleString() == df.schema.simpleString()
-    rows = corpus_pipeline.run(spark, sf)
-    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, at.collect()))
-    assert {"doc_id", "n_tokens"} <= set(at.columns)
+    raw, clean, single, cut, mixed = ([r.asDict() for r in x.orderBy("doc_id").collect()] for x in kept[:5])
+
+    model = train_toxicity(df, spark.read.parquet(f"{sf}/labels.parquet"))
+    told = {r.doc_id: r.predicted for r in score_toxicity(df, model).collect()}
+    assert clean == [r for r in raw if not told[r["doc_id"]]]
+
+    groups = brute([(r["doc_id"], r["text"]) for r in clean], similar)
+    assert single == [r for r in clean if groups[r["doc_id"]][0] == r["doc_id"]]
+
+    found, words = exact_runs([(r["doc_id"], r["text"]) for r in single])
+    after = {r["doc_id"]: r for r in cut}
+    for r in single:
+        mine = words[r["doc_id"]]
+        left = (after[r["doc_id"]]["text"] if r["doc_id"] in after else "").split()
+        if not found[r["doc_id"]]:
+            assert len(left) == len(mine) or len(mine) - len(left) >= 50  # near passages may go too
+        else:
+            assert len(left) <= len(mine) - len(found[r["doc_id"]])
+    assert not exact_runs([(r["doc_id"], r["text"]) for r in cut])[0]
+
+    sizes, taken = {}, {}
+    for rows, to in ((cut, sizes), (mixed, taken)):
+        for r in rows:
+            to[r["source"]] = to.get(r["source"], 0) + len(r["text"].split())
+    names = sorted(sizes)
+    targets = fill_targets([sizes[n] for n in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5 * sum(sizes.values()), 2)
+    longest = max(len(r["text"].split()) for r in cut)
+    assert all(abs(taken.get(n, 0) - t) <= longest for n, t in zip(names, targets, strict=True))
+    assert {r["doc_id"] for r in mixed} <= set(after) and all(r == after[r["doc_id"]] for r in mixed)
+
+    library = Tokenizer.from_file(corpus_pipeline.tokenizer_file())
+    want = sorted((r["doc_id"], len(library.encode(r["text"], add_special_tokens=False).ids)) for r in mixed)
+    assert sorted((r.doc_id, r.n_tokens) for r in at.collect()) == want
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, at.collect()))
