@@ -146,7 +146,7 @@ def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, ce
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = kit.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     facts = classes.select("rep", "vec", "cnt").join(linked, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    facts = kit.stored(facts, "embedding-facts")
+    facts = kit.stored(facts, "embedding-facts", classes.count(), 64)
     least = facts.groupBy("component").agg(F.min("vec").alias("component_id"))
     facts = facts.join(least, "component").select("rep", "component_id", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"))
     return (

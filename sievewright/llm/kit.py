@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.storage import fresh_path, shared_dir, stored
+from sievewright import storage
+from sievewright.storage import fresh_path, shared_dir
 
-__all__ = ["fresh_path", "shared_dir", "stored"]
+__all__ = ["fresh_path", "shared_dir"]
 
 #: Bytes of Arrow data handed to Python at once; bounds a worker's memory whatever the text lengths.
 BATCH_BYTES = 4 << 20
@@ -31,6 +33,20 @@ def session(df: DataFrame, size: int = BATCH_BYTES) -> SparkSession:
     return spark
 
 
+#: Size of a file that a narrow table is written to.
+FILE_BYTES = 32 << 20
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None, row_bytes: int = 32) -> DataFrame:
+    """A frame written to shared storage and read back; with a bound of its rows, to files of a fair size.
+
+    Where the number of rows is known to be small, many partitions would only make many small files.
+    """
+    if rows is not None:
+        df = df.coalesce(max(4, math.ceil(rows * row_bytes / FILE_BYTES)))
+    return storage.stored(df, name)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """run, after which the worker gives memory back: workers live on and serve other operators."""
 
@@ -264,37 +280,22 @@ def components(links: DataFrame, log: Callable[[int], None] | None = None) -> Da
     before they shuffle, links are made distinct each round, and every round is a stored table.
     """
     both = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    n = links.count()
+    edges = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", n)
     labels: DataFrame | None = None
     while True:
         either = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         down = either.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        down = stored(down, "down")
+        down = stored(down, "down", 2 * n)
         if labels is None:
             labels = down.select("node", F.col("to").alias("component"))
         else:
             step = down.select(F.col("node").alias("component"), F.col("to").alias("_to"))
             labels = labels.join(step, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
-        labels = stored(labels, "labels")
+            labels = stored(labels, "labels", 2 * n)
         left = down.select(F.col("node").alias("a"), F.col("to").alias("a2"))
         right = down.select(F.col("node").alias("b"), F.col("to").alias("b2"))
         moved = edges.join(left, "a").join(right, "b").where("a2 <> b2")
-        edges = stored(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")
+        edges = stored(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links", n)
         if edges.isEmpty():
             return labels
-
-
-# --------------------------------------------------------------------------------------------
-# Files that are not tables: opened where the shared folder is, local disk or object store.
-
-
-def filesystem(path: str):
-    """A pyarrow file system and the path in it, for a URI or a local path."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        path = path.removeprefix("file:")
-        return fs.LocalFileSystem(), "/" + path.lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path

@@ -138,13 +138,15 @@ def mix_sources(
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
     done = [state.where(~fractional)]
     state, level = state.where(fractional), 0
+    left = sum(r.n for r in rows)  # fractional rows at most
     while True:
         state = state.groupBy("sid", "leaf").applyInPandas(_rounder(seed + 10 * level, leaves == 1), schema)
         if leaves == 1:
             done.append(state)
             break
-        state = kit.stored(state, f"mix-level{level}")
+        state = kit.stored(state, f"mix-level{level}", left, 96)
         done.append(state.where(~fractional))
+        left = leaves * len(rows)  # one a leaf
         leaves, level = math.ceil(leaves / fan), level + 1
         state = state.where(fractional).withColumn("leaf", F.floor(F.col("leaf") / fan).cast("int"))
     result = done[0]
@@ -166,5 +168,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     picks = mix_sources(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
     # Rows of one id share that id's copies as evenly as whole numbers go.
     many = picks.withColumn("_n", F.greatest(F.lit(1), F.round(F.col("_n") / F.col("_rows"))).cast("int")).withColumnRenamed("doc_id", "_id")
-    kept = docs.join(kit.small(kit.stored(many, "mix-picks"), 24), F.col("doc_id").eqNullSafe(F.col("_id")))
+    kept = docs.join(kit.small(kit.stored(many, "mix-picks", docs.count()), 24), F.col("doc_id").eqNullSafe(F.col("_id")))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

@@ -268,7 +268,8 @@ def ngram_jaccard_join(
     base = kit.stored(docs.mapInArrow(kit.tidy(_sketcher(words)), "doc_id long, n_shingles int, s1 long, s2 long, sketch array<int>"), "ngram-base")
     same = F.xxhash64("s1", "s2", "n_shingles").alias("rep")
     classes = base.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("doc"), F.count("*").alias("cnt"), F.first("sketch").alias("sketch"))
-    classes = kit.stored(classes, "ngram-classes")
+    classes = kit.stored(classes, "ngram-classes", base.count(), 320)
+    n_sets = classes.count()
     reps = classes.where("doc is not null").select("rep", "cnt", "sketch")
 
     def children(node):
@@ -283,12 +284,15 @@ def ngram_jaccard_join(
     frontier = reps.select("rep", "sketch", roots.alias("node"))
     leaves = []
     for level in range(1, depth + 1):
-        frontier = kit.stored(frontier.select("rep", children(F.col("node")).alias("node")), f"ngram-level{level}")
+        # Rows follow from the level before: frontier rows times branch, of two longs each.
+        n_rows = branch * (runs * n_sets if level == 1 else n_large)
+        frontier = kit.stored(frontier.select("rep", children(F.col("node")).alias("node")), f"ngram-level{level}", n_rows)
         sized = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = kit.stored(frontier.join(sized, "node"), f"ngram-sized{level}")
+        sized = kit.stored(frontier.join(sized, "node"), f"ngram-sized{level}", n_rows)
         last = level == depth
         leaves.append(sized if last else sized.where(F.col("size") <= small))
         if not last:
+            n_large = sized.where(F.col("size") > small).count()
             frontier = sized.where(F.col("size") > small).select("rep", "node").join(reps.select("rep", "sketch"), "rep")
     leaf = leaves[0]
     for more in leaves[1:]:
@@ -303,7 +307,7 @@ def ngram_jaccard_join(
     need = dealt.mapInArrow(kit.tidy(_promising(SLACK * threshold)), "leaf long, bi int, bj int, own int, rep long, cnt long, leaves array<long>")
     need = kit.stored(need, "ngram-need")
     wanted = classes.join(need.select("rep").distinct(), "rep", "left_semi").select(F.col("doc").alias("doc_id"))
-    wanted = kit.stored(wanted.distinct(), "ngram-wanted")
+    wanted = kit.stored(wanted.distinct(), "ngram-wanted", n_sets)
     texts = docs.join(kit.small(wanted, 16), "doc_id", "left_semi").select("text")
     tokens = texts.mapInArrow(kit.tidy(_setter(words)), "n_shingles int, s1 long, s2 long, tokens binary").select(same, "tokens").dropDuplicates(["rep"])
     full = need.join(tokens, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
@@ -312,7 +316,7 @@ def ngram_jaccard_join(
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = kit.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     facts = classes.select("rep", "doc", "cnt").join(linked, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    facts = kit.stored(facts, "ngram-facts")
+    facts = kit.stored(facts, "ngram-facts", n_sets, 64)
     least = facts.groupBy("component").agg(F.min("doc").alias("class_id"))
     facts = facts.join(least, "component").select("rep", "class_id", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"))
     return (
@@ -329,7 +333,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id stay.
     """
     groups = ngram_jaccard_join(docs, **options)
-    keep = kit.stored(groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "ngram-keep")
+    keep = kit.stored(groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "ngram-keep", docs.count())
     joined = docs.join(kit.small(keep, 24), F.col("doc_id") == F.col("_id"))
     single = joined.where("_rows = 1").select(*docs.columns)
     repeated = joined.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
