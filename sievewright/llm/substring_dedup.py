@@ -8,12 +8,15 @@ found by sliding minima; as every ancestor of such a node is one too, the tree o
 gives their subtrees.  So a text of n tokens gives about 2n / length windows for each of a few hash
 functions instead of n^2 subsequences.
 
-Windows meet in two steps.  Over the corpus, a window is keyed by its min-hash token together with the
+Windows meet in three steps.  Over the corpus, a window is keyed by its min-hash token together with the
 ten words before it, and again with the ten words after it; each document is paired with the first
 document that has one of its keys.  Within such a pair all windows of equal min-hash are joined as
 intervals, the joined intervals give the regions of the two texts where a passage may be shared, and
 regions are verified on the tokens themselves: a span counts if at least ``words`` words of it stand in
-the earlier document with a Jaccard similarity of at least ``threshold``.
+the earlier document with a Jaccard similarity of at least ``threshold``.  The first document of a key
+need not hold the passage that later ones share, so last, around the anchors of all shared keys, each
+stretch of passage length that no span holds is keyed as a whole and its document paired with the first
+that has it: an exact passage is found whatever other documents have of it.
 
 Scale: windows of one key are never paired with each other, only with the key's first document.  That
 is linear in the windows, and an aggregation that combines before it shuffles, so a passage that a third
@@ -24,8 +27,8 @@ are one class and join as such.
 What may be missed: a passage with edits within ten words on both sides of every anchor (at the
 threshold, one edit in 50 words, each anchor has a clean side), or one whose min-hash tokens all differ:
 at exactly the threshold and the least length (1 - threshold) to the power of ``hashes``, far less for
-longer passages; and a passage whose every key also occurs, in another passage, in a document before
-all that share it.
+longer passages; and a near copy, without an exact run of ``words`` words, whose every key also occurs
+in an earlier document that does not hold the passage.
 
 Edge cases: null and short texts have no passages; repeats within one document do not count; rows of
 one doc_id are one document, spans go to the row whose text they were found in; rows without doc_id
@@ -113,7 +116,7 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_writer(length: int, hashes: int):
-    """(key, doc_id) of every compact window, once with what stands before its anchor and once with what follows."""
+    """(key, doc_id, c) of every compact window, once with what stands before its anchor and once with what follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,11 +130,11 @@ def _window_writer(length: int, hashes: int):
                     at = offsets[row] + c
                     far = at + 2 * SHINGLE * side
                     ok = (far >= offsets[row]) & (far < offsets[row + 1])
-                    at, far = at[ok], far[ok]
+                    at, far, place = at[ok], far[ok], c[ok].astype(np.int32)
                     key = kit.mix(tokens[at] + _SEEDS[f])
                     key = kit.mix(key * np.uint64(3) + tokens[(at + far) // 2])
                     key = kit.mix(key * np.uint64(3) + tokens[far] + np.uint64(side + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[ok]])], names=["key", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[ok]]), pa.array(place)], names=["key", "doc_id", "c"])
 
     return run
 
@@ -154,6 +157,33 @@ def _token_writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(packed, pa.binary())], names=["doc_id", "h", "tokens"])
 
 
+def _stretch_writer(length: int):
+    """(key, doc_id, open) of every stretch of passage length around a text's shared anchors; open if no span holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, offsets = _laid(batch.column("tokens"))
+            keys, at = kit.shingles(tokens, offsets, length, short=False)
+            near, done = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
+            for i, (spots, spans) in enumerate(zip(batch.column("spots").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+                n = int(at[i + 1] - at[i])
+                c = np.array(spots, dtype=np.int64)
+                np.add.at(near, at[i] + np.clip(c - length + 1, 0, n), 1)
+                np.add.at(near, at[i] + np.clip(c + 1, 0, n), -1)
+                for span in spans or ():
+                    low, high = span["start"], span["end"] - length - SHINGLE + 2
+                    if low < high:
+                        done[at[i] + low] += 1
+                        done[at[i] + high] -= 1
+            use = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+            ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(ids[use]), pa.array(np.cumsum(done)[:-1][use] == 0)], names=["key", "doc_id", "open"])
+
+    return run
+
+
 def _laid(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.frombuffer(x, dtype="<u4") for x in column.to_pylist()]
     return np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
@@ -273,14 +303,29 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     firsts = counted.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("source"))
     copies = kit.stored(counted.join(firsts, ["h", "h2", "n"]).where("doc_id > source").select("doc_id", "h", F.lit(0).alias("start"), F.col("n").alias("end"), "source"), "passage-copies", n_texts)
 
-    keys = docs.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long")
+    keys = docs.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("key", "source")
-    pairs = keys.join(shared, "key").where("doc_id > source").select("doc_id", "source").distinct()
-    pairs = kit.stored(pairs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti"), "passage-pairs")
-    wanted = kit.stored(pairs.select("doc_id").unionByName(pairs.select(F.col("source").alias("doc_id"))).distinct(), "passage-wanted", 2 * pairs.count())
+    holders = kit.stored(keys.join(shared, "key").select("doc_id", "source", "c").distinct(), "passage-holders")
+    whole = copies.select("doc_id").distinct()
+    pairs = kit.stored(holders.where("doc_id > source").select("doc_id", "source").distinct().join(whole, "doc_id", "left_anti"), "passage-pairs")
+    spots = kit.stored(holders.groupBy("doc_id").agg(F.collect_set("c").alias("spots")).join(whole, "doc_id", "left_anti"), "passage-spots")
+    wanted = kit.stored(spots.select("doc_id"), "passage-wanted", spots.count())
     tokens = kit.stored(docs.join(kit.small(wanted, 16), "doc_id", "left_semi").select("doc_id", "h", "text").mapInArrow(kit.tidy(_token_writer), "doc_id long, h long, tokens binary"), "passage-tokens")
-    both = kit.small(pairs, 32).join(tokens, "doc_id").join(tokens.select(F.col("doc_id").alias("source"), F.col("tokens").alias("source_tokens")), "source")
-    spans = both.select("doc_id", "h", "source", "tokens", "source_tokens").mapInArrow(kit.tidy(_verifier(length, threshold)), "doc_id long, h long, start int, end int, source long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = kit.small(pairs, 32).join(tokens, "doc_id").join(tokens.select(F.col("doc_id").alias("source"), F.col("tokens").alias("source_tokens")), "source")
+        both = both.select("doc_id", "h", "source", "tokens", "source_tokens").mapInArrow(kit.tidy(_verifier(length, threshold)), "doc_id long, h long, start int, end int, source long")
+        return kit.stored(both, "passage-met")
+
+    spans = verified(pairs)
+    # What the first documents of the keys did not give: stretches of passage length that meet as a whole.
+    known = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    around = tokens.join(spots, "doc_id").join(known, ["doc_id", "h"], "left").select("doc_id", "tokens", "spots", "spans")
+    stretches = around.mapInArrow(kit.tidy(_stretch_writer(length)), "key long, doc_id long, open boolean")
+    first = stretches.groupBy("key").agg(F.min("doc_id").alias("source"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).where("source < last").select("key", "source")
+    more = stretches.where("open").join(first, "key").where("doc_id > source").select("doc_id", "source").distinct()
+    more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
+    spans = spans.unionByName(verified(more))
     # Merge what overlaps within a document (its spans only, so small).
     per_doc = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end", "source"))).alias("s"))
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,source:bigint,most:int>>)")

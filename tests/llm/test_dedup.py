@@ -209,3 +209,28 @@ def test_components_of_chains(spark, n):
     links = spark.createDataFrame([(k + 1, k) for k in range(n)] + [(100 + k, 101 + k) for k in range(3)], "a long, b long")
     got = {r.node: r.component for r in kit.components(links).collect()}
     assert got == {k: 0 for k in range(n + 1)} | {100 + k: 100 for k in range(4)}
+
+
+def covers(found, doc, low, high):
+    """Whether the spans found hold words low to high of the document."""
+    return set(range(low, high)) <= {k for r in found if r.doc_id == doc for k in range(r.start_word, r.end_word)}
+
+
+def test_a_partial_quote_does_not_hide_a_passage(spark, docs):
+    rng = random.Random(11)
+    rows, want = [], []
+    for k in range(40):
+        passage, i = words(rng, 50 + k % 20), 10 * k
+        variant = list(passage)
+        for at in (8, 25, 42):
+            variant[at] = f"v{k}x{at}"
+        quote = passage[:-1] if k % 2 else variant  # 49 words and more in a row, or all with edits
+        if k % 2:
+            quote = passage[len(passage) - 49 :][:48]
+        rows.append((i, " ".join(words(rng, 20) + quote + words(rng, 20))))
+        for d in range(1, 4):
+            rows.append((i + d, " ".join(words(rng, 30) + passage + words(rng, 30))))
+            if d > 1:
+                want.append((i + d, 30, 30 + len(passage)))
+    found = duplicate_spans(docs(rows)).collect()
+    assert [w for w in want if not covers(found, *w)] == []
