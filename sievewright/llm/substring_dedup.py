@@ -189,9 +189,13 @@ def _laid(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
-def _joined_windows(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: np.ndarray, length: int) -> np.ndarray:
-    """Windows of equal min-hash of each row's two texts: columns row, l, r, l2, r2, drift, in order."""
-    out = []
+def _joined_windows(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: np.ndarray, length: int, covered: np.ndarray) -> Iterator[np.ndarray]:
+    """Windows of equal min-hash of each row's two texts: columns row, l, r, l2, r2, drift, in order.
+
+    First each window with the first occurrence of its min-hash, then with the second, and so on; a window
+    goes on while a token within passage length of its anchor is not ``covered``, which the caller marks.
+    """
+    mates, met, lefts = [], [], 0
     for f in range(JOINED):
         row, left, c, right = compact_windows(mine, at, length, _SEEDS[f])
         row2, left2, c2, right2 = compact_windows(theirs, at2, length, _SEEDS[f])
@@ -200,12 +204,24 @@ def _joined_windows(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: n
         key = mine[at[row] + c] << np.uint64(32) | row.astype(np.uint64)
         key2 = theirs[at2[row2] + c2] << np.uint64(32) | row2.astype(np.uint64)
         order = np.argsort(key2, kind="stable")
-        place = np.minimum(np.searchsorted(key2[order], key), len(order) - 1)
-        hit = key2[order][place] == key
-        met = order[place[hit]]
-        out.append(np.stack([row[hit], left[hit], right[hit], left2[met], right2[met], c2[met] - c[hit]]))
-    joined = np.concatenate(out, axis=1) if out else np.zeros((6, 0), np.int64)
-    return joined[:, np.lexsort((joined[2], joined[1], joined[0]))]
+        low, high = np.searchsorted(key2[order], key), np.searchsorted(key2[order], key, side="right")
+        hit = low < high
+        mates.append(np.stack([left2[order], right2[order], c2[order]]))
+        met.append(np.stack([row[hit], left[hit], right[hit], c[hit], low[hit] + lefts, high[hit] + lefts]))
+        lefts += len(order)
+    if not met:
+        return
+    mate, todo = np.concatenate(mates, axis=1), np.concatenate(met, axis=1)
+    while todo.shape[1]:
+        row, left, right, c, low, _ = todo
+        joined = np.stack([row, left, right, mate[0, low], mate[1, low], mate[2, low] - c])
+        yield joined[:, np.lexsort((joined[2], joined[1], joined[0]))]
+        todo[4] += 1
+        todo = todo[:, todo[4] < todo[5]]
+        row, left, right, c = todo[:4]
+        sums = np.concatenate([[0], np.cumsum(covered)])
+        low, high = at[row] + np.maximum(left, c - length + 1), at[row] + np.minimum(right, c + length - 1) + 1
+        todo = todo[:, sums[high] - sums[low] < high - low]
 
 
 def shared_spans(a: np.ndarray, b: np.ndarray, drift: int, low: int, length: int, threshold: float) -> list[tuple[int, int]]:
@@ -248,15 +264,19 @@ def shared_spans(a: np.ndarray, b: np.ndarray, drift: int, low: int, length: int
 
 
 def _regions(met: np.ndarray) -> list[list]:
-    """Join intervals of one pair: windows that overlap in both texts are one region."""
+    """Join intervals of one pair: windows that overlap in both texts, at about one drift, are one region."""
     regions: list[list] = []
+    open_: list[list] = []
     for left, right, left2, right2, drift in met.T.tolist():
-        last = regions[-1] if regions else None
-        if last and left <= last[1] and left2 <= last[3] + BRIDGE and right2 >= last[2] - BRIDGE:
-            last[1], last[2], last[3] = max(last[1], right), min(last[2], left2), max(last[3], right2)
-            last[4].append(drift)
+        open_ = [x for x in open_ if left <= x[1]]
+        for last in reversed(open_):
+            if left2 <= last[3] + BRIDGE and right2 >= last[2] - BRIDGE and abs(drift - last[4][-1]) <= BRIDGE:
+                last[1], last[2], last[3] = max(last[1], right), min(last[2], left2), max(last[3], right2)
+                last[4].append(drift)
+                break
         else:
             regions.append([left, right, left2, right2, [drift]])
+            open_.append(regions[-1])
     return regions
 
 
@@ -267,19 +287,18 @@ def _verifier(length: int, threshold: float):
                 continue
             mine, at = _laid(batch.column("tokens"))
             theirs, at2 = _laid(batch.column("source_tokens"))
-            met = _joined_windows(mine, at, theirs, at2, length)
             small, small2 = mine.astype(np.uint32), theirs.astype(np.uint32)
             ids, h, source = (batch.column(c).to_pylist() for c in ("doc_id", "h", "source"))
-            out = []
-            cuts = np.searchsorted(met[0], np.arange(batch.num_rows + 1))
-            for i in range(batch.num_rows):
-                if cuts[i] == cuts[i + 1]:
-                    continue
-                b, a = small[at[i] : at[i + 1]], small2[at2[i] : at2[i + 1]]
-                for left, right, left2, right2, drifts in _regions(met[1:, cuts[i] : cuts[i + 1]]):
-                    drift = int(np.median(drifts)) - left2
-                    for s, e in shared_spans(a[left2 : right2 + 1], b[left : right + 1], drift, left, length, threshold):
-                        out.append((ids[i], h[i], s, e + SHINGLE - 1, source[i]))
+            out, covered = [], np.zeros(len(mine), dtype=bool)
+            for met in _joined_windows(mine, at, theirs, at2, length, covered):
+                cuts = np.searchsorted(met[0], np.arange(batch.num_rows + 1))
+                for i in np.flatnonzero(np.diff(cuts)).tolist():
+                    b, a = small[at[i] : at[i + 1]], small2[at2[i] : at2[i + 1]]
+                    for left, right, left2, right2, drifts in _regions(met[1:, cuts[i] : cuts[i + 1]]):
+                        drift = int(np.median(drifts)) - left2
+                        for s, e in shared_spans(a[left2 : right2 + 1], b[left : right + 1], drift, left, length, threshold):
+                            out.append((ids[i], h[i], s, e + SHINGLE - 1, source[i]))
+                            covered[at[i] + s : at[i] + e] = True
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "h", "start", "end", "source"])
 

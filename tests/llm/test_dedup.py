@@ -234,3 +234,17 @@ def test_a_partial_quote_does_not_hide_a_passage(spark, docs):
                 want.append((i + d, 30, 30 + len(passage)))
     found = duplicate_spans(docs(rows)).collect()
     assert [w for w in want if not covers(found, *w)] == []
+
+
+def test_a_passage_in_a_repetitive_source(spark, docs):
+    rng = random.Random(12)
+    rows, want = [], []
+    for k in range(60):
+        runs = [words(rng, 14) for _ in range(3)]
+        records = [[w for run in runs for w in run + words(rng, 7)] for _ in range(80)]
+        one = records[rng.randrange(20, 60)]
+        rows.append((2 * k, " ".join(w for record in records for w in record)))
+        rows.append((2 * k + 1, " ".join(words(rng, 30) + one + words(rng, 30))))
+        want.append((2 * k + 1, 30, 30 + len(one)))
+    found = duplicate_spans(docs(rows)).collect()
+    assert [w for w in want if not covers(found, *w)] == []
