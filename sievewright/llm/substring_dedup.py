@@ -37,6 +37,7 @@ take no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -305,13 +306,19 @@ def _verifier(length: int, threshold: float):
     return run
 
 
-def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8, hashes: int = 2) -> DataFrame:
+def hashes_needed(threshold: float, recall: float) -> int:
+    """Hash functions of which one has the same min-hash in both texts of a passage at the threshold, but for 1 - recall."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+
+
+def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8, recall: float = 0.998, hashes: int | None = None) -> DataFrame:
     """Passages of docs (doc_id long, text string) that an earlier document (smaller doc_id) has too.
 
     One row a span: doc_id, h (hash of the text it was found in), start_word and end_word (from 0, end
     excluded), n_words, source_doc_id.  Spans of a document do not overlap; source_doc_id is the
-    document of the span's longest match.
+    document of the span's longest match.  Without ``hashes``, as many are used as ``recall`` needs.
     """
+    hashes = hashes or hashes_needed(threshold, recall)
     kit.session(docs, 2 << 20)
     length = words - SHINGLE + 1
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))

@@ -248,3 +248,21 @@ def test_a_passage_in_a_repetitive_source(spark, docs):
         want.append((2 * k + 1, 30, 30 + len(one)))
     found = duplicate_spans(docs(rows)).collect()
     assert [w for w in want if not covers(found, *w)] == []
+
+
+def test_passages_with_an_edit_are_recalled(spark, docs):
+    from sievewright.llm.substring_dedup import hashes_needed
+
+    assert hashes_needed(0.8, 0.998) == 4
+    rng = random.Random(13)
+    rows, want = [], []
+    for k in range(1000):
+        passage = words(rng, 53 + k % 8)
+        edited = list(passage)
+        edited[rng.randrange(5, len(passage) - 5)] = "edit"  # a span begins and ends with shared shingles
+        rows += [(2 * k, " ".join(words(rng, 30) + passage + words(rng, 30))), (2 * k + 1, " ".join(words(rng, 30) + edited + words(rng, 30)))]
+        want.append(2 * k + 1)
+    found = {r.doc_id for r in duplicate_spans(docs(rows)).collect()}
+    few = {r.doc_id for r in duplicate_spans(docs(rows), hashes=2).collect()}
+    print("missed", len(set(want) - found), "with two hashes", len(set(want) - few))
+    assert len(set(want) - found) <= 2
