@@ -332,11 +332,11 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     keys = docs.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("key", "source")
     holders = kit.stored(keys.join(shared, "key").select("doc_id", "source", "c").distinct(), "passage-holders")
-    whole = copies.select("doc_id").distinct()
-    pairs = kit.stored(holders.where("doc_id > source").select("doc_id", "source").distinct().join(whole, "doc_id", "left_anti"), "passage-pairs")
-    spots = kit.stored(holders.groupBy("doc_id").agg(F.collect_set("c").alias("spots")).join(whole, "doc_id", "left_anti"), "passage-spots")
+    whole = copies.select("doc_id", "h").distinct()  # texts, as an id may have others
+    pairs = kit.stored(holders.where("doc_id > source").select("doc_id", "source").distinct(), "passage-pairs")
+    spots = kit.stored(holders.groupBy("doc_id").agg(F.collect_set("c").alias("spots")), "passage-spots")
     wanted = kit.stored(spots.select("doc_id"), "passage-wanted", spots.count())
-    tokens = kit.stored(docs.join(kit.small(wanted, 16), "doc_id", "left_semi").select("doc_id", "h", "text").mapInArrow(kit.tidy(_token_writer), "doc_id long, h long, tokens binary"), "passage-tokens")
+    tokens = kit.stored(docs.join(kit.small(wanted, 16), "doc_id", "left_semi").join(whole, ["doc_id", "h"], "left_anti").select("doc_id", "h", "text").mapInArrow(kit.tidy(_token_writer), "doc_id long, h long, tokens binary"), "passage-tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = kit.small(pairs, 32).join(tokens, "doc_id").join(tokens.select(F.col("doc_id").alias("source"), F.col("tokens").alias("source_tokens")), "source")

@@ -266,3 +266,11 @@ def test_passages_with_an_edit_are_recalled(spark, docs):
     few = {r.doc_id for r in duplicate_spans(docs(rows), hashes=2).collect()}
     print("missed", len(set(want) - found), "with two hashes", len(set(want) - few))
     assert len(set(want) - found) <= 2
+
+
+def test_a_copy_does_not_hide_other_texts_of_its_id(spark, docs):
+    rng = random.Random(14)
+    whole, passage = words(rng, 70), words(rng, 80)
+    rows = [(1, " ".join(whole)), (2, " ".join(words(rng, 20) + passage)), (3, " ".join(whole)), (3, " ".join(words(rng, 20) + passage + words(rng, 20)))]
+    got = {(r.doc_id, r.start_word, r.end_word, r.source_doc_id) for r in duplicate_spans(docs(rows)).collect()}
+    assert got == {(3, 0, 70, 1), (3, 20, 100, 2)}
