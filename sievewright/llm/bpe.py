@@ -1,14 +1,14 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-Texts are cut at white space into runs, equal runs are found by 64-bit hashes, and only runs not met
-before are encoded.  All new runs of a batch are laid out as one array of symbols; an index maps each
+Texts are cut at white space into runs, equal runs are found by 64-bit hashes and compared byte by byte,
+and only runs not met before are encoded.  All new runs of a batch are laid out as one array of symbols; an index maps each
 mergeable pair to all its positions, and active ranks are applied in ascending order: one step merges
 every occurrence of a pair at once, and enters the pairs that the merges created into the lists of
 their own ranks.  Ids of runs that repeat are remembered by the worker, up to a fixed number of runs.
 
 The result is that of the tokenizer's own library for its vocabulary file (lower-casing word BPE with
 an end-of-word suffix), special tokens in a text included.  Runs beyond the Latin blocks are normalised
-and split by that library's own tables; merging is always done here.
+and split by that library's own tables, one by one; merging is always done here, for all of them at once.
 
 Edge cases: null is an empty text, which has no ids and decodes to an empty string; nothing is
 truncated, a text of any length is encoded whole.
@@ -35,8 +35,6 @@ _BLANK = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 _KIND = np.array([0 if c == 10 else 1 if regex.match(r"\p{L}", chr(c)) else 2 if regex.match(r"\p{N}", chr(c)) else 3 for c in range(0x400)], dtype=np.int8)
 #: Runs that a worker remembers beyond a batch; when there are more, it starts afresh.
 REMEMBERED = 400_000
-#: Bytes of text that are encoded at a time.
-BATCH_BYTES = 5 << 19
 
 
 def _byte_letters() -> list[str]:
@@ -86,6 +84,7 @@ class PairIndexBpe:
         self.digits = [str(i) for i in range(len(self.names))]
         self.known, self.known_ids = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
         self.known_head, self.known_count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known_raw, self.known_at, self.known_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; -1 where it never merges."""
@@ -177,15 +176,6 @@ class PairIndexBpe:
         sym, at = self.merge(np.where(last, self.final[raw], self.plain[raw]), last)
         return sym, np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)]))
 
-    def _by_library(self, run: str) -> list[int]:
-        pieces = self._library_pieces(run)
-        if not pieces:
-            return []
-        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        last = np.zeros(len(raw), dtype=bool)
-        last[np.cumsum([len(p) for p in pieces]) - 1] = True
-        return self._merged(raw, last, np.array([len(raw)]))[0].tolist()
-
     def encode_runs(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of runs laid end to end in UTF-8, and the bounds of each run's ids."""
         ends = np.cumsum(sizes)
@@ -201,54 +191,92 @@ class PairIndexBpe:
         counts[~hard] = np.diff(bounds)
         if not hard.any():
             return sym, bounds
-        rest = {k: self.encode(raw[ends[k] - sizes[k] : ends[k]].tobytes().decode()) for k in np.flatnonzero(hard).tolist()}
-        for k, ids in rest.items():
-            counts[k] = len(ids)
+        rest = np.flatnonzero(hard)
+        hard_ids, hard_at = self._hard_runs([raw[ends[k] - sizes[k] : ends[k]].tobytes().decode() for k in rest.tolist()])
+        counts[rest] = np.diff(hard_at)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         out = np.empty(bounds[-1], dtype=np.int32)
-        out[np.repeat(~hard, counts)] = sym
-        for k, ids in rest.items():
-            out[bounds[k] : bounds[k + 1]] = ids
+        quick_ids = np.repeat(~hard, counts)
+        out[quick_ids] = sym
+        out[~quick_ids] = hard_ids
         return out, bounds
 
+    def _hard_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs by the library's splitter, and the bounds of each one's: all their pieces are merged together.
+
+        Runs are cut at special tokens and once more at white space beyond ASCII.
+        """
+        parts: list[bytes] = []  # pieces of the stretches between special tokens
+        stretch, owner, special = [], [], []  # pieces of each stretch, its run, the special id that follows it (or -1)
+        for k, text in enumerate(runs):
+            at = 0
+            for m in [*(self.cut.finditer(text) if self.cut else ()), None]:
+                pieces = [p for run in split_runs(text[at : m.start() if m else len(text)]) for p in self._library_pieces(run)]
+                parts += pieces
+                stretch.append(sum(map(len, pieces)))
+                owner.append(k)
+                special.append(self.special[m[0]] if m else -1)
+                at = m.end() if m else at
+        raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        last = np.zeros(len(raw), dtype=bool)
+        last[np.cumsum([len(p) for p in parts], dtype=np.int64) - 1] = True
+        ids, bounds = self._merged(raw, last, np.array(stretch, dtype=np.int64))
+        special_ids, run = np.array(special, dtype=np.int32), np.array(owner, dtype=np.int64)
+        named = np.flatnonzero(special_ids >= 0)
+        count = np.bincount(run, weights=np.diff(bounds) + (special_ids >= 0), minlength=len(runs)).astype(np.int64)
+        return np.insert(ids, bounds[1:][named], special_ids[named]), np.concatenate([[0], np.cumsum(count)])
+
     def encode(self, text: str) -> list[int]:
         """Ids of one text, by the library's splitter."""
-        ids, at = [], 0
-        for m in self.cut.finditer(text) if self.cut else ():
-            ids += [i for run in split_runs(text[at : m.start()]) for i in self._by_library(run)]
-            ids.append(self.special[m[0]])
-            at = m.end()
-        return ids + [i for run in split_runs(text[at:]) for i in self._by_library(run)]
+        return self._hard_runs([text])[0].tolist()
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, as u16, and each text's bounds in them."""
         raw, offsets = kit.text_bytes(column)
         starts, ends, words = kit.word_bounds(raw, offsets)
-        key, first, which, counts = np.unique(kit.word_hashes(raw, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+        hashes = kit.word_hashes(raw, starts, ends)
+        while True:
+            key, first, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            same = kit.same_words(raw, starts, ends, raw, starts[first][which], ends[first][which])
+            if same.all():
+                break
+            hashes = np.where(same, hashes, kit.mix(hashes + np.uint64(1)))  # unlike runs that met are parted
+        heads, tails = starts[first], ends[first]
         at = np.searchsorted(self.known, key)
         at[at == len(self.known)] = 0
         old = self.known[at] == key if len(self.known) else np.zeros(len(key), dtype=bool)
+        hit = np.flatnonzero(old)
+        spot = at[hit]
+        old[hit] = kit.same_words(raw, heads[hit], tails[hit], self.known_raw, self.known_at[spot], self.known_at[spot] + self.known_size[spot])
+        met = np.zeros(len(key), dtype=bool)
+        met[hit] = True  # a hash that is taken is not remembered for another run
         new = np.flatnonzero(~old)
-        sizes = (ends - starts)[first[new]]
-        ids, bounds = self.encode_runs(raw[ranges(starts[first[new]], sizes)], sizes)
+        sizes = (tails - heads)[new]
+        ids, bounds = self.encode_runs(raw[ranges(heads[new], sizes)], sizes)
         flat = np.concatenate([self.known_ids, ids.astype(np.uint16)])
         head, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
         head[old], count[old] = self.known_head[at[old]], self.known_count[at[old]]
         head[new], count[new] = bounds[:-1] + len(self.known_ids), np.diff(bounds)
-        # Remember what repeats.
-        again = new[counts[new] > 1]
-        if len(self.known) + len(again) > REMEMBERED:
-            kept, keys = again, key[again]
-            heads, many = head[kept], count[kept]
-        else:
-            keys = np.concatenate([self.known, key[again]])
-            heads, many = np.concatenate([self.known_head, head[again]]), np.concatenate([self.known_count, count[again]])
-        order = np.argsort(keys)
-        self.known, self.known_count = keys[order], many[order]
-        self.known_ids = flat[ranges(heads[order], many[order])]
-        self.known_head = np.cumsum(self.known_count) - self.known_count
+        again = new[(counts[new] > 1) & ~met[new]]
+        if len(again):
+            self._remember(key[again], head[again], count[again], flat, raw, heads[again], tails[again] - heads[again])
         return flat[ranges(head[which], count[which])], np.concatenate([[0], np.cumsum(count[which])])[words]
 
+    def _remember(self, key: np.ndarray, head: np.ndarray, count: np.ndarray, flat: np.ndarray, raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Keep runs that repeat, with their bytes and ids; when there are too many, start afresh."""
+        own = raw[ranges(at, size)]
+        own_at = np.cumsum(size) - size
+        if len(self.known) + len(key) <= REMEMBERED:
+            own_at = np.concatenate([self.known_at, own_at + len(self.known_raw)])
+            own = np.concatenate([self.known_raw, own])
+            key, size = np.concatenate([self.known, key]), np.concatenate([self.known_size, size])
+            head, count = np.concatenate([self.known_head, head]), np.concatenate([self.known_count, count])
+        order = np.argsort(key)
+        self.known, self.known_count = key[order], count[order]
+        self.known_raw, self.known_at, self.known_size = own, own_at[order], size[order]
+        self.known_ids = flat[ranges(head[order], count[order])]
+        self.known_head = np.cumsum(self.known_count) - self.known_count
+
     def decode(self, ids) -> str:
         """The tokens' names joined by spaces: the vocabulary file names no decoder."""
         return " ".join([self.names[i] for i in ids])
@@ -298,6 +326,6 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     ids holds the decimal ids joined by one space, decoded the text that they decode to.  One pass
     without a shuffle.
     """
-    kit.session(docs, BATCH_BYTES)
+    kit.session(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(kit.tidy(_coder(tokenizer)), "doc_id long, n_tokens long, ids string, decoded string")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -18,21 +19,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright import storage
-from sievewright.storage import fresh_path, shared_dir
+from sievewright.storage import discard, fresh_path, shared_dir
 
-__all__ = ["fresh_path", "shared_dir"]
+__all__ = ["discard", "fresh_path", "shared_dir"]
 
 #: Bytes of Arrow data handed to Python at once; bounds a worker's memory whatever the text lengths.
-BATCH_BYTES = 4 << 20
+#: One number for all operators: plans are lazy, so the session keeps what was set last.
+BATCH_BYTES = 5 << 19
 
 
-def session(df: DataFrame, size: int = BATCH_BYTES) -> SparkSession:
+def session(df: DataFrame) -> SparkSession:
     """The frame's session, with Arrow batches bounded by bytes and not only by rows."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the frame's own columns do not have, whatever case they are in."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Size of a file that a narrow table is written to.
 FILE_BYTES = 32 << 20
 
@@ -80,10 +93,9 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_WINDOW = 1 << 18
-_powers: list[np.ndarray] = []
+#: Words beyond this many bytes are hashed one by one.
+_LONG = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,18 +107,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        tables = []
-        for base in (_BASE, inverse):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            tables.append(np.cumprod(steps, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and each row's offsets into them; null counts as empty."""
     column = column.cast(pa.large_string())
@@ -136,23 +136,55 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPA
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, as one number; zeros follow the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _masked(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Numbers of the bytes from each position, those beyond ``left`` bytes cleared."""
+    over = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+    return lanes[at] << over
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: polynomial over its bytes from prefix sums, then mixed.
+    """A 64-bit hash of each word: its bytes by eights, each chained through the finaliser.
 
-    Works through windows of the bytes, so scratch space follows the longest word, not the batch.
+    The finaliser is not linear, so no pattern of bytes makes unlike words meet (a polynomial modulo
+    2^64 would: Thue-Morse words collide for every base).  Words of up to eight bytes never collide
+    with words of their length.
     """
-    out = np.empty(len(starts), dtype=np.uint64)
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _STEP + np.uint64(0x9E3779B97F4A7C15))
+    lanes = _lanes(raw)
+    todo = np.flatnonzero((size > 0) & (size <= _LONG))
     at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _WINDOW)))
-        low, high = int(starts[at]), int(ends[to - 1])
-        power, inverse = _power_tables(max(high - low, _WINDOW) + 1)
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * inverse[s]
-        at = to
-    return mix(out)
+    while len(todo):
+        out[todo] = mix(out[todo] * _STEP ^ _masked(lanes, starts[todo] + at, size[todo] - at))
+        at += 8
+        todo = todo[size[todo] > at]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw2: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Whether each word equals its counterpart, byte by byte."""
+    size = (ends - starts).astype(np.int64)
+    same = size == ends2 - starts2
+    lanes = _lanes(raw)
+    lanes2 = lanes if raw2 is raw else _lanes(raw2)
+    todo = np.flatnonzero(same & (size > 0) & (size <= _LONG))
+    at = 0
+    while len(todo):
+        left = size[todo] - at
+        same[todo] = _masked(lanes, starts[todo] + at, left) == _masked(lanes2, starts2[todo] + at, left)
+        at += 8
+        todo = todo[same[todo] & (size[todo] > at)]
+    for k in np.flatnonzero(same & (size > _LONG)).tolist():
+        same[k] = np.array_equal(raw[starts[k] : ends[k]], raw2[starts2[k] : ends2[k]])
+    return same
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, n: int = 5, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -283,6 +315,7 @@ def components(links: DataFrame, log: Callable[[int], None] | None = None) -> Da
     n = links.count()
     edges = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", n)
     labels: DataFrame | None = None
+    first: DataFrame | None = None
     while True:
         either = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         down = either.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
@@ -291,13 +324,20 @@ def components(links: DataFrame, log: Callable[[int], None] | None = None) -> Da
             labels = down.select("node", F.col("to").alias("component"))
         else:
             step = down.select(F.col("node").alias("component"), F.col("to").alias("_to"))
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+            older, labels = labels, labels.join(step, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
             labels = stored(labels, "labels", 2 * n)
+            discard(older)
         left = down.select(F.col("node").alias("a"), F.col("to").alias("a2"))
         right = down.select(F.col("node").alias("b"), F.col("to").alias("b2"))
         moved = edges.join(left, "a").join(right, "b").where("a2 <> b2")
-        edges = stored(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links", n)
+        older, edges = edges, stored(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links", n)
+        discard(older)
+        if first is None:
+            first = down  # the labels of the first round are read from it
+        else:
+            discard(down)
         if edges.isEmpty():
+            discard(edges)
             return labels
 
 

@@ -50,7 +50,7 @@ def write_flat_files(docs: DataFrame, folder: str, *, tokenizer: str, separator:
     Special tokens' strings in a text are ordinary text, so the separator occurs between documents
     only.  Returns (path, ordinal, doc_id), a stored table: files it does not name do not count.
     """
-    kit.session(docs, bpe.BATCH_BYTES)
+    kit.session(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return kit.stored(docs.mapInArrow(kit.tidy(_flat_writer(folder, tokenizer, separator)), "path string, ordinal long, doc_id long"), "flat-manifest")
 

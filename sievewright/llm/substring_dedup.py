@@ -319,7 +319,7 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     document of the span's longest match.  Without ``hashes``, as many are used as ``recall`` needs.
     """
     hashes = hashes or hashes_needed(threshold, recall)
-    kit.session(docs, 2 << 20)
+    kit.session(docs)
     length = words - SHINGLE + 1
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     # Whole copies: a class is one text, its first document keeps it.

@@ -209,7 +209,7 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end: int,
     Returns the manifest (bucket, path, n_docs, n_ids), a stored table; files in bucket order hold
     ascending doc_ids.
     """
-    kit.session(docs, bpe.BATCH_BYTES)
+    kit.session(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = docs.count()
     files = max(1, math.ceil(n / docs_per_file))

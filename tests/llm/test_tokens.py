@@ -46,6 +46,47 @@ def test_encoding_equals_the_library(library):
             assert coder.decode(mine) == library.decode(w.ids, skip_special_tokens=False)
 
 
+def thue_morse(n):
+    w = [0]
+    while len(w) < n:
+        w += [1 - x for x in w]
+    return "".join("ab"[x] for x in w[:n]), "".join("ba"[x] for x in w[:n])
+
+
+@pytest.mark.parametrize("n", [64, 128, 1024, 2048, 4096])
+def test_words_that_a_polynomial_hash_confuses(library, n):
+    one, two = thue_morse(n)
+    raw, offsets = kit.text_bytes(pa.array([one, two]))
+    starts, ends, _ = kit.word_bounds(raw, offsets)
+    a, b = kit.word_hashes(raw, starts, ends).tolist()
+    assert a != b
+    coder = encoder(PATH, True)
+    ids, at = coder.encode_column(pa.array([one, two, f"{two} {one} {one} {two}"]))
+    for k, t in enumerate([one, two, f"{two} {one} {one} {two}"]):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_runs_are_told_apart_by_their_bytes(library, monkeypatch):
+    """With a hash that confuses almost all, ids are still the library's, in the batch and from memory."""
+    weak = lambda raw, starts, ends: (raw[starts] % 3).astype(np.uint64)
+    monkeypatch.setattr(kit, "word_hashes", weak)
+    coder = encoder.__wrapped__(PATH, True)
+    texts = strange(60, 9) + ["one two one two three", "three two one"]
+    for _ in range(2):
+        ids, at = coder.encode_column(pa.array(texts, pa.string()))
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_same_words():
+    texts = ["", "a", "abcdefgh", "abcdefghi", "x" * 300, "x" * 299 + "y", "é" * 40]
+    raw, offsets = kit.text_bytes(pa.array(texts))
+    starts, ends = offsets[:-1], offsets[1:]
+    for k in range(len(texts)):
+        same = kit.same_words(raw, starts, ends, raw, np.full(len(texts), starts[k]), np.full(len(texts), ends[k]))
+        assert np.flatnonzero(same).tolist() == [k]
+
+
 def test_digests(spark, docs, library):
     texts = [*strange(60, 3), None]
     got = {r.doc_id: r for r in bpe_digest(encode_documents(docs(list(enumerate(texts))), PATH)).collect()}
