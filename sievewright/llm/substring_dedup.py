@@ -14,21 +14,29 @@ document that has one of its keys.  Within such a pair all windows of equal min-
 intervals, the joined intervals give the regions of the two texts where a passage may be shared, and
 regions are verified on the tokens themselves: a span counts if at least ``words`` words of it stand in
 the earlier document with a Jaccard similarity of at least ``threshold``.  The first document of a key
-need not hold the passage that later ones share, so last, around the anchors of all shared keys, each
-stretch of passage length that no span holds is keyed as a whole and its document paired with the first
-that has it: an exact passage is found whatever other documents have of it.
+need not hold the passage that later ones share, as one that quotes a part of it has the keys too.  So
+the shared anchors that no span holds go on.  Around them each stretch of passage length is keyed as a
+whole and its document paired with the first that has it: an exact passage is found whatever other
+documents have of it.  And their windows are narrowed: the interval of stretches that hold an anchor is
+cut into runs of equal min-hash under further functions, which gives windows that share a longer and
+longer signature, as a tree of two functions a level; each document of a window that others share is
+paired with that window's first one.  Passages at the threshold stay together on four fifths of the
+branches of every level, what merely quotes a part parts from them.
 
 Scale: windows of one key are never paired with each other, only with the key's first document.  That
 is linear in the windows, and an aggregation that combines before it shuffles, so a passage that a third
-of all documents hold costs one partial row a task.  The passage kept is always the one of its first
+of all documents hold costs one partial row a task; where the first documents go back to the windows,
+adaptive execution splits a hot key, as both sides are plain exchanges of stored tables.  A source that
+very many documents are compared with is salted.  The passage kept is always the one of its first
 document.  Most keys belong to one document and go after one exchange of (key, document).  Whole copies
 are one class and join as such.
 
 What may be missed: a passage with edits within ten words on both sides of every anchor (at the
 threshold, one edit in 50 words, each anchor has a clean side), or one whose min-hash tokens all differ:
 at exactly the threshold and the least length (1 - threshold) to the power of ``hashes``, far less for
-longer passages; and a near copy, without an exact run of ``words`` words, whose every key also occurs
-in an earlier document that does not hold the passage.
+longer passages; and a near copy, without an exact run of ``words`` words, all of whose windows, down to
+signatures of five tokens, also occur in earlier documents that do not hold the passage.  Tokens are
+compared as 32-bit hashes of shingles.
 
 Edge cases: null and short texts have no passages; repeats within one document do not count; rows of
 one doc_id are one document, spans go to the row whose text they were found in; rows without doc_id
@@ -52,9 +60,29 @@ SHINGLE = 5
 BRIDGE = 40
 #: Hash functions whose windows are joined within a pair.
 JOINED = 4
+#: Steps, of two levels each, that open windows are narrowed by.
+LEVELS = 2
+#: Documents that meet one source in a task.
+SHARERS = 512
 _SEEDS = kit.mix(np.arange(501, 565, dtype=np.uint64))
 
 
+def _slid(tokens: np.ndarray, length: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The position of the smallest hash among ``length`` tokens from each one on, and all tokens' ranks; ties: the leftmost."""
+    n = len(tokens)
+    bits = np.uint64(40) if n < 1 << 24 else np.uint64(64 - 34)  # beyond: one text of over 16 million tokens
+    shift = np.uint64(64) - bits
+    rank = (kit.mix(tokens ^ seed) >> shift << shift) | np.arange(n, dtype=np.uint64)
+    low = rank
+    span = 1
+    while 2 * span <= length:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < length:
+        low = np.minimum(low[: len(low) - (length - span)], low[length - span :])
+    return (low & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64), rank
+
+
 def compact_windows(tokens: np.ndarray, offsets: np.ndarray, length: int, seed: np.uint64, extents: bool = True) -> tuple[np.ndarray, ...]:
     """(row, l, c, r) of every compact window of at least ``length`` tokens, positions within their rows.
 
@@ -65,27 +93,13 @@ def compact_windows(tokens: np.ndarray, offsets: np.ndarray, length: int, seed:
     none = np.zeros(0, np.int64)
     if n < length or not (sizes >= length).any():
         return none, none, none, none
-    if n >= 1 << 24:  # positions take 24 bits: go through parts of the rows
+    if n >= 1 << 24 and len(sizes) > 1:  # positions take 24 bits: go through parts of the rows
         cut = int(np.searchsorted(offsets, offsets[0] + n // 2))
-        cut = min(max(cut, 1), len(sizes) - 1) if len(sizes) > 1 else 0
-        if cut:
-            left = compact_windows(tokens[: offsets[cut]], offsets[: cut + 1], length, seed, extents)
-            right = compact_windows(tokens[offsets[cut] :], offsets[cut:] - offsets[cut], length, seed, extents)
-            return (np.concatenate([left[0], right[0] + cut]), *(np.concatenate(x) for x in zip(left[1:], right[1:], strict=True)))
-        at = np.arange(n, dtype=np.uint64)
-        bits = np.uint64(64 - 34)  # one text of over 16 million tokens
-    else:
-        at, bits = np.arange(n, dtype=np.uint64), np.uint64(40)
-    shift = np.uint64(64) - bits
-    rank = (kit.mix(tokens ^ seed) >> shift << shift) | at  # ties: the leftmost
-    low = rank
-    span = 1
-    while 2 * span <= length:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < length:
-        low = np.minimum(low[: len(low) - (length - span)], low[length - span :])
-    arg = (low & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)  # of the window that starts here
+        cut = min(max(cut, 1), len(sizes) - 1)
+        left = compact_windows(tokens[: offsets[cut]], offsets[: cut + 1], length, seed, extents)
+        right = compact_windows(tokens[offsets[cut] :], offsets[cut:] - offsets[cut], length, seed, extents)
+        return (np.concatenate([left[0], right[0] + cut]), *(np.concatenate(x) for x in zip(left[1:], right[1:], strict=True)))
+    arg, rank = _slid(tokens, length, seed)  # of the window that starts here
     row = np.repeat(np.arange(len(sizes)), sizes)[: len(arg)]
     inside = np.arange(len(arg)) + length <= offsets[1:][row]
     arg, row = arg[inside], row[inside]
@@ -158,6 +172,25 @@ def _token_writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(packed, pa.binary())], names=["doc_id", "h", "tokens"])
 
 
+def _around(batch: pa.RecordBatch, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For the stretches of all rows laid end to end (``at`` bounds each row's): how many shared anchors each
+    holds, how many spans hold it, and each row's anchors."""
+    near, done = np.zeros(int(at[-1]) + 1, np.int64), np.zeros(int(at[-1]) + 1, np.int64)
+    anchors = []
+    for i, (spots, spans) in enumerate(zip(batch.column("spots").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+        n = int(at[i + 1] - at[i])
+        c = np.array(spots, dtype=np.int64)
+        anchors.append(c)
+        np.add.at(near, at[i] + np.clip(c - length + 1, 0, n), 1)
+        np.add.at(near, at[i] + np.clip(c + 1, 0, n), -1)
+        for span in spans or ():
+            low, high = span["start"], span["end"] - length - SHINGLE + 2
+            if low < high:
+                done[at[i] + low] += 1
+                done[at[i] + high] -= 1
+    return np.cumsum(near)[:-1], np.cumsum(done)[:-1], anchors
+
+
 def _stretch_writer(length: int):
     """(key, doc_id, open) of every stretch of passage length around a text's shared anchors; open if no span holds it."""
 
@@ -167,20 +200,74 @@ def _stretch_writer(length: int):
                 continue
             tokens, offsets = _laid(batch.column("tokens"))
             keys, at = kit.shingles(tokens, offsets, length, short=False)
-            near, done = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
-            for i, (spots, spans) in enumerate(zip(batch.column("spots").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
-                n = int(at[i + 1] - at[i])
-                c = np.array(spots, dtype=np.int64)
-                np.add.at(near, at[i] + np.clip(c - length + 1, 0, n), 1)
-                np.add.at(near, at[i] + np.clip(c + 1, 0, n), -1)
-                for span in spans or ():
-                    low, high = span["start"], span["end"] - length - SHINGLE + 2
-                    if low < high:
-                        done[at[i] + low] += 1
-                        done[at[i] + high] -= 1
-            use = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+            near, done, _ = _around(batch, at, length)
+            use = np.flatnonzero(near > 0)
             ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(ids[use]), pa.array(np.cumsum(done)[:-1][use] == 0)], names=["key", "doc_id", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(ids[use]), pa.array(done[use] == 0)], names=["key", "doc_id", "open"])
+
+    return run
+
+
+def narrowed(tokens: np.ndarray, offsets: np.ndarray, at: np.ndarray, length: int, node: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """Windows (parent, node, low, high) that share two more min-hashes than the given ones.
+
+    A window is an interval of stretch starts, given by positions among all rows' stretches (``at``), whose
+    stretches share the signature ``node``.  Each of four pairs of functions, two a level, cuts it into runs
+    of equal min-hashes.
+    """
+    sizes = np.diff(at)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.arange(len(row)) - at[row] + offsets[row]  # where each stretch begins among all tokens
+    args = [_slid(tokens, length, _SEEDS[8 + 4 * level + k])[0][start] if len(start) else start for k in range(4)]
+    out = []
+    for one, two in ((0, 2), (0, 3), (1, 2), (1, 3)):
+        change = np.ones(len(row), dtype=np.int64)
+        change[1:] = (args[one][1:] != args[one][:-1]) | (args[two][1:] != args[two][:-1]) | (row[1:] != row[:-1])
+        run = np.cumsum(change) - 1
+        heads = np.append(np.flatnonzero(change), len(row))
+        first, count = run[low], run[high] - run[low] + 1
+        parent = np.repeat(np.arange(len(node)), count)
+        each = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(parent))
+        left, right = np.maximum(heads[each], low[parent]), np.minimum(heads[each + 1] - 1, high[parent])
+        key = kit.mix(node[parent] * np.uint64(5) + np.uint64(2 * one + two))
+        key = kit.mix(key + kit.mix(tokens[args[one][left]]) * np.uint64(3) + kit.mix(tokens[args[two][left]] + np.uint64(1)))
+        out.append((parent, key, left, right))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _narrower(length: int, level: int):
+    """(key, doc_id, h, low, high) of windows of two more min-hashes: of the open stretches around anchors at level 0, of ``windows`` beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, offsets = _laid(batch.column("tokens"))
+            at = np.concatenate([[0], np.cumsum(np.maximum(np.diff(offsets) - length + 1, 0))])
+            if level:
+                held = batch.column("windows").to_pylist()
+                row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                node, low, high = (np.array([w[k] for x in held for w in x], dtype=np.int64) for k in ("key", "low", "high"))
+                node, low, high = node.view(np.uint64), low + at[row], high + at[row]
+            else:
+                _, done, anchors = _around(batch, at, length)
+                row = np.repeat(np.arange(len(anchors)), [len(x) for x in anchors])
+                c = np.concatenate([*anchors, np.zeros(0, np.int64)])
+                fits = (c >= 0) & (c < np.diff(offsets)[row]) & (np.diff(at)[row] > 0)
+                row, c = row[fits], c[fits]
+                node = kit.mix(tokens[offsets[row] + c] + np.uint64(9))
+                low, high = at[row] + np.maximum(c - length + 1, 0), at[row] + np.minimum(c, np.diff(at)[row] - 1)
+                # Stretches that a span holds are done: to the first and last that are open.
+                free = np.concatenate([np.flatnonzero(done == 0), [len(done)]])
+                first, last = free[np.searchsorted(free, low)], free[np.searchsorted(free, high, side="right") - 1]
+                some = (first <= high) & (last >= low)
+                row, node, low, high = row[some], node[some], first[some], last[some]
+            if not len(node):
+                continue
+            parent, key, left, right = narrowed(tokens, offsets, at, length, node, low, high, level)
+            of = row[parent]
+            fields = [pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array((left - at[of]).astype(np.int32)), pa.array((right - at[of]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(fields, names=["key", "doc_id", "h", "low", "high"])
 
     return run
 
@@ -311,6 +398,16 @@ def hashes_needed(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, ...) whose key several documents have, with the first of them as source.
+
+    The shared keys are a stored table, so where they are not small both sides of the join are plain
+    exchanges, whose hot partitions adaptive execution splits.
+    """
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("key", "source")
+    return rows.join(kit.small(kit.stored(shared, "passage-firsts"), 16), "key")
+
+
 def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8, recall: float = 0.998, hashes: int | None = None) -> DataFrame:
     """Passages of docs (doc_id long, text string) that an earlier document (smaller doc_id) has too.
 
@@ -328,30 +425,57 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     n_texts = counted.count()
     firsts = counted.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("source"))
     copies = kit.stored(counted.join(firsts, ["h", "h2", "n"]).where("doc_id > source").select("doc_id", "h", F.lit(0).alias("start"), F.col("n").alias("end"), "source"), "passage-copies", n_texts)
-
-    keys = docs.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("key", "source")
-    holders = kit.stored(keys.join(shared, "key").select("doc_id", "source", "c").distinct(), "passage-holders")
+    kit.discard(counted)
     whole = copies.select("doc_id", "h").distinct()  # texts, as an id may have others
+    keys = kit.stored(docs.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int"), "passage-keys")
+    holders = kit.stored(_held(keys).select("doc_id", "source", "c"), "passage-holders")
     pairs = kit.stored(holders.where("doc_id > source").select("doc_id", "source").distinct(), "passage-pairs")
     spots = kit.stored(holders.groupBy("doc_id").agg(F.collect_set("c").alias("spots")), "passage-spots")
+    kit.discard(keys, holders)
     wanted = kit.stored(spots.select("doc_id"), "passage-wanted", spots.count())
     tokens = kit.stored(docs.join(kit.small(wanted, 16), "doc_id", "left_semi").join(whole, ["doc_id", "h"], "left_anti").select("doc_id", "h", "text").mapInArrow(kit.tidy(_token_writer), "doc_id long, h long, tokens binary"), "passage-tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = kit.small(pairs, 32).join(tokens, "doc_id").join(tokens.select(F.col("doc_id").alias("source"), F.col("tokens").alias("source_tokens")), "source")
-        both = both.select("doc_id", "h", "source", "tokens", "source_tokens").mapInArrow(kit.tidy(_verifier(length, threshold)), "doc_id long, h long, start int, end int, source long")
-        return kit.stored(both, "passage-met")
+        # A source of many pairs meets them in several tasks.
+        often = pairs.groupBy("source").agg(F.ceil(F.count("*") / SHARERS).cast("int").alias("parts"))
+        often = kit.stored(often, "passage-sources", pairs.count())
+        theirs = tokens.select(F.col("doc_id").alias("source"), F.col("tokens").alias("source_tokens")).join(kit.small(often, 16), "source")
+        theirs = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        mine = kit.small(pairs, 32).join(tokens, "doc_id").join(kit.small(often, 16), "source")
+        mine = mine.withColumn("part", F.pmod(F.xxhash64("doc_id", "h"), F.col("parts")).cast("int"))
+        both = mine.join(theirs, ["source", "part"]).select("doc_id", "h", "source", "tokens", "source_tokens").mapInArrow(kit.tidy(_verifier(length, threshold)), "doc_id long, h long, start int, end int, source long")
+        found = kit.stored(both, "passage-met")
+        kit.discard(often)
+        return found
+
+    def with_spans(spans: DataFrame) -> DataFrame:
+        known = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        return tokens.join(spots, "doc_id").join(known, ["doc_id", "h"], "left").select("doc_id", "h", "tokens", "spots", "spans")
 
     spans = verified(pairs)
     # What the first documents of the keys did not give: stretches of passage length that meet as a whole.
-    known = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    around = tokens.join(spots, "doc_id").join(known, ["doc_id", "h"], "left").select("doc_id", "tokens", "spots", "spans")
-    stretches = around.mapInArrow(kit.tidy(_stretch_writer(length)), "key long, doc_id long, open boolean")
+    stretches = with_spans(spans).mapInArrow(kit.tidy(_stretch_writer(length)), "key long, doc_id long, open boolean")
     first = stretches.groupBy("key").agg(F.min("doc_id").alias("source"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).where("source < last").select("key", "source")
-    more = stretches.where("open").join(first, "key").where("doc_id > source").select("doc_id", "source").distinct()
+    first = kit.stored(first, "passage-stretches")
+    more = stretches.where("open").join(kit.small(first, 16), "key").where("doc_id > source").select("doc_id", "source").distinct()
     more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
     spans = spans.unionByName(verified(more))
+    # And windows of longer signatures, around the anchors that are still open.
+    schema = "key long, doc_id long, h long, low int, high int"
+    met, level = pairs.unionByName(more), with_spans(spans)
+    deeper = []
+    for depth in range(LEVELS):
+        windows = kit.stored(level.mapInArrow(kit.tidy(_narrower(length, depth)), schema), f"passage-windows{depth}")
+        shared = kit.stored(_held(windows), f"passage-shared{depth}")
+        deeper.append(shared.where("doc_id > source").select("doc_id", "source"))
+        kit.discard(windows)
+        held = shared.groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "low", "high")).alias("windows"))
+        level = tokens.join(held, ["doc_id", "h"])
+    last = deeper[0]
+    for one in deeper[1:]:
+        last = last.unionByName(one)
+    last = kit.stored(last.distinct().join(met, ["doc_id", "source"], "left_anti"), "passage-last")
+    spans = spans.unionByName(verified(last))
     # Merge what overlaps within a document (its spans only, so small).
     per_doc = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end", "source"))).alias("s"))
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,source:bigint,most:int>>)")
@@ -373,38 +497,42 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     return every.select("doc_id", "h", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("source").alias("source_doc_id"))
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw, offsets = kit.text_bytes(batch.column("text"))
-        starts, ends, words = kit.word_bounds(raw, offsets)
-        data = raw.tobytes()
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("_spans").to_pylist()):
-            if not spans:
+def _cutter(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            at, parts, own = int(offsets[i]), [], words[i]
-            for s, e in sorted((x["start_word"], x["end_word"]) for x in spans):
-                parts.append(data[at : int(starts[own + s])])
-                at = int(ends[own + e - 1])
-            parts.append(data[at : int(offsets[i + 1])])
-            texts[i] = b"".join(parts).decode()
-        yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names)], names=batch.schema.names)
+            raw, offsets = kit.text_bytes(batch.column("text"))
+            starts, ends, words = kit.word_bounds(raw, offsets)
+            data = raw.tobytes()
+            texts = batch.column("text").to_pylist()
+            for i, spans in enumerate(batch.column(column).to_pylist()):
+                if not spans:
+                    continue
+                at, parts, own = int(offsets[i]), [], words[i]
+                for s, e in sorted((x["start_word"], x["end_word"]) for x in spans):
+                    parts.append(data[at : int(starts[own + s])])
+                    at = int(ends[own + e - 1])
+                parts.append(data[at : int(offsets[i + 1])])
+                texts[i] = b"".join(parts).decode()
+            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names)], names=batch.schema.names)
+
+    return run
 
 
 def cut_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without the passages that an earlier document has.
 
     A document that had words and has none left goes; others keep all their columns, n_chars (if there
-    is one) follows the text.
+    is one) follows the text.  Columns of any other name are carried along.
     """
     spans = kit.stored(duplicate_spans(docs, **options), "passage-spans")
-    per_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    joined = docs.join(kit.small(kit.stored(per_doc, "passage-cuts", spans.count(), 64), 96), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left").drop("_id", "_h")
+    id_, h, cuts = kit.free_names(docs, "_id", "_h", "_spans")
+    per_doc = spans.groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(cuts))
+    joined = docs.join(kit.small(kit.stored(per_doc, "passage-cuts", spans.count(), 64), 96), (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(h)), "left").drop(id_, h)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
-    cut = joined.mapInArrow(kit.tidy(_cutter), schema).where(F.col("_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = joined.mapInArrow(kit.tidy(_cutter(cuts)), schema).where(F.col(cuts).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        cut = cut.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return cut.select(*docs.columns)

@@ -274,3 +274,51 @@ def test_a_copy_does_not_hide_other_texts_of_its_id(spark, docs):
     rows = [(1, " ".join(whole)), (2, " ".join(words(rng, 20) + passage)), (3, " ".join(whole)), (3, " ".join(words(rng, 20) + passage + words(rng, 20)))]
     got = {(r.doc_id, r.start_word, r.end_word, r.source_doc_id) for r in duplicate_spans(docs(rows)).collect()}
     assert got == {(3, 0, 70, 1), (3, 20, 100, 2)}
+
+
+def test_fragments_do_not_hide_near_passages(spark, docs):
+    """Earlier documents hold shuffled fragments of a passage; of two later ones, one has an edit in it."""
+    rng = random.Random(15)
+    rows, want = [], []
+    for k in range(120):
+        length = (50, 60, 120)[k % 3]
+        passage, i = words(rng, length), 20 * k
+        pieces = [passage[a : a + 40] for a in range(0, length - 39, 10)]
+        for f in range(1 + k % 4):  # one to four of them
+            rng.shuffle(pieces)
+            rows.append((i + f, " ".join(w for p in pieces for w in p + words(rng, 6))))
+        edited = list(passage)
+        edited[rng.randrange(5, length - 5)] = "edit"
+        rows.append((i + 10, " ".join(words(rng, 30) + passage + words(rng, 30))))
+        rows.append((i + 11, " ".join(words(rng, 30) + edited + words(rng, 30))))
+        same = len(set(shingles(" ".join(passage))) & set(shingles(" ".join(edited))))
+        if same >= 0.8 * (2 * (length - 4) - same):
+            want.append((i + 11, 35, 25 + length))
+    found = duplicate_spans(docs(rows)).collect()
+    missed = [w for w in want if not covers(found, *w)]
+    print("missed", len(missed), "of", len(want))
+    assert len(want) >= 80 and len(missed) <= 0.05 * len(want)
+
+
+def test_a_common_line_joins_nothing(spark, docs):
+    """A line that all documents have, several times, is no passage; passages beside it are found."""
+    rng = random.Random(16)
+    line, passage = words(rng, 30), words(rng, 60)
+    rows = [(i, " ".join(words(rng, 40) + line + words(rng, 40) + line)) for i in range(200)]
+    rows += [(200 + i, " ".join(line + words(rng, 20) + passage + line)) for i in range(3)]
+    got = {(r.doc_id, r.source_doc_id) for r in duplicate_spans(docs(rows)).collect()}
+    assert got == {(201, 200), (202, 200)}
+
+
+def test_internal_names_may_be_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    rows = passage_case(random.Random(5))[:30]
+    names = ["_id", "_h", "_spans", "_rows", "key", "h", "source_tokens", "spots", "_ID"]
+    wide = docs(rows)
+    for n in names[:-1]:
+        wide = wide.withColumn(n, F.lit("x"))
+    plain = sorted((r.doc_id, r.text) for r in cut_duplicates(docs(rows)).collect())
+    assert sorted((r.doc_id, r.text) for r in cut_duplicates(wide).collect()) == plain and cut_duplicates(wide).columns == wide.columns
+    single = sorted((r.doc_id, r.text) for r in keep_one_of_each(docs(rows)).collect())
+    assert sorted((r.doc_id, r.text) for r in keep_one_of_each(wide).collect()) == single and keep_one_of_each(wide).columns == wide.columns
