@@ -17,11 +17,11 @@ the earlier document with a Jaccard similarity of at least ``threshold``.  The f
 need not hold the passage that later ones share, as one that quotes a part of it has the keys too.  So
 the shared anchors that no span holds go on.  Around them each stretch of passage length is keyed as a
 whole and its document paired with the first that has it: an exact passage is found whatever other
-documents have of it.  And their windows are narrowed: the interval of stretches that hold an anchor is
-cut into runs of equal min-hash under further functions, which gives windows that share a longer and
-longer signature, as a tree of two functions a level; each document of a window that others share is
-paired with that window's first one.  Passages at the threshold stay together on four fifths of the
-branches of every level, what merely quotes a part parts from them.
+documents have of it.  And windows are narrowed: stretches with a shared anchor are cut into runs of equal
+min-hash under further functions, which gives windows that share a longer and longer signature, as a tree
+of three functions a level; each document with an open stretch in a window that others share is paired
+with that window's first one.  Passages at the threshold stay together on four fifths of the branches of
+every level, what merely quotes a part parts from them.
 
 Scale: windows of one key are never paired with each other, only with the key's first document.  That
 is linear in the windows, and an aggregation that combines before it shuffles, so a passage that a third
@@ -35,7 +35,7 @@ What may be missed: a passage with edits within ten words on both sides of every
 threshold, one edit in 50 words, each anchor has a clean side), or one whose min-hash tokens all differ:
 at exactly the threshold and the least length (1 - threshold) to the power of ``hashes``, far less for
 longer passages; and a near copy, without an exact run of ``words`` words, all of whose windows, down to
-signatures of five tokens, also occur in earlier documents that do not hold the passage.  Tokens are
+signatures of four tokens, also occur in earlier documents that do not hold the passage.  Tokens are
 compared as 32-bit hashes of shingles.
 
 Edge cases: null and short texts have no passages; repeats within one document do not count; rows of
@@ -60,8 +60,8 @@ SHINGLE = 5
 BRIDGE = 40
 #: Hash functions whose windows are joined within a pair.
 JOINED = 4
-#: Steps, of two levels each, that open windows are narrowed by.
-LEVELS = 2
+#: Steps, of two levels each, that windows are narrowed by, and functions of a level of each step.
+STEPS, BRANCH = 2, (3, 3)
 #: Documents that meet one source in a task.
 SHARERS = 512
 _SEEDS = kit.mix(np.arange(501, 565, dtype=np.uint64))
@@ -110,20 +110,30 @@ def compact_windows(tokens: np.ndarray, offsets: np.ndarray, length: int, seed:
     c = node - base
     if not extents:
         return row, c, c, c
-    left, right = np.zeros(len(c), np.int64), (offsets[1:][row] - base - 1)
-    stack: list[int] = []
-    weight, of_row = rank[node].tolist(), row.tolist()
-    for i, w in enumerate(weight):
-        while stack and of_row[stack[-1]] != of_row[i]:
-            stack.pop()
-        while stack and weight[stack[-1]] > w:
-            right[stack.pop()] = c[i] - 1
-        if stack:
-            left[i] = c[stack[-1]] + 1
-        stack.append(i)
+    weight = rank[node]
+    place = np.arange(len(node))
+    new = np.ones(len(row) + 1, dtype=bool)
+    new[1:-1] = row[1:] != row[:-1]
+    before = _nearest_smaller(weight, np.where(new[:-1], -1, place - 1))
+    after = _nearest_smaller(weight, np.where(new[1:], -1, place + 1))
+    left = np.where(before >= 0, c[before] + 1, 0)
+    right = np.where(after >= 0, c[after] - 1, offsets[1:][row] - base - 1)
     return row, left, c, right
 
 
+def _nearest_smaller(weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each node's nearest one of smaller weight on the side that ``at`` points to (-1: none), the tree's ancestor on that side.
+
+    All that lies between a node and what it points to is larger, so a pointer may take over what that one points to.
+    """
+    todo = np.flatnonzero(at >= 0)
+    while len(todo):
+        todo = todo[weight[at[todo]] > weight[todo]]
+        at[todo] = at[at[todo]]
+        todo = todo[at[todo] >= 0]
+    return at
+
+
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = kit.text_bytes(column)
     starts, ends, words = kit.word_bounds(raw, offsets)
@@ -138,9 +148,10 @@ def _window_writer(length: int, hashes: int):
             if not batch.num_rows:
                 continue
             tokens, offsets = _tokens(batch.column("text"))
+            small = tokens >> np.uint64(32)  # what later steps hash
             ids = batch.column("doc_id").to_numpy()
             for f in range(hashes):
-                row, _, c, _ = compact_windows(tokens, offsets, length, _SEEDS[f], extents=False)
+                row, _, c, _ = compact_windows(small, offsets, length, _SEEDS[f], extents=False)
                 for side in (-1, 1):
                     at = offsets[row] + c
                     far = at + 2 * SHINGLE * side
@@ -149,7 +160,8 @@ def _window_writer(length: int, hashes: int):
                     key = kit.mix(tokens[at] + _SEEDS[f])
                     key = kit.mix(key * np.uint64(3) + tokens[(at + far) // 2])
                     key = kit.mix(key * np.uint64(3) + tokens[far] + np.uint64(side + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[ok]]), pa.array(place)], names=["key", "doc_id", "c"])
+                    some = np.unique(kit.mix(key) + row[ok].astype(np.uint64), return_index=True)[1]  # a text that repeats itself has a key once
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(ids[row[ok]][some]), pa.array(place[some])], names=["key", "doc_id", "c"])
 
     return run
 
@@ -172,23 +184,24 @@ def _token_writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(packed, pa.binary())], names=["doc_id", "h", "tokens"])
 
 
-def _around(batch: pa.RecordBatch, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For the stretches of all rows laid end to end (``at`` bounds each row's): how many shared anchors each
-    holds, how many spans hold it, and each row's anchors."""
-    near, done = np.zeros(int(at[-1]) + 1, np.int64), np.zeros(int(at[-1]) + 1, np.int64)
-    anchors = []
-    for i, (spots, spans) in enumerate(zip(batch.column("spots").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
-        n = int(at[i + 1] - at[i])
-        c = np.array(spots, dtype=np.int64)
-        anchors.append(c)
-        np.add.at(near, at[i] + np.clip(c - length + 1, 0, n), 1)
-        np.add.at(near, at[i] + np.clip(c + 1, 0, n), -1)
+def _around(batch: pa.RecordBatch, tokens: np.ndarray, offsets: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which tokens equal a shared anchor of their row; of the stretches of all rows laid end to end (``at`` bounds
+    each row's), which hold such a token, and how many spans hold them."""
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+    key = row << np.uint64(32) | tokens
+    spots = batch.column("spots").to_pylist()
+    c = np.concatenate([*(offsets[i] + np.array([x for x in own if x < offsets[i + 1] - offsets[i]], dtype=np.int64) for i, own in enumerate(spots)), np.zeros(0, np.int64)])
+    anchor = np.isin(key, key[c])
+    sums = np.concatenate([[0], np.cumsum(anchor)])
+    start = np.arange(int(at[-1])) - np.repeat(at[:-1] - offsets[:-1], np.diff(at))
+    done = np.zeros(int(at[-1]) + 1, np.int64)
+    for i, spans in enumerate(batch.column("spans").to_pylist()):
         for span in spans or ():
             low, high = span["start"], span["end"] - length - SHINGLE + 2
             if low < high:
                 done[at[i] + low] += 1
                 done[at[i] + high] -= 1
-    return np.cumsum(near)[:-1], np.cumsum(done)[:-1], anchors
+    return anchor, sums[start + length] > sums[start], np.cumsum(done)[:-1]
 
 
 def _stretch_writer(length: int):
@@ -200,74 +213,95 @@ def _stretch_writer(length: int):
                 continue
             tokens, offsets = _laid(batch.column("tokens"))
             keys, at = kit.shingles(tokens, offsets, length, short=False)
-            near, done, _ = _around(batch, at, length)
-            use = np.flatnonzero(near > 0)
+            _, near, done = _around(batch, tokens, offsets, at, length)
+            use = np.flatnonzero(near)
             ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(ids[use]), pa.array(done[use] == 0)], names=["key", "doc_id", "open"])
 
     return run
 
 
-def narrowed(tokens: np.ndarray, offsets: np.ndarray, at: np.ndarray, length: int, node: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
-    """Windows (parent, node, low, high) that share two more min-hashes than the given ones.
+def _runs(tokens: np.ndarray, start: np.ndarray, row: np.ndarray, length: int, level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each pair of functions of two levels: its number, the run of equal min-hashes that each stretch is in,
+    and each stretch's two min-hashes as one number."""
+    branch, first = BRANCH[level], 8 + 2 * sum(BRANCH[:level])
+    least = [tokens[_slid(tokens, length, _SEEDS[first + k])[0][start]] for k in range(2 * branch)]
+    apart = row[1:] != row[:-1]
+    for one in range(branch):
+        for two in range(branch, 2 * branch):
+            change = np.zeros(len(row), dtype=np.int64)
+            change[1:] = (least[one][1:] != least[one][:-1]) | (least[two][1:] != least[two][:-1]) | apart
+            yield one * 8 + two, np.cumsum(change), kit.mix(least[one] + np.uint64(one)) * np.uint64(3) + kit.mix(least[two] + np.uint64(two))
+
 
-    A window is an interval of stretch starts, given by positions among all rows' stretches (``at``), whose
-    stretches share the signature ``node``.  Each of four pairs of functions, two a level, cuts it into runs
-    of equal min-hashes.
+def narrowed(tokens: np.ndarray, start: np.ndarray, row: np.ndarray, length: int, node: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """Windows (parent, key, low, high) that share two more min-hashes than the given ones.
+
+    A window is an interval of stretches, given by their numbers, whose signature so far is ``node``; stretches
+    begin at the tokens ``start`` and belong to rows.  Each pair of functions cuts it into runs.
     """
-    sizes = np.diff(at)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.arange(len(row)) - at[row] + offsets[row]  # where each stretch begins among all tokens
-    args = [_slid(tokens, length, _SEEDS[8 + 4 * level + k])[0][start] if len(start) else start for k in range(4)]
-    out = []
-    for one, two in ((0, 2), (0, 3), (1, 2), (1, 3)):
-        change = np.ones(len(row), dtype=np.int64)
-        change[1:] = (args[one][1:] != args[one][:-1]) | (args[two][1:] != args[two][:-1]) | (row[1:] != row[:-1])
-        run = np.cumsum(change) - 1
-        heads = np.append(np.flatnonzero(change), len(row))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for number, run, token in _runs(tokens, start, row, length, level) if len(node) else ():
+        heads = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
         first, count = run[low], run[high] - run[low] + 1
         parent = np.repeat(np.arange(len(node)), count)
         each = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(parent))
         left, right = np.maximum(heads[each], low[parent]), np.minimum(heads[each + 1] - 1, high[parent])
-        key = kit.mix(node[parent] * np.uint64(5) + np.uint64(2 * one + two))
-        key = kit.mix(key + kit.mix(tokens[args[one][left]]) * np.uint64(3) + kit.mix(tokens[args[two][left]] + np.uint64(1)))
-        out.append((parent, key, left, right))
+        out.append((parent, kit.mix(kit.mix(node[parent] * np.uint64(5) + np.uint64(number)) + token[left]), left, right))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _narrower(length: int, level: int):
-    """(key, doc_id, h, low, high) of windows of two more min-hashes: of the open stretches around anchors at level 0, of ``windows`` beyond."""
+def _stretch_hashes(tokens: np.ndarray):
+    """A function of (low, high) arrays: hashes of tokens[low:high], wherever they stand."""
+    n = len(tokens)
+    weight = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kit.mix(tokens) * weight[:n], dtype=np.uint64)])
+    return lambda low, high: kit.mix((sums[high] - sums[low]) * weight[n - low] + (high - low).astype(np.uint64))
+
+
+def _narrower(length: int, hashes: int, level: int):
+    """(key, doc_id, h, low, high, open, content) of windows of two more min-hashes: of stretches with support at level 0, of ``windows`` beyond.
+
+    Stretches that a span holds are not open; they may still be what open ones resemble.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             tokens, offsets = _laid(batch.column("tokens"))
-            at = np.concatenate([[0], np.cumsum(np.maximum(np.diff(offsets) - length + 1, 0))])
+            sizes = np.maximum(np.diff(offsets) - length + 1, 0)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            start = np.arange(len(row)) - at[row] + offsets[row]
+            if not len(row):
+                continue
             if level:
                 held = batch.column("windows").to_pylist()
-                row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                of = np.repeat(np.arange(len(held)), [len(x) for x in held])
                 node, low, high = (np.array([w[k] for x in held for w in x], dtype=np.int64) for k in ("key", "low", "high"))
-                node, low, high = node.view(np.uint64), low + at[row], high + at[row]
+                node, low, high = node.view(np.uint64), low + at[of], high + at[of]
+                still = np.array([w["open"] for x in held for w in x], dtype=bool)
             else:
-                _, done, anchors = _around(batch, at, length)
-                row = np.repeat(np.arange(len(anchors)), [len(x) for x in anchors])
-                c = np.concatenate([*anchors, np.zeros(0, np.int64)])
-                fits = (c >= 0) & (c < np.diff(offsets)[row]) & (np.diff(at)[row] > 0)
-                row, c = row[fits], c[fits]
-                node = kit.mix(tokens[offsets[row] + c] + np.uint64(9))
-                low, high = at[row] + np.maximum(c - length + 1, 0), at[row] + np.minimum(c, np.diff(at)[row] - 1)
-                # Stretches that a span holds are done: to the first and last that are open.
-                free = np.concatenate([np.flatnonzero(done == 0), [len(done)]])
-                first, last = free[np.searchsorted(free, low)], free[np.searchsorted(free, high, side="right") - 1]
-                some = (first <= high) & (last >= low)
-                row, node, low, high = row[some], node[some], first[some], last[some]
-            if not len(node):
-                continue
-            parent, key, left, right = narrowed(tokens, offsets, at, length, node, low, high, level)
-            of = row[parent]
+                anchor, _, done = _around(batch, tokens, offsets, at, length)
+                free = anchor.copy()
+                for i, spans in enumerate(batch.column("spans").to_pylist()):
+                    for span in spans or ():
+                        free[offsets[i] + span["start"] : offsets[i] + span["end"] - SHINGLE + 1] = False
+                least = [_slid(tokens, length, _SEEDS[f])[0][start] for f in range(hashes)]
+                open_ = (done == 0) & np.any([free[x] for x in least], axis=0)  # anchors within spans do not count
+                kind = np.where(open_, 2, ((done > 0) & np.any([anchor[x] for x in least], axis=0)).astype(np.int8))
+                edge = np.ones(len(kind) + 1, dtype=bool)
+                edge[1:-1] = (kind[1:] != kind[:-1]) | (row[1:] != row[:-1])
+                edges = np.flatnonzero(edge)
+                low, high = edges[:-1], edges[1:] - 1
+                low, high = low[kind[low] > 0], high[kind[low] > 0]
+                node, of, still = np.full(len(low), 9, np.uint64), row[low], kind[low] == 2
+            parent, key, left, right = narrowed(tokens, start, row, length, node, low, high, level)
+            of = of[parent]
+            content = _stretch_hashes(tokens)(start[left], start[right] + length) if len(left) else key
             fields = [pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array((left - at[of]).astype(np.int32)), pa.array((right - at[of]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(fields, names=["key", "doc_id", "h", "low", "high"])
+            yield pa.RecordBatch.from_arrays([*fields, pa.array(still[parent]), pa.array(content.view(np.int64))], names=["key", "doc_id", "h", "low", "high", "open", "content"])
 
     return run
 
@@ -277,39 +311,177 @@ def _laid(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
-def _joined_windows(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: np.ndarray, length: int, covered: np.ndarray) -> Iterator[np.ndarray]:
+def _exact_runs(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (row, s, e, s2) of at least ``length`` tokens that stand in the row's other text as they are, from s2 on, and which tokens that text has.
+
+    Runs are followed from tokens that the other text has once; others are left to the windows.
+    """
+    n, n2 = len(mine), len(theirs)
+    if not n or not n2:
+        return np.zeros((4, 0), np.int64), np.zeros(n, dtype=bool)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    key = row.astype(np.uint64) << np.uint64(32) | mine
+    key2 = np.repeat(np.arange(len(at2) - 1), np.diff(at2)).astype(np.uint64) << np.uint64(32) | theirs
+    order = np.argsort(key2, kind="stable")
+    spot = np.searchsorted(key2[order], key)
+    there = np.append(key2[order], [~np.uint64(0)] * 2)
+    present = there[spot] == key
+    single = present & (there[spot + 1] != key)
+    drift = order[np.minimum(spot, n2 - 1)] - np.arange(n)
+    index, found = np.arange(n), []
+    for way in (1, -1):  # from the token before, from the token after
+        if way > 0:
+            last = np.maximum.accumulate(np.where(single, index, -1))
+        else:
+            last = np.minimum.accumulate(np.where(single, index, n)[::-1])[::-1]
+        known = (last >= 0) & (last < n)
+        last = np.where(known, last, 0)
+        move = drift[last]
+        place = index + move
+        ok = known & (row[last] == row) & (place >= at2[:-1][row]) & (place < at2[1:][row])
+        ok[ok] = theirs[place[ok]] == mine[ok]
+        cut = np.ones(n + 1, dtype=bool)
+        cut[1:-1] = (ok[1:] != ok[:-1]) | (move[1:] != move[:-1]) | (row[1:] != row[:-1])
+        edges = np.flatnonzero(cut)
+        s, e = edges[:-1], edges[1:]
+        long = ok[s] & (e - s >= length)
+        s, e = s[long], e[long]
+        found.append(np.stack([row[s], s - at[row[s]], e - at[row[s]], place[s] - at2[row[s]]]))
+    return np.unique(np.concatenate(found, axis=1), axis=1), present
+
+
+def _linked(runs: list[tuple[int, int, int]], b: np.ndarray, a: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Spans of one text's exact runs (s, e, s2): neighbours that lie in order and near each other in both texts are one
+    span if it is similar as a whole, else they are parted at the widest gap."""
+    chains: list[list] = []
+    for run in sorted(runs):
+        last = chains[-1][-1] if chains else None
+        if last and run[0] - last[1] <= BRIDGE and 0 < run[2] + run[1] - run[0] - (last[2] + last[1] - last[0]) and run[2] - (last[2] + last[1] - last[0]) <= BRIDGE:
+            chains[-1].append(run)
+        else:
+            chains.append([run])
+    out, todo = [], chains
+    while todo:
+        chain = todo.pop()
+        (s, _, s2), (s9, e, e2) = chain[0], chain[-1]
+        if len(chain) == 1 or jaccard_at_least(b[s:e], a[s2 : e2 + e - s9], threshold):
+            out.append((s, e))
+            continue
+        gaps = [y[0] - x[1] for x, y in zip(chain[:-1], chain[1:], strict=True)]
+        widest = 1 + gaps.index(max(gaps))
+        todo += [chain[:widest], chain[widest:]]
+    return out
+
+
+def jaccard_at_least(b: np.ndarray, a: np.ndarray, threshold: float) -> bool:
+    mine, theirs = np.unique(b), np.unique(a)
+    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+    return both >= threshold * (len(mine) + len(theirs) - both) - 1e-9
+
+
+def _hopeful(mine: np.ndarray, at: np.ndarray, present: np.ndarray, length: int, slack: float):
+    """Which stretches hold a token of the other text that is not covered (an argument), and at most a share ``slack`` of tokens that the other does not have."""
+    n = len(mine)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at)).astype(np.uint64)
+    key = row << np.uint64(32) | mine
+    order = np.argsort(key, kind="stable")
+    before = np.full(n, -1)
+    again = key[order][1:] == key[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    starts = np.arange(max(n - length + 1, 0))
+
+    def distinct(some: np.ndarray) -> np.ndarray:
+        """How many of the given tokens each stretch holds, equal ones once: a token counts from the one before it on."""
+        place = np.flatnonzero(some)
+        first = np.maximum(before[place] + 1, np.maximum(place - length + 1, 0))
+        return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(place + 1, minlength=n + 1)[: n + 1])[: len(starts)]
+
+    few = distinct(~present) <= slack * distinct(np.ones(n, dtype=bool))
+
+    def good(covered: np.ndarray) -> np.ndarray:
+        fresh = np.concatenate([[0], np.cumsum(present & ~covered)])
+        return few & (fresh[starts + length] > fresh[starts])
+
+    return good
+
+
+def _holding(good: np.ndarray, at: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, c: np.ndarray, length: int) -> np.ndarray:
+    """Windows of which some stretch that holds the anchor is good."""
+    sums = np.concatenate([[0], np.cumsum(good)])
+    low, high = at[row] + np.maximum(left, c - length + 1), at[row] + np.minimum(c, right - length + 1) + 1
+    return sums[np.maximum(high, low)] > sums[low]
+
+
+def _rows(tokens: np.ndarray, at: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of some rows, laid end to end."""
+    size = np.diff(at)[some]
+    ends = np.cumsum(size)
+    return tokens[np.repeat(at[some] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends])
+
+
+def _contexts(tokens: np.ndarray, at: np.ndarray, row: np.ndarray, c: np.ndarray, length: int) -> np.ndarray:
+    """A hash of what stands within passage length of each anchor, on either side."""
+    n = len(tokens)
+    weight = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kit.mix(tokens) * weight[:n], dtype=np.uint64)])
+    here = at[row] + c
+    low, high = np.maximum(here - length + 1, at[row]), np.minimum(here + length, at[row + 1])
+    # All hashes are brought to one power; the anchor's place in its context counts too.
+    return kit.mix((sums[high] - sums[low]) * weight[n - low]) ^ kit.mix(((here - low) * 4096 + high - here).astype(np.uint64))
+
+
+def _joined_windows(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: np.ndarray, length: int, covered: np.ndarray, hopeful) -> Iterator[np.ndarray]:
     """Windows of equal min-hash of each row's two texts: columns row, l, r, l2, r2, drift, in order.
 
     First each window with the first occurrence of its min-hash, then with the second, and so on; a window
-    goes on while a token within passage length of its anchor is not ``covered``, which the caller marks.
+    goes on while it is ``hopeful``, given the tokens ``covered``, which the caller marks.  Occurrences with
+    the same tokens within passage length hold the same passages: one stands for them, and windows of the
+    text itself that repeat wait for their first one's turn.
     """
     mates, met, lefts = [], [], 0
+    good = hopeful(covered)
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    rows = np.flatnonzero(np.bincount(of[: len(good)][good], minlength=len(at) - 1))
+    if not len(rows):
+        return
+    (mine_, at_), (theirs_, at2_) = _rows(mine, at, rows), _rows(theirs, at2, rows)
     for f in range(JOINED):
-        row, left, c, right = compact_windows(mine, at, length, _SEEDS[f])
-        row2, left2, c2, right2 = compact_windows(theirs, at2, length, _SEEDS[f])
-        if not len(row) or not len(row2):
+        row, left, c, right = compact_windows(mine_, at_, length, _SEEDS[f])
+        some = _holding(good, at, rows[row], left, right, c, length)
+        row, left, c, right = row[some], left[some], c[some], right[some]
+        if not len(row):
+            continue
+        row2, left2, c2, right2 = compact_windows(theirs_, at2_, length, _SEEDS[f])
+        if not len(row2):
             continue
-        key = mine[at[row] + c] << np.uint64(32) | row.astype(np.uint64)
-        key2 = theirs[at2[row2] + c2] << np.uint64(32) | row2.astype(np.uint64)
+        key = mine_[at_[row] + c] << np.uint64(32) | row.astype(np.uint64)
+        key2 = theirs_[at2_[row2] + c2] << np.uint64(32) | row2.astype(np.uint64)
+        some = np.sort(np.unique(kit.mix(key2) + _contexts(theirs_, at2_, row2, c2, length), return_index=True)[1])
+        left2, c2, right2, key2 = left2[some], c2[some], right2[some], key2[some]
         order = np.argsort(key2, kind="stable")
         low, high = np.searchsorted(key2[order], key), np.searchsorted(key2[order], key, side="right")
         hit = low < high
         mates.append(np.stack([left2[order], right2[order], c2[order]]))
-        met.append(np.stack([row[hit], left[hit], right[hit], c[hit], low[hit] + lefts, high[hit] + lefts]))
+        again = np.ones(len(row), dtype=np.int64)
+        again[np.unique(kit.mix(key) + _contexts(mine_, at_, row, c, length), return_index=True)[1]] = 0
+        met.append(np.stack([rows[row[hit]], left[hit], right[hit], c[hit], low[hit] + lefts, high[hit] + lefts, again[hit]]))
         lefts += len(order)
     if not met:
         return
     mate, todo = np.concatenate(mates, axis=1), np.concatenate(met, axis=1)
+    later, todo = todo[:, todo[6] == 1], todo[:, todo[6] == 0]
     while todo.shape[1]:
-        row, left, right, c, low, _ = todo
+        row, left, right, c, low, _, _ = todo
         joined = np.stack([row, left, right, mate[0, low], mate[1, low], mate[2, low] - c])
         yield joined[:, np.lexsort((joined[2], joined[1], joined[0]))]
         todo[4] += 1
         todo = todo[:, todo[4] < todo[5]]
-        row, left, right, c = todo[:4]
-        sums = np.concatenate([[0], np.cumsum(covered)])
-        low, high = at[row] + np.maximum(left, c - length + 1), at[row] + np.minimum(right, c + length - 1) + 1
-        todo = todo[:, sums[high] - sums[low] < high - low]
+        if not todo.shape[1]:
+            todo, later = later, later[:, :0]
+        if todo.shape[1]:
+            todo = todo[:, _holding(hopeful(covered), at, todo[0], todo[1], todo[2], todo[3], length)]
+        if not todo.shape[1] and later.shape[1]:
+            todo, later = later[:, _holding(hopeful(covered), at, later[0], later[1], later[2], later[3], length)], later[:, :0]
 
 
 def shared_spans(a: np.ndarray, b: np.ndarray, drift: int, low: int, length: int, threshold: float) -> list[tuple[int, int]]:
@@ -341,9 +513,7 @@ def shared_spans(a: np.ndarray, b: np.ndarray, drift: int, low: int, length: int
         s, e = todo.pop()
         if e - s < 2 or pb[e - 1] - pb[s] + 1 < length or pa_[e - 1] - pa_[s] + 1 < length:
             continue
-        mine, theirs = np.unique(b[pb[s] : pb[e - 1] + 1]), np.unique(a[pa_[s] : pa_[e - 1] + 1])
-        both = len(np.intersect1d(mine, theirs, assume_unique=True))
-        if both >= threshold * (len(mine) + len(theirs) - both) - 1e-9:
+        if jaccard_at_least(b[pb[s] : pb[e - 1] + 1], a[pa_[s] : pa_[e - 1] + 1], threshold):
             found.append((int(pb[s]) + low, int(pb[e - 1]) + low + 1))
             continue
         widest = s + 1 + int(np.argmax(np.maximum(np.diff(pb[s:e]), np.diff(pa_[s:e]))))
@@ -378,7 +548,14 @@ def _verifier(length: int, threshold: float):
             small, small2 = mine.astype(np.uint32), theirs.astype(np.uint32)
             ids, h, source = (batch.column(c).to_pylist() for c in ("doc_id", "h", "source"))
             out, covered = [], np.zeros(len(mine), dtype=bool)
-            for met in _joined_windows(mine, at, theirs, at2, length, covered):
+            runs, present = _exact_runs(mine, at, theirs, at2, length)
+            cuts = np.searchsorted(runs[0], np.arange(batch.num_rows + 1))
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                for s, e in _linked(list(zip(*runs[1:, cuts[i] : cuts[i + 1]].tolist(), strict=True)), small[at[i] : at[i + 1]], small2[at2[i] : at2[i + 1]], threshold):
+                    out.append((ids[i], h[i], s, e + SHINGLE - 1, source[i]))
+                    covered[at[i] + s : at[i] + e] = True
+            hopeful = _hopeful(mine, at, present, length, 1.25 * (1 - threshold))
+            for met in _joined_windows(mine, at, theirs, at2, length, covered, hopeful):
                 cuts = np.searchsorted(met[0], np.arange(batch.num_rows + 1))
                 for i in np.flatnonzero(np.diff(cuts)).tolist():
                     b, a = small[at[i] : at[i + 1]], small2[at2[i] : at2[i + 1]]
@@ -404,8 +581,17 @@ def _held(rows: DataFrame) -> DataFrame:
     The shared keys are a stored table, so where they are not small both sides of the join are plain
     exchanges, whose hot partitions adaptive execution splits.
     """
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("key", "source")
-    return rows.join(kit.small(kit.stored(shared, "passage-firsts"), 16), "key")
+    last = F.max(F.when(F.col("open"), F.col("doc_id")) if "open" in rows.columns else F.col("doc_id")).alias("last")
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("source"), last, F.count("*").alias("n")).where("source < last").select("key", "source", (F.col("n") > 2).alias("several"))
+    return rows.join(kit.small(kit.stored(shared, "passage-firsts"), 24), "key")
+
+
+def _first_of_content(held: DataFrame) -> DataFrame:
+    """Shared windows; of those that are not open only the first of equal content, as it stands for the others."""
+    fields = ["doc_id", "h", "low", "high"]
+    done = held.where("not open").groupBy("key", "content").agg(F.min(F.struct(*fields)).alias("w"), F.first("source").alias("source"), F.first("several").alias("several"))
+    done = done.select("key", *[F.col(f"w.{f}").alias(f) for f in fields], F.lit(False).alias("open"), "source", "several")
+    return held.where("open").select("key", *fields, "open", "source", "several").unionByName(done)
 
 
 def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8, recall: float = 0.998, hashes: int | None = None) -> DataFrame:
@@ -461,15 +647,16 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
     spans = spans.unionByName(verified(more))
     # And windows of longer signatures, around the anchors that are still open.
-    schema = "key long, doc_id long, h long, low int, high int"
+    schema = "key long, doc_id long, h long, low int, high int, open boolean, content long"
     met, level = pairs.unionByName(more), with_spans(spans)
     deeper = []
-    for depth in range(LEVELS):
-        windows = kit.stored(level.mapInArrow(kit.tidy(_narrower(length, depth)), schema), f"passage-windows{depth}")
-        shared = kit.stored(_held(windows), f"passage-shared{depth}")
-        deeper.append(shared.where("doc_id > source").select("doc_id", "source"))
+    for depth in range(STEPS):
+        windows = kit.stored(level.mapInArrow(kit.tidy(_narrower(length, hashes, depth)), schema), f"passage-windows{depth}")
+        shared = kit.stored(_first_of_content(_held(windows)), f"passage-shared{depth}")
+        deeper.append(shared.where("open and doc_id > source").select("doc_id", "source"))
         kit.discard(windows)
-        held = shared.groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "low", "high")).alias("windows"))
+        # Two documents have met; more may be of several kinds.
+        held = shared.where("several").groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "low", "high", "open")).alias("windows"))
         level = tokens.join(held, ["doc_id", "h"])
     last = deeper[0]
     for one in deeper[1:]:
