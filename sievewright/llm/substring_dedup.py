@@ -17,14 +17,13 @@ the earlier document with a Jaccard similarity of at least ``threshold``.  The f
 need not hold the passage that later ones share, as one that quotes a part of it has the keys too.  So
 the shared anchors that no span holds go on.  Around them each stretch of passage length is keyed as a
 whole and its document paired with the first that has it: an exact passage is found whatever other
-documents have of it.  And windows are narrowed: stretches with a shared anchor are cut into runs of equal
-min-hash under further functions, which gives windows that share a longer and longer signature, as a tree
-of three functions a level; each document with an open stretch in a window that others share is paired
-with that window's first one.  Passages at the threshold stay together on four fifths of the branches of
-every level, what merely quotes a part parts from them.
-
-Scale: windows of one key are never paired with each other, only with the key's first document.  That
-is linear in the windows, and an aggregation that combines before it shuffles, so a passage that a third
+documents have of it.  And the holders of a key are put in the order of another min-hash of what stands
+around the anchor, and each open one is paired with its neighbours: what resembles each other around the
+anchor stands together there, apart from what merely quotes a part.  Each window has keys and orders of
+its own, so a pair has many chances.
+
+Scale: windows of one key are paired with the key's first document and two neighbours, which is linear
+in the windows, and an aggregation that combines before it shuffles, so a passage that a third
 of all documents hold costs one partial row a task; where the first documents go back to the windows,
 adaptive execution splits a hot key, as both sides are plain exchanges of stored tables.  A source that
 very many documents are compared with is salted.  The passage kept is always the one of its first
@@ -34,9 +33,9 @@ are one class and join as such.
 What may be missed: a passage with edits within ten words on both sides of every anchor (at the
 threshold, one edit in 50 words, each anchor has a clean side), or one whose min-hash tokens all differ:
 at exactly the threshold and the least length (1 - threshold) to the power of ``hashes``, far less for
-longer passages; and a near copy, without an exact run of ``words`` words, all of whose windows, down to
-signatures of four tokens, also occur in earlier documents that do not hold the passage.  Tokens are
-compared as 32-bit hashes of shingles.
+longer passages; and a near copy, without an exact run of ``words`` words, none of whose windows has a
+similar one as first or neighbour.  Tokens are compared as 32-bit hashes of shingles.  Holders of one key
+and signature are sorted in one task, as rows of six numbers.
 
 Edge cases: null and short texts have no passages; repeats within one document do not count; rows of
 one doc_id are one document, spans go to the row whose text they were found in; rows without doc_id
@@ -50,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kit
@@ -60,8 +59,8 @@ SHINGLE = 5
 BRIDGE = 40
 #: Hash functions whose windows are joined within a pair.
 JOINED = 4
-#: Steps, of two levels each, that windows are narrowed by, and functions of a level of each step.
-STEPS, BRANCH = 2, (3, 3)
+#: Holders of a key that are sorted together, as a rule.
+NEIGHBOURS = 1 << 16
 #: Documents that meet one source in a task.
 SHARERS = 512
 _SEEDS = kit.mix(np.arange(501, 565, dtype=np.uint64))
@@ -141,7 +140,10 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_writer(length: int, hashes: int):
-    """(key, doc_id, c) of every compact window, once with what stands before its anchor and once with what follows."""
+    """(key, doc_id, c, sig) of every compact window, once with what stands before its anchor and once with what follows.
+
+    sig is a min-hash of what stands around the anchor, by a function of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,6 +154,11 @@ def _window_writer(length: int, hashes: int):
             ids = batch.column("doc_id").to_numpy()
             for f in range(hashes):
                 row, _, c, _ = compact_windows(small, offsets, length, _SEEDS[f], extents=False)
+                if not len(row):
+                    continue
+                lowest = _slid(small, length - 1, _SEEDS[32 + f])[0]
+                middle = np.clip(offsets[row] + c - (length - 1) // 2, offsets[row], offsets[row + 1] - length + 1)
+                sig = small[lowest[middle]].astype(np.uint32).view(np.int32)
                 for side in (-1, 1):
                     at = offsets[row] + c
                     far = at + 2 * SHINGLE * side
@@ -161,7 +168,7 @@ def _window_writer(length: int, hashes: int):
                     key = kit.mix(key * np.uint64(3) + tokens[(at + far) // 2])
                     key = kit.mix(key * np.uint64(3) + tokens[far] + np.uint64(side + 1))
                     some = np.unique(kit.mix(key) + row[ok].astype(np.uint64), return_index=True)[1]  # a text that repeats itself has a key once
-                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(ids[row[ok]][some]), pa.array(place[some])], names=["key", "doc_id", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(ids[row[ok]][some]), pa.array(place[some]), pa.array(sig[ok][some])], names=["key", "doc_id", "c", "sig"])
 
     return run
 
@@ -184,9 +191,9 @@ def _token_writer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(packed, pa.binary())], names=["doc_id", "h", "tokens"])
 
 
-def _around(batch: pa.RecordBatch, tokens: np.ndarray, offsets: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which tokens equal a shared anchor of their row; of the stretches of all rows laid end to end (``at`` bounds
-    each row's), which hold such a token, and how many spans hold them."""
+def _around(batch: pa.RecordBatch, tokens: np.ndarray, offsets: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the stretches of all rows laid end to end (``at`` bounds each row's): which hold a token that equals a
+    shared anchor of their row, and how many spans hold them."""
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
     key = row << np.uint64(32) | tokens
     spots = batch.column("spots").to_pylist()
@@ -201,7 +208,7 @@ def _around(batch: pa.RecordBatch, tokens: np.ndarray, offsets: np.ndarray, at:
             if low < high:
                 done[at[i] + low] += 1
                 done[at[i] + high] -= 1
-    return anchor, sums[start + length] > sums[start], np.cumsum(done)[:-1]
+    return sums[start + length] > sums[start], np.cumsum(done)[:-1]
 
 
 def _stretch_writer(length: int):
@@ -213,7 +220,7 @@ def _stretch_writer(length: int):
                 continue
             tokens, offsets = _laid(batch.column("tokens"))
             keys, at = kit.shingles(tokens, offsets, length, short=False)
-            _, near, done = _around(batch, tokens, offsets, at, length)
+            near, done = _around(batch, tokens, offsets, at, length)
             use = np.flatnonzero(near)
             ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(ids[use]), pa.array(done[use] == 0)], names=["key", "doc_id", "open"])
@@ -221,91 +228,6 @@ def _stretch_writer(length: int):
     return run
 
 
-def _runs(tokens: np.ndarray, start: np.ndarray, row: np.ndarray, length: int, level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each pair of functions of two levels: its number, the run of equal min-hashes that each stretch is in,
-    and each stretch's two min-hashes as one number."""
-    branch, first = BRANCH[level], 8 + 2 * sum(BRANCH[:level])
-    least = [tokens[_slid(tokens, length, _SEEDS[first + k])[0][start]] for k in range(2 * branch)]
-    apart = row[1:] != row[:-1]
-    for one in range(branch):
-        for two in range(branch, 2 * branch):
-            change = np.zeros(len(row), dtype=np.int64)
-            change[1:] = (least[one][1:] != least[one][:-1]) | (least[two][1:] != least[two][:-1]) | apart
-            yield one * 8 + two, np.cumsum(change), kit.mix(least[one] + np.uint64(one)) * np.uint64(3) + kit.mix(least[two] + np.uint64(two))
-
-
-def narrowed(tokens: np.ndarray, start: np.ndarray, row: np.ndarray, length: int, node: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
-    """Windows (parent, key, low, high) that share two more min-hashes than the given ones.
-
-    A window is an interval of stretches, given by their numbers, whose signature so far is ``node``; stretches
-    begin at the tokens ``start`` and belong to rows.  Each pair of functions cuts it into runs.
-    """
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for number, run, token in _runs(tokens, start, row, length, level) if len(node) else ():
-        heads = np.append(np.flatnonzero(np.diff(run, prepend=-1)), len(run))
-        first, count = run[low], run[high] - run[low] + 1
-        parent = np.repeat(np.arange(len(node)), count)
-        each = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(parent))
-        left, right = np.maximum(heads[each], low[parent]), np.minimum(heads[each + 1] - 1, high[parent])
-        out.append((parent, kit.mix(kit.mix(node[parent] * np.uint64(5) + np.uint64(number)) + token[left]), left, right))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _stretch_hashes(tokens: np.ndarray):
-    """A function of (low, high) arrays: hashes of tokens[low:high], wherever they stand."""
-    n = len(tokens)
-    weight = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kit.mix(tokens) * weight[:n], dtype=np.uint64)])
-    return lambda low, high: kit.mix((sums[high] - sums[low]) * weight[n - low] + (high - low).astype(np.uint64))
-
-
-def _narrower(length: int, hashes: int, level: int):
-    """(key, doc_id, h, low, high, open, content) of windows of two more min-hashes: of stretches with support at level 0, of ``windows`` beyond.
-
-    Stretches that a span holds are not open; they may still be what open ones resemble.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens, offsets = _laid(batch.column("tokens"))
-            sizes = np.maximum(np.diff(offsets) - length + 1, 0)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            start = np.arange(len(row)) - at[row] + offsets[row]
-            if not len(row):
-                continue
-            if level:
-                held = batch.column("windows").to_pylist()
-                of = np.repeat(np.arange(len(held)), [len(x) for x in held])
-                node, low, high = (np.array([w[k] for x in held for w in x], dtype=np.int64) for k in ("key", "low", "high"))
-                node, low, high = node.view(np.uint64), low + at[of], high + at[of]
-                still = np.array([w["open"] for x in held for w in x], dtype=bool)
-            else:
-                anchor, _, done = _around(batch, tokens, offsets, at, length)
-                free = anchor.copy()
-                for i, spans in enumerate(batch.column("spans").to_pylist()):
-                    for span in spans or ():
-                        free[offsets[i] + span["start"] : offsets[i] + span["end"] - SHINGLE + 1] = False
-                least = [_slid(tokens, length, _SEEDS[f])[0][start] for f in range(hashes)]
-                open_ = (done == 0) & np.any([free[x] for x in least], axis=0)  # anchors within spans do not count
-                kind = np.where(open_, 2, ((done > 0) & np.any([anchor[x] for x in least], axis=0)).astype(np.int8))
-                edge = np.ones(len(kind) + 1, dtype=bool)
-                edge[1:-1] = (kind[1:] != kind[:-1]) | (row[1:] != row[:-1])
-                edges = np.flatnonzero(edge)
-                low, high = edges[:-1], edges[1:] - 1
-                low, high = low[kind[low] > 0], high[kind[low] > 0]
-                node, of, still = np.full(len(low), 9, np.uint64), row[low], kind[low] == 2
-            parent, key, left, right = narrowed(tokens, start, row, length, node, low, high, level)
-            of = of[parent]
-            content = _stretch_hashes(tokens)(start[left], start[right] + length) if len(left) else key
-            fields = [pa.array(key.view(np.int64)), batch.column("doc_id").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array((left - at[of]).astype(np.int32)), pa.array((right - at[of]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*fields, pa.array(still[parent]), pa.array(content.view(np.int64))], names=["key", "doc_id", "h", "low", "high", "open", "content"])
-
-    return run
-
-
 def _laid(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.frombuffer(x, dtype="<u4") for x in column.to_pylist()]
     return np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
@@ -419,13 +341,13 @@ def _rows(tokens: np.ndarray, at: np.ndarray, some: np.ndarray) -> tuple[np.ndar
     return tokens[np.repeat(at[some] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends])
 
 
-def _contexts(tokens: np.ndarray, at: np.ndarray, row: np.ndarray, c: np.ndarray, length: int) -> np.ndarray:
-    """A hash of what stands within passage length of each anchor, on either side."""
+def _contexts(tokens: np.ndarray, at: np.ndarray, row: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    """A hash of what of each window stands within passage length of its anchor, on either side."""
     n = len(tokens)
     weight = np.cumprod(np.full(n + 1, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kit.mix(tokens) * weight[:n], dtype=np.uint64)])
     here = at[row] + c
-    low, high = np.maximum(here - length + 1, at[row]), np.minimum(here + length, at[row + 1])
+    low, high = np.maximum(here - length + 1, at[row] + left), np.minimum(here + length, at[row] + right + 1)
     # All hashes are brought to one power; the anchor's place in its context counts too.
     return kit.mix((sums[high] - sums[low]) * weight[n - low]) ^ kit.mix(((here - low) * 4096 + high - here).astype(np.uint64))
 
@@ -456,14 +378,14 @@ def _joined_windows(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: n
             continue
         key = mine_[at_[row] + c] << np.uint64(32) | row.astype(np.uint64)
         key2 = theirs_[at2_[row2] + c2] << np.uint64(32) | row2.astype(np.uint64)
-        some = np.sort(np.unique(kit.mix(key2) + _contexts(theirs_, at2_, row2, c2, length), return_index=True)[1])
+        some = np.sort(np.unique(kit.mix(key2) + _contexts(theirs_, at2_, row2, left2, c2, right2, length), return_index=True)[1])
         left2, c2, right2, key2 = left2[some], c2[some], right2[some], key2[some]
         order = np.argsort(key2, kind="stable")
         low, high = np.searchsorted(key2[order], key), np.searchsorted(key2[order], key, side="right")
         hit = low < high
         mates.append(np.stack([left2[order], right2[order], c2[order]]))
         again = np.ones(len(row), dtype=np.int64)
-        again[np.unique(kit.mix(key) + _contexts(mine_, at_, row, c, length), return_index=True)[1]] = 0
+        again[np.unique(kit.mix(key) + _contexts(mine_, at_, row, left, c, right, length), return_index=True)[1]] = 0
         met.append(np.stack([rows[row[hit]], left[hit], right[hit], c[hit], low[hit] + lefts, high[hit] + lefts, again[hit]]))
         lefts += len(order)
     if not met:
@@ -581,17 +503,26 @@ def _held(rows: DataFrame) -> DataFrame:
     The shared keys are a stored table, so where they are not small both sides of the join are plain
     exchanges, whose hot partitions adaptive execution splits.
     """
-    last = F.max(F.when(F.col("open"), F.col("doc_id")) if "open" in rows.columns else F.col("doc_id")).alias("last")
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("source"), last, F.count("*").alias("n")).where("source < last").select("key", "source", (F.col("n") > 2).alias("several"))
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("source < last").select("key", "source", "n")
     return rows.join(kit.small(kit.stored(shared, "passage-firsts"), 24), "key")
 
 
-def _first_of_content(held: DataFrame) -> DataFrame:
-    """Shared windows; of those that are not open only the first of equal content, as it stands for the others."""
-    fields = ["doc_id", "h", "low", "high"]
-    done = held.where("not open").groupBy("key", "content").agg(F.min(F.struct(*fields)).alias("w"), F.first("source").alias("source"), F.first("several").alias("several"))
-    done = done.select("key", *[F.col(f"w.{f}").alias(f) for f in fields], F.lit(False).alias("open"), "source", "several")
-    return held.where("open").select("key", *fields, "open", "source", "several").unionByName(done)
+def _neighbours(holders: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs (doc_id, source) of holders of one key that are next to each other in the order of their signatures.
+
+    Of those whose anchor a span holds the first and the last of a signature stand for the others: they
+    resemble each other.  Later documents of pairs have an open anchor.
+    """
+    known = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    done = F.exists("spans", lambda s: (s["start"] <= F.col("c")) & (F.col("c") + SHINGLE <= s["end"]))
+    rows = holders.where("n > 2").join(known, "doc_id", "left").select("key", "sig", "doc_id", "n", F.coalesce(~done, F.lit(True)).alias("open"))
+    ends = rows.where("not open").groupBy("key", "sig", "n").agg(F.array_distinct(F.array(F.min("doc_id"), F.max("doc_id"))).alias("ends"))
+    rows = rows.where("open").unionByName(ends.select("key", "sig", F.explode("ends").alias("doc_id"), "n", F.lit(False).alias("open")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("sig"), F.ceil(F.col("n") / NEIGHBOURS)).cast("int"))
+    order = Window.partitionBy("key", "part").orderBy("sig", "doc_id")
+    near = rows.select("doc_id", "open", F.lag("doc_id").over(order).alias("other"), F.lag("open").over(order).alias("other_open"))
+    later = F.when(F.col("doc_id") > F.col("other"), F.col("open")).otherwise(F.col("other_open"))
+    return near.where((F.col("doc_id") != F.col("other")) & later).select(F.greatest("doc_id", "other").alias("doc_id"), F.least("doc_id", "other").alias("source")).distinct()
 
 
 def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8, recall: float = 0.998, hashes: int | None = None) -> DataFrame:
@@ -613,11 +544,11 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     copies = kit.stored(counted.join(firsts, ["h", "h2", "n"]).where("doc_id > source").select("doc_id", "h", F.lit(0).alias("start"), F.col("n").alias("end"), "source"), "passage-copies", n_texts)
     kit.discard(counted)
     whole = copies.select("doc_id", "h").distinct()  # texts, as an id may have others
-    keys = kit.stored(docs.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int"), "passage-keys")
-    holders = kit.stored(_held(keys).select("doc_id", "source", "c"), "passage-holders")
+    keys = kit.stored(docs.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int, sig int"), "passage-keys")
+    holders = kit.stored(_held(keys), "passage-holders")
     pairs = kit.stored(holders.where("doc_id > source").select("doc_id", "source").distinct(), "passage-pairs")
     spots = kit.stored(holders.groupBy("doc_id").agg(F.collect_set("c").alias("spots")), "passage-spots")
-    kit.discard(keys, holders)
+    kit.discard(keys)
     wanted = kit.stored(spots.select("doc_id"), "passage-wanted", spots.count())
     tokens = kit.stored(docs.join(kit.small(wanted, 16), "doc_id", "left_semi").join(whole, ["doc_id", "h"], "left_anti").select("doc_id", "h", "text").mapInArrow(kit.tidy(_token_writer), "doc_id long, h long, tokens binary"), "passage-tokens")
 
@@ -634,35 +565,18 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
         kit.discard(often)
         return found
 
-    def with_spans(spans: DataFrame) -> DataFrame:
-        known = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-        return tokens.join(spots, "doc_id").join(known, ["doc_id", "h"], "left").select("doc_id", "h", "tokens", "spots", "spans")
-
     spans = verified(pairs)
-    # What the first documents of the keys did not give: stretches of passage length that meet as a whole.
-    stretches = with_spans(spans).mapInArrow(kit.tidy(_stretch_writer(length)), "key long, doc_id long, open boolean")
+    # What the first documents of the keys did not give: their holders' neighbours, and stretches of passage length that meet as a whole.
+    known = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    around = tokens.join(spots, "doc_id").join(known, ["doc_id", "h"], "left").select("doc_id", "tokens", "spots", "spans")
+    stretches = around.mapInArrow(kit.tidy(_stretch_writer(length)), "key long, doc_id long, open boolean")
     first = stretches.groupBy("key").agg(F.min("doc_id").alias("source"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).where("source < last").select("key", "source")
     first = kit.stored(first, "passage-stretches")
-    more = stretches.where("open").join(kit.small(first, 16), "key").where("doc_id > source").select("doc_id", "source").distinct()
+    more = stretches.where("open").join(kit.small(first, 16), "key").where("doc_id > source").select("doc_id", "source")
+    more = more.unionByName(_neighbours(holders, spans)).distinct()
     more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
+    kit.discard(holders)
     spans = spans.unionByName(verified(more))
-    # And windows of longer signatures, around the anchors that are still open.
-    schema = "key long, doc_id long, h long, low int, high int, open boolean, content long"
-    met, level = pairs.unionByName(more), with_spans(spans)
-    deeper = []
-    for depth in range(STEPS):
-        windows = kit.stored(level.mapInArrow(kit.tidy(_narrower(length, hashes, depth)), schema), f"passage-windows{depth}")
-        shared = kit.stored(_first_of_content(_held(windows)), f"passage-shared{depth}")
-        deeper.append(shared.where("open and doc_id > source").select("doc_id", "source"))
-        kit.discard(windows)
-        # Two documents have met; more may be of several kinds.
-        held = shared.where("several").groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "low", "high", "open")).alias("windows"))
-        level = tokens.join(held, ["doc_id", "h"])
-    last = deeper[0]
-    for one in deeper[1:]:
-        last = last.unionByName(one)
-    last = kit.stored(last.distinct().join(met, ["doc_id", "source"], "left_anti"), "passage-last")
-    spans = spans.unionByName(verified(last))
     # Merge what overlaps within a document (its spans only, so small).
     per_doc = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end", "source"))).alias("s"))
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,source:bigint,most:int>>)")
