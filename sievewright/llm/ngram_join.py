@@ -3,15 +3,19 @@
 Which texts share at least ``threshold`` of their word shingles?  Every distinct shingle set is
 embedded as a fixed number of min-wise samples.  A tree node samples ``branch`` of those positions
 and splits its sets by the token each holds there, so sets that share the sampled token stay
-together; nodes recurse until they are small or ``depth`` is reached, and small buckets are compared
-by brute force.  Independent trees are repeated until the recall computed for a pair at exactly the
-threshold reaches ``recall`` (pairs above it do better).
+together; nodes recurse until they are small, or until splitting no longer pays: where the pairs of all
+children together are not clearly fewer than the node's own, its sets resemble each other as a rule, and
+all its pairs are worth a look.  Such buckets are compared by brute force.  Independent trees are repeated
+until the recall computed for a pair at exactly the threshold, at any depth, reaches ``recall`` (pairs
+above it do better).
 
 What is exact and what is not: a pair that meets in some bucket is decided on its full shingle sets,
 so no link is ever wrong, apart from collisions of 64-bit hashes.  A pair at the threshold is missed
 with a probability of at most ``1 - recall``.
 
-Scale: equal sets are one class before anything is compared, so exact copies cost one row each.
+Scale: equal sets are one class before anything is compared, so exact copies cost one row each.  Each
+level of the recursion has at most ``PAYS`` times the pairs of the one before, so their number follows the
+logarithm of the largest bucket.
 Buckets move as (bucket, class) pairs; the samples and then the full sets follow only for members
 that share a bucket with something similar.  A bucket beyond ``block`` members is dealt over pairs of
 blocks, so a hot one spreads over tasks.  Each pair is counted in one bucket only, the smallest that
@@ -21,8 +25,7 @@ each member, with its number of links and one link into its local component.
 Edge cases: null and empty texts have no shingles, link with nothing and form a class of their own;
 a text of fewer than five words has one shingle, all its words; rows that repeat count as copies of
 each other; rows of one doc_id with unlike texts are compared like any others; a null doc_id stays in
-the result and is never a class id unless its class has no other, and a text of which every copy has a
-null doc_id links with its copies only.
+the result, links like others and is never a class id unless its class has no other.
 """
 
 from __future__ import annotations
@@ -46,15 +49,19 @@ _ADD = kit.mix(np.arange(1001, 1001 + POSITIONS, dtype=np.uint64))
 SLACK = 0.69
 
 
-def path_survival(threshold: float, branch: int, depth: int) -> float:
-    """Probability that a pair of the given similarity shares a node at each level of one tree."""
+#: A node is split if its children have at most this share of its pairs.
+PAYS = 0.8
+
+
+def path_survival(threshold: float, branch: int, depth: int | None = None) -> float:
+    """Probability that a pair of the given similarity shares a node at each level of one tree (None: of any depth)."""
     q = 1.0
-    for _ in range(depth):
+    for _ in range(10_000 if depth is None else depth):
         q = 1 - (1 - threshold * q) ** branch
     return q
 
 
-def runs_needed(threshold: float, branch: int, depth: int, recall: float) -> int:
+def runs_needed(threshold: float, branch: int, recall: float, depth: int | None = None) -> int:
     miss = 1 - path_survival(threshold, branch, depth)
     return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
 
@@ -101,10 +108,11 @@ def _sketcher(n: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("h"),
                     *_signature(sets),
                     pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel().view(np.int32)), POSITIONS).cast(pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "n_shingles", "s1", "s2", "sketch"],
+                names=["doc_id", "h", "n_shingles", "s1", "s2", "sketch"],
             )
 
     return run
@@ -245,60 +253,40 @@ def _verify(threshold: float):
     return run
 
 
-def ngram_jaccard_join(
+def ngram_jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """One row for each row of docs (doc_id long, text string; other columns are ignored).
+
+    class_id    smallest doc_id that links lead to, the row's own included
+    n_links     number of other rows whose Jaccard similarity to this one is >= threshold
+    n_shingles  distinct shingles of the text
+    kept        whether doc_id = class_id (null where doc_id is)
+    """
+    return similar_groups(docs, **options).select("doc_id", "class_id", "n_links", "n_shingles", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def similar_groups(
     docs: DataFrame,
     *,
     words: int = 5,
     threshold: float = 0.8,
     recall: float = 0.999,
     branch: int = 2,
-    depth: int = 3,
     small: int = 48,
     block: int = 384,
 ) -> DataFrame:
-    """One row for each row of docs (doc_id long, text string; other columns are ignored).
-
-    class_id    smallest doc_id that links lead to, the row's own included
-    n_links     number of other rows whose Jaccard similarity to this one is >= threshold
-    n_shingles  distinct shingles of the text
-    kept        whether doc_id = class_id (null where doc_id is)
-    """
+    """(doc_id, h, class_id, class_h, n_links, n_shingles) of each row of docs; h is a hash of its text, class_h of that of class_id."""
     kit.session(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = kit.stored(docs.mapInArrow(kit.tidy(_sketcher(words)), "doc_id long, n_shingles int, s1 long, s2 long, sketch array<int>"), "ngram-base")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    base = kit.stored(docs.mapInArrow(kit.tidy(_sketcher(words)), "doc_id long, h long, n_shingles int, s1 long, s2 long, sketch array<int>"), "ngram-base")
     same = F.xxhash64("s1", "s2", "n_shingles").alias("rep")
-    classes = base.where("n_shingles > 0").groupBy(same).agg(F.min("doc_id").alias("doc"), F.count("*").alias("cnt"), F.first("sketch").alias("sketch"))
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))
+    classes = base.where("n_shingles > 0").groupBy(same).agg(F.min(known).alias("doc"), F.count("*").alias("cnt"), F.first("sketch").alias("sketch"))
     classes = kit.stored(classes, "ngram-classes", base.count(), 320)
     n_sets = classes.count()
-    reps = classes.where("doc is not null").select("rep", "cnt", "sketch")
+    reps = classes.select("rep", "cnt", "sketch")
 
-    def children(node):
-        """Child nodes of a set at a node: its tokens at the positions that the node samples."""
-        first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(POSITIONS))
-        step = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(POSITIONS // 2)) * 2 + 1  # odd: positions differ
-        at = [F.pmod(first + step * k, F.lit(POSITIONS)).cast("int") for k in range(branch)]
-        return F.explode(F.array(*[F.xxhash64(node, p, F.get("sketch", p)) for p in at]))
-
-    runs = runs_needed(threshold, branch, depth, recall)
-    roots = F.explode(F.array(*[F.lit(1_000_003 * (r + 1)).cast("long") for r in range(runs)]))
-    frontier = reps.select("rep", "sketch", roots.alias("node"))
-    leaves = []
-    for level in range(1, depth + 1):
-        # Rows follow from the level before: frontier rows times branch, of two longs each.
-        n_rows = branch * (runs * n_sets if level == 1 else n_large)
-        frontier = kit.stored(frontier.select("rep", children(F.col("node")).alias("node")), f"ngram-level{level}", n_rows)
-        sized = frontier.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = kit.stored(frontier.join(sized, "node"), f"ngram-sized{level}", n_rows)
-        last = level == depth
-        leaves.append(sized if last else sized.where(F.col("size") <= small))
-        if not last:
-            n_large = sized.where(F.col("size") > small).count()
-            frontier = sized.where(F.col("size") > small).select("rep", "node").join(reps.select("rep", "sketch"), "rep")
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.unionByName(more)
-    leaf = leaf.select("rep", F.col("node").alias("leaf"), "size")
-    # A member's leaves: at most runs * branch ** depth of them.
+    leaf = _leaves(reps, n_sets, runs_needed(threshold, branch, recall), branch, small)
+    # A member's leaves: those of its branches that others share.
     member = leaf.groupBy("rep").agg(F.collect_list(F.struct("leaf", "size")).alias("all"))
     member = member.join(reps, "rep").select("rep", "cnt", "sketch", F.explode("all").alias("x"), F.array_sort("all.leaf").alias("leaves"))
     member = member.select("rep", "cnt", "sketch", "x.leaf", "x.size", "leaves")
@@ -306,35 +294,79 @@ def ngram_jaccard_join(
     dealt = dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     need = dealt.mapInArrow(kit.tidy(_promising(SLACK * threshold)), "leaf long, bi int, bj int, own int, rep long, cnt long, leaves array<long>")
     need = kit.stored(need, "ngram-need")
-    wanted = classes.join(need.select("rep").distinct(), "rep", "left_semi").select(F.col("doc").alias("doc_id"))
-    wanted = kit.stored(wanted.distinct(), "ngram-wanted", n_sets)
-    texts = docs.join(kit.small(wanted, 16), "doc_id", "left_semi").select("text")
+    kit.discard(leaf)
+    wanted = classes.join(need.select("rep").distinct(), "rep", "left_semi").select("doc.doc_id", "doc.h")
+    wanted = kit.stored(wanted.where("doc_id is not null").distinct(), "ngram-wanted", n_sets)
+    texts = docs.join(kit.small(wanted, 24), ["doc_id", "h"], "left_semi").unionByName(docs.where("doc_id is null and text is not null")).select("text")
     tokens = texts.mapInArrow(kit.tidy(_setter(words)), "n_shingles int, s1 long, s2 long, tokens binary").select(same, "tokens").dropDuplicates(["rep"])
     full = need.join(tokens, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     found = kit.stored(full.mapInArrow(kit.tidy(_verify(threshold)), "rep long, links long, root long"), "ngram-links")
+    kit.discard(need, wanted)
 
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = kit.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     facts = classes.select("rep", "doc", "cnt").join(linked, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     facts = kit.stored(facts, "ngram-facts", n_sets, 64)
-    least = facts.groupBy("component").agg(F.min("doc").alias("class_id"))
-    facts = facts.join(least, "component").select("rep", "class_id", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"))
-    return (
-        base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, same).alias("rep"))
-        .join(facts, "rep", "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
-        .withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    kit.discard(classes, found)
+    least = facts.groupBy("component").agg(F.min("doc").alias("least"))
+    facts = facts.join(least, "component").select("rep", "least", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"))
+    own = base.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, same).alias("rep")).join(facts, "rep", "left")
+    return own.select(
+        "doc_id",
+        "h",
+        F.coalesce("least.doc_id", "doc_id").alias("class_id"),
+        F.coalesce("least.h", "h").alias("class_h"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "n_shingles",
     )
 
 
+def _leaves(reps: DataFrame, n_sets: int, runs: int, branch: int, small: int) -> DataFrame:
+    """(rep, leaf, size) of the buckets of two sets or more in which the trees end, a stored table."""
+
+    def children(node):
+        """Child nodes of a set at a node: its tokens at the positions that the node samples."""
+        first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(POSITIONS))
+        step = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(POSITIONS // 2)) * 2 + 1  # odd: positions differ
+        at = [F.pmod(first + step * k, F.lit(POSITIONS)).cast("int") for k in range(branch)]
+        return F.explode(F.array(*[F.xxhash64(node, p, F.get("sketch", p)) for p in at]))
+
+    roots = F.explode(F.array(*[F.lit(1_000_003 * (r + 1)).cast("long") for r in range(runs)]))
+    frontier, n_rows = reps.select("rep", "sketch", roots.alias("node"), F.lit(n_sets).cast("long").alias("size")), runs * n_sets
+    leaves, level = [], 0
+    while n_rows:
+        level += 1
+        split = kit.stored(frontier.select("rep", "node", "size", children(F.col("node")).alias("child")), f"ngram-level{level}", branch * n_rows)
+        sized = split.groupBy("child").agg(F.count("*").alias("many"), F.first("node").alias("node"), F.first("size").alias("size")).where("many > 1")
+        sized = kit.stored(sized, f"ngram-sizes{level}", branch * n_rows)
+        pairs = sized.groupBy("node").agg(F.sum(F.col("many") * (F.col("many") - 1)).alias("pairs"), F.first("size").alias("size"))
+        # A node whose children have about all its pairs is a bucket itself.
+        dense = kit.stored(pairs.where(F.col("pairs") > PAYS * F.col("size") * (F.col("size") - 1)).select("node"), f"ngram-dense{level}", n_rows)
+        few = kit.small(dense, 8)
+        below = split.join(sized.select("child", "many"), "child").join(few, "node", "left_anti").select("rep", F.col("child").alias("node"), F.col("many").alias("size"))
+        below = kit.stored(below, f"ngram-below{level}", branch * n_rows)
+        leaves.append(split.join(few, "node", "left_semi").select("rep", F.col("node").alias("leaf"), "size").distinct())
+        leaves.append(below.where(F.col("size") <= small).select("rep", F.col("node").alias("leaf"), "size"))
+        large = below.where(F.col("size") > small)
+        n_rows = large.count()
+        frontier = large.join(reps.select("rep", "sketch"), "rep").select("rep", "sketch", "node", "size")
+    if not leaves:
+        return reps.select("rep", F.lit(0).cast("long").alias("leaf"), F.lit(0).cast("long").alias("size")).limit(0)
+    leaf = leaves[0]
+    for more in leaves[1:]:
+        leaf = leaf.unionByName(more)
+    return leaf
+
+
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of the smallest doc_id of each linked group, one row of an id that repeats.
+    """The rows of docs of the smallest doc_id of each linked group, one of rows that repeat id and text.
 
-    Rows without a doc_id stay.
+    Rows without a doc_id stay.  Columns of any other name are carried along.
     """
-    groups = ngram_jaccard_join(docs, **options)
-    keep = kit.stored(groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "ngram-keep", docs.count())
-    joined = docs.join(kit.small(keep, 24), F.col("doc_id") == F.col("_id"))
-    single = joined.where("_rows = 1").select(*docs.columns)
-    repeated = joined.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    id_, h, rows = kit.free_names(docs, "_id", "_h", "_rows")
+    groups = similar_groups(docs, **options).where((F.col("doc_id") == F.col("class_id")) & (F.col("h") == F.col("class_h")))
+    keep = kit.stored(groups.groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h)).agg(F.count("*").alias(rows)), "ngram-keep", docs.count())
+    joined = docs.join(kit.small(keep, 32), (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(h)))
+    single = joined.where(F.col(rows) == 1).select(*docs.columns)
+    repeated = joined.where(F.col(rows) > 1).dropDuplicates([id_, h]).select(*docs.columns)
     return single.unionByName(repeated).unionByName(docs.where("doc_id is null"))

@@ -75,13 +75,37 @@ def test_join_edges(spark, docs):
     got = sorted(((r.doc_id or -1, r.class_id or -1, r.n_links) for r in ngram_jaccard_join(docs(rows)).collect()))
     assert got == [(-1, -1, 0), (-1, 5, 2), (5, 5, 2), (5, 5, 2), (7, 7, 0), (7, 7, 0)]
     kept = keep_one_of_each(docs(rows)).collect()
-    assert sorted((r.doc_id or -1) for r in kept) == [-1, -1, 5, 7]
+    assert sorted((r.doc_id or -1) for r in kept) == [-1, -1, 5, 7, 7]  # unlike texts of one id both lead a class
+    unknown = [(None, base + " nine ten a b c d e f g h i j k l m n"), (5, base + " nine ten a b c d e f g h i j k l m o")]
+    assert sorted((r.doc_id or -1, r.class_id, r.n_links) for r in ngram_jaccard_join(docs(unknown)).collect()) == [(-1, 5, 1), (5, 5, 1)]
     assert len(kept[0]) == 8
 
 
 def test_recall_is_computed():
-    assert runs_needed(0.8, 2, 3, 0.999) == 3
-    assert 1 - (1 - path_survival(0.8, 2, 3)) ** 3 >= 0.999
+    assert runs_needed(0.8, 2, 0.999) == runs_needed(0.8, 2, 0.999, 3) == 3
+    assert path_survival(0.8, 2, 3) > path_survival(0.8, 2) and 1 - (1 - path_survival(0.8, 2)) ** 3 >= 0.999
+
+
+def test_recall_of_many_pairs_at_the_threshold(spark, docs):
+    """Pairs of 102 shingles that share 82, just above 0.8, among a crowd that makes buckets recurse."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(600):
+        w = words(rng, 106)
+        v = list(w)
+        for at in (20, 90):
+            v[at] = "edit"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    assert all(similar(rows[i][1], rows[i + 1][1]) for i in range(0, 20, 2))
+    got = {r.doc_id: r.class_id for r in ngram_jaccard_join(docs(rows), small=4).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(600)) >= 597
+
+
+def test_a_large_group_of_like_texts_is_not_split(spark, docs):
+    rng = random.Random(22)
+    rows = list(enumerate(near_copies(rng, words(rng, 150), 200, 1) + near_copies(rng, words(rng, 150), 60, 3)))
+    want = brute(rows, similar)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard_join(docs(rows), small=8, block=32).collect()} == want
 
 
 def test_windows_are_the_cartesian_tree():
