@@ -1,16 +1,18 @@
 """Embedding near-duplicates by an exact metric range join.
 
 On unit vectors a cosine of c is the Euclidean distance sqrt(2 - 2c), a metric.  Vectors of one label
-are partitioned to their nearest pivot.  By the triangle inequality a vector within eps of some member
-of another cell is at most 2 eps farther from that cell's pivot than from its own, so it is copied to
-just those cells, and then every cell joins by itself: each member counts its links at home, among the
-members and the visitors of its cell.  Nothing is approximate.
+are partitioned to their nearest pivot.  A vector y of cell q is nearer to q than to any other pivot p, so
+a vector x that lies farther than eps beyond the hyperplane between p and q, for some p, is farther than
+eps from all of cell q: (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) > eps, by the triangle inequality along the
+normal.  Other vectors are copied to the cell, from cells of smaller number only, so that two vectors meet
+in one cell; then every cell joins by itself.  Nothing is approximate.
 
 Scale: equal vectors of a label are one class before the join, so a very common vector is one row.
-Labels get pivots in proportion to their size, within a fixed total that bounds what is sent to the
-workers; labels beyond that budget are one cell.  A cell of any size is cut into blocks and each pair
-of blocks is one task's work, in double-precision matrix products; a task returns one row for each
-member, never pairs.  In high dimensions pivots prune little; the blocks keep the work bounded.
+Every label has pivots, in proportion to its size, two at least; they are drawn by hashes and meet the
+vectors in the tasks that place them, a label's vectors dealt over parts of bounded size, so nothing goes
+through the driver.  A cell of any size is cut into blocks and each pair of blocks is one task's work, in
+double-precision matrix products; a task returns one row for each member, never pairs.  In high
+dimensions pivots prune little; the blocks keep the work bounded.
 
 Edge cases: a vector links with nothing if its label is null, or if it is null, zero, or holds a null
 or non-finite component; vectors of unlike lengths are not compared; rows that repeat count as other
@@ -24,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kit
 
-#: Pivots over all labels, and labels that may have some: bounds what is sent to each worker.
-MOST_PIVOTS, MOST_LABELS = 2048, 512
+#: Pivots of a label at most, and vectors that one task places at a time.
+MOST_PIVOTS, PART_ROWS = 64, 8192
+_PLACED = ["label", "dim", "part"]
 _KEYS = ["label", "dim", "cell", "hb", "ob"]
 
 
@@ -40,35 +43,39 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _assigner(pivots: dict[tuple[int, int], np.ndarray], eps: float):
-    """Each vector's home cell, and the cells that it visits."""
+def cells_of(x: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector's own cell, and which cells of larger number it must visit."""
+    cos = x @ pivots.T
+    own = cos.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
+    visits = np.arange(len(pivots))[None, :] > own[:, None]
+    for p in range(len(pivots)):
+        # cos(x,p) - cos(x,q) is half of d(x,q)^2 - d(x,p)^2; equal pivots part nothing.
+        beyond = np.where(apart[p] > 1e-9, (cos[:, p, None] - cos) / np.maximum(apart[p], 1e-9), 0.0)
+        visits &= beyond <= eps + 1e-6
+    return own, visits
+
+
+def _assigner(eps: float):
+    """Each vector's home cell, and the cells that it visits, from parts of labels that begin with the label's pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
+        for table in kit.whole_groups(batches, _PLACED, rows=2048):
+            dim = table.column("dim").to_numpy()
             at = np.concatenate([[0], np.cumsum(dim)])
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            row, cell, home = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
-            for key in set(zip(label.tolist(), dim.tolist(), strict=True)):
-                rows = np.flatnonzero((label == key[0]) & (dim == key[1]))
-                if key not in pivots:
-                    row.append(rows)
-                    cell.append(np.zeros(len(rows), np.int32))
-                    home.append(np.ones(len(rows), bool))
-                    continue
-                x = _unit(flat[(at[rows][:, None] + np.arange(key[1])).ravel()], key[1])
-                away = np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots[key].T)))
-                own = away.argmin(axis=1)
-                near = away[np.arange(len(rows)), own]
-                r, c = np.nonzero(away <= near[:, None] + 2 * eps + 1e-6)
-                row.append(rows[r])
-                cell.append(c.astype(np.int32))
-                home.append(c == own[r])
-            row, cell, home = map(np.concatenate, (row, cell, home))
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int32()), pa.array(home)], names=[*batch.schema.names, "cell", "home"])
+            flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            plain = table.column("plain").to_numpy(zero_copy_only=False).astype(bool)
+            for s, e in zip(*map(np.ndarray.tolist, kit.group_slices(table, _PLACED)), strict=True):
+                x, mine = _unit(flat[at[s] : at[e]], dim[s]), plain[s:e]
+                pivots = x[~mine] if not mine.all() else x[:1]
+                own, visits = cells_of(x[mine], pivots, eps)
+                visits[np.arange(len(own)), own] = True
+                r, c = np.nonzero(visits)
+                out = table.select(["label", "dim", "rep", "cnt", "embedding"]).take(pa.array(s + np.flatnonzero(mine)[r]))
+                for k in range(0, len(r), 4096):
+                    for batch in out.slice(k, 4096).combine_chunks().to_batches():
+                        cell, home = c[k : k + batch.num_rows], c[k : k + batch.num_rows] == own[r[k : k + batch.num_rows]]
+                        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(home)], names=[*batch.schema.names, "cell", "home"])
 
     return run
 
@@ -77,11 +84,11 @@ def _joiner(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in kit.whole_groups(batches, _KEYS, rows=2048):
             dim, rep, cnt = (table.column(c).to_numpy() for c in ("dim", "rep", "cnt"))
-            home = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            asks, home = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "home"))
             at = np.concatenate([[0], np.cumsum(dim)])
             flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             for s, e in zip(*map(np.ndarray.tolist, kit.group_slices(table, _KEYS)), strict=True):
-                x, h = _unit(flat[at[s] : at[e]], dim[s]), home[s:e]
+                x, h, own = _unit(flat[at[s] : at[e]], dim[s]), asks[s:e], home[s:e]
                 hosts, others = np.flatnonzero(h), np.flatnonzero(~h)
                 if not len(hosts) or not len(others):
                     continue
@@ -94,6 +101,8 @@ def _joiner(threshold: float):
                     continue
                 links = np.zeros(e - s, dtype=np.int64)
                 np.add.at(links, i, counts[j])
+                guest = ~own[j]  # a visitor asks nowhere else for the members of this cell
+                np.add.at(links, j[guest], counts[i[guest]])
                 root = kit.local_roots(e - s, i, j)
                 some = np.union1d(i, j)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], names=["rep", "links", "root"])
@@ -101,6 +110,23 @@ def _joiner(threshold: float):
     return run
 
 
+def place(classes: DataFrame, eps: float, cell_rows: int) -> DataFrame:
+    """classes (label, dim, rep, cnt, embedding) with cell and home: a row for the home cell, and one for each cell visited."""
+    sized = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    sized = sized.select("label", "dim", "n", F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(2), F.ceil(F.col("n") / cell_rows))).cast("int").alias("m"), F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    sized = kit.stored(sized, "embedding-labels")
+    rows = classes.select("label", "dim", "rep", "cnt", "embedding").join(kit.small(sized, 32), ["label", "dim"])
+    # A few times the pivots needed are drawn by a hash, the first of these by another are the pivots.
+    drawn = rows.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n")) < 8 * F.col("m"))
+    first = Window.partitionBy("label", "dim").orderBy(F.xxhash64("rep", F.lit(4)), "rep")
+    pivots = drawn.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= F.col("m")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
+    tail = [*_PLACED, "rep", "cnt", "embedding"]
+    both = pivots.select(*tail, F.lit(False).alias("plain")).unionByName(rows.select(*tail, F.lit(True).alias("plain")))
+    dealt = both.repartition(*_PLACED).sortWithinPartitions(*_PLACED, "plain", "rep")
+    return dealt.mapInArrow(kit.tidy(_assigner(eps)), "label long, dim int, rep long, cnt long, embedding array<double>, cell int, home boolean")
+
+
 def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, cell_rows: int = 2048, block: int = 1024) -> DataFrame:
     """One row for each row of vectors (vec_id, label, embedding): vec_id, n_links, component_id, kept.
 
@@ -116,28 +142,14 @@ def embedding_near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, ce
     classes = base.where("rep is not null").groupBy("label", "embedding", "rep").agg(F.min("vec_id").alias("vec"), F.count("*").alias("cnt"))
     classes = kit.stored(classes.withColumn("dim", F.size("embedding")), "embedding-classes")
 
-    large = classes.groupBy("label", "dim").count().where(F.col("count") > cell_rows).orderBy(F.col("count").desc(), "label", "dim").limit(MOST_LABELS).collect()
-    budget, wanted = MOST_PIVOTS, {}
-    for r in large:
-        n = min(64, math.ceil(r["count"] / cell_rows))
-        if n > budget:
-            break
-        wanted[r.label, r.dim] = n
-        budget -= n
-    pivots: dict[tuple[int, int], np.ndarray] = {}
-    for (label, dim), n in wanted.items():
-        picked = classes.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy(F.xxhash64("rep", F.lit(3))).limit(n).select("embedding").collect()
-        pivots[label, dim] = _unit(np.array([r.embedding for r in picked]).ravel(), dim)
-
     eps = math.sqrt(2 - 2 * threshold)
-    placed = classes.select("label", "dim", "rep", "cnt", "embedding").mapInArrow(kit.tidy(_assigner(pivots, eps)), "label long, dim int, rep long, cnt long, embedding array<double>, cell int, home boolean")
-    placed = kit.stored(placed, "embedding-cells")
+    placed = kit.stored(place(classes, eps, cell_rows), "embedding-cells")
     counts = placed.groupBy("label", "dim", "cell").agg(F.count(F.when(F.col("home"), 1)).alias("n_home"), F.count("*").alias("n_all"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(float(block)))).cast("int")
     placed = placed.join(counts, ["label", "dim", "cell"]).withColumns({"nh": blocks("n_home"), "na": blocks("n_all")})
     deal = lambda n: F.pmod(F.xxhash64("rep", F.lit(11)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tail = ["rep", "cnt", "embedding"]
+    tail = ["home", "rep", "cnt", "embedding"]
     asking = placed.where("home").select("label", "dim", "cell", deal("nh").alias("hb"), upto("na").alias("ob"), F.lit(True).alias("asks"), *tail)
     asked = placed.select("label", "dim", "cell", upto("nh").alias("hb"), deal("na").alias("ob"), F.lit(False).alias("asks"), *tail)
     dealt = asking.unionByName(asked).repartition(*_KEYS).sortWithinPartitions(*_KEYS)

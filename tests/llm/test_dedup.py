@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from sievewright.llm import kit
-from sievewright.llm.embedding_dedup import embedding_near_duplicates
+from sievewright.llm.embedding_dedup import cells_of, embedding_near_duplicates, place
 from sievewright.llm.ngram_join import keep_one_of_each, ngram_jaccard_join, path_survival, runs_needed
 from sievewright.llm.substring_dedup import compact_windows, cut_duplicates, duplicate_spans
 
@@ -228,6 +228,26 @@ def test_embeddings(spark):
     assert embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cells_prune_and_lose_nothing(spark):
+    """Around centres that lie apart few vectors visit other cells; whoever is within eps of another cell's member does."""
+    rng = np.random.default_rng(4)
+    eps = np.sqrt(2 - 2 * 0.93)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for spread, dims in ((0.02, 16), (0.3, 6), (1.0, 3)):
+        centres = unit(rng.normal(size=(8, dims)))
+        x = unit(np.repeat(centres, 60, axis=0) + spread * rng.normal(size=(480, dims)))
+        own, visits = cells_of(x, centres, eps)
+        near = x @ x.T >= 0.93
+        for i, j in zip(*np.nonzero(near), strict=True):
+            assert own[i] >= own[j] or visits[i, own[j]]
+        assert visits.mean() < 0.35
+    # And in the plan, whatever the size of the label: two pivots at least.
+    rows = [(1, 16, i, 1, x.tolist()) for i, x in enumerate(unit(np.repeat(unit(rng.normal(size=(2, 16))), 20, axis=0) + 0.01 * rng.normal(size=(40, 16))))]
+    classes = spark.createDataFrame(rows, "label long, dim int, rep long, cnt long, embedding array<double>")
+    got = place(classes, eps, 2048).collect()
+    assert sum(r.home for r in got) == 40 and len({r.cell for r in got}) == 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 50])
 def test_components_of_chains(spark, n):
     links = spark.createDataFrame([(k + 1, k) for k in range(n)] + [(100 + k, 101 + k) for k in range(3)], "a long, b long")
