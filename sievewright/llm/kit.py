@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright import storage
@@ -88,6 +88,21 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SMALL_BYTES else df
 
 
+def ranked(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """df, stored, with each row's number from 0 in the given order: sorted over range partitions, whose sizes alone reach the driver."""
+    part, place = free_names(df, "_part", "_place")
+    rows = df.repartitionByRange(order).sortWithinPartitions(order)
+    rows = stored(rows.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranked")
+    sizes = {r[part]: r["n"] for r in rows.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    before, base = {}, 0
+    for p in sorted(sizes):
+        before[p], base = base, base + sizes[p]
+    if not before:
+        return rows.withColumn(name, F.col(place)).drop(part, place)
+    start = F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)])
+    return rows.withColumn(name, F.col(place) + F.try_element_at(start, F.col(part))).drop(part, place)
+
+
 # --------------------------------------------------------------------------------------------
 # Word hashing: words are maximal runs of bytes outside ASCII white space.
 

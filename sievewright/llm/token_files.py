@@ -9,10 +9,12 @@ Layout: magic, planes of all blocks, footer (zstandard over JSON), document inde
 int64 arrays), the footer's and the index's lengths as little-endian u64, magic.
 
 The writer sorts globally without a global sort of texts: documents are encoded where they are read,
-dealt by bounds of doc_id over files of bounded size, and sorted within each.  Files have a name for
-each attempt and count only if the manifest, a stored table, names them, so a lost executor leaves at
-most an orphan.  Empty texts have the end id alone; a null doc_id sorts first; rows that repeat an id
-are ordered by the checksum of their ids.
+dealt by bounds of doc_id over buckets, each a task's, and sorted within each; a bucket is written to as
+many files of bounded size as it needs.  There are at most ``MOST_BUCKETS`` bounds, whatever the size of
+the corpus.  An id so frequent that it is several bounds is dealt over their buckets by the checksum of its
+rows' ids.  Files have a name for each attempt and count only if the manifest, a stored table, names
+them, so a lost executor leaves at most an orphan.  Empty texts have the end id alone; a null doc_id
+sorts first; rows that repeat an id are ordered by that checksum; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ from . import bpe, kit
 
 MAGIC = b"BPLANE01"
 BLOCK = 1 << 16
+#: Buckets at most: what is sent to the tasks and summed on the driver.
+MOST_BUCKETS = 1 << 15
+#: Ids that a file holds before the next one is begun.
+FILE_IDS = 1 << 26
+_NO_ID = np.iinfo(np.int64).min
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -149,7 +156,13 @@ class PlaneReader:
         return out
 
 
-def _encoder(tokenizer: str, end: int, bounds: np.ndarray):
+def bucket_of(ids: np.ndarray, tie: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The bucket of each id: that of the first bound that is not below it, or of one of several equal bounds, by tie."""
+    first, last = np.searchsorted(bounds, ids), np.searchsorted(bounds, ids, side="right")
+    return first + (tie * np.maximum(last - first, 1) >> 32)
+
+
+def _encoder(tokenizer: str, end: int, bounds: np.ndarray, places: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.encoder(tokenizer)
         for batch in batches:
@@ -159,25 +172,25 @@ def _encoder(tokenizer: str, end: int, bounds: np.ndarray):
             ids, at = np.insert(ids, at[1:], np.uint16(end)), at + np.arange(len(at))
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
             doc_id = batch.column("doc_id")
-            bucket = np.searchsorted(bounds, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy())
-            tie = pa.array([zlib.crc32(x) for x in binary.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(bucket.astype(np.int32)), tie, binary], names=["doc_id", "bucket", "tie", "ids"])
+            tie = np.array([zlib.crc32(x) for x in binary.to_pylist()], dtype=np.int64)
+            bucket = bucket_of(doc_id.fill_null(_NO_ID).to_numpy(), tie, bounds)
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(bucket.astype(np.int32)), pa.array(places[bucket]), pa.array(tie), binary], names=["doc_id", "bucket", "place", "tie", "ids"])
 
     return run
 
 
-def _writer(folder: str, kind: str):
+def _writer(folder: str, kind: str, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = kit.filesystem(folder)
         fs.create_dir(root, recursive=True)
-        now, sink, out, docs = None, None, None, []
+        now, part_no, sink, out, docs = None, 0, None, None, []
 
         def finish() -> pa.RecordBatch:
             doc_ids = pa.concat_arrays([d for d, _ in docs])
             lengths = np.concatenate([n for _, n in docs])
             out.close(doc_ids.fill_null(0).to_numpy(), doc_ids.is_valid().to_numpy(zero_copy_only=False), lengths)
             sink.close()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()), "path": [name], "n_docs": pa.array([len(lengths)], pa.int64()), "n_ids": pa.array([out.total], pa.int64())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()), "part": pa.array([part_no], pa.int32()), "path": [name], "n_docs": pa.array([len(lengths)], pa.int64()), "n_ids": pa.array([out.total], pa.int64())})
 
         for batch in batches:
             if not batch.num_rows:
@@ -185,11 +198,12 @@ def _writer(folder: str, kind: str):
             buckets = batch.column("bucket").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if buckets[s] != now:
+                if buckets[s] != now or out.total + out.n >= file_ids:
                     if now is not None:
                         yield finish()
+                    part_no = part_no + 1 if buckets[s] == now else 0
                     now, docs = int(buckets[s]), []
-                    name = f"part-{now:06d}-{uuid.uuid4().hex}.planes"
+                    name = f"part-{now:06d}-{part_no:04d}-{uuid.uuid4().hex}.planes"
                     sink = fs.open_output_stream(f"{root}/{name}")
                     out = PlaneWriter(sink, kind)
                 part = batch.slice(s, e - s)
@@ -203,23 +217,33 @@ def _writer(folder: str, kind: str):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end: int, docs_per_file: int = 8192, kind: str = "byte") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, *, tokenizer: str, end: int, docs_per_file: int = 8192, file_ids: int = FILE_IDS, kind: str = "byte") -> DataFrame:
     """Encode docs (doc_id, text), end each with id ``end`` and write files of planes in doc_id order.
 
-    Returns the manifest (bucket, path, n_docs, n_ids), a stored table; files in bucket order hold
-    ascending doc_ids.
+    Returns the manifest (bucket, part, path, n_docs, n_ids), a stored table; files in the order of bucket
+    and part hold ascending doc_ids.
     """
-    kit.session(docs)
+    spark = kit.session(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = docs.count()
-    files = max(1, math.ceil(n / docs_per_file))
+    buckets = max(1, min(MOST_BUCKETS, math.ceil(docs.count() / docs_per_file)))
     bounds = np.zeros(0, np.int64)
-    if files > 1:
-        at = docs.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(1000, 20 * files)).alias("b")).first().b
-        bounds = np.unique(np.array(at or [], dtype=np.int64))
-    coded = docs.mapInArrow(kit.tidy(_encoder(tokenizer, end, bounds)), "doc_id long, bucket int, tie long, ids binary")
-    coded = coded.repartition(files, "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
-    return kit.stored(coded.mapInArrow(kit.tidy(_writer(folder, kind)), "bucket int, path string, n_docs long, n_ids long"), "token-manifest")
+    if buckets > 1:
+        known = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"))
+        at = known.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], max(1000, 20 * buckets)).alias("b")).first().b
+        bounds = np.array(at, dtype=np.int64)
+    coded = docs.mapInArrow(kit.tidy(_encoder(tokenizer, end, bounds, _places(spark, buckets))), "doc_id long, bucket int, place int, tie long, ids binary")
+    coded = coded.repartition(buckets, "place").sortWithinPartitions("bucket", "doc_id", "tie").drop("place")
+    return kit.stored(coded.mapInArrow(kit.tidy(_writer(folder, kind, file_ids)), "bucket int, part int, path string, n_docs long, n_ids long"), "token-manifest")
+
+
+def _places(spark, n: int) -> np.ndarray:
+    """For each bucket a number that hash partitioning into n puts in a partition of its own (for nearly all)."""
+    tries = spark.range(n * (8 + n.bit_length())).select(F.col("id").cast("int").alias("place"))
+    found = tries.groupBy(F.pmod(F.hash("place"), F.lit(n)).alias("part")).agg(F.min("place").alias("place")).collect()
+    places = np.arange(n, dtype=np.int32)
+    for r in found:
+        places[r.part] = r.place
+    return places
 
 
 def _scanner(folder: str):
@@ -246,7 +270,10 @@ def _scanner(folder: str):
 
 def read_token_index(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files that the manifest names."""
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))  # a row a file
     files = max(1, manifest.count())
+    sizes = manifest.groupBy("bucket").agg(F.sum("n_ids").alias("n")).orderBy("bucket").collect()  # at most MOST_BUCKETS rows
+    base = np.cumsum([0, *(r.n for r in sizes)]).tolist()
+    bases = manifest.sparkSession.createDataFrame([(r.bucket, b) for r, b in zip(sizes, base, strict=False)], "bucket int, base long")
+    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.join(bases, "bucket").select("path", (F.col("base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("base"))
     return placed.repartition(files, "path").mapInArrow(kit.tidy(_scanner(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")

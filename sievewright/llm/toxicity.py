@@ -8,13 +8,14 @@ mentioned, which is what makes neutral mentions score high.  An L1 penalty, for
 proportion to the deviation of its count among toxic rows, picks features that chance does not
 explain, then the model is refitted on them.
 
-Scale: fitting sees at most ``sample`` labelled rows, those with the smallest hashes of their ids, as
-hashed features on the driver (a documented bound).  Scoring is one pass over whole texts with a
+Scale: fitting sees at most ``sample`` labelled rows, those with the smallest hashes of their ids, and of
+these as many as ``sample_bytes`` of hashed features hold, on the driver (documented bounds).  Scoring is one pass over whole texts with a
 weight table of fixed size, no shuffle.  Nothing but the text enters a score.
 
 Edge cases: null and empty texts score the intercept; without labelled rows every score is 0; rows that
-repeat an id are scored alike, several labels of an id count as toxic if one is; a null doc_id is
-scored and is not held out.
+repeat an id are scored by their own texts, and the text of the smallest hash is the one learnt from;
+several labels of an id count as toxic if one is; a null doc_id is scored and is not held out; columns of
+any other name are left alone.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kit
@@ -110,7 +111,7 @@ def _featurer(groups):
             own, other = _present(pa.array(texts, pa.large_string())), _present(pa.array(swapped, pa.large_string()))
             gone = [np.setdiff1d(a, b).tobytes() for a, b in zip(own, other, strict=True)]
             come = [np.setdiff1d(b, a).tobytes() for a, b in zip(own, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x, pa.binary()) for x in ([a.tobytes() for a in own], gone, come))], names=["toxic", "own", "gone", "come"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(x, pa.binary()) for x in ([a.tobytes() for a in own], gone, come))], names=["doc_id", "toxic", "own", "gone", "come"])
 
     return run
 
@@ -209,13 +210,19 @@ def fit(own: list[np.ndarray], gone: list[np.ndarray], come: list[np.ndarray], t
     return ToxicityModel(used[at], w[at], float(b))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000, groups=IDENTITY_TERMS, **options) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000, sample_bytes: int = 128 << 20, groups=IDENTITY_TERMS, **options) -> ToxicityModel:
     """Fit on the rows of docs (doc_id, text) that labels (doc_id, toxic) cover, held-out rows apart."""
     kit.session(docs)
     given = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = given.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(sample)  # at most ``sample`` rows: small enough to broadcast
-    texts = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = texts.mapInArrow(kit.tidy(_featurer(groups)), "toxic int, own binary, gone binary, come binary").limit(2 * sample).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))  # one row an id
+    found = kit.stored(texts.mapInArrow(kit.tidy(_featurer(groups)), "doc_id long, toxic int, own binary, gone binary, come binary"), "toxicity-features")
+    size = sum(F.octet_length(c) for c in ("own", "gone", "come"))
+    order = Window.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = found.select("doc_id", F.sum(size).over(order).alias("bytes")).where(F.col("bytes") <= sample_bytes)  # of at most ``sample`` narrow rows
+    rows = found.join(F.broadcast(upto.select("doc_id")), "doc_id").collect()
+    kit.discard(found)
     rows.sort(key=lambda r: (r.toxic, bytes(r.own)))
     lists = [[np.frombuffer(r[c], dtype=np.int32) for r in rows] for c in ("own", "gone", "come")]
     model = fit(*lists, np.array([r.toxic for r in rows], dtype=np.float64), **options)
@@ -229,20 +236,20 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _scorer(model: ToxicityModel):
+def _scorer(model: ToxicityModel, lowered: str = "lowered", scored: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         live = (table.reshape(LEVELS, -1) != 0).any(axis=0)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, at = _buckets(batch.column("lowered"))
+            rows, at = _buckets(batch.column(lowered))
             hit = live[at]
             rows, features = _features(rows[hit], at[hit])
             z = np.bincount(rows, weights=table[features], minlength=batch.num_rows) + model.intercept
             score = 1 / (1 + np.exp(-np.clip(z, -700, 700))) if np.isfinite(model.intercept) else np.zeros(batch.num_rows)
-            rest = [c for c in batch.schema.names if c != "lowered"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score, pa.float64())], names=[*rest, "score"])
+            rest = [c for c in batch.schema.names if c != lowered]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score, pa.float64())], names=[*rest, scored])
 
     return run
 
@@ -256,8 +263,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of docs (text and whatever else) that are not predicted toxic, in one pass."""
+    """The rows of docs (text and whatever else, of any name) that are not predicted toxic, in one pass."""
     kit.session(docs)
-    base = docs.select("*", F.lower("text").alias("lowered"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
-    return base.mapInArrow(kit.tidy(_scorer(model)), schema).where("score < 0.5").select(*docs.columns)
+    low, score = kit.free_names(docs, "lowered", "score")
+    base = docs.select("*", F.lower("text").alias(low))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{score}` double"
+    return base.mapInArrow(kit.tidy(_scorer(model, low, score)), schema).where(F.col(score) < 0.5).select(*docs.columns)

@@ -9,6 +9,11 @@ The universe are all (host suffix, path prefix) keys that some rule could equal,
 first level's error rate follows from the ratio of listed to other keys, later levels take one half,
 so the cascade's size follows the rule list and only the logarithm of the corpus.
 
+Scale: the universe is made distinct, which combines before it shuffles, and stored before it is probed,
+so a host that a third of all pages have is a few rows a task.  Levels are literals in the plan, so their
+bits are bounded by ``MOST_BITS``; a longer rule list is joined with the distinct keys instead, which
+is exact too.
+
 Edge cases: a null url or one without ``://`` has an empty host and path and fits no rule; an empty
 rule list lists nothing; unlisted pages get ``default``.
 """
@@ -22,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.storage import stored
+
 #: Rules of the reported filter: host, path prefix, verdict.
 RULES = (
     ("org", "/", "allow"),
@@ -35,6 +42,10 @@ RULES = (
 MOST_BITS = 1 << 22
 
 
+class TooLong(ValueError):
+    """A list of keys that is too long for literals in a plan."""
+
+
 @dataclass(frozen=True)
 class Level:
     seed: int
@@ -60,7 +71,7 @@ def _encode(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     hashes = max(1, round(math.log2(1 / rate)))
     bits = max(64, 64 * math.ceil(n * math.log2(1 / rate) * 1.4427 / 64))
     if bits > MOST_BITS:
-        raise ValueError(f"a level of {bits} bits is too large for a plan; split the rules by host and filter in turn")
+        raise TooLong(f"a level of {bits} bits is too large for a plan")
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, hashes, bits))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("b"))
     found = {r.w: r.b for r in words.collect()}  # at most bits / 64 rows
@@ -84,14 +95,14 @@ class Cascade:
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """A cascade from (key) frames; listed has the keys to find, universe every key that will be asked."""
     listed = listed.select("key").where("key is not null").distinct()
-    universe = universe.select("key").where("key is not null")
     n = listed.count()
     if not n:
         return Cascade(())
-    others = max(1, universe.agg(F.approx_count_distinct("key").alias("n")).first().n)
+    universe = stored(universe.select("key").where("key is not null").distinct(), "url-keys")
+    others = max(1, universe.count())
     rate = min(0.5, n / (math.sqrt(2) * others))
     levels = [_encode(listed, n, rate, 1)]
-    wrong = universe.where(levels[0].accepts(F.col("key"))).join(listed, "key", "left_anti").distinct()
+    wrong = universe.where(levels[0].accepts(F.col("key"))).join(listed, "key", "left_anti")
     inside, outside = wrong, listed
     while n := inside.count():
         levels.append(_encode(inside, n, 0.5, len(levels) + 1))
@@ -113,6 +124,15 @@ def rule_keys(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return F.array_distinct(F.array_compact(F.array(*keys))) if keys else F.array().cast("array<string>")
 
 
+def _joined(keyed: DataFrame, rules: Sequence[tuple[str, str, str]], default: str) -> DataFrame:
+    """The same verdicts by a join of the distinct hosts and paths with the rules."""
+    table = keyed.sparkSession.createDataFrame([(h + p, len(h + p), len(h), v) for h, p, v in rules], "key string, n int, h int, verdict string")
+    asked = keyed.select("host", "path", "_keys").distinct().select("host", "path", F.explode("_keys").alias("key"))
+    best = asked.join(table, "key").groupBy("host", "path").agg(F.max(F.struct("n", "h", "key", "verdict")).alias("best"))
+    ruled = keyed.join(best, ["host", "path"], "left")
+    return ruled.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages (page_id, url).
 
@@ -124,8 +144,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     keyed = parts.withColumn("_keys", rule_keys(F.col("host"), F.col("path"), rules))
     one = lambda kept: spark.createDataFrame([(h + p,) for h, p, _ in kept], "key string")
-    listed = build_cascade(one(rules), keyed.select(F.explode("_keys").alias("key")))
-    blocked = build_cascade(one([r for r in rules if r[2] == "block"]), one(rules))
+    try:
+        listed = build_cascade(one(rules), keyed.select(F.explode("_keys").alias("key")))
+        blocked = build_cascade(one([r for r in rules if r[2] == "block"]), one(rules))
+    except TooLong:
+        return _joined(keyed, rules, default)
     fitting = F.filter("_keys", lambda k: listed.contains(k))
     longest = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), F.instr(k, "/").alias("h"), k.alias("key"))))
     ruled = keyed.withColumn("rule", longest["key"])

@@ -6,17 +6,62 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm.mixing import fill_targets, mix_sources, mixed_documents, pivot
+from sievewright.llm.mixing import mix_sources, mixed_documents, pivot, source_targets
 from sievewright.llm.topk_search import exact_topk, search_block
 from sievewright.llm.toxicity import drop_toxic, fit, held_out, score_toxicity, swap_terms, train_toxicity
 from sievewright.llm.url_filter import RULES, build_cascade, filter_urls
 
 
-def test_targets():
+def fill_targets(sizes, weights, total, most):
+    """Shares by weight; whoever is above most times its size stops there, the rest is dealt again."""
+    targets, free, rest = [0.0] * len(sizes), set(range(len(sizes))), total
+    while free:
+        unit = rest / sum(weights[i] for i in free)
+        full = {i for i in free if unit * weights[i] > most * sizes[i]}
+        for i in full or free:
+            targets[i] = most * sizes[i] if full else unit * weights[i]
+            rest -= targets[i] if full else 0
+        if not full:
+            break
+        free -= full
+    return targets
+
+
+def test_targets(spark):
     assert fill_targets([10, 10, 10], [5, 2, 1], 45, 2) == [20.0, pytest.approx(50 / 3), pytest.approx(25 / 3)]
-    assert fill_targets([0, 100], [5, 2], 150, 2) == [0.0, 150.0]
-    assert fill_targets([0, 0], [5, 2], 0, 2) == [0.0, 0.0]
-    assert fill_targets([], [], 0, 2) == []
+    rng = np.random.default_rng(7)
+    for sizes, total in (([10, 10, 10], 45), ([0, 100], 150), ([0, 0], 0), ([1000, 1, 1, 50, 3, 700], 2600), (rng.integers(0, 1000, 50).tolist(), 30_000)):
+        table = spark.createDataFrame(list(enumerate(sizes)), "sid long, source_size long")
+        got = [r.target for r in source_targets(table, (5, 2, 1), total, 2).orderBy("sid").collect()]
+        assert got == pytest.approx(fill_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], total, 2))
+
+
+def test_targets_of_a_table_in_sql(spark):
+    """Sizes, source sizes and targets of the smallest table, told by SQL and the rule above."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    told = duckdb.sql(f"SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) FROM '{sf}/documents.parquet' GROUP BY 1 ORDER BY source NULLS LAST").fetchall()
+    sizes = [int(n) for _, n in told]
+    want = dict(zip([s for s, _ in told], zip(sizes, fill_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes), 2), strict=True), strict=True))
+    got = mix_sources(spark.read.parquet(f"{sf}/documents.parquet")).select("source", "source_size", "target").distinct().collect()
+    assert {r.source: (r.source_size, pytest.approx(r.target)) for r in got} == want
+
+
+def test_repeated_rows_are_mixed_apart(spark):
+    rows = [(None, "one two three", "a")] * 500 + [(7, "four five", "a")] * 300 + [(2**60 + i, "six " * (i % 5), "b") for i in range(400)] + [(2**60, "other", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in ("_id", "_h", "_source", "_n", "_many", "_copy", "sid", "leaf", "key", "p", "size", "number"):
+        df = df.withColumn(n, F.lit("x"))
+    got = mix_sources(df, leaf=32, fan=4).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {r[0] for r in rows}
+    for name in "ab":
+        mine = [r for r in got if r.source == name]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 4
+    taken = mixed_documents(df, leaf=32, fan=4)
+    count = lambda pairs: sorted(((a or -1), b) for a, b in pairs)
+    assert taken.columns == df.columns
+    assert count((r.doc_id, len(r.text.split())) for r in taken.collect()) == count((r.doc_id, r["size"]) for r in got for _ in range(r.copies))
 
 
 def test_pivot_keeps_mass():
@@ -84,6 +129,15 @@ def test_toxicity_holds_out(spark):
     assert (other.buckets == model.buckets).all() and other.weights == pytest.approx(model.weights)
 
 
+def test_toxicity_learns_from_a_stated_sample(spark):
+    docs, labels = toxic_table(spark, 1500)
+    twice = docs.unionByName(docs.withColumn("text", F.lit("another text of the id")))
+    one = train_toxicity(twice, labels, sample=500)
+    two = train_toxicity(twice.repartition(7), labels.repartition(3), sample=500)
+    assert (one.buckets == two.buckets).all() and (one.weights == two.weights).all()
+    assert len(train_toxicity(docs, labels, sample_bytes=0).buckets) == 0
+
+
 def test_toxicity_is_counterfactually_fair():
     # Feature 7 (a term) goes with the label; its counterfactual is feature 9.
     rng = np.random.default_rng(0)
@@ -103,7 +157,9 @@ def test_toxicity_edges(spark):
     model = train_toxicity(docs, labels)
     got = score_toxicity(docs, model).collect()
     assert len(got) == 4 and all(r.score == 0 and r.predicted == 0 for r in got)
-    assert drop_toxic(docs.drop("score"), model).count() == 4
+    wide = docs.withColumn("lowered", F.lit(1)).withColumn("Score_", F.lit("x"))
+    kept = drop_toxic(wide, model)
+    assert kept.count() == 4 and kept.columns == wide.columns and {r.score for r in kept.collect()} == {"clash"}
     one = spark.createDataFrame([(1, 1), (1, 0), (2, None)], "doc_id long, toxic int")
     assert all(0 < r.score < 1 for r in score_toxicity(docs, train_toxicity(docs, one)).collect())
     assert score_toxicity(docs.limit(0), model).count() == 0
@@ -159,6 +215,20 @@ def test_urls(spark):
     assert not any(w in filter_urls(df)._jdf.queryExecution().executedPlan().toString() for w in ("Python", "Pandas", "Arrow"))
 
 
+def test_long_rule_lists(spark, monkeypatch):
+    """Lists beyond the bound are joined: the same verdicts."""
+    from sievewright.llm import url_filter
+
+    hosts = [f"{a}{b}.org" for a in "abcdefgh" for b in range(40)]
+    urls = [f"http://{w}{h}/{p}/x" for h in hosts[::3] for p in ("es", "fr") for w in ("", "www.")]
+    rules = [(h, f"/{p}/", "block" if k % 2 else "allow") for k, h in enumerate(hosts[::2]) for p in ("es", "de")] + [("org", "/", "allow")]
+    df = spark.createDataFrame([(k % 50, u) for k, u in enumerate(urls)], "page_id long, url string")
+    plain = sorted(map(str, filter_urls(df, rules).collect()))
+    assert len({r.verdict for r in filter_urls(df, rules).collect()}) == 2
+    monkeypatch.setattr(url_filter, "MOST_BITS", 128)
+    assert sorted(map(str, filter_urls(df, rules).collect())) == plain
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("hash(key) % 97 = 0")

@@ -129,10 +129,25 @@ def test_token_files(spark, docs, library):
     assert [g[0] for g in got] == sorted((i for i, _, _ in coded), key=lambda i: (i is not None, i or 0))
     assert sorted((i or -1, len(x), c) for i, x, c in coded) == sorted((g[0] or -1, g[2], g[3]) for g in got)
     assert [g[1] for g in got] == np.cumsum([0, *(g[2] for g in got)])[:-1].tolist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    many = write_token_files(docs(rows), kit.fresh_path(spark, "test-planes"), tokenizer=PATH, end=2, docs_per_file=30, file_ids=300)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert many.count() > many.select("bucket").distinct().count()
     empty = write_token_files(docs([]), kit.fresh_path(spark, "test-empty"), tokenizer=PATH, end=2)
     assert read_token_index(empty, folder).count() == 0
 
 
+def test_a_frequent_id_is_dealt_over_buckets(spark, docs):
+    rows = [(None, f"text {k}") for k in range(60)] + [(5, f"other {k}") for k in range(60)] + [(k, "x") for k in range(20)]
+    folder = kit.fresh_path(spark, "test-planes")
+    manifest = write_token_files(docs(rows), folder, tokenizer=PATH, end=2, docs_per_file=10, file_ids=16)
+    sizes = {r.bucket: r["sum(n_docs)"] for r in manifest.groupBy("bucket").sum("n_docs").collect()}
+    assert len(sizes) >= 10 and max(sizes.values()) <= 40
+    got = read_token_index(manifest, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_separator_scan_over_any_blocks(spark):
     rng = np.random.default_rng(4)
     folder = kit.fresh_path(spark, "test-flat")
