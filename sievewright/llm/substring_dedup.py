@@ -353,7 +353,7 @@ def _contexts(tokens: np.ndarray, at: np.ndarray, row: np.ndarray, left: np.ndar
 
 
 def _joined_windows(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: np.ndarray, length: int, covered: np.ndarray, hopeful) -> Iterator[np.ndarray]:
-    """Windows of equal min-hash of each row's two texts: columns row, l, r, l2, r2, drift, in order.
+    """Windows of equal min-hash of each row's two texts: columns row, l, r, l2, r2, drift.
 
     First each window with the first occurrence of its min-hash, then with the second, and so on; a window
     goes on while it is ``hopeful``, given the tokens ``covered``, which the caller marks.  Occurrences with
@@ -391,73 +391,81 @@ def _joined_windows(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: n
     if not met:
         return
     mate, todo = np.concatenate(mates, axis=1), np.concatenate(met, axis=1)
-    later, todo = todo[:, todo[6] == 1], todo[:, todo[6] == 0]
+    later, todo, known = todo[:, todo[6] == 1], todo[:, todo[6] == 0], int(covered.sum())
     while todo.shape[1]:
         row, left, right, c, low, _, _ = todo
         joined = np.stack([row, left, right, mate[0, low], mate[1, low], mate[2, low] - c])
-        yield joined[:, np.lexsort((joined[2], joined[1], joined[0]))]
+        yield joined
         todo[4] += 1
         todo = todo[:, todo[4] < todo[5]]
+        if int(covered.sum()) > known:  # what was found covers other windows
+            known, good = int(covered.sum()), hopeful(covered)
+            todo, later = (x[:, _holding(good, at, x[0], x[1], x[2], x[3], length)] if x.shape[1] else x for x in (todo, later))
         if not todo.shape[1]:
             todo, later = later, later[:, :0]
-        if todo.shape[1]:
-            todo = todo[:, _holding(hopeful(covered), at, todo[0], todo[1], todo[2], todo[3], length)]
-        if not todo.shape[1] and later.shape[1]:
-            todo, later = later[:, _holding(hopeful(covered), at, later[0], later[1], later[2], later[3], length)], later[:, :0]
 
 
-def shared_spans(a: np.ndarray, b: np.ndarray, drift: int, low: int, length: int, threshold: float) -> list[tuple[int, int]]:
-    """Spans of tokens of b (from position ``low`` of its text) that stand in a with Jaccard >= threshold.
-
-    ``drift`` is how much further on an anchor of b stands in a; of equal tokens the nearest to it counts.
-    """
-    index = np.sort(a.astype(np.uint64) << np.uint64(32) | np.arange(len(a), dtype=np.uint64))
-    place = np.arange(len(b))
-    expect = np.clip(place + low + drift, 0, (1 << 31) - 1).astype(np.uint64)
-    probe = b.astype(np.uint64) << np.uint64(32) | expect
-    right = np.searchsorted(index, probe)
-    best, gap = np.full(len(b), -1), np.full(len(b), 1 << 40)
-    for at in (np.minimum(right, len(index) - 1), np.maximum(right - 1, 0)):
-        same = index[at] >> np.uint64(32) == b
-        where = (index[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        nearer = same & (np.abs(where - expect.astype(np.int64)) < gap)
-        best[nearer] = where[nearer]
-        gap[nearer] = np.abs(where - expect.astype(np.int64))[nearer]
-    pb = np.flatnonzero(best >= 0)
-    if len(pb) < 2:
-        return []
-    pa_ = best[pb]
+class _Matcher:
+    """Where the tokens of the one texts stand in the others, row by row: of equal ones the nearest to where they are expected."""
+
+    def __init__(self, mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, at2: np.ndarray):
+        row = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
+        row2 = np.repeat(np.arange(len(at2) - 1, dtype=np.uint64), np.diff(at2))
+        known, number = np.unique(row2 << np.uint64(32) | theirs, return_inverse=True)
+        self.index = np.sort(number << 32 | (np.arange(len(theirs)) - at2[row2.astype(np.int64)]))
+        key = row << np.uint64(32) | mine
+        spot = np.searchsorted(known, key)
+        known = np.append(known, ~np.uint64(0))
+        self.number = np.where(known[spot] == key, spot, -1)
+
+    def places(self, tokens: np.ndarray, expect: np.ndarray) -> np.ndarray:
+        """Position of each token (given by its place among all) in its row's other text, or -1."""
+        number = self.number[tokens]
+        expect = np.clip(expect, 0, (1 << 31) - 1)
+        right = np.searchsorted(self.index, number << 32 | expect)
+        best, gap = np.full(len(tokens), -1), np.full(len(tokens), 1 << 40)
+        for at in (np.minimum(right, len(self.index) - 1), np.maximum(right - 1, 0)):
+            where = self.index[at] & 0xFFFFFFFF
+            away = np.abs(where - expect)
+            nearer = (self.index[at] >> 32 == number) & (away < gap)
+            best[nearer], gap[nearer] = where[nearer], away[nearer]
+        return best
+
+
+def shared_spans(pb: np.ndarray, pa_: np.ndarray, b: np.ndarray, a: np.ndarray, length: int, threshold: float) -> list[tuple[int, int]]:
+    """Spans of text b that stand in a with Jaccard >= threshold, from positions pb of b that match positions pa_ of a."""
     jump, move = np.diff(pb), np.diff(pa_)
     cuts = np.flatnonzero((jump > BRIDGE) | (move > BRIDGE) | (move <= 0)) + 1
-    found = []
-    todo = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pb)], strict=True))
+    s, e = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(pb)]])
+    long = (e > s) & (pb[e - 1] - pb[s] + 1 >= length) & (pa_[e - 1] - pa_[s] + 1 >= length)
+    found, todo = [], list(zip(s[long].tolist(), e[long].tolist(), strict=True))
     while todo:
         s, e = todo.pop()
-        if e - s < 2 or pb[e - 1] - pb[s] + 1 < length or pa_[e - 1] - pa_[s] + 1 < length:
-            continue
         if jaccard_at_least(b[pb[s] : pb[e - 1] + 1], a[pa_[s] : pa_[e - 1] + 1], threshold):
-            found.append((int(pb[s]) + low, int(pb[e - 1]) + low + 1))
+            found.append((int(pb[s]), int(pb[e - 1]) + 1))
             continue
         widest = s + 1 + int(np.argmax(np.maximum(np.diff(pb[s:e]), np.diff(pa_[s:e]))))
-        todo += [(s, widest), (widest, e)]
+        todo += [(x, y) for x, y in ((s, widest), (widest, e)) if pb[y - 1] - pb[x] + 1 >= length and pa_[y - 1] - pa_[x] + 1 >= length]
     return found
 
 
-def _regions(met: np.ndarray) -> list[list]:
-    """Join intervals of one pair: windows that overlap in both texts, at about one drift, are one region."""
-    regions: list[list] = []
-    open_: list[list] = []
-    for left, right, left2, right2, drift in met.T.tolist():
-        open_ = [x for x in open_ if left <= x[1]]
-        for last in reversed(open_):
-            if left2 <= last[3] + BRIDGE and right2 >= last[2] - BRIDGE and abs(drift - last[4][-1]) <= BRIDGE:
-                last[1], last[2], last[3] = max(last[1], right), min(last[2], left2), max(last[3], right2)
-                last[4].append(drift)
-                break
-        else:
-            regions.append([left, right, left2, right2, [drift]])
-            open_.append(regions[-1])
-    return regions
+def _regions(met: np.ndarray) -> np.ndarray:
+    """Join intervals of each pair: windows of about one drift that overlap are one region: columns row, l, r, l2, r2, drift."""
+    row, left, right, left2, right2, drift = met
+    order = np.lexsort((drift, row))
+    new = np.ones(len(row), dtype=np.int64)
+    new[1:] = (np.diff(row[order]) != 0) | (np.diff(drift[order]) > BRIDGE)
+    kind = np.empty(len(row), dtype=np.int64)
+    kind[order] = np.cumsum(new)
+    order = np.lexsort((left, kind))
+    kind, left, right, left2, right2, drift, row = (x[order] for x in (kind, left, right, left2, right2, drift, row))
+    reach = np.maximum.accumulate(kind << 40 | right) & ((1 << 40) - 1)  # the farthest end so far, of each kind
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (left[1:] > reach[:-1])
+    heads = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    middle = np.lexsort((drift, of))[heads + np.diff(np.append(heads, len(row))) // 2]
+    return np.stack([row[heads], left[heads], np.maximum.reduceat(right, heads), np.minimum.reduceat(left2, heads), np.maximum.reduceat(right2, heads), drift[middle]])
 
 
 def _verifier(length: int, threshold: float):
@@ -477,15 +485,25 @@ def _verifier(length: int, threshold: float):
                     out.append((ids[i], h[i], s, e + SHINGLE - 1, source[i]))
                     covered[at[i] + s : at[i] + e] = True
             hopeful = _hopeful(mine, at, present, length, 1.25 * (1 - threshold))
+            matcher = None
             for met in _joined_windows(mine, at, theirs, at2, length, covered, hopeful):
-                cuts = np.searchsorted(met[0], np.arange(batch.num_rows + 1))
-                for i in np.flatnonzero(np.diff(cuts)).tolist():
-                    b, a = small[at[i] : at[i + 1]], small2[at2[i] : at2[i + 1]]
-                    for left, right, left2, right2, drifts in _regions(met[1:, cuts[i] : cuts[i + 1]]):
-                        drift = int(np.median(drifts)) - left2
-                        for s, e in shared_spans(a[left2 : right2 + 1], b[left : right + 1], drift, left, length, threshold):
-                            out.append((ids[i], h[i], s, e + SHINGLE - 1, source[i]))
-                            covered[at[i] + s : at[i] + e] = True
+                matcher = matcher or _Matcher(mine, at, theirs, at2)
+                row, left, right, left2, right2, drift = _regions(met)
+                size = right - left + 1
+                ends = np.cumsum(size)
+                spot = np.repeat(left - (ends - size), size) + np.arange(ends[-1])  # positions in their rows
+                of = np.repeat(np.arange(len(size)), size)
+                place = matcher.places(spot + at[row][of], spot + drift[of])
+                place[(place < left2[of]) | (place > right2[of])] = -1
+                matched = np.bincount(of[place >= 0], minlength=len(size))
+                for k in np.flatnonzero(matched >= threshold * length / 2).tolist():
+                    i, own = int(row[k]), slice(ends[k] - size[k], ends[k])
+                    some = place[own] >= 0
+                    if covered[at[i] + spot[own][some]].all():
+                        continue
+                    for s, e in shared_spans(spot[own][some], place[own][some], small[at[i] : at[i + 1]], small2[at2[i] : at2[i + 1]], length, threshold):
+                        out.append((ids[i], h[i], s, e + SHINGLE - 1, source[i]))
+                        covered[at[i] + s : at[i] + e] = True
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "h", "start", "end", "source"])
 
