@@ -551,7 +551,7 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     document of the span's longest match.  Without ``hashes``, as many are used as ``recall`` needs.
     """
     hashes = hashes or hashes_needed(threshold, recall)
-    kit.session(docs)
+    spark = kit.session(docs)
     length = words - SHINGLE + 1
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     # Whole copies: a class is one text, its first document keeps it.
@@ -561,14 +561,16 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     firsts = counted.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("source"))
     copies = kit.stored(counted.join(firsts, ["h", "h2", "n"]).where("doc_id > source").select("doc_id", "h", F.lit(0).alias("start"), F.col("n").alias("end"), "source"), "passage-copies", n_texts)
     kit.discard(counted)
-    whole = copies.select("doc_id", "h").distinct()  # texts, as an id may have others
-    keys = kit.stored(docs.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int, sig int"), "passage-keys")
-    holders = kit.stored(_held(keys), "passage-holders")
+    whole = kit.stored(copies.select("doc_id", "h").distinct(), "passage-whole", n_texts)  # texts, as an id may have others
+    first_texts = docs.join(kit.small(whole, 16), ["doc_id", "h"], "left_anti")  # a copy's windows are its first document's
+    keys = kit.stored(first_texts.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int, sig int"), "passage-keys")
+    with kit.hash_joins(spark):
+        holders = kit.stored(_held(keys), "passage-holders")
     pairs = kit.stored(holders.where("doc_id > source").select("doc_id", "source").distinct(), "passage-pairs")
     spots = kit.stored(holders.groupBy("doc_id").agg(F.collect_set("c").alias("spots")), "passage-spots")
     kit.discard(keys)
     wanted = kit.stored(spots.select("doc_id"), "passage-wanted", spots.count())
-    tokens = kit.stored(docs.join(kit.small(wanted, 16), "doc_id", "left_semi").join(whole, ["doc_id", "h"], "left_anti").select("doc_id", "h", "text").mapInArrow(kit.tidy(_token_writer), "doc_id long, h long, tokens binary"), "passage-tokens")
+    tokens = kit.stored(docs.join(kit.small(wanted, 16), "doc_id", "left_semi").join(kit.small(whole, 16), ["doc_id", "h"], "left_anti").select("doc_id", "h", "text").mapInArrow(kit.tidy(_token_writer), "doc_id long, h long, tokens binary"), "passage-tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # A source of many pairs meets them in several tasks.
@@ -592,7 +594,8 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     first = kit.stored(first, "passage-stretches")
     more = stretches.where("open").join(kit.small(first, 16), "key").where("doc_id > source").select("doc_id", "source")
     more = more.unionByName(_neighbours(holders, spans)).distinct()
-    more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
+    with kit.hash_joins(spark):
+        more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
     kit.discard(holders)
     spans = spans.unionByName(verified(more))
     # Merge what overlaps within a document (its spans only, so small).
