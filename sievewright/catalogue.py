@@ -51,16 +51,23 @@ NL, NBSP = "chr(10)", "chr(160)"
 r6 = lambda c: F.round(F.col(c), 6).alias(c)
 
 
+#: White space of any script, written out here once more: the SQL must not follow a mistake of the code.
+WS = "".join(f"\\x{{{c:X}}}" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+PREFIX = f"(?i)^(?:re\\[[0-9]+\\][{WS}:_]+|re[{WS}:_]+|回复[{WS}:_]+|转发[{WS}:_]+|fwd[{WS}:_]+|【外部邮件】[{WS}]*|\\[re\\][{WS}]*)+"
+QUOTED = "^>+|^\\||(?i:^On .+ wrote:)|^---|^在 .+写道:|^发件人|^_{2,}"
+SECRETS = f"(?i)\\b(api[_-]?key|token|password|secret)[{WS}]*[:=][{WS}]*[^{WS},;]+"
+
+
 def s_strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
 def s_fold(x: str) -> str:
-    return rf"trim(regexp_replace(replace({x}, {NBSP}, ' '), '\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[{WS}]+', ' ', 'g'))"
 
 
 def s_subject(x: str) -> str:
-    return s_fold(f"regexp_replace(replace({x}, {NBSP}, ' '), '{text.SUBJECT_PREFIXES}', '')")
+    return s_fold(f"regexp_replace(replace({x}, {NBSP}, ' '), '{PREFIX}', '')")
 
 
 def s_lines(x: str) -> str:
@@ -92,7 +99,7 @@ def s_before(x: str) -> str:
 
 
 def s_redact(x: str) -> str:
-    return f"regexp_replace({x}, '{text.CREDENTIAL}', '[credential redacted]', 'g')"
+    return f"regexp_replace({x}, '{SECRETS}', '[credential redacted]', 'g')"
 
 
 def s_disclaim(x: str) -> str:
@@ -105,10 +112,10 @@ _ADDRESS = "CASE WHEN regexp_matches(sender, '<[^>]*>') THEN regexp_extract(send
 
 _SEGMENTS = f"""
 lined AS (SELECT doc_id, unnest({s_lines('body')}) AS line, generate_subscripts({s_lines('body')}, 1) AS i FROM mails),
-quoted AS (SELECT *, regexp_matches(line, '{text.QUOTE_LINE}') AS q FROM lined),
+quoted AS (SELECT *, regexp_matches(line, '{QUOTED}') AS q FROM lined),
 started AS (SELECT *, CASE WHEN q AND NOT coalesce(lag(q) OVER (PARTITION BY doc_id ORDER BY i), false) THEN 1 ELSE 0 END AS st FROM quoted),
 grouped AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM started),
-joined AS (SELECT doc_id, grp, {s_strip(f"string_agg(CASE WHEN grp = 0 THEN line ELSE regexp_replace(regexp_replace(line, '^>+\\s*', ''), '^\\|+\\s*', '') END, {NL} ORDER BY i)")} AS t
+joined AS (SELECT doc_id, grp, {s_strip(f"string_agg(CASE WHEN grp = 0 THEN line ELSE regexp_replace(regexp_replace(line, '^>+[{WS}]*', ''), '^\\|+[{WS}]*', '') END, {NL} ORDER BY i)")} AS t
   FROM grouped GROUP BY doc_id, grp),
 parsed AS (SELECT doc_id, max(grp) > 0 AS parsed FROM joined GROUP BY doc_id),
 segments AS (SELECT j.doc_id, p.parsed, row_number() OVER (PARTITION BY j.doc_id ORDER BY grp) - 1 AS position, t
@@ -175,7 +182,7 @@ def latest_and_context(spark, sf_dir):
     return each.select("doc_id", part(0, F.lit(True)).alias("latest"), part(1, F.col("t.parsed")).alias("context"))
 
 
-@query(f"WITH {cte('html_mails')} SELECT page_id, regexp_matches(body, '{text.HTML_START}') AS is_html FROM html_mails")
+@query(f"WITH {cte('html_mails')} SELECT page_id, regexp_matches(body, '(?i)^[{WS}]*<(?:html|!doctype)') AS is_html FROM html_mails")
 def html_detect(spark, sf_dir):
     return view(spark, sf_dir, "html_mails").select("page_id", text.is_html(F.col("body")).alias("is_html"))
 
@@ -243,7 +250,7 @@ names AS (SELECT doc_id, string_agg(nm, ', ' ORDER BY i) AS names FROM (
     WHERE nm <> '' GROUP BY doc_id, nm) GROUP BY doc_id),
 f AS (SELECT e.*, coalesce(names, '') AS names, CASE WHEN length(l5) > 1800 THEN {s_strip('l5[1:1800]')} ELSE l5 END AS latest,
     CASE WHEN length(c5) > 1200 THEN {s_strip('c5[1:1200]')} ELSE c5 END AS context FROM e LEFT JOIN names ON names.doc_id = e.doc_id),
-g AS (SELECT *, regexp_matches(latest, '{text.ATTACHED}') AS att_only,
+g AS (SELECT *, regexp_matches(latest, '(?i)\\b(?:see|please find)[{WS}]+(?:the[{WS}]+)?attached\\b') AS att_only,
     length(regexp_replace(concat(subj, ' ', latest), '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS meaningful FROM f),
 h AS (SELECT *, att_only AND names <> '' AS by_name, {s_strip(f"concat('Subject: ', subj, {NL}, 'Latest message:', CASE WHEN latest <> '' THEN concat({NL}, latest) ELSE '' END, CASE WHEN context <> '' THEN concat({NL}, 'Context:', {NL}, context) ELSE '' END, CASE WHEN names <> '' THEN concat({NL}, 'Attachments: ', names) ELSE '' END)")} AS whole,
     concat('Subject: ', subj, {NL}, 'Attachments: ', names) AS named FROM g)"""
@@ -279,7 +286,7 @@ def mail_hash(spark, sf_dir):
     return mails(spark, sf_dir).select("doc_id", text.mail_hash(F.col("subject"), F.col("sender"), stamp).alias("mail_hash"))
 
 
-_FINGER = rf"sha256(array_to_string(list_transform({s_lines(s_strip('text'))}, lambda line: regexp_replace(line, '\s+$', '')), {NL}))"
+_FINGER = rf"sha256(array_to_string(list_transform({s_lines(s_strip('text'))}, lambda line: regexp_replace(line, '[{WS}]+$', '')), {NL}))"
 
 
 @query(f"SELECT {_FINGER} AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")

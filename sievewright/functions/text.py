@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Members of a character class: white space of any script, as both regular-expression dialects write it.
+BLANK = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+#: The same as a string of characters.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # --- fixed values: prefixes, quote markers, footers and phrases that results depend on ---
-SUBJECT_PREFIXES = r"(?i)^(?:re\[[0-9]+\][\s:_]+|re[\s:_]+|回复[\s:_]+|转发[\s:_]+|fwd[\s:_]+|【外部邮件】\s*|\[re\]\s*)+"
+SUBJECT_PREFIXES = rf"(?i)^(?:re\[[0-9]+\][{BLANK}:_]+|re[{BLANK}:_]+|回复[{BLANK}:_]+|转发[{BLANK}:_]+|fwd[{BLANK}:_]+|【外部邮件】[{BLANK}]*|\[re\][{BLANK}]*)+"
 QUOTE_LINE = r"^>+|^\||(?i:^On .+ wrote:)|^---|^在 .+写道:|^发件人|^_{2,}"
-CREDENTIAL = r"(?i)\b(api[_-]?key|token|password|secret)\s*[:=]\s*[^\s,;]+"
-ATTACHED = r"(?i)\b(?:see|please find)\s+(?:the\s+)?attached\b"
-HTML_START = r"(?i)^\s*<(?:html|!doctype)"
+CREDENTIAL = rf"(?i)\b(api[_-]?key|token|password|secret)[{BLANK}]*[:=][{BLANK}]*[^{BLANK},;]+"
+ATTACHED = rf"(?i)\b(?:see|please find)[{BLANK}]+(?:the[{BLANK}]+)?attached\b"
+HTML_START = rf"(?i)^[{BLANK}]*<(?:html|!doctype)"
 INJECTIONS = ("ignore previous instructions", "ignore all previous instructions", "忽略之前指令", "忽略前面的指令", "忽略先前指令")
 NO_CODE = ("-", "*", "none", "n/a", "null")
 # --- end of fixed values ---
@@ -34,6 +40,11 @@ class CleaningPolicy:
     disclaimer_patterns: tuple[str, ...] = (r"This email (?:and any attachments )?may contain confidential information.*",)
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row, however often it is used: no optimizer rule moves it through the generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once: inside lambdas and branches Spark would repeat it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -41,12 +52,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def fold_whitespace(x: Column) -> Column:
     """Runs of white space, no-break spaces too, as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(x, NBSP, " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(x, rf"[{BLANK}]+", " "))
 
 
 def clean_subject(x: Column) -> Column:
@@ -60,12 +71,18 @@ def email_address(sender: Column) -> Column:
 
 
 def sender_domain(sender: Column) -> Column:
-    address = email_address(sender)
-    return F.when(address.contains("@"), F.lower(F.trim(F.substring_index(address, "@", -1)))).otherwise("")
+    return domain_of(email_address(sender))
 
 
 def local_part(sender: Column) -> Column:
-    address = email_address(sender)
+    return local_of(email_address(sender))
+
+
+def domain_of(address: Column) -> Column:
+    return F.when(address.contains("@"), F.lower(F.trim(F.substring_index(address, "@", -1)))).otherwise("")
+
+
+def local_of(address: Column) -> Column:
     return F.when(address.contains("@"), F.trim(F.regexp_extract(address, "(?s)^(.*)@[^@]*$", 1))).otherwise("")
 
 
@@ -107,7 +124,7 @@ def quote_starts(lines: Column) -> Column:
 
 
 def _unquoted(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(line, r"^>+\s*", ""), r"^\|+\s*", "")
+    return F.regexp_replace(F.regexp_replace(line, rf"^>+[{BLANK}]*", ""), rf"^\|+[{BLANK}]*", "")
 
 
 def _quoted_parts(lines: Column, starts: Column) -> Column:
@@ -133,14 +150,15 @@ def thread_segments(body: Column) -> Column:
 
 def normalize_text(x: Column) -> Column:
     """Without control characters and zero-width spaces, with plain spaces and line feeds."""
-    x = F.regexp_replace(x, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\u200B]", "")
-    return F.translate(F.replace(F.translate(x, NBSP, " "), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    clean = F.regexp_replace(x, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\u200B]", "")
+    clean = F.translate(F.replace(F.translate(clean, NBSP, " "), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    return F.when(x.rlike("[\\x00-\\x08\\x0B-\\x1F\\x7F\u200B\u00A0]"), clean).otherwise(x)  # most texts have none of these
 
 
 def collapse_lines(x: Column) -> Column:
     """Single spaces within lines, no blank lines."""
-    lines = F.transform(lines_of(x), lambda line: strip(F.regexp_replace(line, r"[ \t]+", " ")))
-    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
+    single = F.regexp_replace(x, r"[ \t]{2,}|\t", " ")
+    return strip(F.regexp_replace(single, rf"[{BLANK}]*\n[{BLANK}]*", "\n"))
 
 
 def redact_credentials(x: Column) -> Column:
@@ -157,7 +175,10 @@ def before_signature(x: Column, delimiters: Sequence[str]) -> Column:
             hit = hit | low.startswith(d.lower())
         return hit
 
-    at = F.array_position(F.transform(lines, signs), True)
+    held = F.lit(False)
+    for d in delimiters:
+        held = held | F.lower(x).contains(d.lower())
+    at = F.when(held, F.array_position(F.transform(lines, signs), True)).otherwise(0)  # few texts hold one at all
     return let(at, lambda n: F.when(n > 0, F.array_join(F.slice(lines, F.lit(1), (n - 1).cast("int")), "\n")).otherwise(x))
 
 
@@ -260,4 +281,4 @@ def mail_hash(subject: Column, sender: Column, received_at: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """Digest of a retrieval text that trailing blanks don't change."""
-    return F.sha2(F.array_join(F.transform(lines_of(strip(text)), lambda line: F.regexp_replace(line, r"\s+$", "")), "\n"), 256)
+    return F.sha2(F.array_join(F.transform(lines_of(strip(text)), lambda line: F.regexp_replace(line, rf"[{BLANK}]+$", "")), "\n"), 256)

@@ -1,7 +1,11 @@
 """Mailboxes as a streaming source, and IMAP and POP3 clients for it.
 
 The source asks a client for the highest uid and for the messages of a uid range, so a batch is
-repeatable and Spark's offset log is the cursor.  Clients are named by module and factory and made
+repeatable and Spark's offset log is the cursor.  An offset holds the uid and the mailbox's UIDVALIDITY:
+when that changes, uids begin anew, the next batch starts at the mailbox's beginning, and what the ledger
+knows keeps repeats out.  A batch has at most ``batch_size`` messages; only the first after a restart,
+when the reader is not told where the stream is, takes all that is new, in partitions of that size.  A
+bounded backfill begins no further back than ``backfill_messages`` below the top.  Clients are named by module and factory and made
 where they are used; only one executor talks to a mailbox at a time.
 """
 
@@ -80,7 +84,7 @@ class MailboxReader(DataSourceStreamReader):
         self.options = options
         self.batch = int(options.get("batch_size", "50"))
         self.start = options.get("initial", "from_now")
-        self.at: int | None = None
+        self.at: dict | None = None
 
     def _client(self) -> MailboxClient:
         module, name = self.options["client"].rsplit(":", 1)
@@ -88,16 +92,26 @@ class MailboxReader(DataSourceStreamReader):
         return getattr(importlib.import_module(module), name)(**{k.removeprefix("client."): self.options[k] for k in keys})
 
     def initialOffset(self) -> dict:
-        """From now on, or from the mailbox's beginning where a backfill is asked for."""
-        return {"uid": self._client().highest_uid() if self.start == "from_now" else 0}
+        """From now on; or from the mailbox's beginning, or so many messages back, where a backfill is asked for."""
+        client = self._client()
+        top = client.highest_uid()
+        back = int(self.options.get("backfill_messages", top))
+        self.at = {"uid": top if self.start == "from_now" else max(0, top - back), "validity": client.uidvalidity}
+        return dict(self.at)
 
     def latestOffset(self) -> dict:
-        top = self._client().highest_uid()
-        self.at = top if self.at is None else min(top, self.at + self.batch)
-        return {"uid": self.at}
+        """At most a batch beyond where the stream is; of a mailbox whose validity changed, from its beginning."""
+        client = self._client()
+        top = client.highest_uid()
+        if self.at is not None:
+            low = self.at["uid"] if client.uidvalidity == self.at["validity"] else 0
+            top = min(top, low + self.batch)
+        return {"uid": top, "validity": client.uidvalidity}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return [UidRange(start["uid"], end["uid"])]
+        self.at = dict(end)
+        low = start["uid"] if start["validity"] == end["validity"] else 0
+        return [UidRange(n, min(end["uid"], n + self.batch)) for n in range(low, end["uid"], self.batch)]
 
     def read(self, partition: UidRange):
         client = self._client()
@@ -105,7 +119,7 @@ class MailboxReader(DataSourceStreamReader):
             yield self.options.get("mailbox_id", "demo"), uid, client.uidvalidity, server_id, content
 
     def commit(self, end: dict) -> None:
-        self.at = end["uid"]
+        self.at = dict(end)
 
 
 class MailboxSource(DataSource):

@@ -12,7 +12,7 @@ MAILS = (
     "doc_id",
     "concat('doc-', doc_id) AS message_id",
     "concat('User <u', doc_id % 7, '@', CASE WHEN doc_id % 50 = 11 THEN 'NoReply.GitHub.com' WHEN doc_id % 50 = 12 THEN 'mailer-daemon.example.com' ELSE concat(source, '.example.com') END, '>') AS sender",
-    "concat(CASE doc_id % 5 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'Fwd: RE_ ' WHEN 2 THEN '回复: re: ' WHEN 3 THEN 'RE[2]: 【外部邮件】' ELSE '' END, "
+    "concat(CASE doc_id % 35 WHEN 6 THEN 'Re:\u3000' WHEN 13 THEN '\u3000FWD\u2003: ' ELSE '' END, CASE doc_id % 5 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'Fwd: RE_ ' WHEN 2 THEN '回复: re: ' WHEN 3 THEN 'RE[2]: 【外部邮件】' ELSE '' END, "
     "CASE doc_id % 30 WHEN 4 THEN 'Urgent call ' WHEN 14 THEN 'Out of Office ' WHEN 21 THEN 'FYI ' ELSE '' END, substr(split_part(text, chr(10), 1), 1, 60)) AS subject",
     "CASE WHEN doc_id % 4 = 0 THEN concat(text, chr(10), chr(10), 'On Mon, A wrote:', chr(10), '> ', substr(text, 1, 120), chr(10), '> end', chr(10), 'inline', chr(10), '| piped') "
     "WHEN doc_id % 8 = 1 THEN concat(text, chr(10), '  best regards, Ann', chr(10), 'Ann') "

@@ -1,14 +1,18 @@
 """Ingest as Structured Streaming: exactly-once claims against a ledger, and windows over events.
 
 Within a query, Spark's state drops repeated keys; across queries and forever, each batch is joined
-against the stored ledger and appended under its batch id, so a batch that runs again changes nothing.
+against all of the stored ledger but what it wrote itself, and kept under the ids of its query and
+batch: a batch that runs again changes nothing, and another query's batches of the same numbers are
+other folders.  One query writes to a ledger at a time, as one writer holds a mailbox.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 KEY = ["mailbox_id", "dedup_key"]
 
@@ -28,16 +32,18 @@ def first_claims_within(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(KEY)
 
 
-def append_claims(ledger_path: str):
-    """A foreachBatch function that adds the batch's new keys to the ledger, once for each batch id."""
+def append_claims(ledger_path: str, query: str):
+    """A foreachBatch function that adds the batch's new keys to the ledger, once for each query (a name that
+    lasts, such as that of its checkpoint) and batch id.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = [p for p in (f"{ledger_path}/batch={k}" for k in range(batch_id)) if _exists(spark, p)]
         new = batch.dropDuplicates(KEY)
-        if known:
-            new = new.join(spark.read.parquet(*known).select(*KEY), KEY, "left_anti")
-        new.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        if _exists(spark, ledger_path):
+            known = read_ledger(spark, ledger_path, batch.schema).where((F.col("query") != query) | (F.col("batch") != batch_id))
+            new = new.join(known.select(*KEY).distinct(), KEY, "left_anti")
+        new.write.mode("overwrite").parquet(f"{ledger_path}/query={query}/batch={batch_id}")
 
     return write
 
@@ -49,13 +55,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def run_available(stream: DataFrame, ledger_path: str, checkpoint: str) -> None:
-    """Claim all that is there now."""
-    q = stream.writeStream.foreachBatch(append_claims(ledger_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Claim all that is there now; the checkpoint names the query."""
+    query = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    q = stream.writeStream.foreachBatch(append_claims(ledger_path, query)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").parquet(ledger_path)
+def read_ledger(spark: SparkSession, ledger_path: str, schema: StructType | None = None) -> DataFrame:
+    """The claims of all queries, with the query and batch that made them."""
+    reader = spark.read if schema is None else spark.read.schema(StructType([*schema.fields, StructField("query", StringType()), StructField("batch", LongType())]))
+    return reader.option("basePath", ledger_path).parquet(ledger_path)
 
 
 def event_windows(stream: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "2 hours") -> DataFrame:

@@ -115,7 +115,40 @@ def test_mailbox_reader():
             seen += [r[1] for r in reader.read(part)]
         reader.commit(end)
         start = end
-    assert seen == [1, 2, 3, 4, 5, 6, 7] and gateway.MailboxReader({"client": f"{__name__}:Mailbox"}).initialOffset() == {"uid": 7}
+    assert seen == [1, 2, 3, 4, 5, 6, 7] and gateway.MailboxReader({"client": f"{__name__}:Mailbox"}).initialOffset() == {"uid": 7, "validity": 3}
+
+
+def test_mailbox_whose_validity_changes():
+    """Uids that begin anew lie below the cursor and are read all the same, a batch at a time."""
+    reader = gateway.MailboxReader({"client": f"{__name__}:Mailbox", "client.size": "3", "batch_size": "2"})
+    reader.commit({"uid": 900, "validity": 0})
+    at, seen = {"uid": 900, "validity": 0}, []
+    for _ in range(3):
+        end = reader.latestOffset()
+        for part in reader.partitions(at, end):
+            seen.append([r[1] for r in reader.read(part)])
+        at = end
+    assert seen == [[1, 2], [3]]
+    back = gateway.MailboxReader({"client": f"{__name__}:Mailbox", "client.size": "7", "batch_size": "5", "initial": "backfill", "backfill_messages": "3"})
+    assert back.initialOffset() == {"uid": 4, "validity": 3} and back.latestOffset() == {"uid": 7, "validity": 3}
+    fresh = gateway.MailboxReader({"client": f"{__name__}:Mailbox", "batch_size": "3"})  # after a restart
+    end = fresh.latestOffset()
+    assert [[r[1] for r in fresh.read(p)] for p in fresh.partitions({"uid": 2, "validity": 3}, end)] == [[3, 4, 5], [6, 7]]
+
+
+def test_two_queries_share_a_ledger(spark, tmp_path):
+    """Each has a checkpoint of its own, so their batch ids are the same; no claim is lost or made twice."""
+    schema = "mailbox_id string, dedup_key string, uid long"
+    where = fresh_path(spark, "t-ledger")
+    for name, keys in (("one", "abc"), ("two", "bd")):
+        spark.createDataFrame([("m", k, n) for n, k in enumerate(keys)], schema).coalesce(1).write.parquet(f"file://{tmp_path}/{name}")
+        stream = ledger.event_stream(spark, f"file://{tmp_path}/{name}", spark.createDataFrame([], schema).schema)
+        ledger.run_available(stream, where, fresh_path(spark, f"t-offsets-{name}"))
+    assert sorted(r.dedup_key for r in ledger.read_ledger(spark, where).collect()) == ["a", "b", "c", "d"]
+    again = ledger.append_claims(where, "three")
+    for _ in range(2):  # a batch that runs again changes nothing
+        again(spark.createDataFrame([("m", "a", 9), ("m", "e", 9)], schema), 0)
+    assert sorted(r.dedup_key for r in ledger.read_ledger(spark, where).collect()) == ["a", "b", "c", "d", "e"]
 
 
 def test_ledger_stream(spark, tmp_path):
