@@ -60,18 +60,6 @@ def stored(df: DataFrame, name: str, rows: int | None = None, row_bytes: int = 3
     return storage.stored(df, name)
 
 
-@contextlib.contextmanager
-def hash_joins(spark: SparkSession, most: str = "64m"):
-    """While stored tables are made: joins whose every partition of one side is known to be within the bound hash it and sort nothing."""
-    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, most)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """run, after which the worker gives memory back: workers live on and serve other operators."""
 

@@ -522,7 +522,10 @@ def _held(rows: DataFrame) -> DataFrame:
     exchanges, whose hot partitions adaptive execution splits.
     """
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("source < last").select("key", "source", "n")
-    return rows.join(kit.small(kit.stored(shared, "passage-firsts"), 24), "key")
+    shared = kit.stored(shared, "passage-firsts")
+    # A partition of the shared keys is hashed where it is known to be small, else both sides are sorted.
+    part_bytes = shared.count() * 24 / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(shared.hint("shuffle_hash" if part_bytes <= kit.SMALL_BYTES else "merge"), "key")
 
 
 def _neighbours(holders: DataFrame, spans: DataFrame) -> DataFrame:
@@ -551,7 +554,7 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     document of the span's longest match.  Without ``hashes``, as many are used as ``recall`` needs.
     """
     hashes = hashes or hashes_needed(threshold, recall)
-    spark = kit.session(docs)
+    kit.session(docs)
     length = words - SHINGLE + 1
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     # Whole copies: a class is one text, its first document keeps it.
@@ -564,8 +567,7 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     whole = kit.stored(copies.select("doc_id", "h").distinct(), "passage-whole", n_texts)  # texts, as an id may have others
     first_texts = docs.join(kit.small(whole, 16), ["doc_id", "h"], "left_anti")  # a copy's windows are its first document's
     keys = kit.stored(first_texts.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int, sig int"), "passage-keys")
-    with kit.hash_joins(spark):
-        holders = kit.stored(_held(keys), "passage-holders")
+    holders = kit.stored(_held(keys), "passage-holders")
     pairs = kit.stored(holders.where("doc_id > source").select("doc_id", "source").distinct(), "passage-pairs")
     spots = kit.stored(holders.groupBy("doc_id").agg(F.collect_set("c").alias("spots")), "passage-spots")
     kit.discard(keys)
@@ -594,8 +596,7 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     first = kit.stored(first, "passage-stretches")
     more = stretches.where("open").join(kit.small(first, 16), "key").where("doc_id > source").select("doc_id", "source")
     more = more.unionByName(_neighbours(holders, spans)).distinct()
-    with kit.hash_joins(spark):
-        more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
+    more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
     kit.discard(holders)
     spans = spans.unionByName(verified(more))
     # Merge what overlaps within a document (its spans only, so small).

@@ -221,11 +221,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000,
     size = sum(F.octet_length(c) for c in ("own", "gone", "come"))
     order = Window.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = found.select("doc_id", F.sum(size).over(order).alias("bytes")).where(F.col("bytes") <= sample_bytes)  # of at most ``sample`` narrow rows
-    rows = found.join(F.broadcast(upto.select("doc_id")), "doc_id").collect()
+    rows = found.join(F.broadcast(upto.select("doc_id")), "doc_id").select("toxic", "own", "gone", "come").toArrow()
     kit.discard(found)
-    rows.sort(key=lambda r: (r.toxic, bytes(r.own)))
-    lists = [[np.frombuffer(r[c], dtype=np.int32) for r in rows] for c in ("own", "gone", "come")]
-    model = fit(*lists, np.array([r.toxic for r in rows], dtype=np.float64), **options)
+    toxic, own, gone, come = (rows.column(c).to_pylist() for c in ("toxic", "own", "gone", "come"))
+    order = sorted(range(len(own)), key=lambda k: (toxic[k], own[k]))
+    lists = [[np.frombuffer(x[k], dtype=np.int32) for k in order] for x in (own, gone, come)]
+    model = fit(*lists, np.array([toxic[k] for k in order], dtype=np.float64), **options)
+    del own, gone, come
     del rows, lists
     kit.give_back()
     return model
