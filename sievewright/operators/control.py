@@ -75,9 +75,11 @@ def reset_cursors(cursors: DataFrame, mailboxes: DataFrame) -> DataFrame:
 def bounded_backfill(listing: DataFrame, now: Column, *, confirmed: bool, since_days: int, max_messages: int) -> tuple[DataFrame, DataFrame]:
     """The messages of a confirmed backfill, oldest first within each mailbox's bounds, and its audit rows."""
     if not confirmed:
-        raise ValueError("a manual backfill requires confirmation")
-    if since_days < 1 or max_messages < 1:
-        raise ValueError("backfill range and message limit must be positive")
+        raise ValueError("nobody has confirmed this backfill")
+    if since_days < 1:
+        raise ValueError(f"since_days is {since_days}, the least is 1")
+    if max_messages < 1:
+        raise ValueError(f"max_messages is {max_messages}, the least is 1")
     order = Window.partitionBy("mailbox_id").orderBy("uid")
     recent = listing.where(F.col("ts") >= now - F.make_dt_interval(F.lit(since_days)))
     taken = recent.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_messages).drop("_n")
@@ -112,11 +114,14 @@ def outbox_of(accepted: DataFrame) -> DataFrame:
 
 
 def claim_locks(locks: DataFrame, requests: DataFrame, now: Column, poll_seconds: int) -> DataFrame:
-    """requests (mailbox_id, owner) with won and expires_at: the least owner wins where no lock is held that has not expired."""
-    held = locks.where(F.col("expires_at") > now).select("mailbox_id", F.col("owner").alias("_holder"))
+    """requests (mailbox_id, owner) with won and expires_at: the least owner wins where no lock is held that has not expired.
+
+    Its holder is refused too.  One look at a table of locks; ``streaming.control_plane`` keeps them as state.
+    """
+    held = locks.where(F.col("expires_at") > now).select("mailbox_id", F.lit(True).alias("_held")).distinct()
     first = Window.partitionBy("mailbox_id").orderBy("owner")
     joined = requests.withColumn("_n", F.row_number().over(first)).join(held, "mailbox_id", "left")
-    won = F.coalesce(F.col("_holder") == F.col("owner"), F.col("_n") == 1)
+    won = F.col("_held").isNull() & (F.col("_n") == 1)
     until = now + F.make_dt_interval(secs=F.lit(max(2 * poll_seconds, 60)))
     return joined.select("mailbox_id", "owner", won.alias("won"), F.when(won, until).alias("expires_at"))
 
