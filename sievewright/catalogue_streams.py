@@ -1,4 +1,4 @@
-"""Queries of stateful streams, ledgers and mailboxes, with the SQL that checks them."""
+"""Queries of stateful streams, ledgers, mailboxes and large rule sets, with the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright.catalogue import s_subject
+from sievewright.operators import rules
+from sievewright.sources.views import cte, view
 from sievewright.storage import fresh_path
 from sievewright.streaming import control_plane
 from sievewright.streaming import ledger as streams
@@ -75,3 +78,41 @@ def mailbox_control(spark, sf_dir):
     control_plane.run_control(events, where, fresh_path(spark, "control-state"), poll_seconds=3600, claim_seconds=6 * 3600)
     told = spark.read.parquet(where).where("kind <> 'timer'")
     return told.select(F.col("seq").alias("event_id"), "outcome", F.col("attempts").cast("long").alias("attempts"), F.col("due").cast("timestamp_ntz").alias("due"))
+
+
+# --- rules by the thousand: keywords and patterns counted out in letters ---
+
+
+def _letters(n: int, size: int) -> str:
+    return "".join(chr(97 + n // 26**k % 26) for k in range(size))
+
+
+def many_rules(keywords: int = 5000, subjects: int = 300) -> rules.RuleSet:
+    """Keyword rules of one or two groups of four letters, every seventh for both, and patterns of an alternative and a residue."""
+    words = [rules.KeywordRule((_letters(91 * n, 4), _letters(91 * n + 45, 4)) if n % 7 < 2 else (_letters(91 * n, 4),), f"c{n % 5}", (50 + n % 45) / 100, n % 7 == 0) for n in range(keywords)]
+    patterns = [rules.SubjectRule(f"(?:{_letters(2 * n + 1, 2)}|{_letters(3 * n + 2, 2)})+[a-m] ", f"c{n % 3}", (55 + n % 40) / 100) for n in range(subjects)]
+    return rules.RuleSet(subjects=tuple(patterns), keywords=tuple(words))
+
+
+_LETTERS = "list_aggregate(list_transform(range(0, {1}), lambda k: chr(CAST(97 + ({0}) // CAST(pow(26, k) AS BIGINT) % 26 AS INT))), 'string_agg', '')"
+_FOUR, _OTHER, _TWO, _THREE = (_LETTERS.format(*x) for x in (("91 * n", 4), ("91 * n + 45", 4), ("2 * n + 1", 2), ("3 * n + 2", 2)))
+_MANY = f"""
+k AS MATERIALIZED (SELECT n, upper({_FOUR}) AS a, CASE WHEN n % 7 < 2 THEN upper({_OTHER}) END AS b, 'c' || n % 5 AS label, (50 + n % 45) / 100.0::DOUBLE AS conf FROM range(0, 5000) r(n)),
+w AS MATERIALIZED (SELECT DISTINCT a AS word FROM k UNION SELECT b FROM k WHERE b IS NOT NULL),
+b AS MATERIALIZED (SELECT doc_id, upper(replace(body, 'ß', 'SS')) AS u FROM mails WHERE body <> ''),
+h AS MATERIALIZED (SELECT doc_id, word FROM b, w WHERE contains(u, word)),
+x AS (SELECT doc_id, label, conf, 3 AS pri, n, CASE WHEN b IS NULL THEN lower(a) ELSE lower(a) || ', ' || lower(b) END AS pattern FROM k JOIN h ON h.word = k.a WHERE n % 7 <> 0
+  UNION SELECT doc_id, label, conf, 3, n, lower(a) || ', ' || lower(b) FROM k JOIN h ON h.word = k.b WHERE n % 7 <> 0
+  UNION SELECT h.doc_id, label, conf, 3, n, lower(a) || ', ' || lower(b) FROM k JOIN h ON h.word = k.a JOIN h i ON i.word = k.b AND i.doc_id = h.doc_id WHERE n % 7 = 0
+  UNION SELECT doc_id, 'c' || n % 3, (55 + n % 40) / 100.0::DOUBLE, 2, n, p FROM
+    (SELECT n, '(?:' || {_TWO} || '|' || {_THREE} || ')+[a-m] ' AS p FROM range(0, 300) s(n)) JOIN subj ON regexp_matches(s, '(?i)' || p))"""
+
+
+@query(f"""
+WITH {cte('mails')}, subj AS (SELECT doc_id, SUBJECT AS s FROM mails WHERE SUBJECT <> ''), {_MANY}
+SELECT doc_id, count(*) AS n_matches, arg_min(label, (-conf, pri, n)) AS label, max(conf) AS confidence, arg_min(pattern, (-conf, pri, n)) AS pattern FROM x GROUP BY doc_id
+""".replace("SUBJECT", s_subject("subject")))
+def rules_by_the_thousand(spark, sf_dir):
+    """5,000 keyword rules and 300 patterns over all mails: how many match each, and which wins."""
+    matched = rules.match_rules(view(spark, sf_dir, "mails"), many_rules()).where("selected is not null")
+    return matched.select("doc_id", F.size("matches").cast("long").alias("n_matches"), "selected.label", "selected.confidence", F.col("selected.matched_pattern").alias("pattern"))
