@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.catalogue import s_subject
-from sievewright.operators import rules
+from sievewright.operators import forest, rules
 from sievewright.sources.views import cte, view
 from sievewright.storage import fresh_path
 from sievewright.streaming import control_plane
@@ -116,3 +116,27 @@ def rules_by_the_thousand(spark, sf_dir):
     """5,000 keyword rules and 300 patterns over all mails: how many match each, and which wins."""
     matched = rules.match_rules(view(spark, sf_dir, "mails"), many_rules()).where("selected is not null")
     return matched.select("doc_id", F.size("matches").cast("long").alias("n_matches"), "selected.label", "selected.confidence", F.col("selected.matched_pattern").alias("pattern"))
+
+
+# --- spanning forest ---
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.e, b.e), 12) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+c AS MATERIALIZED (SELECT a, d AS core FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 3),
+t AS (SELECT (40 + 5 * k) / 100.0 AS level FROM range(0, 13) r(k)),
+w AS MATERIALIZED (SELECT d.a, d.b, greatest(d, x.core, y.core) AS w FROM d JOIN c x ON x.a = d.a JOIN c y ON y.a = d.b),
+r AS (SELECT level, vec_id AS a, vec_id AS b FROM v, t UNION SELECT r.level, r.a, w.b FROM r JOIN w ON w.a = r.b AND w.w <= r.level),
+m AS (SELECT level, a, min(b) AS low FROM r GROUP BY level, a),
+s AS (SELECT level, low, count(*) AS n FROM m GROUP BY level, low)
+SELECT CAST(level AS DOUBLE) AS level, count(*) AS components FROM s GROUP BY level
+""")
+def linkage_levels(spark, sf_dir):
+    """Components of all vectors under mutual reachability at a number of levels, read off one spanning tree."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null").select(F.col("vec_id").alias("id"), "embedding")
+    tree = forest.spanning_forest(vectors, 3)
+    levels = spark.range(13).select(((40 + 5 * F.col("id")) / 100).alias("level"))
+    merged = tree.groupBy(F.ceil(F.greatest(F.col("w") * 20 - 8, F.lit(0.0))).alias("step")).agg(F.count("*").alias("n"))  # at most a row a level and one for each beyond
+    below = levels.withColumn("step", F.round(F.col("level") * 20 - 8)).alias("l").join(merged.alias("m"), F.expr("m.step <= l.step"), "left").groupBy("level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("joined"))
+    return below.select("level", (F.lit(vectors.count()) - F.col("joined")).alias("components"))

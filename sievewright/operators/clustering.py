@@ -1,25 +1,22 @@
 """Density clustering of recent samples and what becomes of the clusters.
 
-Density clustering is not distributable exactly: it runs in one task over a sample whose size a cap
-bounds (newest rows of each label, in equal shares), as the weekly job defines it.  Rows beyond the
-cap are not dropped from anything else.
+The weekly job clusters a sample whose size a cap bounds (newest rows of each label, in equal shares); rows
+beyond the cap are not dropped from anything else.  Distances, core distances and the minimum spanning tree
+are distributed (``operators.forest``); only the tree's edges, 24 bytes a row and so little more than a megabyte
+at the cap, meet in one task, which condenses the hierarchy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions import scores
-from sievewright.operators import vectors
-
-
-def _distances(x: np.ndarray) -> np.ndarray:
-    norms = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    unit = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-    return np.clip(1 - unit @ unit.T, 0, 2)
+from sievewright.operators import forest, vectors
+from sievewright.storage import stored
 
 
 def _spanning_tree(core: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -40,7 +37,7 @@ def _spanning_tree(core: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 3) -> np.ndarray:
-    """Cluster numbers by cosine distance, -1 for noise: stable clusters of the condensed hierarchy."""
+    """Cluster numbers by cosine distance, -1 for noise, of vectors that are all here: what ``cluster_samples`` does apart."""
     n = len(x)
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
@@ -51,6 +48,11 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 3) -> n
         near = np.clip(1 - unit[s : s + 1024] @ unit.T, 0, 2)
         k = min(min_samples, n - 1)
         core[s : s + 1024] = np.partition(near, k, axis=1)[:, k]
+    return condensed(n, _spanning_tree(core, x), min_cluster_size)
+
+
+def condensed(n: int, edges: np.ndarray, min_cluster_size: int) -> np.ndarray:
+    """Cluster numbers of n rows, -1 for noise: stable clusters of the condensed hierarchy of a spanning tree's edges, by length."""
     # Single linkage: every merge is a node above its two parts.
     parent, node_of, size = list(range(n)), list(range(n)), [1] * n
     children: dict[int, tuple[int, int, float]] = {}
@@ -61,7 +63,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 3) -> n
             a = parent[a]
         return a
 
-    for a, b, d in _spanning_tree(core, x).tolist():
+    for a, b, d in edges.tolist():
         a, b = find(int(a)), find(int(b))
         children[len(size)] = (node_of[a], node_of[b], d)
         size.append(size[node_of[a]] + size[node_of[b]])
@@ -133,18 +135,32 @@ def cluster_samples(samples: DataFrame, *, cap: int = 50_000, min_cluster_size:
     labels = max(1, active.select("label_l1").distinct().count())
     bounded = vectors.stratified_sample(active, max(1, cap // labels)).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
 
-    def run(_, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        found = hdbscan(np.array(rows["embedding"].tolist()), min_cluster_size, min_samples)
-        return pd.DataFrame({"id": rows["id"], "cluster": found})[found >= 0]
+    edges = forest.spanning_forest(bounded, min_samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = pa.Table.from_batches(list(batches), schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])).sort_by([("w", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        a, b, w = (tree.column(c).to_numpy() for c in ("a", "b", "w"))
+        ids = np.unique(np.concatenate([a, b]))
+        if len(ids) >= max(2, min_cluster_size):
+            found = condensed(len(ids), np.column_stack([np.searchsorted(ids, a), np.searchsorted(ids, b), w]), min_cluster_size)
+            kept = found >= 0
+            yield pa.RecordBatch.from_pydict({"id": ids[kept], "cluster": _by_first(found[kept]).astype(np.int32)})
+
+    return edges.select("a", "b", "w").coalesce(1).mapInArrow(run, "id long, cluster int")
+
 
-    return bounded.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, cluster int")
+def _by_first(labels: np.ndarray) -> np.ndarray:
+    """Labels numbered in the order of their first rows."""
+    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    return rank[inverse]
 
 
 def classify_clusters(clusters: DataFrame, samples: DataFrame) -> DataFrame:
     """(cluster, size, similarity, drift): each cluster's centroid against the labels' centroids."""
     rows = samples.where(vectors.active_sample())
-    own = vectors.centroids(rows.join(clusters, "id").withColumn("label_l1", F.col("cluster").cast("string"))).select(F.col("label").cast("int").alias("cluster"), F.col("centroid").alias("c"))
-    # A row a cluster with a row a label: both bounded by the cap.
-    best = own.join(vectors.centroids(rows)).groupBy("cluster").agg(F.max(scores.cosine(F.col("c"), F.col("centroid"))).alias("similarity"))
+    own = vectors.centroids(rows.join(clusters, "id").withColumn("label_l1", F.col("cluster").cast("string"))).select(F.col("label").cast("int").alias("query_id"), F.col("centroid").alias("embedding"))
+    best = vectors.nearest(stored(own, "cluster-centroids"), stored(vectors.centroids(rows).select(F.xxhash64("label").alias("id"), F.col("label").alias("label_l1"), F.col("centroid").alias("embedding")), "label-centroids"), limit=1, threshold=-1.0)
+    best = best.select(F.col("query_id").cast("int").alias("cluster"), "similarity")
     return clusters.groupBy("cluster").agg(F.count("*").alias("size")).join(best, "cluster").withColumn("drift", vectors.drift_class(F.col("similarity")))
