@@ -11,7 +11,7 @@ from sievewright.catalogue import s_subject
 from sievewright.operators import forest, rules
 from sievewright.sources.views import cte, view
 from sievewright.storage import fresh_path
-from sievewright.streaming import control_plane
+from sievewright.streaming import bucket_ledger, control_plane
 from sievewright.streaming import ledger as streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,20 @@ def linkage_levels(spark, sf_dir):
     merged = tree.groupBy(F.ceil(F.greatest(F.col("w") * 20 - 8, F.lit(0.0))).alias("step")).agg(F.count("*").alias("n"))  # at most a row a level and one for each beyond
     below = levels.withColumn("step", F.round(F.col("level") * 20 - 8)).alias("l").join(merged.alias("m"), F.expr("m.step <= l.step"), "left").groupBy("level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("joined"))
     return below.select("level", (F.lit(vectors.count()) - F.col("joined")).alias("components"))
+
+
+# --- a ledger in buckets ---
+
+
+@query("""
+WITH e AS (SELECT event_type AS mailbox_id, 'k' || user_id || '-' || event_id % 40 AS dedup_key, event_id, event_id % 2 = 0 AS early FROM events),
+f AS (SELECT mailbox_id, dedup_key, bool_or(early) AS early, CASE WHEN bool_or(early) THEN min(event_id) FILTER (early) ELSE min(event_id) END AS uid FROM e GROUP BY 1, 2)
+SELECT mailbox_id, early AS first_writer, count(*) AS claims, CAST(sum(uid) AS BIGINT) AS uids FROM f GROUP BY 1, 2
+""")
+def ledger_of_two_writers(spark, sf_dir):
+    """Claims of all events by two queries, one after the other, over one ledger in buckets."""
+    ledger = bucket_ledger.BucketLedger(spark, fresh_path(spark, "bucket-ledger"), buckets=8)
+    keyed = _events(spark, sf_dir).selectExpr("event_type AS mailbox_id", "concat('k', user_id, '-', event_id % 40) AS dedup_key", "event_id AS uid")
+    for rest in (0, 1):
+        bucket_ledger.run_available(keyed.where(f"uid % 2 = {rest}").withColumn("early", F.lit(rest == 0)), ledger, fresh_path(spark, "bucket-offsets"))
+    return ledger.read().groupBy("mailbox_id", F.col("early").alias("first_writer")).agg(F.count("*").alias("claims"), F.sum("uid").alias("uids"))
