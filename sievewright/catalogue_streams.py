@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.catalogue import s_subject
 from sievewright.operators import forest, rules
+from sievewright.sources import drop
 from sievewright.sources.views import cte, view
 from sievewright.storage import fresh_path
 from sievewright.streaming import bucket_ledger, control_plane
@@ -157,3 +158,28 @@ def ledger_of_two_writers(spark, sf_dir):
     for rest in (0, 1):
         bucket_ledger.run_available(keyed.where(f"uid % 2 = {rest}").withColumn("early", F.lit(rest == 0)), ledger, fresh_path(spark, "bucket-offsets"))
     return ledger.read().groupBy("mailbox_id", F.col("early").alias("first_writer")).agg(F.count("*").alias("claims"), F.sum("uid").alias("uids"))
+
+
+# --- a drop whose messages are deleted while it is polled ---
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type AS box, ts, CAST(floor(epoch(ts - (SELECT date_trunc('day', min(ts)) FROM events)) / 864000) AS BIGINT) AS span, value FROM events),
+l AS (SELECT poll, box, event_id, row_number() OVER (PARTITION BY poll, box ORDER BY ts, event_id) AS number FROM e, range(0, 3) p(poll) WHERE span IN (poll, poll - 1)),
+f AS (SELECT box, event_id, min(poll) AS poll, arg_min(number, poll) AS number FROM l GROUP BY ALL)
+SELECT box AS mailbox_id, poll AS batch, count(*) AS messages, CAST(sum(number) AS BIGINT) AS numbers, CAST(sum(event_id) AS BIGINT) AS ids FROM f GROUP BY ALL
+""")
+def drop_under_deletion(spark, sf_dir):
+    """Three polls of the drops: each lists ten days more and no longer has what is older than twenty, so numbers move; everything is taken once."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first = events.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("t")).first().t
+    span = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) / 864_000_000_000)
+    held = events.select(F.col("event_type").alias("mailbox_id"), F.concat(F.lit("id-"), "event_id").alias("server_id"), "ts", "event_id", span.alias("span"), F.col("props").cast("binary").alias("content"))
+    ledger, where = bucket_ledger.BucketLedger(spark, fresh_path(spark, "drop-ledger"), buckets=8), fresh_path(spark, "drop-messages")
+    contents = held.select("mailbox_id", "server_id", "content")
+    for poll in range(3):
+        place = Window.partitionBy("mailbox_id").orderBy("ts", "event_id")
+        listing = held.where(F.col("span").isin(poll, poll - 1)).select("mailbox_id", F.row_number().over(place).cast("long").alias("number"), "server_id")
+        drop.take(listing, ledger, where, lambda wanted: wanted.join(contents, ["mailbox_id", "server_id"]), "polls", poll)
+    ids = F.substring_index("server_id", "-", -1).cast("long")
+    return drop.messages(ledger, where).groupBy("mailbox_id", "batch").agg(F.count("*").alias("messages"), F.sum("number").alias("numbers"), F.sum(ids).alias("ids"))

@@ -1,4 +1,4 @@
-"""Mailboxes as a streaming source, and IMAP and POP3 clients for it.
+"""Mailboxes with lasting uids as a streaming source, and an IMAP client for it; drops without them are in ``sources.drop``.
 
 The source asks a client for the highest uid and for the messages of a uid range, so a batch is
 repeatable and Spark's offset log is the cursor.  An offset holds the uid and the mailbox's UIDVALIDITY:
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import imaplib
 import importlib
-import poplib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -52,27 +51,6 @@ class ImapClient:
                 yield uid, None, self.box.uid("FETCH", str(uid), "(BODY.PEEK[])")[1][0][1]
 
 
-class Pop3Client:
-    """Reads a drop; message numbers are uids for a session, server ids are what to deduplicate by."""
-
-    uidvalidity = None
-
-    def __init__(self, host: str, user: str, password: str, port: int = 995):
-        self.box = poplib.POP3_SSL(host, port)
-        self.box.user(user)
-        self.box.pass_(password)
-
-    def highest_uid(self) -> int:
-        return self.box.stat()[0]
-
-    def fetch(self, after: int, upto: int) -> Iterator[tuple[int, str | None, bytes]]:
-        ids = dict(line.decode().split(" ", 1) for line in self.box.uidl()[1])
-        for n in range(after + 1, upto + 1):
-            if str(n) not in ids:
-                raise RuntimeError(f"message {n} has no stable id")
-            yield n, ids[str(n)], b"\r\n".join(self.box.retr(n)[1])
-
-
 @dataclass
 class UidRange(InputPartition):
     after: int

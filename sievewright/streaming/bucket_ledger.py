@@ -144,6 +144,13 @@ class BucketLedger:
         known = self._read("data", open_now, ", ".join(f"{c} string" for c in KEY))
         return maybe.select(*KEY).distinct().join(known, KEY, "left_semi")
 
+    def without_known(self, rows: DataFrame) -> DataFrame:
+        """rows, with a mailbox and a key, of keys that the ledger does not have."""
+        located = stored(self._located(rows, self.version().buckets), "ledger-asked")
+        known = self._known(located, self.version(), set())
+        new = located if known is None else located.join(known, KEY, "left_anti")
+        return new.select(*rows.columns)
+
     def append(self, batch: DataFrame, query: str, batch_id: int, before_commit: Callable[[], None] | None = None) -> None:
         """Claim the batch's keys that nobody has: of rows with one key, the least by all other columns.
 
