@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.catalogue import s_subject
-from sievewright.operators import forest, rules
+from sievewright.operators import control, forest, rules
 from sievewright.sources import drop
-from sievewright.sources.views import cte, view
+from sievewright.sources.views import ACTIVE, cte, view
 from sievewright.storage import fresh_path
 from sievewright.streaming import bucket_ledger, control_plane
 from sievewright.streaming import ledger as streams
@@ -183,3 +183,26 @@ def drop_under_deletion(spark, sf_dir):
         drop.take(listing, ledger, where, lambda wanted: wanted.join(contents, ["mailbox_id", "server_id"]), "polls", poll)
     ids = F.substring_index("server_id", "-", -1).cast("long")
     return drop.messages(ledger, where).groupBy("mailbox_id", "batch").agg(F.count("*").alias("messages"), F.sum("number").alias("numbers"), F.sum(ids).alias("ids"))
+
+
+# --- search in scopes ---
+
+SCOPES = {"p0": ("L0", "L1", "L2"), "p1": ("L3",), "p2": ("L9", "none"), "p3": ("none",), "p4": ("L5", "L6", "L7", "L8")}
+
+
+@query(f"""
+WITH {cte('samples')}, v AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS e, CASE vec_id % 7 WHEN 0 THEN ['L0', 'L1', 'L2'] WHEN 1 THEN ['L3'] WHEN 2 THEN ['L9', 'none'] WHEN 3 THEN ['none'] WHEN 4 THEN ['L5', 'L6', 'L7', 'L8'] END AS scope
+  FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT id, label_l1, CAST(embedding AS DOUBLE[]) AS e FROM samples WHERE {ACTIVE}),
+n AS (SELECT q, id, label_l1, list_cosine_similarity(v.e, s.e) AS sim, scope, coalesce(list_contains(scope, label_l1), false) AS fits FROM v JOIN s ON id <> q WHERE list_cosine_similarity(v.e, s.e) >= 0.3),
+k AS (SELECT *, bool_or(fits) OVER (PARTITION BY q) AS hit FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS p FROM k WHERE fits = hit),
+c AS (SELECT q, label_l1, max(sim) AS best, count(*) AS support, bool_or(scope IS NOT NULL AND NOT hit) AS fell FROM r WHERE p <= 25 GROUP BY 1, 2)
+SELECT q AS query_id, label_l1 AS label, round(greatest(0, least(1, best)), 6) AS max_similarity, support, fell AS scoped_fallback FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY best DESC, label_l1) <= 5
+""")
+def scoped_candidates(spark, sf_dir):
+    """Label candidates of every vector by the scopes of five profiles, or of none, in one search."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = e.select(F.col("vec_id").alias("query_id"), "embedding", F.concat(F.lit("p"), F.col("vec_id") % 7).alias("target_profile"))
+    found = control.search_in_scopes(asked, view(spark, sf_dir, "samples"), SCOPES, threshold=0.3, exclude_self=True)
+    return found.select("query_id", "label", F.round("max_similarity", 6).alias("max_similarity"), "support", "scoped_fallback")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.operators import vectors
+from sievewright.operators import ranges, vectors
 
 # --- scoped searches ---
 
@@ -26,15 +26,18 @@ def rule_scopes(attempts: DataFrame, profiles: Mapping[str, Sequence[str]], *, s
     return attempts.withColumns({"target_profile": F.when(scope.isNotNull(), F.col("rule_label")), "vector_scope": scope})
 
 
-def search_in_scopes(queries: DataFrame, samples: DataFrame, profiles: Mapping[str, Sequence[str]], **options) -> DataFrame:
+def search_in_scopes(queries: DataFrame, samples: DataFrame, profiles: Mapping[str, Sequence[str]], *, top_k: int = 5, threshold: float = 0.85, exclude_self: bool = False) -> DataFrame:
     """Candidates of queries (query_id, embedding, target_profile): within the profile's scope, or anywhere where that has none.
 
-    One search a profile of the file, over the queries that have it.
+    One search for all, however many profiles there are.
     """
-    found = vectors.knn_search(queries.where("target_profile is null"), samples, **options).withColumn("scoped_fallback", F.lit(False))
-    for label, scope in profiles.items():
-        found = found.unionByName(vectors.scoped_search(queries.where(F.col("target_profile") == label), samples, scope=list(scope), **options))
-    return found
+    scope = F.lit(None).cast("array<string>")
+    if profiles:
+        table = F.create_map(*[x for label, labels in profiles.items() for x in (F.lit(label), F.array(*map(F.lit, labels)).cast("array<string>"))])
+        scope = F.try_element_at(table, F.col("target_profile"))
+    near = ranges.search(queries.withColumn("scope", scope), samples, limit=max(5 * top_k, top_k), threshold=threshold, exclude_self=exclude_self)
+    fell = near.groupBy("query_id").agg(F.max("scoped_fallback").alias("scoped_fallback"))
+    return vectors.label_candidates(near, top_k).join(fell, "query_id")
 
 
 def unavailable_rules(attempts: DataFrame, snapshot_taxonomy: str, taxonomy: str) -> DataFrame:
