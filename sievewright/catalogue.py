@@ -187,7 +187,7 @@ def html_detect(spark, sf_dir):
     return view(spark, sf_dir, "html_mails").select("page_id", text.is_html(F.col("body")).alias("is_html"))
 
 
-def _s_html() -> str:
+def s_html() -> str:
     x = r"regexp_replace(body, '(?s)<!--.*?-->', '', 'g')"
     x = rf"regexp_replace({x}, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g')"
     x = rf"regexp_replace({x}, '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g')"
@@ -195,12 +195,12 @@ def _s_html() -> str:
     x = rf"regexp_replace({x}, '(?i)</(?:p|div|li|tr)\s*>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     for _ in range(2):
-        for name, char in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        for name, char in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")):
             x = f"replace({x}, '{name}', {char})"
     return x
 
 
-@query(f"WITH {cte('html_mails')} SELECT page_id, md5({_s_html()}) AS plain FROM html_mails")
+@query(f"WITH {cte('html_mails')} SELECT page_id, md5({s_html()}) AS plain FROM html_mails")
 def html_to_text_native(spark, sf_dir):
     return view(spark, sf_dir, "html_mails").select("page_id", F.md5(html.html_to_text(F.col("body")).cast("binary")).alias("plain"))
 

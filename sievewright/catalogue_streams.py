@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievewright.catalogue import s_subject
+from sievewright.catalogue import s_html, s_subject
+from sievewright.functions import html
 from sievewright.operators import control, forest, rules
 from sievewright.sources import drop
 from sievewright.sources.views import ACTIVE, cte, view
@@ -206,3 +207,22 @@ def scoped_candidates(spark, sf_dir):
     asked = e.select(F.col("vec_id").alias("query_id"), "embedding", F.concat(F.lit("p"), F.col("vec_id") % 7).alias("target_profile"))
     found = control.search_in_scopes(asked, view(spark, sf_dir, "samples"), SCOPES, threshold=0.3, exclude_self=True)
     return found.select("query_id", "label", F.round("max_similarity", 6).alias("max_similarity"), "support", "scoped_fallback")
+
+
+# --- references in HTML ---
+
+#: Names with what they stand for: full ones, one of two characters, a bare prefix, one that does not exist, one decoded twice.
+REFERENCES = (("&mdash;", "\u2014"), ("&caf&eacute;", "&caf\u00e9"), ("&NotEqualTilde;", "\u2242\u0338"), ("&notit;", "\u00acit;"), ("&bogus;", "&bogus;"), ("&amp;lt;", "<"), ("&#150;&#x80;", "\u2013\u20ac"), ("&AMP", "&"))
+_NAMED = " ".join(f"WHEN {k} THEN '{name}'" for k, (name, _) in enumerate(REFERENCES))
+_STANDS = " ".join(f"WHEN {k} THEN '{text}'" for k, (_, text) in enumerate(REFERENCES))
+
+
+@query(f"""
+WITH {cte('html_mails')}
+SELECT page_id, md5({s_html()} || 'x' || chr(CAST(8704 + page_id % 256 AS INT)) || '-' || chr(CAST(128512 + page_id % 64 AS INT)) || chr(10) || CASE page_id % 8 {_STANDS} END) AS plain FROM html_mails
+""")
+def html_references(spark, sf_dir):
+    """Pages that end in a quoted bracket, numeric references of either base and a named one, as text."""
+    tail = f"""concat(body, '<a title="a>b">x</a>&#', 8704 + page_id % 256, ';-&#x', lower(hex(128512 + page_id % 64)), ';<p class=">">', CASE page_id % 8 {_NAMED} END)"""
+    pages = view(spark, sf_dir, "html_mails").selectExpr("page_id", f"{tail} AS body")
+    return pages.select("page_id", F.md5(html.html_to_text(F.col("body")).cast("binary")).alias("plain"))
