@@ -13,7 +13,9 @@ query.  Nothing is broadcast; no pair of vectors becomes a row.
 Edge cases: vectors that are null or hold a null or non-finite component take no part; vectors of
 unlike lengths are not compared; ties go to the smaller vec_id; rows that repeat an id are candidates
 of their own but never answer a query of that id; a query that appears twice with equal components is
-answered once; a null vec_id is no query and no answer.
+answered once; a null vec_id is no query and no answer.  Vectors whose products doubles cannot hold exactly
+are multiplied as integers of any size, apart from the others; a score beyond 64 bits counts as the
+nearest long, and among such ties the smaller vec_id comes first.
 """
 
 from __future__ import annotations
@@ -65,7 +67,28 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
+#: Scores are longs: what lies beyond them counts as the nearest one.
+_LONGS = (-(2**63), 2**63 - 1)
+
+
+def _whole(scale: float, rows: np.ndarray) -> np.ndarray:
+    """floor(scale * x) as integers of any size; from 2^60 on doubles are integers, and so is a power of two times them."""
+    return np.array([[int(x) * int(scale) if abs(x) >= 2**60 else math.floor(scale * x) for x in row] for row in rows.tolist()], dtype=object).reshape(rows.shape)
+
+
+def search_large(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
+    """As ``search_block`` of integers of any size, queries and candidates by row: the few whose sums doubles cannot hold."""
+    out = []
+    for row, (q, own) in enumerate(zip(queries, query_ids.tolist(), strict=True)):
+        scores = sorted((-int(s), i) for s, i in zip(vectors @ q, ids.tolist(), strict=True) if i != own)[:k]
+        out += [(row, i, max(_LONGS[0], min(_LONGS[1], -s))) for s, i in scores]
+    return [np.array(x, dtype=np.int64) for x in (zip(*out, strict=True) if out else ((), (), ()))]
+
+
 def _searcher(k: int, scale: float, rows: int = 64):
+    def answer(query: np.ndarray, number: np.ndarray, found: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(number), pa.array(found), pa.array(score)], names=["query_id", "qn", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in kit.whole_groups(batches, _KEYS):
             flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -73,20 +96,26 @@ def _searcher(k: int, scale: float, rows: int = 64):
             at = np.concatenate([[0], np.cumsum(dims)])
             is_query, ids, number = (table.column(c).to_numpy(zero_copy_only=False) for c in ("is_query", "vec_id", "qn"))
             for s, e in zip(*map(np.ndarray.tolist, kit.group_slices(table, _KEYS)), strict=True):
-                block = np.floor(scale * flat[at[s] : at[e]].reshape(e - s, dims[s]))
+                raw = flat[at[s] : at[e]].reshape(e - s, dims[s])
                 asks = is_query[s:e].astype(bool)
                 if asks.all() or not asks.any():
                     continue
-                if np.abs(block).max(initial=0) ** 2 * dims[s] >= 2**53:
-                    raise ValueError("components are too large for exact sums of double precision")
-                vertical = np.ascontiguousarray(block[~asks].T)
-                for low in range(0, int(asks.sum()), rows):
-                    who = np.flatnonzero(asks)[low : low + rows]
-                    row, found, score = search_block(block[who], ids[s:e][who], vertical, ids[s:e][~asks], k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[s:e][who][row]), pa.array(number[s:e][who][row]), pa.array(found), pa.array(score.astype(np.int64))],
-                        names=["query_id", "qn", "vec_id", "score"],
-                    )
+                # Rows of which no two can have a sum beyond the integers that doubles hold.
+                plain = np.abs(raw).max(axis=1) * scale + 1 < math.sqrt(2**53 / dims[s])
+                block = np.floor(scale * raw[plain])
+                mine = asks[plain]
+                if mine.any() and not mine.all():
+                    vertical = np.ascontiguousarray(block[~mine].T)
+                    at_plain, candidates = np.flatnonzero(plain), ids[s:e][plain & ~asks]
+                    for low in range(0, int(mine.sum()), rows):
+                        some = np.flatnonzero(mine)[low : low + rows]
+                        who = at_plain[some]
+                        row, found, score = search_block(block[some], ids[s:e][who], vertical, candidates, k)
+                        yield answer(ids[s:e][who][row], number[s:e][who][row], found, score.astype(np.int64))
+                for left, right in ((asks & plain, ~asks & ~plain), (asks & ~plain, ~asks)):
+                    if left.any() and right.any():
+                        row, found, score = search_large(_whole(scale, raw[left]), ids[s:e][left], _whole(scale, raw[right]), ids[s:e][right], k)
+                        yield answer(ids[s:e][left][row], number[s:e][left][row], found, score)
 
     return run
 

@@ -287,3 +287,23 @@ def test_pipeline(spark):
     want = sorted((r["doc_id"], len(library.encode(r["text"], add_special_tokens=False).ids)) for r in mixed)
     assert sorted((r.doc_id, r.n_tokens) for r in at.collect()) == want
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, at.collect()))
+
+
+def test_topk_of_large_components(spark):
+    """Components whose products leave the integers of doubles, and some whose scores leave longs."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 4)) * np.where(np.arange(60)[:, None] % 7 == 0, 1e6, 1.0)
+    x[13] *= 1e12
+    x[50] = [1e6 + 0.1, -3e5, 7e5, 1e5]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(70, [1e300, 1e300, 0.0, 0.0]), (71, [-1e308, 0.0, 0.0, 0.0])]
+    whole = lambda v: [int(c) * 256 if abs(c) >= 2**60 else int(np.floor(256 * c)) for c in v]
+    ints = {i: whole(v) for i, v in rows}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = {}
+    for q in (0, 50):
+        scores = sorted((-clip(sum(a * b for a, b in zip(ints[q], c, strict=True))), i) for i, c in ints.items() if i != q)[:5]
+        want |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(scores, 1)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (4096, 16):
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_topk(df, F.col("vec_id") % 50 == 0, candidate_block=block, query_block=1).collect()}
+        assert got == want
