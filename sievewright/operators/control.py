@@ -171,7 +171,10 @@ def sample_records(rows: DataFrame) -> DataFrame:
 
 def feedback_records(rows: DataFrame) -> DataFrame:
     """Stored feedback with its moment in UTC, whatever zone the session shows."""
-    return rows.withColumn("reviewed_at_utc", F.date_format("reviewed_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+    at = F.col("reviewed_at")
+    if dict(rows.dtypes)["reviewed_at"] == "timestamp":  # shown in the session's zone; without a zone it is in UTC already
+        at = F.to_utc_timestamp(at, F.current_timezone())
+    return rows.withColumn("reviewed_at_utc", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
 
 
 def feedback_of(rows: DataFrame, run_id) -> DataFrame:

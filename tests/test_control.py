@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.operators import control
+from sievewright.operators import control, vectors
 
 
 
@@ -69,3 +69,23 @@ def test_records(spark):
     v = spark.createDataFrame([([1, 2],), ([],)], "x array<int>").select(control.vector_literal(F.col("x")).alias("t"))
     assert [r.t for r in v.collect()] == ["[1,2]", "[]"]
     assert control.rules_warning(0) and control.rules_warning(3) is None
+
+
+def test_moments_are_told_in_utc_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    rows = spark.sql("SELECT 1 AS id, timestamp_seconds(0) AS reviewed_at")
+    try:
+        for other in ("Asia/Tokyo", "America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert control.feedback_records(rows).first().reviewed_at_utc == "1970-01-01T00:00:00+00:00"
+            plain = rows.select(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").alias("reviewed_at"))
+            assert control.feedback_records(plain).first().reviewed_at_utc == "1970-01-01T00:00:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_missing_embedding_is_unavailable(spark):
+    asked = spark.createDataFrame([(1, True, None), (2, False, None), (3, True, [1.0])], "query_id long, eligible boolean, embedding array<double>")
+    none = spark.createDataFrame([], "query_id long, label string, max_similarity double, mean_similarity double, support long, rank int")
+    got = {r.query_id: (r.status, r.reason) for r in vectors.vector_attempts(asked, none, ["a"]).collect()}
+    assert got == {1: ("unavailable", "embedding_unavailable"), 2: ("no_match", "ineligible_document"), 3: ("no_match", "below_threshold")}
