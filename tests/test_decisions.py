@@ -129,7 +129,7 @@ def test_neighbours(spark):
     scoped = vectors.scoped_search(asked, lib, scope=["c"], threshold=0.9).collect()
     assert {r.scoped_fallback for r in scoped} == {True}
     tried = {r.query_id: (r.status, r.reason) for r in vectors.vector_attempts(asked, vectors.knn_search(asked, lib, threshold=0.9), ["b"], minimum_support=2).collect()}
-    assert tried == {10: ("no_match", "stale_category"), 11: ("no_match", "below_threshold"), 12: ("no_match", "below_threshold")}
+    assert tried == {10: ("no_match", "stale_category"), 11: ("unavailable", "embedding_unavailable"), 12: ("no_match", "below_threshold")}
 
 
 def test_archive_boundary(spark):
