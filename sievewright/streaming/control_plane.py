@@ -65,21 +65,31 @@ class MailboxControl(StatefulProcessor):
         pass
 
     def _set(self, status: str, owner: str | None, until: int | None, attempts: int = 0) -> None:
-        """Keep the state, and the one timer that goes with it."""
-        self._unset_timers()
-        self.now.update((status, owner, until, attempts))
-        if until is not None:
-            self.handle.registerTimer(_millis(until))
+        self.state = (status, owner, until, attempts)
 
-    def _unset_timers(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _keep(self, before) -> None:
+        """Store what a batch made of the group's state, and the one timer that goes with it."""
+        if self.state == before:
+            return
+        due, was = (_millis(s[2]) if s and s[2] is not None else None for s in (self.state, before))
+        if was is not None and was != due:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if self.state is None:
+            self.now.clear()
+            return
+        self.now.update(self.state)
+        if due is not None:
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # The state store is asked once and told once a batch: each of its calls is a round trip to the JVM.
+        before = tuple(self.now.get()) if self.now.exists() else None
+        self.state = before
         for r in sorted(rows, key=lambda r: (r["micros"], r["seq"] or 0)):
-            state = self.now.get() if self.now.exists() else None
-            outcome, attempts, due = getattr(self, f"_{r['kind']}")(r, state)
+            outcome, attempts, due = getattr(self, f"_{r['kind']}")(r, self.state)
             yield _Outcome(r["mailbox_id"], r["subject"], r["seq"], r["micros"], r["kind"], r["owner"], outcome, attempts, due, r["error"][:_LONGEST_ERROR] if r["error"] else None)
+        self._keep(before)
 
     def _poll(self, r, state):
         if state and state[2] > r["micros"]:
@@ -91,8 +101,7 @@ class MailboxControl(StatefulProcessor):
     def _release(self, r, state):
         if not state or state[1] != r["owner"] or state[2] <= r["micros"]:
             return "not_held", None, None
-        self._unset_timers()
-        self.now.clear()
+        self.state = None
         return "released", None, None
 
     def _claim(self, r, state):

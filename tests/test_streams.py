@@ -105,3 +105,24 @@ def test_batches_open_a_bounded_number_of_files(spark, tmp_path):
     assert len(ledger.version().segments) <= 4 * 2
     assert sum(opened) <= 7  # filters keep most segments shut: one of them has the repeated key
     assert ledger.vacuum() > 0 and ledger.read().count() == 211
+
+
+def test_the_store_is_asked_and_told_once_a_batch():
+    calls = []
+
+    class Store:
+        kept = ("held", "a", 10, 0)
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                return {"exists": self.kept is not None, "get": self.kept, "listTimers": iter([1])}.get(name)
+
+            return call
+
+    processor = control_plane.MailboxControl(60, 60, 60, 60)
+    processor.now = processor.handle = Store()
+    rows = [{"mailbox_id": "m", "subject": "", "seq": k, "micros": 20 + k, "kind": "poll" if k % 2 == 0 else "release", "owner": "b", "ok": None, "error": None} for k in range(101)]
+    out = [r.outcome for r in processor.handleInputRows(("m", ""), iter(rows), None)]
+    assert out == [("acquired", "released")[k % 2] for k in range(101)]
+    assert calls == ["exists", "get", "listTimers", "deleteTimer", "update", "registerTimer"]
