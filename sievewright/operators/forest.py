@@ -4,8 +4,8 @@ Every vector lists its nearest others, found by products of pairs of blocks.  A
 lightest edge out and merges along them, so components at least halve in number.  The lightest listed edge is known
 to be the lightest of all if it is no longer than the reach of the component's lists, the distance up to
 which they are complete; only components where it is longer compare their vectors with all others,
-again by blocks, and the edges found join the lists.  No group ever holds all vectors; a task has one pair
-of blocks.
+again by blocks, and the edges found join the lists.  No group ever holds all vectors, and no vector is shuffled
+once for every block that it meets.
 
 Distances are rounded to twelve places, so that they do not depend on how blocks were cut.
 """
@@ -13,13 +13,14 @@ Distances are rounded to twelve places, so that they do not depend on how blocks
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.operators.vectors import _unit
+from sievewright.operators import blocks
 from sievewright.storage import discard, stored
 
 BLOCK = 2048
@@ -29,69 +30,73 @@ _LISTS = "id long, near array<struct<d:double,id:long>>"
 _OUT = "component long, w double, a long, b long"
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    lists = table.column("embedding").combine_chunks()
-    return _unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1))
-
-
 def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.round(np.clip(1 - left @ right.T, 0, 2), 12)
 
 
-def _lists(keep: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, others = left.column("id").to_numpy(), right.column("id").to_numpy()
-        near = []
-        if len(ids) and len(others):
-            x, y = _matrix(left), _matrix(right)
-            for low in range(0, len(ids), 256):
-                d = _distances(x[low : low + 256], y)
-                d[ids[low : low + 256, None] == others[None, :]] = np.inf
-                some = min(keep, d.shape[1])
-                best = np.argpartition(d, some - 1, axis=1)[:, :some]
-                for row, cols in zip(d, best, strict=True):
-                    near.append([{"d": row[c], "id": others[c]} for c in cols.tolist() if row[c] < np.inf])
-        kind = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
-        return pa.table({"id": ids if near else np.zeros(0, np.int64), "near": pa.array(near, kind)})
-
-    return run
-
-
-def _lightest(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Of a pair of blocks, each left component's lightest edge to another component."""
-    out = {}
-    if left.num_rows and right.num_rows:
-        x, y = _matrix(left), _matrix(right)
-        ids, others = left.column("id").to_numpy(), right.column("id").to_numpy()
-        mine, theirs = left.column("component").to_numpy(), right.column("component").to_numpy()
-        core, their_core = left.column("core").to_numpy(), right.column("core").to_numpy()
-        for low in range(0, len(ids), 256):
+class _Lists:
+    """The nearest others of a block's vectors."""
+
+    def __init__(self, keep: int, members: pa.StructArray) -> None:
+        self.ids, self.matrix = members.field("id").to_numpy(), blocks.matrix(members)
+        self.best = blocks.Best(len(self.ids), keep, -2.0)
+
+    def add(self, members: pa.StructArray) -> None:
+        ids, matrix = members.field("id").to_numpy(), blocks.matrix(members)
+        for low in range(0, len(self.ids), 256):
+            rows = np.arange(low, min(low + 256, len(self.ids)))
+            d = _distances(self.matrix[rows], matrix)
+            d[self.ids[rows, None] == ids[None, :]] = np.inf
+            self.best.offer(rows, -d, ids, ids)
+
+    def table(self) -> pa.Table:
+        rows, values, ids, _ = self.best.all()
+        some, starts = np.unique(rows, return_index=True)
+        near = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)), pa.int32()), pa.StructArray.from_arrays([pa.array(-values), pa.array(ids)], ["d", "id"]))
+        return pa.table({"id": self.ids[some], "near": near})
+
+
+class _Lightest:
+    """The lightest edge of each component of a block to another component."""
+
+    def __init__(self, members: pa.StructArray) -> None:
+        self.ids, self.matrix = members.field("id").to_numpy(), blocks.matrix(members)
+        self.component, self.core = members.field("component").to_numpy(), members.field("core").to_numpy()
+        self.out: dict[int, tuple[float, int, int]] = {}
+
+    def add(self, members: pa.StructArray) -> None:
+        ids, matrix, theirs, core = members.field("id").to_numpy(), blocks.matrix(members), members.field("component").to_numpy(), members.field("core").to_numpy()
+        for low in range(0, len(self.ids), 256):
             rows = slice(low, low + 256)
-            w = np.maximum(np.maximum(_distances(x[rows], y), core[rows, None]), their_core[None, :])
-            w[mine[rows, None] == theirs[None, :]] = np.inf
+            w = np.maximum(np.maximum(_distances(self.matrix[rows], matrix), self.core[rows, None]), core[None, :])
+            w[self.component[rows, None] == theirs[None, :]] = np.inf
             best = np.argmin(w, axis=1)
             for k, c in enumerate(best.tolist()):
                 if w[k, c] < np.inf:
-                    a, b = sorted((int(ids[low + k]), int(others[c])))
-                    edge, component = (float(w[k, c]), a, b), int(mine[low + k])
-                    out[component] = min(out.get(component, edge), edge)
-    return pa.table({"component": pa.array(out.keys(), pa.int64()), **{name: pa.array([e[i] for e in out.values()], kind) for i, (name, kind) in enumerate((("w", pa.float64()), ("a", pa.int64()), ("b", pa.int64())))}})
+                    a, b = sorted((int(self.ids[low + k]), int(ids[c])))
+                    edge, component = (float(w[k, c]), a, b), int(self.component[low + k])
+                    self.out[component] = min(self.out.get(component, edge), edge)
 
+    def table(self) -> pa.Table:
+        edges = self.out.values()
+        return pa.table({"component": pa.array(self.out.keys(), pa.int64()), **{name: pa.array([e[i] for e in edges], kind) for i, (name, kind) in enumerate((("w", pa.float64()), ("a", pa.int64()), ("b", pa.int64())))}})
 
-def _block_pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int, run, schema: str) -> DataFrame:
-    """run over every pair of a block of left and one of right."""
-    l, r = (max(1, math.ceil(n / BLOCK)) for n in (n_left, n_right))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))  # they may be one frame
-    dealt = left.withColumn("lb", own(l)).withColumn("rb", every(r)).groupBy("lb", "rb")
-    return dealt.cogroup(right.withColumn("rb", own(r)).withColumn("lb", every(l)).groupBy("lb", "rb")).applyInArrow(run, schema)
+
+def _dealt(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """Rows as stored blocks."""
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / BLOCK)))).cast("int")
+    return stored(blocks.packed(rows.withColumn("block", block), ["block"]).drop("block"), name)
 
 
 def neighbour_lists(points: DataFrame, n: int, keep: int) -> DataFrame:
     """(id, near): each vector's nearest others, ascending by distance and id; points (id, embedding)."""
-    found = _block_pairs(points, points, n, n, _lists(keep), _LISTS)
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, keep).alias("near"))  # keep entries a block
+    dealt = _dealt(points, n, "forest-blocks")
+    found = blocks.meet(dealt, dealt, n, _width(points), partial(_Lists, keep), _LISTS)
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, keep).alias("near"))  # keep entries a part
+
+
+def _width(points: DataFrame) -> int:
+    return points.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
 
 
 def _merged(picks: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def spanning_forest(points: DataFrame, min_samples: int, listed: int = LISTED) -
 
     A vector's core distance is that to its ``min_samples``-th nearest other, or to its farthest if there are fewer.
     """
-    points = stored(points.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "forest-points")
+    points = stored(points.select("id", blocks.vector(points)), "forest-points")
     n = points.count()
     keep = min(max(min_samples, listed), n - 1)
     if n < 2:
@@ -140,10 +145,11 @@ def spanning_forest(points: DataFrame, min_samples: int, listed: int = LISTED) -
         left = unsure.count()
         if left:
             located = stored(points.join(spots, "id").select("id", "component", "core", "embedding"), "forest-located")
-            found = _block_pairs(located.join(short, "component", "left_semi"), located, left, n, _lightest, _OUT)
+            asking, others = _dealt(located.join(short, "component", "left_semi"), left, "forest-asking"), _dealt(located, n, "forest-others")
+            found = blocks.meet(asking, others, n, _width(points), _Lightest, _OUT)
             extra = found.groupBy("component").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct()
             older, edges = edges, stored(edges.unionByName(crossing(extra)).distinct(), "forest-edges")
-            discard(older, located)
+            discard(older, located, asking, others)
         picks = stored(lightest(edges), "forest-picks")
         if picks.isEmpty():
             break
