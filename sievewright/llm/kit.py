@@ -57,7 +57,38 @@ def stored(df: DataFrame, name: str, rows: int | None = None, row_bytes: int = 3
     """
     if rows is not None:
         df = df.coalesce(max(4, math.ceil(rows * row_bytes / FILE_BYTES)))
-    return storage.stored(df, name)
+    with _shuffles_removed(df.sparkSession):
+        return storage.stored(df, name)
+
+
+def in_slices(df: DataFrame, key: str, n: int, name: str) -> Iterator[DataFrame]:
+    """The rows of a frame in n slices by a long column, equal values together, one slice after the other.
+
+    All slices are written at once to shared storage; each is deleted when the next one is asked for.
+    What works slice by slice shuffles an n-th of the rows at a time.
+    """
+    spark, part = df.sparkSession, free_names(df, "slice")[0]
+    path, dealt = fresh_path(spark, name), df.withColumn(part, F.coalesce(F.pmod(F.col(key), F.lit(n)).cast("int"), F.lit(0)))
+    with _shuffles_removed(spark):
+        dealt.write.partitionBy(part).parquet(path)
+    back = spark.read.schema(dealt.schema).parquet(path)
+    for k in range(n):
+        yield back.where(F.col(part) == k).select(*df.columns)
+        storage.remove(spark, f"{path}/{part}={k}")
+    storage.remove(spark, path)
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what is written meanwhile when the writing ends: later steps read the stored
+    table, and files would stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):

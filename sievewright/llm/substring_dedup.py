@@ -27,8 +27,9 @@ in the windows, and an aggregation that combines before it shuffles, so a passag
 of all documents hold costs one partial row a task; where the first documents go back to the windows,
 adaptive execution splits a hot key, as both sides are plain exchanges of stored tables.  A source that
 very many documents are compared with is salted.  The passage kept is always the one of its first
-document.  Most keys belong to one document and go after one exchange of (key, document).  Whole copies
-are one class and join as such.
+document.  Most keys belong to one document and go after one exchange of (key, document).  Keys are
+stored in slices, and one slice after the other is shuffled and deleted; what is stored is deleted when
+nothing reads it any more.  Whole copies are one class and join as such.
 
 What may be missed: a passage with edits within ten words on both sides of every anchor (at the
 threshold, one edit in 50 words, each anchor has a clean side), or one whose min-hash tokens all differ:
@@ -46,6 +47,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,8 @@ BRIDGE = 40
 JOINED = 4
 #: Holders of a key that are sorted together, as a rule.
 NEIGHBOURS = 1 << 16
+#: Parts of the keys that are shuffled one after the other, which bounds the disk that shuffles take.
+SLICES = 4
 #: Documents that meet one source in a task.
 SHARERS = 512
 _SEEDS = kit.mix(np.arange(501, 565, dtype=np.uint64))
@@ -516,7 +520,7 @@ def hashes_needed(threshold: float, recall: float) -> int:
 
 
 def _held(rows: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, ...) whose key several documents have, with the first of them as source.
+    """Rows (key, doc_id, ...) whose key several documents have, with the first of them as source; stored.
 
     The shared keys are a stored table, so where they are not small both sides of the join are plain
     exchanges, whose hot partitions adaptive execution splits.
@@ -525,7 +529,9 @@ def _held(rows: DataFrame) -> DataFrame:
     shared = kit.stored(shared, "passage-firsts")
     # A partition of the shared keys is hashed where it is known to be small, else both sides are sorted.
     part_bytes = shared.count() * 24 / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.join(shared.hint("shuffle_hash" if part_bytes <= kit.SMALL_BYTES else "merge"), "key")
+    held = kit.stored(rows.join(shared.hint("shuffle_hash" if part_bytes <= kit.SMALL_BYTES else "merge"), "key"), "passage-holders")
+    kit.discard(shared)
+    return held
 
 
 def _neighbours(holders: DataFrame, spans: DataFrame) -> DataFrame:
@@ -566,13 +572,14 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
     kit.discard(counted)
     whole = kit.stored(copies.select("doc_id", "h").distinct(), "passage-whole", n_texts)  # texts, as an id may have others
     first_texts = docs.join(kit.small(whole, 16), ["doc_id", "h"], "left_anti")  # a copy's windows are its first document's
-    keys = kit.stored(first_texts.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int, sig int"), "passage-keys")
-    holders = kit.stored(_held(keys), "passage-holders")
+    keys = first_texts.select("doc_id", "text").mapInArrow(kit.tidy(_window_writer(length, hashes)), "key long, doc_id long, c int, sig int")
+    held = [_held(rows) for rows in kit.in_slices(keys, "key", SLICES, "passage-keys")]
+    holders = reduce(DataFrame.unionByName, held)
     pairs = kit.stored(holders.where("doc_id > source").select("doc_id", "source").distinct(), "passage-pairs")
     spots = kit.stored(holders.groupBy("doc_id").agg(F.collect_set("c").alias("spots")), "passage-spots")
-    kit.discard(keys)
     wanted = kit.stored(spots.select("doc_id"), "passage-wanted", spots.count())
     tokens = kit.stored(docs.join(kit.small(wanted, 16), "doc_id", "left_semi").join(kit.small(whole, 16), ["doc_id", "h"], "left_anti").select("doc_id", "h", "text").mapInArrow(kit.tidy(_token_writer), "doc_id long, h long, tokens binary"), "passage-tokens")
+    kit.discard(wanted, whole)
 
     def verified(pairs: DataFrame) -> DataFrame:
         # A source of many pairs meets them in several tasks.
@@ -589,16 +596,19 @@ def duplicate_spans(docs: DataFrame, *, words: int = 50, threshold: float = 0.8,
 
     spans = verified(pairs)
     # What the first documents of the keys did not give: their holders' neighbours, and stretches of passage length that meet as a whole.
-    known = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    around = tokens.join(spots, "doc_id").join(known, ["doc_id", "h"], "left").select("doc_id", "tokens", "spots", "spans")
+    # All is joined by doc_id, so tokens are shuffled once; a text's spans are told by h.
+    known = spans.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "end")).alias("known"))
+    own = F.filter("known", lambda s: s["h"] == F.col("h"))
+    around = tokens.join(spots, "doc_id").join(known, "doc_id", "left").select("doc_id", "tokens", "spots", own.alias("spans"))
     stretches = around.mapInArrow(kit.tidy(_stretch_writer(length)), "key long, doc_id long, open boolean")
     first = stretches.groupBy("key").agg(F.min("doc_id").alias("source"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).where("source < last").select("key", "source")
     first = kit.stored(first, "passage-stretches")
     more = stretches.where("open").join(kit.small(first, 16), "key").where("doc_id > source").select("doc_id", "source")
     more = more.unionByName(_neighbours(holders, spans)).distinct()
     more = kit.stored(more.join(pairs, ["doc_id", "source"], "left_anti"), "passage-more")
-    kit.discard(holders)
+    kit.discard(*held, pairs, spots, first)
     spans = spans.unionByName(verified(more))
+    kit.discard(more, tokens)
     # Merge what overlaps within a document (its spans only, so small).
     per_doc = spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end", "source"))).alias("s"))
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,source:bigint,most:int>>)")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -366,3 +368,45 @@ def test_internal_names_may_be_columns(spark, docs):
     assert sorted((r.doc_id, r.text) for r in cut_duplicates(wide).collect()) == plain and cut_duplicates(wide).columns == wide.columns
     single = sorted((r.doc_id, r.text) for r in keep_one_of_each(docs(rows)).collect())
     assert sorted((r.doc_id, r.text) for r in keep_one_of_each(wide).collect()) == single and keep_one_of_each(wide).columns == wide.columns
+
+
+def test_slices_are_all_rows_and_each_goes(spark):
+    rows = [(k, "x") for k in (-(2**63), -7, -1, 0, 1, 1, 5, 2**63 - 1, None)]
+    folder = Path(kit.shared_dir(spark).removeprefix("file://")) / "sievewright"
+    for some in (rows, []):
+        df = spark.createDataFrame(some, "key long, slice string")
+        found, sizes = [], []
+        for part in kit.in_slices(df, "key", 4, "sliced"):
+            own = [tuple(r) for r in part.collect()]
+            assert part.columns == df.columns and len({(k or 0) % 4 for k, _ in own}) <= 1
+            found += own
+            sizes.append(len(list(folder.glob("sliced-*/slice_=*"))))
+        assert sorted(found, key=str) == sorted(some, key=str)
+        assert sizes == sorted(sizes, reverse=True) and not list(folder.glob("sliced-*"))
+
+
+def test_passages_leave_neither_tables_nor_shuffles(spark, docs):
+    rng = random.Random(41)
+    shared = words(rng, 80)
+    rows = [(i, " ".join(words(rng, 60) + shared + words(rng, 60))) for i in range(12)]
+    folder = Path(kit.shared_dir(spark).removeprefix("file://")) / "sievewright"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        paths = (Path(files.apply(i).getPath()) for i in range(files.size()))
+        return {p: p.stat().st_size for p in paths if p.name.startswith("shuffle_") and p.exists()}
+
+    tables, files = set(folder.glob("*")), set(shuffles())
+    spans = duplicate_spans(docs(rows))
+
+    def left():  # larger ones than those of counts
+        return {p: n for p, n in shuffles().items() if p not in files and n > 256}
+
+    for _ in range(50):  # files are removed in the background
+        if not left():
+            break
+        time.sleep(0.2)
+    assert not left()
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - tables} == {"passage-copies", "passage-met"}
+    assert {r["doc_id"] for r in spans.collect()} == set(range(1, 12))
